@@ -6,21 +6,90 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import new_path
 from .jaccard_join import jaccard_components
+from .language_id import identify_languages
+from .url_filter import judge_urls
+from .warc import plan_records, read_bundles, write_bundles
+
+#: Host, start of the path, verdict.
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_bundles(plan_records(_table(spark, sf_dir, "pages")), path)
+    return read_bundles(spark, path, keep_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(_table(spark, sf_dir, "documents"))
+    return found.selectExpr("id as doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(_table(spark, sf_dir, "documents"))
-    return found.select(found.id.alias("doc_id"), "n_shingles", "component_id", "class_id", "class_size")
+    return found.selectExpr("id as doc_id", "n_shingles", "component_id", "class_id", "class_size")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_jaccard_join": op10_jaccard_join}
+    return {
+        "op1_warc": op1_warc,
+        "op6_language_id": op6_language_id,
+        "op7_url_filter": op7_url_filter,
+        "op10_jaccard_join": op10_jaccard_join,
+    }
+
+
+_OP1_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), f AS (
+  SELECT page_id, octet_length(body) AS n, sha256(body) AS d,
+         CASE WHEN octet_length(body) >= 100 THEN min(page_id) OVER (PARTITION BY body) ELSE page_id END AS first
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+_OP7_SQL = """
+WITH h AS (
+  SELECT page_id,
+         lower(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')) AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), r(rhost, rpath, verdict) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'),
+         ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+), fits AS (
+  SELECT page_id, host, path, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rhost) DESC NULLS LAST, length(rpath) DESC) AS rn
+  FROM h LEFT JOIN r ON (host = rhost OR host LIKE '%.' || rhost) AND starts_with(path, rpath)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE rn = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": _OP1_SQL, "op7_url_filter": _OP7_SQL}
