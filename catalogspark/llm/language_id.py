@@ -71,11 +71,11 @@ def characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return full, starts
 
 
-def grams(code: np.ndarray, order: int) -> np.ndarray:
+def grams(code: np.ndarray, order: int, bits: int = 16) -> np.ndarray:
     """The `order` codes ending at each position, packed into 64 bits (the first ones are wrong)."""
     key = code.astype(U)
     for k in range(1, order):
-        key[k:] |= code[:-k].astype(U) << U(16 * k)
+        key[k:] |= code[:-k].astype(U) << U(bits * k)
     return key
 
 
@@ -112,21 +112,21 @@ def _find(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class KneserNey:
     """Sorted hash arrays per order: log10-free natural log probabilities, and back-off weights of contexts."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        per = {lang: {ORDER: counts[lang]} for lang in self.langs}
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: int | None = None, order: int = ORDER, bits: int = 16):
+        self.langs, self.bits, top = sorted(counts), bits, order
+        per = {lang: {top: counts[lang]} for lang in self.langs}
         for lang in self.langs:
-            for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer grams with this end
+            for order in range(top - 1, 0, -1):  # continuation counts: distinct longer grams with this end
                 longer = per[lang][order + 1][0]
-                per[lang][order] = np.unique(longer & U((1 << 16 * order) - 1), return_counts=True)
+                per[lang][order] = np.unique(longer & U((1 << bits * order) - 1), return_counts=True)
         letters = np.unique(np.concatenate([per[x][1][0] for x in self.langs]))
-        self.none = np.float32(-np.log(len(letters) + 1))
+        self.none = np.float32(-np.log(alphabet or len(letters) + 1))
         self.probs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.backs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for order in range(1, ORDER + 1):
+        for order in range(1, top + 1):
             keys = np.unique(np.concatenate([per[x][order][0] for x in self.langs]))
-            contexts = np.unique(keys >> U(16))
-            lower = self._score(order - 1, keys & U((1 << 16 * (order - 1)) - 1)) if order > 1 else None
+            contexts = np.unique(keys >> U(bits))
+            lower = self._score(order - 1, keys & U((1 << bits * (order - 1)) - 1)) if order > 1 else None
             prob = np.empty((len(keys), len(self.langs)))
             back = np.zeros((len(contexts), len(self.langs)))
             for k, lang in enumerate(self.langs):
@@ -134,14 +134,14 @@ class KneserNey:
                 n = n.astype(float)
                 once, twice = (n == 1).sum(), (n == 2).sum()
                 off = min(0.9, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
-                own_ctx, first = np.unique(own >> U(16), return_index=True)
+                own_ctx, first = np.unique(own >> U(bits), return_index=True)
                 total = np.add.reduceat(n, first)
                 kinds = np.diff(np.append(first, len(own)))
                 weight = np.log(off * kinds / total)
                 at_ctx = np.searchsorted(contexts, own_ctx)
                 back[at_ctx, k] = weight
                 below = lower[:, k] if lower is not None else np.full(len(keys), self.none)
-                full = back[np.searchsorted(contexts, keys >> U(16)), k] + below
+                full = back[np.searchsorted(contexts, keys >> U(bits)), k] + below
                 at = np.searchsorted(keys, own)
                 which = np.repeat(np.arange(len(own_ctx)), kinds)
                 full[at] = np.logaddexp(np.log((n - off) / total[which]), full[at])
@@ -159,8 +159,8 @@ class KneserNey:
         miss = np.flatnonzero(~known)
         if len(miss):
             ctx_hashes, weights = self.backs[order]
-            at, known = _find(ctx_hashes, keys[miss] >> U(16))
-            low = self._score(order - 1, keys[miss] & U((1 << 16 * (order - 1)) - 1))
+            at, known = _find(ctx_hashes, keys[miss] >> U(self.bits))
+            low = self._score(order - 1, keys[miss] & U((1 << self.bits * (order - 1)) - 1))
             out[miss] = low + np.where(known[:, None], weights[at], 0)
         return out
 

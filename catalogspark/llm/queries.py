@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import new_path
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
+from .lm_score import score_texts
 from .url_filter import judge_urls
 from .warc import plan_records, read_bundles, write_bundles
 
@@ -34,6 +35,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_texts(_table(spark, sf_dir, "documents"))
+    return found.selectExpr(
+        "id as doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_languages(_table(spark, sf_dir, "documents"))
     return found.selectExpr("id as doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -53,6 +61,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_lm_score": op2_lm_score,
         "op6_language_id": op6_language_id,
         "op7_url_filter": op7_url_filter,
         "op10_jaccard_join": op10_jaccard_join,
