@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path
+from .decontaminate import leaks
+from .imatch import compare_edited
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .lm_score import score_texts
@@ -53,6 +55,15 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.selectExpr("id as doc_id", "item as item_id", "item_words", "agreeing")
+
+
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(_table(spark, sf_dir, "documents"))
     return found.selectExpr("id as doc_id", "n_shingles", "component_id", "class_id", "class_size")
@@ -64,6 +75,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_lm_score": op2_lm_score,
         "op6_language_id": op6_language_id,
         "op7_url_filter": op7_url_filter,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_imatch": op9_imatch,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
@@ -100,5 +113,34 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
+_OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM documents WHERE text IS NOT NULL
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), m(mask, i0, i1, i2, i3, i4) AS (VALUES (0, 0, 1, 2, 4, 5), (1, 0, 1, 3, 4, 6), (2, 0, 2, 3, 5, 8)),
+ds AS (
+  SELECT doc_id, p, mask, w[p + i0 + 1] || ' ' || w[p + i1 + 1] || ' ' || w[p + i2 + 1] || ' ' || w[p + i3 + 1]
+         || ' ' || w[p + i4 + 1] AS seed
+  FROM (SELECT doc_id, w, unnest(range(len(w))) AS p FROM d), m
+), bs AS (
+  SELECT item_id, p, mask, w[p + i0 + 1] || ' ' || w[p + i1 + 1] || ' ' || w[p + i2 + 1] || ' ' || w[p + i3 + 1]
+         || ' ' || w[p + i4 + 1] AS seed
+  FROM (SELECT item_id, w, unnest(range(len(w))) AS p FROM b), m
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS off FROM ds JOIN bs USING (mask, seed)
+), laid AS (
+  SELECT doc_id, item_id, len(b.w) AS n,
+         len(list_filter(range(len(b.w)), lambda j: j + off >= 0 AND d.w[j + off + 1] = b.w[j + 1])) AS same
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS item_words, CAST(max(same) AS INTEGER) AS agreeing
+FROM laid GROUP BY doc_id, item_id, n
+HAVING max(same) >= least(n, greatest(8, ceil(n * 0.5)))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1_SQL, "op7_url_filter": _OP7_SQL}
+    return {"op1_warc": _OP1_SQL, "op7_url_filter": _OP7_SQL, "op8_decontaminate": _OP8_SQL}
