@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path
 from .decontaminate import leaks
+from .html_extract import extract_text
 from .imatch import compare_edited
 from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .lm_score import score_texts
+from .packing import pack_documents
 from .url_filter import judge_urls
 from .warc import plan_records, read_bundles, write_bundles
 
@@ -44,6 +46,21 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_languages(_table(spark, sf_dir, "documents"))
     return found.selectExpr("id as doc_id", "held_out", "lang_pred", "score", "rejected")
@@ -73,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_lm_score": op2_lm_score,
+        "op4_packing": op4_packing,
+        "op5_html_extract": op5_html_extract,
         "op6_language_id": op6_language_id,
         "op7_url_filter": op7_url_filter,
         "op8_decontaminate": op8_decontaminate,
