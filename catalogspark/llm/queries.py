@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import new_path
 from .decontaminate import leaks
@@ -14,6 +15,7 @@ from .jaccard_join import jaccard_components
 from .language_id import identify_languages
 from .lm_score import score_texts
 from .packing import pack_documents
+from .repeats import remove_repeats
 from .url_filter import judge_urls
 from .warc import plan_records, read_bundles, write_bundles
 
@@ -46,6 +48,11 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -90,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_lm_score": op2_lm_score,
+        "op3_suffix_repeats": op3_suffix_repeats,
         "op4_packing": op4_packing,
         "op5_html_extract": op5_html_extract,
         "op6_language_id": op6_language_id,
