@@ -203,6 +203,65 @@ def fit(docs: DataFrame, lang_col: str, fit_rows: int = FIT_ROWS) -> KneserNey |
     return KneserNey(counts) if counts else None
 
 
+class Identifier:
+    """A fitted model and the limits of rejection, small enough to go to every task."""
+
+    def __init__(self, model: KneserNey | None, limits: dict[str, float]):
+        self.model, self.limits = model, limits
+
+    def predict(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Languages, scores and rejections."""
+        n = len(texts)
+        pred, score, out = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
+        if self.model is not None and n:
+            size, mean = self.model.entropies([t or "" for t in texts])
+            best = mean.argmin(axis=1)
+            low = mean[np.arange(n), best]
+            fine = size > 0
+            pred[fine] = np.array(self.model.langs, object)[best[fine]]
+            sure = 1 / np.exp(-(mean - low[:, None]) * np.minimum(np.maximum(size, 1), 20)[:, None]).sum(axis=1)
+            score[fine] = sure[fine]
+            limit = np.array([self.limits.get(x, np.inf) for x in self.model.langs])
+            out = ~fine | (low > limit[best])
+        return pred, score, out
+
+
+def fit_identifier(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Identifier:
+    """From rows (id, text, lang), none of them null."""
+    known = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not known:
+        return Identifier(None, {})
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(None)
+    for lang, n in known.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, fit_rows / n))).otherwise(share)
+    drawn = labelled.withColumn("draw", draw / share).where("draw < 1")
+    model = fit(drawn.where("draw < 0.95"), "lang")
+    if model is None:
+        return Identifier(None, {})
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {x: k for k, x in enumerate(shared.value.langs)}
+        for batch in batches:
+            size, mean = shared.value.entropies(batch.column("text").to_pylist())
+            own = np.array([place.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
+            fine = (size > 0) & (own >= 0)
+            langs = batch.column("lang").filter(pa.array(fine))
+            yield pa.RecordBatch.from_pydict({"lang": langs, "h": pa.array(mean[np.arange(len(own)), own][fine])})
+
+    tested = drawn.where("draw >= 0.95").select("lang", "text").mapInArrow(entropy, "lang string, h double")
+    means = tested.groupBy("lang").agg(F.avg("h").alias("h")).collect()
+    return Identifier(model, {r["lang"]: REJECT_AT * r["h"] for r in means})
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: Column) -> DataFrame:
+    rows = docs.where(~F.coalesce(held_out, F.lit(False))).select(
+        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
+    )
+    return rows.where("id is not null and text is not null and lang is not null")
+
+
 def identify_languages(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -215,58 +274,13 @@ def identify_languages(
 
     `held_out`: rows never learned from; by default those whose crc32(id as text) mod 5 is 0.
     """
-    spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).cast("string").alias("text"),
-        F.col(lang_col).cast("string").alias("lang"),
-        F.coalesce(held_out if held_out is not None else crc32_mod(F.col(id_col), 5) == 0, F.lit(False)).alias(
-            "held_out"
-        ),
-    )
-    labelled = rows.where("not held_out and id is not null and text is not null and lang is not null")
-    known = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(None)
-    for lang, n in known.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, fit_rows / n))).otherwise(share)
-    drawn = labelled.withColumn("draw", draw / share).where("draw < 1")
-    model = fit(drawn.where("draw < 0.95"), "lang") if known else None
-    limits: dict[str, float] = {}
-    shared = spark.sparkContext.broadcast(model)
-
-    def entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            size, mean = shared.value.entropies(texts)
-            own = [shared.value.langs.index(x) if x in shared.value.langs else -1 for x in batch.column("lang").to_pylist()]
-            fine = (size > 0) & (np.array(own) >= 0)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": batch.column("lang").filter(pa.array(fine)),
-                    "h": pa.array(mean[np.arange(len(texts)), own][fine]),
-                }
-            )
-
-    if model is not None:
-        tested = drawn.where("draw >= 0.95").select("lang", "text").mapInArrow(entropy, "lang string, h double")
-        limits = {r["lang"]: REJECT_AT * r["h"] for r in tested.groupBy("lang").agg(F.avg("h").alias("h")).collect()}
+    held_out = held_out if held_out is not None else crc32_mod(F.col(id_col), 5) == 0
+    fitted = fit_identifier(_labelled(docs, id_col, text_col, lang_col, held_out), fit_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            n = batch.num_rows
-            pred, score, out = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
-            if model is not None:
-                size, mean = model.entropies([t or "" for t in batch.column("text").to_pylist()])
-                best = mean.argmin(axis=1)
-                low = mean[np.arange(n), best]
-                fine = size > 0
-                pred[fine] = np.array(model.langs, object)[best[fine]]
-                sure = 1 / np.exp(-(mean - low[:, None]) * np.minimum(np.maximum(size, 1), 20)[:, None]).sum(axis=1)
-                score[fine] = sure[fine]
-                limit = np.array([limits.get(x, np.inf) for x in model.langs])
-                out = ~fine | (low > limit[best])
+            pred, score, out = shared.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column("id"),
@@ -277,7 +291,32 @@ def identify_languages(
                 }
             )
 
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.col(text_col).cast("string").alias("text"),
+    )
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "held_out", "text").mapInArrow(
+    return rows.mapInArrow(
         predict, f"id {kind}, held_out boolean, lang_pred string, score double, rejected boolean"
     )
+
+
+def keep_identified(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    fit_rows: int = FIT_ROWS,
+) -> DataFrame:
+    """The rows of `docs`, all columns, that the model doesn't reject."""
+    held_out = crc32_mod(F.col(id_col), 5) == 0
+    fitted = fit_identifier(_labelled(docs, id_col, text_col, lang_col, held_out), fit_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = shared.value.predict(batch.column(text_col).to_pylist())[2]
+            yield batch.filter(pa.array(~out))
+
+    return docs.mapInArrow(keep, docs.schema)

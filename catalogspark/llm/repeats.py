@@ -278,7 +278,7 @@ def _starts(length: int):
     return run
 
 
-def _remove(carried: list[str]):
+def _remove(carried: list[str], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, removed, spans = [], [], []
@@ -301,15 +301,23 @@ def _remove(carried: list[str]):
             own["n_bytes"] = pa.array([len(k) + g for k, g in zip(kept, removed)], pa.int64())
             own["n_removed"] = pa.array(removed, pa.int64())
             own["n_spans"] = pa.array(spans, pa.int64())
-            own["kept_bytes"] = pa.array(kept, pa.binary())
+            if as_text:
+                own["kept_text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            else:
+                own["kept_bytes"] = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """`docs` with n_bytes, n_removed, n_spans and kept_bytes (these names replace such columns of `docs`)."""
-    added = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
+def remove_repeats(
+    docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False
+) -> DataFrame:
+    """`docs` without the text, with n_bytes, n_removed, n_spans and kept_bytes (such columns of `docs` give way).
+
+    With `as_text`, kept_text instead of kept_bytes: without the halves of characters that a cut split.
+    """
+    added = ["n_bytes", "n_removed", "n_spans", "kept_text" if as_text else "kept_bytes"]
     carried = [c for c in docs.columns if c not in added and c != text_col]
     rows = docs.select(
         *[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
@@ -373,7 +381,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("__spans"))
     )
     kept = docs.select(*[F.col(f"`{c}`") for c in carried]).schema
-    fields = [*kept.fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.BinaryType())]
+    fields = [*kept.fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType() if as_text else T.BinaryType())]
     return rows.join(covered, "__key", "left").mapInArrow(
-        _remove(carried), T.StructType(fields)
+        _remove(carried, as_text), T.StructType(fields)
     )
