@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog_queries
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+MODULES = [catalog_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict = {}
+    for module in MODULES:
+        out.update(module.QUERIES)
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for module in MODULES:
+        out.update(module.SQL)
+    return out
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["s4_load_catalog"](spark, sf_dir)
