@@ -27,42 +27,86 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH, END_ID, BLOCK_DOCS = 2048, 1, 20_000
+LENGTH, END_ID, BLOCK_DOCS = 2048, 1, 4_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 _CACHE_WORDS = 300_000
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
-_loaded: dict[str, tuple] = {}
+_loaded: dict[str, Encoder] = {}
 
 
-def encoder(path: str):
-    """texts -> the uint32 ids of each, as bytes; kept per worker."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer
+class Encoder:
+    """texts -> the uint32 ids of each, as bytes. Words of two generations are remembered."""
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _loaded[path]
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def encode(texts: list[str]) -> list[bytes]:
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, k in vocab.items():
+            self.ends[k] = token.endswith("</w>")
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: each is one piece, whose last token closes a word."""
+        at = range(0, len(words), 500)
+        lines = self.tokenizer.encode_batch_fast([" ".join(words[k : k + 500]) for k in at], add_special_tokens=False)
+        ids = np.array([i for line in lines for i in line.ids], np.uint32)
+        edges = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(edges) != len(words) + 1:
+            return self._encode_any(words)
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(edges, edges[1:])]
+
+    def _encode_any(self, words: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(got.ids, np.uint32).tobytes()
+        edges = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
+        return [data[4 * a : 4 * b] for a, b in zip(edges, edges[1:])]
+
+    def learn(self, words: set[str]) -> None:
+        """Put every word of `words` into `recent`."""
+        if len(self.recent) > _CACHE_WORDS:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        fresh = words.difference(recent)
+        for w in fresh.intersection(older):
+            recent[w] = older[w]
+        fresh = [w for w in fresh if w not in older]
+        # a full stop or comma behind a letter is a piece of its own, and A-Z are read as a-z
+        core = [w[:-1] if w[-1] in ".," and w[:-1].isalpha() else w for w in fresh]
+        core = [c.lower() if c.isascii() else c for c in core]
+        plain = {c for c in core if c.isalpha()}
+        for k in (",", "."):
+            if k not in recent:
+                recent[k] = self._encode_any([k])[0]
+        ids = dict(zip(found := list(plain), self._encode_words(found))) if plain else {}
+        rest = [w for w, c in zip(fresh, core) if c not in plain]
+        for k in range(0, len(rest), 10_000):
+            part = rest[k : k + 10_000]
+            recent.update(zip(part, self._encode_any(part)))
+        for w, c in zip(fresh, core):
+            if c in plain:
+                recent[w] = ids[c] if len(w) == len(c) else ids[c] + recent[w[-1]]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if _ODD.search(t) else t.split() for t in texts]
-        fresh = list({w for ws in split if ws for w in ws if w not in cache})
-        if len(cache) + len(fresh) > _CACHE_WORDS:
-            cache.clear()
-            fresh = list({w for ws in split if ws for w in ws})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            got = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            edges = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(part) + 1))
-            cache.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, edges, edges[1:]))
-        find = cache.__getitem__
+        self.learn(set().union(*(ws for ws in split if ws)))
+        find = self.recent.__getitem__
         return [
             b"".join(map(find, ws))
             if ws is not None
-            else np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
+            else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
             for t, ws in zip(texts, split)
         ]
 
-    return encode
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept for its later batches."""
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
+    return _loaded[path]
 
 
 def _tokenise(path: str, length: int, end_id: int):
