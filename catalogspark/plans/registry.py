@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_queries
+from . import catalog_queries, search_queries, stream_queries
 
-MODULES = [catalog_queries]
+MODULES = [catalog_queries, search_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["s4_load_catalog"](spark, sf_dir)
+    return queries()["t16_search_batch"](spark, sf_dir)
