@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,6 +107,15 @@ def build_postings(docs: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     )
 
 
+def built_once(df: DataFrame) -> DataFrame:
+    """An index that several parts of a job read, computed once into the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def match_prefix(wanted: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, token) against terms that begin with the token -> (query_id, token, file_id, tf).
 
@@ -180,13 +190,24 @@ def passes(now: Column) -> Column:
 def coverage(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, file_id, terms) -> covered share of terms in the written fields, and adjacent pairs found adjacent."""
     fields = ["description", "title", "ocr_text", "label", "tags"]
-    written = docs.select("file_id", F.transform(F.flatten(F.array(*[tokens(F.col(f)) for f in fields])), lambda t: stem(t)).alias("stems"))
+    text = F.regexp_replace(F.lower(F.concat_ws(" ", *fields)), r"[^\p{L}\p{N}]+", " ")
+    written = docs.select("file_id", F.concat(F.lit(" "), text, F.lit(" ")).alias("line"))
     rows = pairs.join(written, "file_id")
     rows = rows.withColumn("wanted", F.transform(F.flatten(F.transform("terms", lambda t: tokens(t))), lambda t: stem(t)))
-    rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("stems", " "), F.lit(" ")))
-    found = F.filter("wanted", lambda t: F.col("line").contains(F.concat(F.lit(" "), t, F.when(F.length(t) < 3, " ").otherwise(""))))
-    two = F.zip_with(F.slice("wanted", 1, F.greatest(F.size("wanted") - 1, F.lit(0))), F.slice("wanted", 2, F.greatest(F.size("wanted") - 1, F.lit(0))), lambda a, b: F.concat(F.lit(" "), a, F.lit(" "), b, F.lit(" ")))
-    together = F.filter(two, lambda p: F.col("line").contains(p))
+    gap, line = F.lit(" "), F.col("line")
+
+    def occurs(t: Column) -> Column:
+        """The stem begins a word (short stems: is one), or is the y of an -ies."""
+        ies = t.endswith("y") & line.contains(F.concat(gap, F.substring(t, F.lit(1), F.length(t) - 1), F.lit("ies ")))
+        return line.contains(F.concat(gap, t, F.when(F.length(t) < 3, " ").otherwise(""))) | ies
+
+    found = F.filter("wanted", occurs)
+    rest = F.greatest(F.size("wanted") - 1, F.lit(0))
+    pairs_of = F.arrays_zip(F.slice("wanted", 1, rest).alias("a"), F.slice("wanted", 2, rest).alias("b"))
+    together = F.filter(
+        pairs_of,
+        lambda p: line.contains(F.concat(gap, p["a"], gap, p["b"])) | line.contains(F.concat(gap, p["a"], F.lit("s "), p["b"])),
+    )
     return rows.select(
         "query_id", "file_id",
         (F.size(found) / F.greatest(F.size("wanted"), F.lit(1))).alias("covered"), F.size(together).alias("together"),
@@ -227,7 +248,7 @@ def fuse(candidates: DataFrame, criteria: DataFrame, docs: DataFrame, files: Dat
 def search_batch(queries: DataFrame, files: DataFrame, docs: DataFrame, file_tags: DataFrame, now: Column, near: DataFrame | None = None) -> DataFrame:
     """(query_id, file_id, score, match, total, place): the best 200 of every query, total counted before the cut."""
     criteria = interpret_queries(queries)
-    postings = build_postings(docs)
+    postings = built_once(build_postings(docs))
     wanted = criteria.select("query_id", F.explode(F.flatten(F.transform("terms", lambda t: tokens(t, fold=True)))).alias("token"))
     ranked = normalise_rank(bm25(match_prefix(wanted, postings), postings)).select("query_id", "file_id", "base")
     parts = [ranked, substring_fallback(criteria, ranked, docs), tag_only_hits(criteria, file_tags), filter_only_hits(criteria, files, now)]

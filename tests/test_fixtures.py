@@ -247,3 +247,11 @@ def test_upserts_are_idempotent(spark):
     for batch_id in (0, 0, 1):
         sink(df, batch_id)
     assert {(r.path, r.state, r.bytes) for r in sink.table.collect()} == {("/a", "missing", 5), ("/b", "pending", 7)}
+
+
+def test_coverage(spark):
+    docs = spark.createDataFrame([(1, "A red motorcycle parked at night in two cities", "", "", "", "")], "file_id long, description string, title string, ocr_text string, label string, tags string")
+    rows = [("a", ["red", "motorcycles", "night"]), ("b", ["red", "helicopter"]), ("c", ["city"]), ("d", ["green"])]
+    pairs = spark.createDataFrame([(q, 1, t) for q, t in rows], "query_id string, file_id long, terms array<string>")
+    got = {r.query_id: (r.covered, r.together) for r in search.coverage(pairs, docs).collect()}
+    assert got == {"a": (1.0, 1), "b": (0.5, 0), "c": (1.0, 0), "d": (0.0, 0)}
