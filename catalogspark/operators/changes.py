@@ -67,19 +67,30 @@ def work_backlog(files: DataFrame, stage: str) -> DataFrame:
 
 
 def requeue(files: DataFrame, reason: str) -> DataFrame:
-    """Bulk state resets."""
-    none = F.lit("none")
-    if reason == "retry_failed":
+    """Bulk state resets: retry_failed, undescribed (a user's wish), models_arrived, clear_failures.
+
+    models_arrived also needs labels (array) and embedding_state.
+    """
+    indexed, state = F.col("index_state") == "indexed", F.col("analysis_state")
+    kinds = F.col("kind").isin("photo", "screenshot", "design", "document", "video")
+    if reason == "clear_failures":
         return files.withColumn("index_state", F.when(F.col("index_state") == "failed", "pending").otherwise(F.col("index_state")))
     if reason == "undescribed":
-        plain = (F.col("index_state") == "indexed") & ~F.coalesce(F.col("engine").startswith("ollama:"), F.lit(False))
-        return files.withColumn("analysis_state", F.when(plain, none).otherwise(F.col("analysis_state")))
-    if reason == "clear_failures":
-        failed = F.col("analysis_state") == "failed"
-        return files.withColumns(
-            {"attempts": F.when(failed, 0).otherwise(F.col("attempts")), "analysis_state": F.when(failed, none).otherwise(F.col("analysis_state"))}
-        )
-    raise ValueError(reason)
+        plain = ~F.coalesce(F.col("engine").startswith("ollama:"), F.lit(False))
+        again = (state == "analysed") & indexed & kinds & plain
+        return files.withColumn("analysis_state", F.when(again, "none").otherwise(state))
+    if reason == "retry_failed":
+        again = state == "failed"
+    elif reason == "models_arrived":
+        bare = state.isin("analysed", "described") & (F.coalesce(F.size("labels"), F.lit(0)) < 1)
+        again = indexed & kinds & (bare | (F.coalesce("embedding_state", F.lit("none")) != "indexed"))
+    else:
+        raise ValueError(reason)
+    out = files.withColumns({"__again": again})
+    reset = {"analysis_state": F.when(F.col("__again"), "none").otherwise(state), "attempts": F.when(F.col("__again"), 0).otherwise(F.col("attempts"))}
+    if reason == "models_arrived":
+        reset["embedding_state"] = F.when(F.col("__again"), "none").otherwise(F.col("embedding_state"))
+    return out.withColumns(reset).drop("__again")
 
 
 def analysis_progress(files: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions.text import stem, synonym_table, tokens
+from .listing import date_bounds, numeric_bounds
+from .pixels import WORDS
 
 # Field weights in order of precedence.
 WEIGHTS = {
@@ -44,32 +46,45 @@ def interpret_descriptions(queries: DataFrame) -> DataFrame:
     )
 
 
-def hard_clauses(groups: DataFrame, files: DataFrame) -> DataFrame:
+def hard_clauses(groups: DataFrame, files: DataFrame, now: Column) -> DataFrame:
     """(query_id, grp, file_id) of files that meet every clause and none of the negated ones.
 
-    The groups are a query log's criteria, laid against all files.
+    The groups are a query log's criteria, laid against all files. Needs tags and collections as arrays.
     """
-    c = lambda x, f: x[f]
+
+    def bound(value: Column, measured: Column) -> Column:
+        size = r"^(>=|<=|>|<|=)?\s*(\d+(?:\.\d+)?)\s*(b|kb|mb|gb|tb)?$"
+        part = lambda k: F.regexp_extract(value, size, k)
+        low, high = numeric_bounds(part(1), part(2).try_cast("double"), part(3))
+        v = F.coalesce(measured, F.lit(0))
+        return (low.isNull() | (v >= low)) & (high.isNull() | (v <= high)) & (part(2) != "")
 
     def meets(x: Column) -> Column:
-        f, v = c(x, "field"), c(x, "value")
+        f, v = x["field"], x["value"]
+        low, high = date_bounds(f, v, now)
+        begins = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.lower(t).startswith(v))
         return (
             F.when(f.isin("kind", "type"), F.array_contains(F.split(v, ","), F.col("kind")))
             .when(f == "is", F.when(v.rlike("^(fav|star)"), F.col("favorite")).otherwise(F.col("kind") == v))
-            .when(f == "tag", F.exists("tags", lambda t: t.startswith(v)))
+            .when(f == "tag", begins("tags"))
+            .when(f == "collection", begins("collections"))
             .when(f == "ext", F.col("ext") == v)
             .when(f == "name", F.lower("name").contains(v))
-            .when(f == "text", F.lower("ocr_text").contains(v))
+            .when(f == "text", F.lower(F.concat_ws(" ", "ocr_text", "description", "title", "name")).contains(v))
             .when(f.isin("in", "folder"), F.lower("folder_path").contains(v))
-            .when(f == "project", F.coalesce(F.col("project_id").startswith(v), F.lit(False)))
-            .otherwise(F.lit(True))
+            .when(f == "project", F.lower("project_id").startswith(v))
+            .when(f.isin("since", "after"), F.col("created_at") >= low)
+            .when(f == "before", F.col("created_at") < high)
+            .when(f == "size", bound(v, F.col("bytes")))
+            .when(f == "w", bound(v, F.col("width")))
+            .otherwise(bound(v, F.col("height")))
         )
 
     fits = F.forall("clauses", lambda x: F.coalesce(meets(x), F.lit(False)) != x["negated"])
     return files.join(groups, fits).select("query_id", "grp", "file_id")
 
 
-def field_word_score(groups: DataFrame, docs: DataFrame, spark_synonyms: bool = True) -> DataFrame:
+def field_word_score(groups: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, grp, word, file_id, score, field): the best field of each word and file.
 
     Exact x 2, equal stem x 1.9, synonym x 1.4, prefix x 1, containment of three letters x 0.4. Words meet document
@@ -108,28 +123,60 @@ def exclusions(found: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFram
     return found.join(gone, ["query_id", "grp", "file_id"], "left_anti")
 
 
-def describe_search(queries: DataFrame, files: DataFrame, docs: DataFrame, now: Column, top: int = RESULTS) -> DataFrame:
-    """(query_id, file_id, score, reasons, place): the best OR-group of each file, newest first among equals."""
+def measured_words(groups: DataFrame, claims: DataFrame) -> DataFrame:
+    """(query_id, grp, word, file_id, says, confidence): words that a measurement answers. `claims`: of descriptors()."""
+    spark = groups.sparkSession
+    meaning = spark.createDataFrame([(w, says) for says, ws in WORDS.items() for w in ws.split()], "word string, says string")
+    asked = groups.select("query_id", "grp", F.explode("words").alias("word")).join(F.broadcast(meaning), "word")
+    return asked.join(claims, "says").select("query_id", "grp", "word", "file_id", "says", "confidence")
+
+
+def adjacent_pairs(groups: DataFrame, docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, grp, file_id, pairs): neighbouring words of a group, both found, that stand side by side in a field."""
+    two = groups.where(F.size("words") > 1).select("query_id", "grp", F.posexplode(F.arrays_zip(F.slice("words", 1, F.size("words") - 1).alias("a"), F.slice("words", 2, F.size("words") - 1).alias("b"))))
+    two = two.select("query_id", "grp", "pos", F.col("col.a").alias("a"), F.col("col.b").alias("b"))
+    h = hits.select("query_id", "grp", "file_id", "word").distinct()
+    both = two.join(h.withColumnRenamed("word", "a"), ["query_id", "grp", "a"]).join(h.withColumnRenamed("word", "b"), ["query_id", "grp", "file_id", "b"])
+    lines = [F.concat(F.lit(" "), F.array_join(F.transform(tokens(F.col(f), fold=True), lambda t: stem(t)), " "), F.lit(" ")) for f in WEIGHTS if f in docs.columns]
+    written = docs.select("file_id", F.array(*lines).alias("lines")).join(both.select("file_id").distinct(), "file_id", "left_semi")
+    side = F.concat(F.lit(" "), stem(F.col("a")), F.lit(" "), stem(F.col("b")), F.lit(" "))
+    found = both.withColumn("side", side).join(written, "file_id").where(F.exists("lines", lambda line: line.contains(F.col("side"))))
+    return found.groupBy("query_id", "grp", "file_id").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def describe_search(
+    queries: DataFrame, files: DataFrame, docs: DataFrame, now: Column, claims: DataFrame | None = None, top: int = RESULTS
+) -> DataFrame:
+    """(query_id, file_id, score, reasons, place): the best OR-group of each file, newest first among equals.
+
+    A group's score: its words by their best field, 5 a phrase, 2.4 a measured claim by its confidence, 5 by the share of
+    two or more words found, 1.2 an adjacent pair; times 1 + 0.15 for each facet after the first; and up to 0.6 for being new.
+    A group of clauses alone scores 1; one whose words find nothing is no answer.
+    """
+    key = ["query_id", "grp", "file_id"]
+    none = F.array().cast("array<string>")
     groups = interpret_descriptions(queries)
     words = field_word_score(groups, docs)
-    sums = words.groupBy("query_id", "grp", "file_id").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("hit"), F.collect_set("field").alias("reasons"))
+    parts = words.select(*key, "word", "score", F.lit(1).alias("facets"), F.when(F.col("field").isin("description", "label", "title"), F.col("word")).alias("reason"))
+    if claims is not None:
+        said = measured_words(groups, claims)
+        parts = parts.unionByName(said.select(*key, "word", (2.4 * F.col("confidence")).alias("score"), F.lit(1).alias("facets"), F.col("says").alias("reason")))
+    sums = parts.groupBy(*key).agg(F.sum("score").alias("s"), F.sum("facets").alias("facets"), F.countDistinct("word").alias("hit"), F.sort_array(F.collect_set("reason")).alias("reasons"))
     sizes = groups.select("query_id", "grp", F.size("words").alias("n"), F.size("phrases").alias("np"), F.size("clauses").alias("nc"))
-    phrases = ordered_phrase(groups, docs)
-    base = sums.join(phrases, ["query_id", "grp", "file_id"], "full_outer").join(sizes, ["query_id", "grp"])
+    base = sums.join(ordered_phrase(groups, docs), key, "full_outer").join(sizes, ["query_id", "grp"]).join(adjacent_pairs(groups, docs, parts), key, "left")
     base = base.where((F.col("np") == 0) | F.col("found").isNotNull())
-    clause_only = sizes.where("n = 0 and np = 0 and nc > 0").select("query_id", "grp")
-    met = hard_clauses(groups, files)
-    ranked = base.join(met, ["query_id", "grp", "file_id"], "left_semi")
-    score = (
-        F.coalesce("s", F.lit(0.0)) + 5.0 * F.coalesce("found", F.lit(0))
-        + F.when(F.col("n") >= 2, 5.0 * F.coalesce("hit", F.lit(0)) / F.col("n")).otherwise(0.0)
-    )
-    none = F.array().cast("array<string>")
-    scored = ranked.select("query_id", "grp", "file_id", score.alias("score"), F.array_sort(F.coalesce("reasons", none)).alias("reasons"))
-    plain = met.join(clause_only, ["query_id", "grp"], "left_semi").select("query_id", "grp", "file_id", F.lit(1.0).alias("score"), none.alias("reasons"))
+    met = hard_clauses(groups, files, now)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    facets = zero("facets") + zero("found")
+    plus = F.when(F.col("n") >= 2, 5.0 * zero("hit") / F.col("n")).otherwise(0.0)
+    raw = F.coalesce("s", F.lit(0.0)) + 5.0 * zero("found") + plus + 1.2 * zero("pairs")
+    score = raw * (1 + 0.15 * F.greatest(facets - 1, F.lit(0)))
+    scored = base.join(met, key, "left_semi").select(*key, score.alias("score"), F.coalesce("reasons", none).alias("reasons"))
+    alone = sizes.where("n = 0 and np = 0 and nc > 0").select("query_id", "grp")
+    plain = met.join(alone, ["query_id", "grp"], "left_semi").select(*key, F.lit(1.0).alias("score"), none.alias("reasons"))
     every = exclusions(scored.unionByName(plain), groups, docs).join(files.select("file_id", "created_at"), "file_id")
-    age = F.greatest(F.lit(0.0), 0.6 - (F.unix_timestamp(now) - F.unix_timestamp("created_at")) / (4 * 365.0 * 86400))
-    final = every.withColumn("score", F.round(F.col("score") + F.least(age, F.lit(0.6)), 6))
+    fresh = F.greatest(F.lit(0.0), 0.6 - (F.unix_timestamp(now) - F.unix_timestamp("created_at")) / (4 * 365.0 * 86400))
+    final = every.withColumn("score", F.round(F.col("score") + fresh, 6))
     best = final.groupBy("query_id", "file_id").agg(F.max("score").alias("score"), F.max_by("reasons", F.struct("score", -F.col("grp"))).alias("reasons"), F.max("created_at").alias("created_at"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), "file_id"))
     return best.withColumn("place", place).where(F.col("place") <= top).select("query_id", "file_id", "score", "reasons", "place")

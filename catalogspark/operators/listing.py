@@ -125,8 +125,9 @@ def date_bounds(field: Column, value: Column, now: Column) -> tuple[Column, Colu
     days = n * F.when(unit == "w", 7).when(unit == "m", 30).when(unit == "y", 365).otherwise(1)
     full = F.when(F.length(value) == 4, F.concat(value, F.lit("-01-01"))).when(F.length(value) == 7, F.concat(value, F.lit("-01"))).otherwise(value)
     moment = F.try_to_timestamp(full, F.lit("yyyy-MM-dd"))
-    low = F.when(field == "since", now - F.make_interval(days=days)).when(field == "after", moment)
-    return low, F.when(field == "before", moment)
+    back = now - F.make_interval(days=days)
+    low = F.when(field == "since", back).when(field == "after", F.coalesce(moment, back))
+    return low, F.when(field == "before", F.coalesce(moment, back))
 
 
 # Roll-ups

@@ -60,13 +60,10 @@ def signature(pixels: DataFrame, n: int = 4) -> DataFrame:
 
 
 def tone_line(s: DataFrame) -> DataFrame:
-    words = F.concat_ws(
-        " · ",
-        F.when(F.col("brightness") < 0.35, "Dark").when(F.col("brightness") > 0.65, "Bright"),
-        F.when(F.col("contrast") > 0.25, "high contrast").when(F.col("contrast") < 0.1, "low contrast"),
-        F.when(F.col("temperature") != "neutral", F.col("temperature")),
-    )
-    return s.select("image_id", words.alias("line"))
+    """Light and contrast of a picture in words."""
+    light = F.when(F.col("brightness") > 0.62, "Bright").when(F.col("brightness") < 0.32, "Dark").otherwise("Evenly lit")
+    contrast = F.when(F.col("contrast") > 0.24, "high contrast").when(F.col("contrast") < 0.1, "low contrast").otherwise("soft")
+    return s.select("image_id", F.concat_ws(" · ", light, contrast).alias("line"))
 
 
 def hue_name(r: Column, g: Column, b: Column) -> Column:
@@ -74,9 +71,15 @@ def hue_name(r: Column, g: Column, b: Column) -> Column:
     high, low = F.greatest(r, g, b) / 255, F.least(r, g, b) / 255
     light, d = (high + low) / 2, high - low
     sat = F.when(d == 0, 0.0).otherwise(d / (1 - F.abs(2 * light - 1)))
-    hue = F.when(d == 0, 0.0).when(F.greatest(r, g, b) == r, F.pmod((g - b) / 255 / d, F.lit(6.0))).when(F.greatest(r, g, b) == g, (b - r) / 255 / d + 2).otherwise((r - g) / 255 / d + 4) * 60
-    named = F.when(hue < 15, "red").when(hue < 45, "orange").when(hue < 70, "yellow").when(hue < 165, "green").when(hue < 200, "cyan").when(hue < 255, "blue").when(hue < 290, "purple").when(hue < 345, "pink").otherwise("red")
-    return F.when(light < 0.12, "black").when(light > 0.92, "white").when(sat < 0.12, "grey").when((hue >= 15) & (hue < 45) & (light < 0.4), "brown").otherwise(named)
+    third = F.when(F.greatest(r, g, b) == r, F.pmod((g - b) / 255 / d, F.lit(6.0))).when(F.greatest(r, g, b) == g, (b - r) / 255 / d + 2)
+    hue = F.when(d == 0, 0.0).otherwise(third.otherwise((r - g) / 255 / d + 4) * 60)
+    # Where one colour name ends and the next begins, in degrees.
+    bands = [(15, "red"), (45, "orange"), (70, "yellow"), (165, "green"), (200, "teal"), (255, "blue"), (290, "purple"), (345, "pink")]
+    named = F.when(hue.between(15, 44.999999) & (light < 0.45), "brown")
+    for upto, name in bands:
+        named = named.when(hue < upto, name)
+    named = named.otherwise("red")
+    return F.when(light < 0.13, "black").when((light > 0.9) & (sat < 0.18), "white").when(sat < 0.13, "grey").otherwise(named)
 
 
 def colour_share(colours: DataFrame) -> DataFrame:
@@ -85,25 +88,84 @@ def colour_share(colours: DataFrame) -> DataFrame:
     return named.groupBy("image_id", "colour").agg(F.least(F.sum("share") / 0.33, F.lit(1.0)).alias("confidence"))
 
 
-def descriptors(signatures: DataFrame, files: DataFrame) -> DataFrame:
-    """(image_id, word, confidence) of words that measurements answer; words that don't hold are left out."""
-    ramp = lambda c, a, b: F.least(F.greatest((F.col(c) - a) / (b - a), F.lit(0.0)), F.lit(1.0))
-    j = signatures.join(files.select(F.col("file_id").alias("image_id"), "width", "height", "bytes"), "image_id", "left")
-    ratio = F.col("width") / F.col("height")
-    words = {
-        "dark": ramp("brightness", 0.45, 0.2), "bright": ramp("brightness", 0.55, 0.8), "colourful": ramp("saturation", 0.3, 0.6),
-        "muted": ramp("saturation", 0.3, 0.1), "warm": ramp("shift", 0.02, 0.15), "cool": ramp("shift", -0.02, -0.15),
-        "contrast": ramp("contrast", 0.15, 0.3), "flat": ramp("contrast", 0.15, 0.05), "detailed": ramp("sharpness", 0.4, 0.8),
-        "soft": ramp("sharpness", 0.4, 0.1), "wide": F.when(ratio >= 1.6, 1.0), "tall": F.when(ratio <= 0.7, 1.0),
-        "square": F.when(F.abs(ratio - 1) <= 0.05, 1.0), "large": F.when(F.col("bytes") >= 5 << 20, 1.0), "small": F.when(F.col("bytes") <= 200 << 10, 1.0),
-    }
-    pairs = F.explode(F.map_entries(F.create_map(*[x for w, c in words.items() for x in (F.lit(w), c.cast("double"))])))
-    return j.select("image_id", pairs.alias("e")).select("image_id", F.col("e.key").alias("word"), F.col("e.value").alias("confidence")).where("confidence > 0")
+# Words for what can be measured, by what they say.
+WORDS = {
+    "dark": "dark dim darkened night nighttime moody shadowy underexposed",
+    "bright": "bright brightly sunny luminous overexposed",
+    "colourful": "colourful colorful vibrant saturated neon bold",
+    "muted": "muted desaturated monochrome greyscale grayscale washed",
+    "warm": "warm golden amber cosy cozy",
+    "cool": "cool cold icy frosty wintry",
+    "high contrast": "contrasty contrast dramatic punchy",
+    "low contrast": "flat faded pale hazy",
+    "detailed": "sharp crisp detailed detail tacksharp",
+    "soft": "blurry blurred soft unfocused outoffocus smudged",
+    "wide": "wide landscape panorama panoramic horizontal widescreen",
+    "tall": "tall portrait vertical upright",
+    "square": "square",
+    "large": "huge big large giant massive enormous",
+    "small": "tiny small little thumbnail",
+    "from today": "today",
+    "from yesterday": "yesterday",
+    "blue": "blue bluish navy azure", "red": "red reddish crimson scarlet", "green": "green greenish emerald",
+    "yellow": "yellow yellowish gold golden", "orange": "orange orangey amber", "purple": "purple purpley violet indigo lavender",
+    "pink": "pink pinkish magenta rose", "teal": "teal turquoise cyan aqua", "brown": "brown brownish tan beige sepia",
+    "black": "black blackish", "white": "white whiteish whitish", "grey": "grey gray greyish grayish silver",
+}
+COLOURS = list(WORDS)[-12:]
+
+
+def descriptors(files: DataFrame, signatures: DataFrame, now: Column) -> DataFrame:
+    """(file_id, says, confidence): what measurements (or, without them, the description) say of each file.
+
+    Needs file_id, width, height, bytes, created_at, description; signatures as of signature(), keyed by image_id.
+    """
+    j = files.select("file_id", "width", "height", "bytes", "created_at", F.lower("description").alias("said")).join(
+        signatures.withColumnRenamed("image_id", "file_id").withColumn("measured", F.lit(True)), "file_id", "left"
+    )
+    c = F.col
+    none = c("measured").isNull()
+    step = lambda *rungs: F.coalesce(*[F.when(cond, v) for cond, v in rungs], F.lit(0.0))
+    clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    told = lambda text: (none & c("said").contains(text), 0.8)
+    ratio = c("width") / F.when(c("height") > 0, c("height"))
+    midnight = F.date_trunc("day", now)
+    day = F.expr("interval 1 day")
+    claims = {
+        "dark": step((c("brightness") < 0.32, 1.0), (c("brightness") < 0.42, 0.5), told("dark")),
+        "bright": step((c("brightness") > 0.62, 1.0), (c("brightness") > 0.52, 0.5), (none & ~c("said").contains("dark") & c("said").contains("bright"), 0.8)),
+        "colourful": clip(c("saturation") / 0.45),
+        "muted": clip((0.2 - c("saturation")) / 0.2),
+        "warm": clip(c("shift") / 0.08),
+        "cool": clip(-c("shift") / 0.08),
+        "high contrast": step((c("contrast") > 0.24, 1.0), (c("contrast") > 0.16, 0.5), told("high contrast")),
+        "low contrast": step((c("contrast") < 0.1, 1.0), (none & ~c("said").contains("high contrast") & c("said").contains("low contrast"), 0.8)),
+        "detailed": clip(c("sharpness") / 0.5),
+        "soft": clip((0.2 - c("sharpness")) / 0.2),
+        "wide": step((ratio >= 1.6, 1.0), (ratio >= 1.2, 0.6)),
+        "tall": step((ratio <= 0.62, 1.0), (ratio <= 0.85, 0.6)),
+        "square": step(((ratio > 0.92) & (ratio < 1.08), 1.0)),
+        "large": step((c("width") * c("height") > 8_000_000, 1.0), (c("bytes") > 8 << 20, 0.8), (c("bytes") > 2 << 20, 0.4)),
+        "small": step((c("bytes") < 150 << 10, 1.0), (c("bytes") < 400 << 10, 0.5)),
+        "from today": step((c("created_at") >= midnight, 1.0)),
+        "from yesterday": step(((c("created_at") >= midnight - day) & (c("created_at") < midnight), 1.0)),
+    }
+    empty = F.array().cast("array<struct<r:int,g:int,b:int,share:double>>")
+    for colour in COLOURS:
+        own = F.filter(F.coalesce("palette", empty), _is_colour(colour))
+        share = F.aggregate(own, F.lit(0.0), lambda acc, p: acc + p["share"])
+        claims[colour] = F.least(share / 0.33, F.lit(1.0))
+    pairs = F.array(*[F.struct(F.lit(w).alias("says"), F.coalesce(v.cast("double"), F.lit(0.0)).alias("confidence")) for w, v in claims.items()])
+    return j.select("file_id", F.inline(F.filter(pairs, lambda x: x["confidence"] > 0)))
+
+
+def _is_colour(name: str):
+    return lambda p: hue_name(p["r"], p["g"], p["b"]) == name
 
 
 def shape(files: DataFrame) -> DataFrame:
     ratio = F.col("width") / F.col("height")
-    kind = F.when(ratio > 1.05, "landscape").when(ratio < 0.95, "portrait").when(ratio.isNotNull(), "square")
+    kind = F.when(ratio > 1, "landscape").when(ratio < 1, "portrait").when(ratio.isNotNull(), "square")
     return files.select("file_id", F.round(ratio, 2).alias("aspect"), kind.alias("orientation"))
 
 

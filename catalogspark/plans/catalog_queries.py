@@ -115,20 +115,35 @@ def c7(c):
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
+_KINDS = "kind IN ('photo', 'screenshot', 'design', 'document', 'video')"
+
+
 @query(
     "c8_requeue",
-    "SELECT file_id, CASE index_state WHEN 'failed' THEN 'pending' ELSE index_state END AS index_state,"
-    " CASE WHEN (CASE index_state WHEN 'failed' THEN 'pending' ELSE index_state END) = 'indexed' AND engine IS NULL THEN 'none'"
-    " WHEN analysis_state = 'failed' THEN 'none' ELSE analysis_state END AS analysis_state,"
-    " CASE WHEN analysis_state = 'failed' AND NOT (index_state = 'indexed' AND engine IS NULL) THEN 0 ELSE attempts END AS attempts FROM files",
+    f", a AS (SELECT *, CASE index_state WHEN 'failed' THEN 'pending' ELSE index_state END AS i2, CASE analysis_state WHEN 'failed' THEN 'none' ELSE analysis_state END AS s2,"
+    f" CASE analysis_state WHEN 'failed' THEN 0 ELSE attempts END AS t2 FROM files) SELECT file_id, i2 AS index_state,"
+    f" CASE WHEN s2 = 'analysed' AND i2 = 'indexed' AND {_KINDS} AND engine IS NULL THEN 'none' ELSE s2 END AS analysis_state, t2 AS attempts FROM a",
 )
 def c8(c):
     out = c.files
-    for reason in ("retry_failed", "undescribed", "clear_failures"):
+    for reason in ("clear_failures", "retry_failed", "undescribed"):
         out = C.requeue(out, reason)
     return out.select("file_id", "index_state", "analysis_state", F.col("attempts").cast("long").alias("attempts"))
 
 
+@query(
+    "c8_models_arrived",
+    f", a AS (SELECT *, index_state = 'indexed' AND {_KINDS} AND ((analysis_state IN ('analysed', 'described') AND file_id % 3 = 0) OR file_id % 5 = 0) AS again FROM files)"
+    " SELECT file_id, CASE WHEN again THEN 'none' ELSE analysis_state END AS analysis_state, CASE WHEN again THEN 0 ELSE attempts END AS attempts FROM a",
+)
+def c8b(c):
+    i = F.col("file_id")
+    labels = F.when(i % 3 != 0, F.array("label")).otherwise(F.array().cast("array<string>"))
+    rows = c.files.withColumns({"labels": labels, "embedding_state": F.when(i % 5 != 0, "indexed")})
+    out = C.requeue(rows, "models_arrived")
+    return out.select("file_id", "analysis_state", F.col("attempts").cast("long").alias("attempts"))
+
+
 @query(
     "c9_analysis_progress",
     "SELECT count(*) FILTER (index_state = 'indexed' AND (analysis_state IN ('analysed', 'described') OR attempts >= 3)) AS done,"

@@ -555,12 +555,12 @@ def p4(c):
     return PX.signature(_pixels(c))
 
 
-@query("p4_tone_line", _TONE + " SELECT image_id, concat_ws(' · ', CASE WHEN brightness < 0.35 THEN 'Dark' WHEN brightness > 0.65 THEN 'Bright' END, CASE WHEN contrast > 0.25 THEN 'high contrast' WHEN contrast < 0.1 THEN 'low contrast' END, CASE WHEN shift > 0.04 THEN 'warm' WHEN shift < -0.04 THEN 'cool' END) AS line FROM tn")
+@query("p4_tone_line", _TONE + " SELECT image_id, concat_ws(' · ', CASE WHEN brightness < 0.32 THEN 'Dark' WHEN brightness > 0.62 THEN 'Bright' ELSE 'Evenly lit' END, CASE WHEN contrast > 0.24 THEN 'high contrast' WHEN contrast < 0.1 THEN 'low contrast' ELSE 'soft' END) AS line FROM tn")
 def p4b(c):
     return PX.tone_line(PX.tone(_pixels(c)))
 
 
-@query("p5_shape", "SELECT file_id, round(width / height, 2) AS aspect, CASE WHEN width / height > 1.05 THEN 'landscape' WHEN width / height < 0.95 THEN 'portrait' WHEN width IS NOT NULL THEN 'square' END AS orientation FROM files")
+@query("p5_shape", "SELECT file_id, round(width / height, 2) AS aspect, CASE WHEN width > height THEN 'landscape' WHEN width < height THEN 'portrait' WHEN width IS NOT NULL THEN 'square' END AS orientation FROM files")
 def p5(c):
     return PX.shape(c.files)
 
@@ -576,9 +576,16 @@ def d6(c):
     return PX.colour_share(PX.palette(_pixels(c)))
 
 
-@query("d5_descriptors", _TONE + " SELECT image_id, 'dark' AS word, round(least(greatest((brightness - 0.45) / (0.2 - 0.45), 0), 1), 6) AS confidence FROM tn WHERE brightness < 0.45 UNION ALL SELECT image_id, 'wide', 1.0 FROM tn JOIN files ON file_id = image_id WHERE width / height >= 1.6")
+@query(
+    "d5_descriptors",
+    _TONE + ", s AS (SELECT f.file_id, brightness, shift, contrast, width / height AS ratio, bytes, lower(description) AS d FROM files f LEFT JOIN tn ON image_id = file_id), k AS ("
+    "SELECT file_id, 'dark' AS says, CASE WHEN brightness < 0.32 THEN 1.0 WHEN brightness < 0.42 THEN 0.5 WHEN brightness IS NULL AND contains(d, 'dark') THEN 0.8 END AS c FROM s"
+    " UNION ALL SELECT file_id, 'warm', CASE WHEN shift IS NOT NULL THEN least(shift / 0.08, 1) END FROM s UNION ALL SELECT file_id, 'high contrast', CASE WHEN contrast > 0.24 THEN 1 WHEN contrast > 0.16 THEN 0.5 WHEN contrast IS NULL AND contains(d, 'high contrast') THEN 0.8 END FROM s"
+    " UNION ALL SELECT file_id, 'tall', CASE WHEN ratio <= 0.62 THEN 1 WHEN ratio <= 0.85 THEN 0.6 END FROM s UNION ALL SELECT file_id, 'small', CASE WHEN bytes < 153600 THEN 1 WHEN bytes < 409600 THEN 0.5 END FROM s)"
+    " SELECT file_id, says, round(c, 6)::DOUBLE AS confidence FROM k WHERE c > 0",
+)
 def d5(c):
-    d = PX.descriptors(PX.signature(_pixels(c)), c.files).where("word in ('dark', 'wide')")
+    d = PX.descriptors(c.files, PX.signature(_pixels(c)), c.now).where("says in ('dark', 'warm', 'high contrast', 'tall', 'small')")
     return d.withColumn("confidence", F.round("confidence", 6))
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import describe as DS
+from ..operators import pixels as PX
 from ..operators import search as S
 from ..sources.adapters import Catalog, oracle
 from ..sources.files import observe_stream
 from ..streaming import streams as W
-from .search_queries import _DOCS, _asked, _docs, toks
+from .search_queries import _DOCS, _asked, _docs, _pixels, toks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -107,12 +108,18 @@ def d1(c):
     return g.select("query_id", F.col("grp").cast("long").alias("grp"), F.size("words").cast("long").alias("words"), F.size("clauses").cast("long").alias("clauses"))
 
 
-@query("d2_hard_clauses", "SELECT file_id FROM files WHERE kind <> 'photo' AND file_id IN (SELECT file_id FROM file_tags WHERE tag LIKE 'qual%') AND lower(name) LIKE '%img%'")
+@query(
+    "d2_hard_clauses",
+    "SELECT 'a' AS query_id, file_id FROM files WHERE kind <> 'photo' AND file_id IN (SELECT file_id FROM file_tags WHERE tag LIKE 'qual%') AND lower(name) LIKE '%img%'"
+    " UNION ALL SELECT 'b', file_id FROM files WHERE bytes >= 2097152 AND coalesce(width, 0) <= 900 AND created_at < TIMESTAMP '2024-02-01'"
+    " UNION ALL SELECT 'c', file_id FROM files WHERE created_at >= TIMESTAMP '2024-03-01' - INTERVAL 56 DAY AND file_id IN (SELECT file_id FROM file_collections WHERE collection_id = 'col-a')",
+)
 def d2(c):
     from ..operators.listing import hydrate
 
-    g = DS.interpret_descriptions(c.spark.createDataFrame([("q", "-kind:photo #qual name:IMG")], "query_id string, raw string"))
-    return DS.hard_clauses(g, hydrate(c.files, c.file_tags, c.file_collections)).select("file_id")
+    raw = [("a", "-kind:photo #qual name:IMG"), ("b", "size:>2mb w:<900 before:2024-02"), ("c", "since:8w collection:COL-A")]
+    g = DS.interpret_descriptions(c.spark.createDataFrame(raw, "query_id string, raw string"))
+    return DS.hard_clauses(g, hydrate(c.files, c.file_tags, c.file_collections), c.now).select("query_id", "file_id")
 
 
 @query("d3_field_word_score")
@@ -133,7 +140,8 @@ def d9(c):
     from ..operators.listing import hydrate
 
     files = hydrate(c.files, c.file_tags, c.file_collections)
-    return DS.describe_search(_described(c), files, _docs(c), c.now)
+    claims = PX.descriptors(c.files, PX.signature(_pixels(c)), c.now)
+    return DS.describe_search(_described(c), files, _docs(c), c.now, claims)
 
 
 @query("t13_coverage")

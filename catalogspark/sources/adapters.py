@@ -141,7 +141,6 @@ class Catalog:
 
 SQL = """
 files AS (
-  SELECT *, 'p' AS nothing FROM (
   SELECT d.doc_id AS file_id, d.source AS folder_id, '/archive/' || d.source AS folder_path,
          '/archive/' || d.source || '/' || CASE WHEN d.doc_id % 7 = 0 THEN 'Screenshot ' ELSE 'IMG_' END || d.doc_id || '.'
            || ['txt','md','pdf','png','jpg','mp4','json','fig','zip','xyz'][d.doc_id % 10 + 1] AS path,
@@ -165,7 +164,7 @@ files AS (
          CASE WHEN d.doc_id % 6 = 0 THEN 'ollama:any' END AS engine,
          CASE WHEN d.doc_id % 13 < 3 THEN 'p' || (d.doc_id % 13) END AS project_id,
          substring(d.text, 1, 40) AS title, substring(d.text, 41, 120) AS description, d.lang AS label, d.text AS ocr_text
-  FROM documents d LEFT JOIN labels l USING (doc_id))
+  FROM documents d LEFT JOIN labels l USING (doc_id)
 ), file_tags AS (
   SELECT doc_id AS file_id, lang AS tag, 'vision' AS source FROM documents WHERE lang IS NOT NULL
   UNION ALL SELECT doc_id, 'quality', 'user' FROM labels WHERE quality = 1
@@ -190,4 +189,4 @@ files AS (
 
 def oracle(body: str) -> str:
     """DuckDB SQL over the views."""
-    return f"WITH {SQL}{'' if body.lstrip().startswith(',') else ''}\n{body}"
+    return f"WITH {SQL}\n{body}"

@@ -72,6 +72,7 @@ def _files(spark):
         (4, "bill.pdf", "Receipt", "total due 10", "document", "indexed", t, False, [], "pdf"),
     ]
     df = spark.createDataFrame(rows, "file_id long, name string, title string, description string, kind string, index_state string, created_at timestamp, favorite boolean, tags array<string>, ext string")
+    df = df.withColumns({"bytes": F.lit(5 << 20), "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"), "collections": F.col("tags")})
     return df.withColumns({c: F.lit(None).cast("string") for c in ("label", "ocr_text", "project_id")}).withColumn("folder_path", F.lit("/f"))
 
 
