@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, mix, shingles, slices
-from .common import staged
+from .common import cut, staged
 from .components import components
 
 BANDS, ROWS = 40, 3
@@ -86,6 +86,7 @@ def _sets(n: int, keys: bool):
                             "id": part.column("id"),
                             "grp": part.column("grp"),
                             "nb": part.column("nb"),
+                            "copies": part.column("copies"),
                             "items": pa.array([s.tobytes() for s in found], pa.binary()),
                         }
                     )
@@ -167,16 +168,18 @@ def trie_links(sets: list[np.ndarray], block: np.ndarray, num: int, den: int) ->
 def _compare(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, U) for x in pdf["items"]]
-        ids = pdf["id"].to_numpy()
+        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
         if len(sets) < 2:
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        label = np.arange(len(sets))
+            return pd.DataFrame({"u": [], "v": [], "links": []}, dtype="int64")
+        label, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
         for i, js in trie_links(sets, pdf["block"].to_numpy(), num, den):
+            links[i] += copies[js].sum()
+            links[js] += copies[i]
             old = np.unique(np.append(label[js], label[i]))
             if len(old) > 1:
                 label[np.isin(label, old)] = old[0]
-        moved = np.flatnonzero(label != np.arange(len(sets)))
-        return pd.DataFrame({"u": ids[moved], "v": ids[label[moved]]})
+        some = np.flatnonzero(links)
+        return pd.DataFrame({"u": ids[some], "v": ids[label[some]], "links": links[some]})
 
     return run
 
@@ -184,10 +187,10 @@ def _compare(num: int, den: int):
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
-    """(id, n_shingles, component_id, class_id, class_size): rows linked when den*|x&y| >= num*|x|y|.
+    """(id, n_shingles, component_id, class_id, class_size, n_links): linked when den*|x&y| >= num*|x|y|.
 
     `component_id` is the smallest id reachable over links; `class_id` the smallest id with an equal
-    set. The documented thresholds 80/100 fix BANDS and ROWS; lower ones lose recall.
+    set, of which there are `class_size`; `n_links` counts the rows that a row links with. The documented thresholds 80/100 fix BANDS and ROWS; lower ones lose recall.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     meta = staged(
@@ -205,24 +208,27 @@ def jaccard_components(
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     near = keyed.join(hubs, "key").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
     groups = components(near)
-    sized = groups.join(reps.select("id", "n"), "id")
+    sized = groups.join(reps.select("id", "n"), "id").join(
+        classes.select(F.col("rep").alias("id"), F.col("class_size").alias("copies")), "id"
+    )
     blocks = sized.groupBy("component").agg(
         F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("nb")
     )
-    marked = sized.join(blocks, "component").select(F.col("id").alias("doc"), F.col("component").alias("grp"), "nb")
-    texts = rows.join(marked, rows.id == marked.doc).dropDuplicates(["id"]).select("id", "grp", "nb", "text")
+    marked = sized.join(blocks, "component").select(F.col("id").alias("doc"), F.col("component").alias("grp"), "nb", "copies")
+    texts = rows.join(marked, rows.id == marked.doc).dropDuplicates(["id"]).select("id", "grp", "nb", "copies", "text")
     block = F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int")
     units = (
-        texts.mapInArrow(_sets(n, keys=False), "id long, grp long, nb int, items binary")
+        texts.mapInArrow(_sets(n, keys=False), "id long, grp long, nb int, copies long, items binary")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumn("lo", F.least("block", "other"))
         .withColumn("hi", F.greatest("block", "other"))
     )
-    links = units.groupBy("grp", "lo", "hi").applyInPandas(_compare(num, den), "u long, v long")
-    linked = components(links)
-    named = classes.join(linked, classes.rep == linked.id, "left").select(
-        "n", "d1", "d2", "rep", "class_size", F.coalesce("component", "rep").alias("component")
+    links = cut(units.groupBy("grp", "lo", "hi").applyInPandas(_compare(num, den), "u long, v long, links long"))
+    linked = components(links.select("u", "v"))
+    degrees = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
+    named = classes.join(linked, classes.rep == linked.id, "left").join(degrees, "rep", "left").select(
+        "n", "d1", "d2", "rep", "class_size", F.coalesce("component", "rep").alias("component"), "links"
     )
     return meta.join(named, ["n", "d1", "d2"], "left").select(
         F.col("id"),
@@ -230,4 +236,5 @@ def jaccard_components(
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
         F.coalesce("rep", "id").alias("class_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.coalesce("class_size", F.lit(1)) - 1).alias("n_links"),
     )

@@ -90,7 +90,7 @@ def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(_table(spark, sf_dir, "documents"))
-    return found.selectExpr("id as doc_id", "n_shingles", "component_id", "class_id", "class_size")
+    return found.selectExpr("id as doc_id", "n_shingles", "component_id", "class_id", "class_size", "n_links")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

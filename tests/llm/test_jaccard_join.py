@@ -9,7 +9,7 @@ def brute(rows):
     for i, text in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-    comp = {i: i for i in sets}
+    comp, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def find(i):
         while comp[i] != i:
@@ -20,9 +20,11 @@ def brute(rows):
     for a in ids:
         for b in ids:
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
                 x, y = find(a), find(b)
                 comp[max(x, y)] = min(x, y)
-    return {(i, len(sets[i]), find(i)) for i in ids}
+    return {(i, len(sets[i]), find(i), links[i]) for i in ids}
 
 
 def made(seed=0):
@@ -43,7 +45,7 @@ def made(seed=0):
 
 
 def got(df):
-    return {(x.id, x.n_shingles, x.component_id) for x in df.collect()}
+    return {(x.id, x.n_shingles, x.component_id, x.n_links) for x in df.collect()}
 
 
 def test_equals_brute_force(spark):

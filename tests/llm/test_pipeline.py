@@ -28,7 +28,7 @@ def test_stages_against_brute_force(spark, sf):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     rejected = {r.id for r in identify_languages(docs).where("rejected").collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in rejected]
-    first = {i for i, _, comp in brute_links(rows) if i == comp}
+    first = {i for i, _, comp, _ in brute_links(rows) if i == comp}
     rows = cut([r for r in rows if r[0] in first])
     leaking = {d for d, *_ in brute_leaks(rows, items)}
     rows = [r for r in rows if r[0] not in leaking]
