@@ -8,6 +8,8 @@ from ..functions import text as X
 from ..operators import changes as C
 from ..operators import listing as L
 from ..sources.adapters import NOW, Catalog, oracle
+from ..sources.files import read_snapshot, write_snapshot
+from ..streaming.streams import UpsertSink, shared_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,6 +38,25 @@ def s4(c):
     return c.files.select("file_id", "name", "kind", "bytes", "width", "height", sec("created_at"), "favorite", "index_state", "label")
 
 
+@query("s5_write_snapshot", "SELECT file_id, name, bytes FROM files WHERE index_state <> 'missing'")
+def s5(c):
+    """Two versions of the files; the newest pointer decides which one is read."""
+    root = shared_path(c.spark, "snapshots")
+    write_snapshot(c.files.select("file_id", "name", "bytes"), root, "files")
+    write_snapshot(c.files.where(HERE).select("file_id", "name", "bytes"), root, "files")
+    return read_snapshot(c.spark, root, "files")
+
+
+@query("s8_upsert_sink", "SELECT path, arg_max(op, (ts, event_id)) = 'removed' AS gone FROM observations GROUP BY path")
+def s8(c):
+    """The observations in four batches, the second of them delivered twice."""
+    sink = UpsertSink(c.spark)
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for batch_id in (0, 1, 1, 2, 3):
+        sink(c.observations.where(part == batch_id), batch_id)
+    return sink.table.select("path", (F.col("state") == "missing").alias("gone"))
+
+
 @query("c1_fingerprint", "SELECT file_id, lower(to_hex(bytes)) || ':' || strftime(modified_at, '%Y-%m-%dT%H:%M:%S') AS hash FROM files")
 def c1(c):
     return c.files.select("file_id", "hash")

@@ -135,6 +135,14 @@ def d4(c):
     return DS.ordered_phrase(DS.interpret_descriptions(q), _docs(c)).select("query_id", "file_id").distinct()
 
 
+@query("d7_exclusions", _DOCS + "SELECT file_id FROM docs WHERE NOT ("
+       + " OR ".join(f"list_contains({toks(f)}, '{w}')" for f in ("name", "title", "description", "label", "ocr_text", "folder", "tags", "project") for w in ("quality", "und")) + ")")
+def d7(c):
+    g = DS.interpret_descriptions(c.spark.createDataFrame([("q", "anything -quality -und")], "query_id string, raw string"))
+    found = _docs(c).select(F.lit("q").alias("query_id"), F.lit(0).alias("grp"), "file_id")
+    return DS.exclusions(found, g, _docs(c)).select("file_id")
+
+
 @query("d9_describe_search")
 def d9(c):
     from ..operators.listing import hydrate

@@ -57,7 +57,7 @@ def decode_text(content: Column) -> Column:
 
 
 def read_text_documents(spark: SparkSession, root: str, limit: int = 400_000) -> DataFrame:
-    """(path, text): text files, decoded, at most `limit` characters (the reference's own limit)."""
+    """(path, text): text files, decoded, at most `limit` characters ."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
     return raw.select("path", F.substring(decode_text(F.col("content")), 1, limit).alias("text"))
 
