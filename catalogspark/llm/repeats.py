@@ -14,7 +14,7 @@ How it runs:
    transform: a level derives all common prefixes of one length, from short to long, and the expansion stops at
    LENGTH. Neighbours without a boundary by then share LENGTH bytes. Levels under 8 come from the first sort's words.
    As surroundings overlap, equal strings count as a repeat if they stand at two places of the texts.
-4. An anchor with more than `UNIT_REGIONS` different surroundings would outgrow a unit. Its strings of LENGTH bytes are
+4. An anchor with more than `HOT_REGIONS` different surroundings would outgrow a unit. Its strings of LENGTH bytes are
    counted one by one in Spark instead (128-bit hashes), which gives the same answer.
 5. What repeats is joined back to every place of each surrounding, merged per text and cut out.
 
@@ -38,7 +38,9 @@ from pyspark.sql import types as T
 from .bytesops import U, flatten, mix, prefix_hash, slices, spans_hash
 from .common import staged
 
-LENGTH, GRAM, UNIT_REGIONS = 200, 80, 8000
+LENGTH, GRAM = 200, 80
+#: Surroundings of a unit on average, and of one anchor at most before it is counted start by start.
+UNIT_REGIONS, HOT_REGIONS = 2000, 4000
 _MOST = U((1 << 64) - 1)
 
 
@@ -125,11 +127,12 @@ def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
     word = np.zeros(n, U)
     for k in range(8):
         word = (word << U(8)) | padded[k : k + n].astype(U)
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word, kind="stable").astype(np.int32)
     edge = np.concatenate(([True], word[order][1:] != word[order][:-1]))
     short = edge.copy()
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(edge) - 1
+    rank = np.empty(n, np.int32)
+    rank[order] = np.cumsum(edge, dtype=np.int32) - 1
+    del word
     span = 8
     while span < length and not edge.all():
         # only suffixes that still tie are sorted anew
@@ -142,7 +145,7 @@ def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray,
         first = rank[own]
         order[tie] = own
         edge[tie] = np.concatenate(([True], (first[1:] != first[:-1]) | (after[1:] != after[:-1])))
-        rank[order] = np.flatnonzero(edge)[np.cumsum(edge) - 1]
+        rank[order] = np.flatnonzero(edge).astype(np.int32)[np.cumsum(edge, dtype=np.int32) - 1]
         span *= 2
     return order, rank, short
 
@@ -154,18 +157,18 @@ def equal_starts(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     """
     n = len(data)
     order, _, bound = suffix_array(data, length)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     before = np.where(order > 0, order - 1, n - 1)
     step = place[before]  # the last-to-first mapping of the transform
-    last = data[before].astype(np.int64)  # the Burrows-Wheeler transform
+    last = data[before]  # the Burrows-Wheeler transform
     first = place[0]  # nothing stands before it, so it extends to nothing
     begin = np.flatnonzero(bound)
     end = np.append(begin[1:], n)
     for _ in range(8, length):
         if not len(begin):
             break
-        size = end - begin
+        size = (end - begin).astype(np.int64)
         member = np.arange(size.sum()) + np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size)
         group = np.repeat(np.arange(len(begin)), size) << 8 | last[member]
         inner = member != first
@@ -332,9 +335,9 @@ def remove_repeats(
     folded = places.groupBy("h", "r").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "place")).alias("one"))
     kinds = folded.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"))
     regions = staged(folded.join(kinds, "h"), "repeat-regions")
-    sizes = regions.where("kinds > 1").groupBy((F.col("kinds") > UNIT_REGIONS).alias("hot")).count().collect()
+    sizes = regions.where("kinds > 1").groupBy((F.col("kinds") > HOT_REGIONS).alias("hot")).count().collect()
     size = {r["hot"]: r["count"] for r in sizes}
-    hot = F.col("kinds") > UNIT_REGIONS
+    hot = F.col("kinds") > HOT_REGIONS
     wanted = (
         regions.where("kinds > 1")
         .select(F.col("one.key").alias("__key"), F.struct("h", "r", "m", hot.alias("hot"), "one.place").alias("w"))

@@ -71,7 +71,7 @@ def made(seed, passage=260):
 
 @pytest.mark.parametrize("hot", [8000, 2])
 def test_whole_operator_by_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "UNIT_REGIONS", hot)
+    monkeypatch.setattr(repeats, "HOT_REGIONS", hot)
     rows = made(1)
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, source string, n_bytes int")
     out = remove_repeats(df.repartition(3))
