@@ -40,6 +40,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, with the session's Arrow batches held to `rows` rows: texts are long, and a worker and its JVM hold
+    each batch several times. A smaller setting is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def crc32_mod(doc_id, mod: int):
     """crc32 of the id as text, modulo `mod`."""
     return F.crc32(doc_id.cast("string").cast("binary")) % mod

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, mix, shingles, slices
-from .common import cut, staged
+from .common import bounded_batches, cut, staged
 from .components import components
 
 BANDS, ROWS = 40, 3
@@ -192,7 +192,7 @@ def jaccard_components(
     `component_id` is the smallest id reachable over links; `class_id` the smallest id with an equal
     set, of which there are `class_size`; `n_links` counts the rows that a row links with. The documented thresholds 80/100 fix BANDS and ROWS; lower ones lose recall.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     meta = staged(
         rows.mapInArrow(_sets(n, keys=True), "id long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys"
     )

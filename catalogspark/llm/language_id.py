@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, mix, slices
-from .common import crc32_mod
+from .common import bounded_batches, crc32_mod
 
 ORDER, LEAST_SHARE, FIT_ROWS = 4, 2.0**-20, 4000
 #: The limit is this many times the mean cross-entropy per character of the language's calibration rows.
@@ -256,7 +256,7 @@ def fit_identifier(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Identifier:
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held_out: Column) -> DataFrame:
-    rows = docs.where(~F.coalesce(held_out, F.lit(False))).select(
+    rows = bounded_batches(docs).where(~F.coalesce(held_out, F.lit(False))).select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
     return rows.where("id is not null and text is not null and lang is not null")

@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 LENGTH, END_ID, BLOCK_DOCS = 2048, 1, 4_000
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 250_000
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 _loaded: dict[str, Encoder] = {}
 
@@ -193,7 +195,7 @@ def pack_documents(
     block_docs: int = BLOCK_DOCS,
 ) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one row per piece."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = max(1, ceil(rows.count() / block_docs))
     made = rows.mapInArrow(
         _tokenise(tokenizer_path, length, end_id), "id long, tokens long, whole array<long>, rest binary"

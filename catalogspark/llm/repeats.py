@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import U, flatten, mix, prefix_hash, slices, spans_hash
-from .common import staged
+from .common import bounded_batches, staged
 
 LENGTH, GRAM = 200, 80
 #: Surroundings of a unit on average, and of one anchor at most before it is counted start by start.
@@ -322,7 +322,7 @@ def remove_repeats(
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_text" if as_text else "kept_bytes"]
     carried = [c for c in docs.columns if c not in added and c != text_col]
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         *[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
     )
     # rows that repeat share a key: their places then count twice, as they should
