@@ -1,7 +1,10 @@
 """I-Match document fingerprints, in DataFrame operations only.
 
-Terms are lower-case runs of letters and digits. Document frequencies are counted over all texts; the lexicon keeps
-the terms whose share of the texts lies in [LOW, HIGH], an inverse-document-frequency band of log(1/HIGH) to log(1/LOW).
+Terms are lower-case runs of letters and digits. The lexicon keeps the terms in at least LOW of the texts and with HIGH
+of the votes at most, an inverse-document-frequency band of log(1/HIGH) to log(1/LOW). A group of near copies has about
+one vote, so that it doesn't push its own terms out: each text has `SKETCH` minwise shingles of `WORDS` terms and
+votes with 1 / n, n being the `SHARED`th largest number of texts that have one of them too (numbers below LOW of the
+texts count as 1; the others are `SKETCH` / LOW at most, whatever the size).
 A text's terms in the lexicon, distinct and sorted, are hashed whole, and hashed again over randomised subsets of the
 lexicon: `DRAWS` random draws at each of the rates 1/4, 1/16, 1/64, 1/256 and 1/1024. Dense subsets tell near-equal
 texts, sparse ones still agree after large edits, whatever the length.
@@ -12,14 +15,16 @@ at most; beyond that it is joined by shuffle.
 Likeness of two fingerprints: 1 if the whole sets agree; else the largest share, over the rates, of draws whose
 subsets agree among those that are not empty on both sides (counted as half the draws at least).
 
-Defined results: a text without a term in the lexicon is fingerprinted by the hash of its lower-cased self (null: of
-the empty text) and is like equal texts only; equal texts have equal fingerprints; rows that repeat both id and
+Defined results: a text without a term in the lexicon is fingerprinted over all its terms, and likeness to or of it
+compares all terms of both texts; a text without any term is fingerprinted by the hash of its lower-cased self (null:
+of the empty text) and is like equal texts only; equal texts have equal fingerprints; rows that repeat both id and
 text count once; one id with several texts orders them by hash; rows with a null id are left out; extra columns
 are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +33,9 @@ from .common import cut
 LOW, HIGH = 0.001, 0.05
 DRAWS, RATES = 6, (4, 16, 64, 256, 1024)
 BROADCAST_TERMS = 2_000_000
+#: Near copies: minwise shingles of a text, terms of a shingle, and how many of them two copies share.
+SKETCH, WORDS, SHARED = 9, 3, 3
+_ONE = 1 << 30  # a whole vote; whole numbers add up to the same in any order
 
 
 def terms(text: Column) -> Column:
@@ -36,26 +44,62 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
+def sketches(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """`texts` with `sketch`, the minwise shingles of the text column."""
+    salts = np.random.default_rng(9).integers(-(2**63), 2**63 - 1, SKETCH).tolist()
+
+    # arrays are bound as variables of lambdas, so that none is computed again for each use
+    def shingles(w: Column) -> Column:
+        return F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, WORDS)]))
+
+    def least(s: Column) -> Column:
+        return F.array(*[F.array_min(F.transform(s, lambda x, c=c: x.bitwiseXOR(F.lit(c)))) for c in salts])
+
+    words = F.transform(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    own = F.transform(F.transform(F.array(words), shingles), least)[0]
+    return texts.withColumn("sketch", own)
+
+
 def lexicon(texts: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term) whose share of all rows of `texts` lies in the band."""
+    """(term) in `low` of the rows of `texts` at least and with `high` of the votes at most."""
     total = texts.count()
-    counted = texts.select(F.explode(terms(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sketched = sketches(texts.select(text_col), text_col)
+    shared = sketched.select(F.explode("sketch").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    groups = cut(shared.where(F.col("n") >= max(2.0, low * total)))
+    # one row; the map has SKETCH / low entries at most
+    sizes = groups.agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("sizes"))
+    found = F.transform("sketch", lambda x: F.coalesce(F.try_element_at("sizes", x), F.lit(1)))
+    sized = sketched.crossJoin(F.broadcast(sizes)).withColumn("n", F.sort_array(found, asc=False)[SHARED - 1])
+    voting = sized.select(text_col, F.floor(F.lit(_ONE) / F.col("n")).cast("long").alias("vote"))
+    # the empty term is in no text: it carries the sum of all votes
     empty = F.xxhash64(F.lit(""))
-    kept = counted.where((F.col("df") >= low * total) & (F.col("df") <= high * total) & (F.col("term") != empty))
-    return cut(kept.select("term"))
+    each = F.array_union(terms(F.col(text_col)), F.array(empty))
+    counted = (
+        voting.select("vote", F.explode(each).alias("term"))
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("vote").alias("votes"))
+    )
+    kept = cut(counted.where((F.col("df") >= low * total) | (F.col("term") == empty)))
+    votes = (kept.where(F.col("term") == empty).first() or {"votes": 0})["votes"]
+    return cut(kept.where((F.col("votes") <= high * votes) & (F.col("term") != empty)).select("term"))
 
 
 def _drawn(j: int, rate: int):
     return lambda term: F.pmod(F.xxhash64(term, F.lit(j)), F.lit(rate)) == 0
 
 
-def fingerprints(texts: DataFrame, words: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, parts): per row of `texts` its hash parts, the whole first; null parts are empty subsets."""
-    small = words.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    words = F.broadcast(words) if small else words
+def _few(rows: DataFrame) -> DataFrame:
+    """`rows`, broadcast while they number `BROADCAST_TERMS` at most."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
+
+
+def fingerprints(texts: DataFrame, words: DataFrame | None, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, parts): per row of `texts` its hash parts, the whole first; null parts are empty subsets.
+
+    `words`: the lexicon; without one all terms count.
+    """
+    exploded = texts.select(*keys, F.explode(terms(F.col(text_col))).alias("term"))
     own = (
-        texts.select(*keys, F.explode(terms(F.col(text_col))).alias("term"))
-        .join(words, "term")
+        (exploded.where(F.col("term") != F.xxhash64(F.lit(""))) if words is None else exploded.join(_few(words), "term"))
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set("term")).alias("whole"))
     )
@@ -147,17 +191,27 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("id").alias("next_id"), F.col("k").alias("next_k"), F.col("parts").alias("next_parts"), F.col("low").alias("next_low")
     )
     c = F.col
-    return (
-        follow.join(own, ["id", "k"])
-        .join(changed, ["id", "k"])
-        .join(following, ["next_id", "next_k"])
-        .select(
-            "id",
-            c("n").cast("long").alias("n_chars"),
-            "edited_sha256",
-            printed(c("parts"), c("low")).alias("fingerprint"),
-            printed(c("edited_parts"), c("edited_low")).alias("edited_fingerprint"),
-            likeness(c("parts"), c("edited_parts"), c("low") == c("edited_low")).alias("near_edited"),
-            likeness(c("parts"), c("next_parts"), c("low") == c("next_low")).alias("near_next"),
-        )
+    pairs = cut(follow.join(own, ["id", "k"]).join(changed, ["id", "k"]).join(following, ["next_id", "next_k"]))
+    # where a text has no term of the lexicon, all terms of the texts that it is compared with
+    odd = cut(pairs.where("parts is null or edited_parts is null or next_parts is null").select("id", "k", "n", "next_id", "next_k"))
+    needed = odd.select("id", "k").union(odd.select("next_id", "next_k")).distinct()
+    some = texts.join(_few(needed), ["id", "k"], "left_semi")
+    every = cut(fingerprints(some, None, ["id", "k"]).withColumnRenamed("parts", "every"))
+    edited_every = fingerprints(edited_texts(some, odd), None, ["id", "k"], "edited").withColumnRenamed("parts", "edited_every")
+    next_every = every.select(c("id").alias("next_id"), c("k").alias("next_k"), c("every").alias("next_every"))
+    plain = odd.join(every, ["id", "k"], "left").join(edited_every, ["id", "k"], "left").join(next_every, ["next_id", "next_k"], "left")
+    plain = _few(cut(plain.select("id", "k", "every", "edited_every", "next_every")))
+
+    def like(a: str, b: str, all_a: str, all_b: str, same: Column) -> Column:
+        bare = c(a).isNull() | c(b).isNull()
+        return F.when(bare, likeness(c(all_a), c(all_b), same)).otherwise(likeness(c(a), c(b), same))
+
+    return pairs.join(plain, ["id", "k"], "left").select(
+        "id",
+        c("n").cast("long").alias("n_chars"),
+        "edited_sha256",
+        printed(F.coalesce("parts", "every"), c("low")).alias("fingerprint"),
+        printed(F.coalesce("edited_parts", "edited_every"), c("edited_low")).alias("edited_fingerprint"),
+        like("parts", "edited_parts", "every", "edited_every", c("low") == c("edited_low")).alias("near_edited"),
+        like("parts", "next_parts", "every", "next_every", c("low") == c("next_low")).alias("near_next"),
     )

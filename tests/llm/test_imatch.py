@@ -50,3 +50,25 @@ def test_shuffled_lexicon_gives_the_same(spark, sf, monkeypatch):
     small = sorted(compare_edited(docs).collect())
     monkeypatch.setattr(imatch, "BROADCAST_TERMS", 1)
     assert sorted(compare_edited(docs).collect()) == small
+
+
+def test_a_large_group_of_near_copies_keeps_its_terms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    body = [f"w{j}q" for j in range(200)]
+    group = [(10**6 + i, " ".join([*body[: i % 200], f"own{i}", *body[i % 200 + 1 :]])) for i in range(500)]
+    both = docs.unionAll(spark.createDataFrame(group, docs.schema))
+    kept = {r.term for r in imatch.lexicon(both).collect()}
+    one = spark.createDataFrame([(w,) for w in body], "text string").select(imatch.terms(imatch.F.col("text"))[0].alias("t"))
+    assert {r.t for r in one.collect()} <= kept
+    got = {r.id: r for r in compare_edited(both).collect()}
+    near = [got[i].near_next for i, _ in group[:-1]]
+    assert sum(x > 0 for x in near) / len(near) > 0.95 and sum(near) / len(near) > 0.5
+
+
+def test_texts_without_lexicon_terms_are_compared_by_all_terms(spark):
+    rows = [(i, " ".join(f"r{i % 2}x{j}" for j in range(60)) + f" end{i}") for i in range(4)]
+    rows += [(4, rows[3][1] + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r for r in compare_edited(df).collect()}
+    assert got[3].near_next > 0.5 and got[0].near_next < 0.2 and got[0].near_edited > 0
+    assert not any(r.fingerprint.startswith("=") for r in got.values())
