@@ -2,14 +2,15 @@
 
 Each page is parsed into a tree. Every block element's subtree (tag, classes, children, text) is hashed, and Spark counts
 per host on how many pages with different content the hash occurs. A subtree on `LEAST_PAGES` of them at least, and on
-`LEAST_SHARE` of the host's pages, is template and deleted. Copies of one page count once, so that a page that a host
+`LEAST_SHARE` of the host's pages with different content, is template and deleted; so is one of `MANY_WORDS` words or
+more on `MANY_PAGES` of them, whatever its share (shorter ones, such as table cells, may recur by chance). Copies of one page count once, so that a page that a host
 serves many times doesn't delete itself; paragraphs and headings inside an article are the article's and are kept.
 Elements whose tag, role, class or id says that they aren't main text (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) are dropped as well. What remains of the page's articles (else of its
 main element, else of its body) is cut at block elements; white space becomes one space, blocks are joined by newlines.
 
 The templates of all hosts are broadcast while they number `BROADCAST_TEMPLATES` at most, and joined beyond.
-A host has at most (mean block elements of a page) / LEAST_SHARE of them.
+A host has at most (mean block elements of a page) x (1 / LEAST_SHARE + pages / MANY_PAGES) of them.
 
 Defined results: null or empty html has the empty text; unclosed, misnested and cut-off markup is read as far as it goes;
 a null url belongs to the empty host; rows that repeat each get a row; extra columns are ignored; an empty table
@@ -27,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .url_filter import host_of
 
 LEAST_PAGES, LEAST_SHARE, BROADCAST_TEMPLATES = 5, 0.2, 200_000
+MANY_PAGES, MANY_WORDS = 1000, 5
 # HTML's element names by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -58,12 +61,12 @@ _CUT_TAG = re.compile(r"<[A-Za-z/!][^<>]*\Z")
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "children", "hash")
+    __slots__ = ("tag", "names", "role", "children", "hash", "words")
 
     def __init__(self, tag: str, names: str = "", role: str = ""):
         self.tag, self.names, self.role = tag, names, role
         self.children: list = []
-        self.hash = 0
+        self.hash = self.words = 0
 
 
 class _Builder(HTMLParser):
@@ -127,7 +130,7 @@ def _dropped(node: Node, in_article: bool) -> bool:
 
 
 def _hashed(node: Node) -> None:
-    """Subtree hashes, children first, without recursion."""
+    """Subtree hashes and numbers of words, children first, without recursion."""
     todo = [(node, False)]
     while todo:
         at, done = todo.pop()
@@ -137,19 +140,26 @@ def _hashed(node: Node) -> None:
             todo += [(c, False) for c in kids]
             continue
         parts = [at.tag, at.names]
+        at.words = 0
         for c in at.children:
-            parts.append(" ".join(c.split()) if isinstance(c, str) else f"\x00{c.hash}")
+            if isinstance(c, str):
+                own = c.split()
+                at.words += len(own)
+                parts.append(" ".join(own))
+            else:
+                at.words += c.words
+                parts.append(f"\x00{c.hash}")
         digest = hashlib.blake2b("\x01".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
         at.hash = int.from_bytes(digest, "little", signed=True)
 
 
-def elements(root: Node) -> set[int]:
-    """Hashes of the block subtrees that may be a template."""
-    out, todo = set(), [(root, False)]
+def elements(root: Node) -> dict[int, int]:
+    """Hashes of the block subtrees that may be a template, with their numbers of words."""
+    out, todo = {}, [(root, False)]
     while todo:
         node, in_article = todo.pop()
         if node.tag in BLOCK and node.tag not in ("html", "body") and not (in_article and node.tag in PARAGRAPHS):
-            out.add(node.hash)
+            out[node.hash] = node.words
         inside = in_article or node.tag in ("article", "main")
         todo += [(c, inside) for c in node.children if not isinstance(c, str)]
     return out
@@ -205,27 +215,34 @@ def blocks(root: Node, template: set[int] | frozenset = frozenset()) -> list[str
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, own, content = [], [], []
+        host, own, content, long = [], [], [], []
         for h, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             root = parse(html or "")
             _hashed(root)
             found = elements(root)
             text = "\n".join(blocks(root))
             digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-            host += [h] * len(found)
-            own += found
-            content += [digest] * len(found)
+            # the row without an element stands for the page
+            host += [h] * (len(found) + 1)
+            own += [*found, None]
+            content += [digest] * (len(found) + 1)
+            long += [*(n >= MANY_WORDS for n in found.values()), False]
         yield pa.RecordBatch.from_pydict(
-            {"host": pa.array(host, pa.string()), "element": pa.array(own, pa.int64()), "content": pa.array(content, pa.int64())}
+            {"host": pa.array(host, pa.string()), "element": pa.array(own, pa.int64()), "content": pa.array(content, pa.int64()), "long": pa.array(long, pa.bool_())}
         )
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def templates(
+    pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, many_pages: int = MANY_PAGES
+) -> DataFrame:
     """(host, element) of the subtrees that recur. `pages`: host, html."""
-    found = pages.mapInArrow(_elements, "host string, element long, content long").distinct()
-    counted = found.groupBy("host", "element").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counted.join(sizes, "host").where(F.col("n") >= F.col("pages") * least_share).select("host", "element")
+    found = pages.mapInArrow(_elements, "host string, element long, content long, long boolean").distinct()
+    counted = found.groupBy("host", "element").agg(F.count(F.lit(1)).alias("n"), F.max("long").alias("long"))
+    counted = cut(counted.where((F.col("n") >= least_pages) | F.col("element").isNull()))
+    sizes = counted.where("element is null").select(F.col("host").alias("of"), F.col("n").alias("pages"))
+    recurs = (F.col("n") >= F.col("pages") * least_share) | (F.col("long") & (F.col("n") >= many_pages))
+    own = counted.where("element is not null").join(sizes, F.col("host").eqNullSafe(F.col("of")))
+    return own.where((F.col("n") >= least_pages) & recurs).select("host", "element")
 
 
 def extract_text(
@@ -235,6 +252,7 @@ def extract_text(
     html_col: str = "html",
     least_pages: int = LEAST_PAGES,
     least_share: float = LEAST_SHARE,
+    many_pages: int = MANY_PAGES,
 ) -> DataFrame:
     """(id, url, text, n_chars) of every row of `pages`."""
     rows = pages.select(
@@ -243,7 +261,7 @@ def extract_text(
         F.col(html_col).cast("string").alias("html"),
         host_of(F.col(url_col).cast("string")).alias("host"),
     )
-    found = templates(rows.select("host", "html"), least_pages, least_share)
+    found = templates(rows.select("host", "html"), least_pages, least_share, many_pages)
     some = found.limit(BROADCAST_TEMPLATES + 1).collect()
     by_host: dict[str, set[int]] = {}
     if len(some) > BROADCAST_TEMPLATES:

@@ -60,3 +60,15 @@ def test_whole_table_has_every_article_paragraph(spark, sf):
         article = re.search("(?s)<article>(.*)</article>", pages[r.id])[1]
         parts = [" ".join(unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", article)]
         assert r.text == "\n".join(x for x in parts if x)
+
+
+def test_templates_of_copy_heavy_and_large_hosts_go(spark):
+    block = "<div class='x1'>Follow our channel for more news</div>"
+    rows = [(i, "http://h.com/", f"<div>Own {i}</div>{block}") for i in range(100)]
+    rows += [(1000 + i, "http://h.com/", f"<div>Copied</div>{block}") for i in range(900)]
+    # a block on 20 of 200 pages, and a short cell on as many
+    rows += [(2000 + i, "http://big.com/", f"<div>Page {i}</div>" + (f"{block}<div>Red</div>" if i < 20 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.id: r.text for r in extract_text(df, many_pages=20).collect()}
+    assert got[7] == "Own 7" and got[1007] == "Copied"
+    assert got[2007] == "Page 7\nRed" and got[2100] == "Page 100"
