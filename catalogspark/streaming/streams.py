@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.people import assign_faces, centroids
+from ..operators.people import assign_faces, centroids, cluster_faces
+from ..operators.search import built_once
+from ..operators.vectors import normalise
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -117,14 +119,16 @@ def late_observations(observations: DataFrame, late: str = "10 minutes") -> Data
 
 
 class FaceAssigner:
-    """foreachBatch target: faces join the nearest group of the snapshot; others found their own; then centroids move."""
+    """foreachBatch target: faces join the nearest group of the snapshot; the others are clustered
+    among themselves (by `quality`, if the batch has it) and found groups; then centroids move."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, shared_path(spark, "stream-faces")
         self.path: str | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        faces = batch.select("face_id", "embedding")
+        quality = F.col("quality") if "quality" in batch.columns else F.lit(1.0)
+        faces = built_once(batch.select("face_id", "embedding", quality.alias("quality")))
         if self.path:
             known = self.spark.read.parquet(self.path)
             found = assign_faces(faces, centroids(known))
@@ -132,7 +136,10 @@ class FaceAssigner:
         else:
             found = faces.select("face_id", F.lit(None).cast("long").alias("person_id"))
             old = None
-        rows = faces.join(found.select("face_id", "person_id"), "face_id").select("face_id", "embedding", F.coalesce("person_id", "face_id").alias("person_id"))
+        seen = built_once(faces.join(found.select("face_id", "person_id"), "face_id"))
+        left = seen.where("person_id is null and size(embedding) > 0").select("face_id", "quality", normalise(F.col("embedding")).alias("embedding"))
+        own = cluster_faces(left).withColumnRenamed("person_id", "founded")
+        rows = seen.join(own, "face_id", "left").select("face_id", "embedding", F.coalesce("person_id", "founded", "face_id").alias("person_id"))
         path = f"{self.root}/v{batch_id}"
         (rows if old is None else old.select(*rows.columns).unionByName(rows)).write.mode("overwrite").parquet(path)
         self.path = path

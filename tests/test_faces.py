@@ -1,6 +1,7 @@
-"""Face groups: chains that settle a face a round."""
+"""Face groups: chains that settle a face a round, and new people within one micro-batch."""
 
 from catalogspark.operators import people
+from catalogspark.streaming import streams as W
 
 
 def unit(*axes):
@@ -15,3 +16,11 @@ def test_long_chains_lose_no_face(spark):
     df = spark.createDataFrame([(i, 1.0, unit(i, i + 1)) for i in range(60)], "face_id long, quality double, embedding array<double>")
     got = {r.face_id: r.person_id for r in people.cluster_faces(df).collect()}
     assert got == {i: i - i % 2 for i in range(60)}
+
+
+def test_one_new_person_in_one_batch_gets_one_group(spark):
+    sink = W.FaceAssigner(spark)
+    kind = "face_id long, embedding array<double>"
+    sink(spark.createDataFrame([(1, unit(0)), (2, unit(0)), (3, unit(9)), (4, None)], kind), 0)
+    sink(spark.createDataFrame([(5, unit(0)), (6, unit(50)), (7, unit(50)), (8, unit(70))], kind), 1)
+    assert {r.face_id: r.person_id for r in sink.table.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1, 6: 6, 7: 6, 8: 8}
