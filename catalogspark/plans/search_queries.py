@@ -312,7 +312,7 @@ def v5(c):
 @query("v6_knn_approx")
 def v6(c):
     q = _index(c).where("id % 100 = 0").withColumnRenamed("id", "query_id")
-    return V.knn_approx(q, _index(c), 10, 64)
+    return V.knn_approx(q, _index(c), 10, 64, tables=24, bits=3)
 
 
 @query("v7_zero_shot_scores", _IX + ", p AS (SELECT * FROM ix WHERE id < 5), s AS (SELECT ix.id, p.id AS prompt, 5 * list_cosine_similarity(ix.e, p.e) AS s FROM ix, p) SELECT id, prompt, round(exp(s) / sum(exp(s)) OVER (PARTITION BY id), 6) AS share FROM s")
