@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What a worker keeps for its later tasks, by the work that needs it.
+_held: dict = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a local one in local mode (tests) only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    held = getattr(spark.sparkContext, "_catalogspark_shared", None)
-    if held is None:
-        held = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext._catalogspark_shared = held
-    return held
+    sc = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if getattr(sc, "_catalogspark_shared", None) is None:
+        sc._catalogspark_shared = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return sc._catalogspark_shared
+
+
+def held(name: str, make: Callable):
+    """make(), kept in the worker until `lean` turns it to other work."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def lean(run: Callable, work: str = "") -> Callable:
+    """`run`, a task over Arrow batches, in a worker that holds little: what other work than `work` left is dropped
+    before, and free memory goes back to the system after."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [n for n in _held if not work or not n.startswith(work)]:
+            del _held[name]
+        yield from run(batches)
+        release()
+
+    return task
+
+
+def release() -> None:
+    """Hand the process's free memory back to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -40,12 +77,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """`df`, with the session's Arrow batches held to `rows` rows: texts are long, and a worker and its JVM hold
-    each batch several times. A smaller setting is left alone."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
+def bounded_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """`df`, with the session's Arrow batches held to `size` bytes: texts are long, and a worker and its JVM hold
+    each batch several times. The setting stays, as plans read it when they run; a smaller one is left alone."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(conf.get(key)).rstrip("bB")) <= size:
+        conf.set(key, str(size))
     return df
 
 
