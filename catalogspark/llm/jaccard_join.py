@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, mix, shingles, slices
-from .common import bounded_batches, cut, staged
+from .common import bounded_batches, cut, lean, release, staged
 from .components import components
 
 BANDS, ROWS = 40, 3
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 500_000
+#: Bytes of the matrix that tells which shingles a column of sets holds.
+MEMBER_BYTES = 1 << 25
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U) * U(0x9FB21C651E98DF25)) | U(1)
 _BAND = mix(np.arange(1, BANDS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
@@ -117,7 +119,7 @@ def trie_links(sets: list[np.ndarray], block: np.ndarray, num: int, den: int) ->
     turn = sorted((i for i in range(len(sets)) if len(path[i])), key=lambda i: path[i].astype(">u4").tobytes())
     longest = max((len(x) for x in path), default=0)
     two = len(set(block.tolist())) > 1
-    width = max(1, (1 << 27) // max(1, shared))
+    width = max(1, MEMBER_BYTES // max(1, shared))
     at = np.empty(len(sets), np.int64)
     at[turn] = np.arange(len(turn))
     for left in range(0, len(turn), width):
@@ -129,7 +131,8 @@ def trie_links(sets: list[np.ndarray], block: np.ndarray, num: int, den: int) ->
         size_c, path_c = sizes[cols], np.array([len(path[i]) for i in cols], np.int64)
         stack = [(0, np.zeros(len(cols), np.int32), np.arange(len(cols)))]
         before = None
-        for place, i in enumerate(turn):
+        # sets before the columns have no partner among them
+        for place, i in enumerate(turn[left:], left):
             mine = path[i]
             depth = 0
             if before is not None:
@@ -179,6 +182,8 @@ def _compare(num: int, den: int):
             if len(old) > 1:
                 label[np.isin(label, old)] = old[0]
         some = np.flatnonzero(links)
+        if len(sets) > 500:
+            release()
         return pd.DataFrame({"u": ids[some], "v": ids[label[some]], "links": links[some]})
 
     return run
@@ -194,7 +199,7 @@ def jaccard_components(
     """
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     meta = staged(
-        rows.mapInArrow(_sets(n, keys=True), "id long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys"
+        rows.mapInArrow(lean(_sets(n, keys=True)), "id long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys"
     )
     classes = (
         meta.where("n > 0 and id is not null")
@@ -218,7 +223,7 @@ def jaccard_components(
     texts = rows.join(marked, rows.id == marked.doc).dropDuplicates(["id"]).select("id", "grp", "nb", "copies", "text")
     block = F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int")
     units = (
-        texts.mapInArrow(_sets(n, keys=False), "id long, grp long, nb int, copies long, items binary")
+        texts.mapInArrow(lean(_sets(n, keys=False)), "id long, grp long, nb int, copies long, items binary")
         .withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .withColumn("lo", F.least("block", "other"))

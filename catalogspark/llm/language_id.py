@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, mix, slices
-from .common import bounded_batches, crc32_mod
+from .common import bounded_batches, crc32_mod, lean
 
 ORDER, LEAST_SHARE, FIT_ROWS = 4, 2.0**-20, 4000
 #: The limit is this many times the mean cross-entropy per character of the language's calibration rows.
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, lang_col: str, fit_rows: int = FIT_ROWS) -> KneserNey |
     """`docs`: text and label columns of the rows to learn from; counted on Spark, kept bounded."""
     found = (
         docs.select(F.col(lang_col).alias("lang"), "text")
-        .mapInArrow(_counts, "lang string, gram long, n long")
+        .mapInArrow(lean(_counts), "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -250,7 +250,7 @@ def fit_identifier(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Identifier:
             langs = batch.column("lang").filter(pa.array(fine))
             yield pa.RecordBatch.from_pydict({"lang": langs, "h": pa.array(mean[np.arange(len(own)), own][fine])})
 
-    tested = drawn.where("draw >= 0.95").select("lang", "text").mapInArrow(entropy, "lang string, h double")
+    tested = drawn.where("draw >= 0.95").select("lang", "text").mapInArrow(lean(entropy), "lang string, h double")
     means = tested.groupBy("lang").agg(F.avg("h").alias("h")).collect()
     return Identifier(model, {r["lang"]: REJECT_AT * r["h"] for r in means})
 
@@ -291,14 +291,14 @@ def identify_languages(
                 }
             )
 
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         F.col(id_col).alias("id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),
     )
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
-        predict, f"id {kind}, held_out boolean, lang_pred string, score double, rejected boolean"
+        lean(predict), f"id {kind}, held_out boolean, lang_pred string, score double, rejected boolean"
     )
 
 
@@ -319,4 +319,4 @@ def keep_identified(
             out = shared.value.predict(batch.column(text_col).to_pylist())[2]
             yield batch.filter(pa.array(~out))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lean(keep), docs.schema)

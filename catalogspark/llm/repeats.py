@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytesops import U, flatten, mix, prefix_hash, slices, spans_hash
-from .common import bounded_batches, staged
+from .common import bounded_batches, lean, release, staged
 
 LENGTH, GRAM = 200, 80
 #: Surroundings of a unit on average, and of one anchor at most before it is counted start by start.
@@ -226,6 +226,8 @@ def _expand(length: int):
         for k, (h, r, left) in enumerate(zip(pdf["h"], pdf["r"], pdf["left"])):
             own = marks[start[k] : start[k] + max(0, sizes[k] - length + 1)]
             rows += [(h, r, a - left, b - left) for a, b in _runs(own, length)]
+        del data, zero, literal, place, marks
+        release()
         return pd.DataFrame(rows, columns=["h", "r", "begin", "end"]).astype("int64")
 
     return run
@@ -328,7 +330,7 @@ def remove_repeats(
     # rows that repeat share a key: their places then count twice, as they should
     rows = rows.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in carried], "__text"))
     found = rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")).mapInArrow(
-        _anchor_rows(length, gram), "h long, r long, key long, place long"
+        lean(_anchor_rows(length, gram)), "h long, r long, key long, place long"
     )
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     places = staged(found.join(again, "h"), "repeat-places")
@@ -346,7 +348,7 @@ def remove_repeats(
     )
     # all columns go into the Python stage, so that this join and the last one read one and the same shuffle
     bodies = rows.join(wanted, "__key").mapInArrow(
-        _cut_bodies, "h long, r long, hot boolean, many boolean, left int, origin long, body binary"
+        lean(_cut_bodies), "h long, r long, hot boolean, many boolean, left int, origin long, body binary"
     )
     left, right = F.expr("shiftright(one.place, 8) & 255"), F.expr("one.place & 255")
     spans = regions.where(F.col("m") > 1).where(left + right >= length).select(
@@ -363,7 +365,7 @@ def remove_repeats(
         each = staged(
             bodies.where("hot")
             .dropDuplicates(["h", "r"])
-            .mapInArrow(_starts(length), "s1 long, s2 long, h long, r long, begin long, spot long, many boolean"),
+            .mapInArrow(lean(_starts(length)), "s1 long, s2 long, h long, r long, begin long, spot long, many boolean"),
             "repeat-starts",
         )
         twice = (
@@ -386,5 +388,5 @@ def remove_repeats(
     kept = docs.select(*[F.col(f"`{c}`") for c in carried]).schema
     fields = [*kept.fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType() if as_text else T.BinaryType())]
     return rows.join(covered, "__key", "left").mapInArrow(
-        _remove(carried, as_text), T.StructType(fields)
+        lean(_remove(carried, as_text)), T.StructType(fields)
     )
