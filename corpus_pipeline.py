@@ -6,7 +6,9 @@
 4. decontaminate: documents that leak a benchmark item go.
 5. packing: what is left is cut into sequences of 2048 tokens.
 
-Rows with a null id pass the stages that decide by id.
+All columns of documents are carried through the first four stages, extra ones too. Rows with a null id are documents
+like others: in the stages that decide by id, a number made from the text, above all ids, stands for the null. Rows that share an id stay
+or go together; of rows that share id and text, near_duplicates keeps one.
 """
 
 from __future__ import annotations
@@ -24,32 +26,47 @@ from catalogspark.llm.packing import pack_documents
 from catalogspark.llm.queries import tokenizer_path
 from catalogspark.llm.repeats import remove_repeats
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+_ID = "__pipeline_id"
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """`docs` with an id that is never null."""
+    made = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    return docs.withColumn(_ID, F.coalesce(F.col("doc_id").cast("long"), made))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_identified(docs.select(*COLUMNS))
+    """Rows whose language is identified. Null text, and text without a letter, is rejected; without a labelled row to
+    learn from all are; an empty table stays empty."""
+    return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = jaccard_components(docs).where("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of linked ones, that with the smallest id (a null id only where all are). Texts
+    without words link with nothing and stay; equal rows are one document."""
+    own = _named(docs)
+    gone = jaccard_components(own, _ID).where("component_id <> id").select(F.col("id").alias(_ID)).distinct()
+    kept = own.join(gone, _ID, "left_anti").withColumn("__text_hash", F.xxhash64("text"))
+    return kept.dropDuplicates([_ID, "__text_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with every repeated string of 200 bytes cut out of `text` (and n_chars counted anew); rows that are blank
+    after that, or had a null or blank text, go."""
     kept = remove_repeats(docs, as_text=True).where(F.trim("kept_text") != "")
-    return kept.select(
-        "doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars")
-    )
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = leaks(docs, benchmark).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that leak no item of the benchmark table; all rows where that is empty."""
+    own = _named(docs)
+    gone = leaks(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _ID).select(F.col("id").alias(_ID)).distinct()
+    return own.join(gone, _ID, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row, under its doc_id (null ids too); no pieces of an empty table."""
     return pack_documents(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
