@@ -15,11 +15,14 @@ at most; beyond that it is joined by shuffle.
 Likeness of two fingerprints: 1 if the whole sets agree; else the largest share, over the rates, of draws whose
 subsets agree among those that are not empty on both sides (counted as half the draws at least).
 
+The texts are shuffled once: rows are dealt into buckets of neighbours by (id, text hash), in which a window gives each
+row its follower's text and, later, its follower's fingerprint; the first row of a bucket is also put behind the last of the bucket before.
+
 Defined results: a text without a term in the lexicon is fingerprinted over all its terms, and likeness to or of it
 compares all terms of both texts; a text without any term is fingerprinted by the hash of its lower-cased self (null:
-of the empty text) and is like equal texts only; equal texts have equal fingerprints; rows that repeat both id and
-text count once; one id with several texts orders them by hash; rows with a null id are left out; extra columns
-are ignored; an empty table gives an empty table.
+of the empty text) and is like equal texts only; equal texts have equal fingerprints; each row has a row in the result:
+rows that repeat both id and text follow each other; one id with several texts orders them by hash; null ids
+come last; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,11 +31,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, staged
 
 LOW, HIGH = 0.001, 0.05
 DRAWS, RATES = 6, (4, 16, 64, 256, 1024)
 BROADCAST_TERMS = 2_000_000
+#: Rows of a bucket, on average.
+BUCKET_ROWS = 10_000
 #: Near copies: minwise shingles of a text, terms of a shingle, and how many of them two copies share.
 SKETCH, WORDS, SHARED = 9, 3, 3
 _ONE = 1 << 30  # a whole vote; whole numbers add up to the same in any order
@@ -92,33 +97,41 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else rows
 
 
-def fingerprints(texts: DataFrame, words: DataFrame | None, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, parts): per row of `texts` its hash parts, the whole first; null parts are empty subsets.
-
-    `words`: the lexicon; without one all terms count.
-    """
-    exploded = texts.select(*keys, F.explode(terms(F.col(text_col))).alias("term"))
-    own = (
-        (exploded.where(F.col("term") != F.xxhash64(F.lit(""))) if words is None else exploded.join(_few(words), "term"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("term")).alias("whole"))
-    )
+def with_parts(rows: DataFrame, arrays: dict[str, str]) -> DataFrame:
+    """`rows` with hash parts in place of sorted arrays of terms (array column: name of its parts), the whole first;
+    null parts are empty subsets. No terms: null."""
+    plain, made = [c for c in rows.columns if c not in arrays], {}
+    for array in arrays:
+        made[array] = [_short(F.col(array))]
     # the draws are nested over the rates, so that each filter reads what the one before kept
-    columns = [F.xxhash64("whole").alias("p0")]
-    for j in range(DRAWS):
-        before = "whole"
-        for rate in RATES:
-            name = f"s{j}_{rate}"
-            own = own.withColumn(name, F.filter(before, _drawn(j, rate)))
-            before = name
-            columns.append(F.when(F.size(name) > 0, F.xxhash64(name)).alias(f"p{len(columns)}"))
-    return own.select(*keys, F.array(*columns).alias("parts"))
+    for level, rate in enumerate(RATES):
+        subsets = [
+            F.filter(f"__{array}_{j}_{level - 1}" if level else array, _drawn(j, rate)).alias(f"__{array}_{j}_{level}")
+            for array in arrays
+            for j in range(DRAWS)
+        ]
+        rows = rows.select("*", *subsets)
+    for array in arrays:
+        for j in range(DRAWS):
+            names = [f"__{array}_{j}_{level}" for level in range(len(RATES))]
+            made[array] += [F.when(F.size(x) > 0, _short(F.col(x))) for x in names]
+    return rows.select(*plain, *[F.when(F.size(a) > 0, F.array(*made[a])).alias(name) for a, name in arrays.items()])
+
+
+def _short(terms_: Column) -> Column:
+    """32 bits of the hash of an array."""
+    return F.shiftright(F.xxhash64(terms_), 32).cast("int")
+
+
+def all_terms(text: Column) -> Column:
+    """A text's terms, sorted."""
+    return F.array_sort(F.filter(terms(text), lambda t: t != F.xxhash64(F.lit(""))))
 
 
 def printed(parts: Column, text: Column) -> Column:
     """A fingerprint as hex, eight digits a part, `-` for an empty subset."""
-    short = F.transform(parts, lambda p: F.coalesce(F.right(F.lpad(F.hex(p), 16, "0"), F.lit(8)), F.lit("-")))
-    return F.coalesce(F.array_join(short, ""), F.concat(F.lit("="), F.lpad(F.hex(text), 16, "0")))
+    short = F.transform(parts, lambda p: F.coalesce(F.lower(F.right(F.lpad(F.hex(p.cast("long")), 16, "0"), F.lit(8))), F.lit("-")))
+    return F.coalesce(F.array_join(short, ""), F.concat(F.lit("="), F.lower(F.lpad(F.hex(text), 16, "0"))))
 
 
 def likeness(a: Column, b: Column, same: Column) -> Column:
@@ -137,81 +150,141 @@ def likeness(a: Column, b: Column, same: Column) -> Column:
     )
 
 
-def successors(keyed: DataFrame) -> DataFrame:
-    """(id, k, n, next_id, next_k): each row's follower by (id, k), the first one's after the last.
+_KEY = ["z", "id", "k"]
 
-    Rows are range-partitioned; only each partition's first row is looked at across partitions.
-    """
-    ranged = cut(keyed.repartitionByRange("id", "k").withColumn("part", F.spark_partition_id()))
-    follower = F.lead(F.struct("id", "k")).over(Window.partitionBy("part").orderBy("id", "k"))
-    heads = ranged.groupBy("part").agg(F.min(F.struct("id", "k")).alias("head"))
-    across = Window.orderBy("part")
-    first = F.first("head").over(across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("part", F.coalesce(F.lead("head").over(across), first).alias("after"))
-    return (
-        ranged.withColumn("follower", follower)
-        .join(F.broadcast(heads), "part")  # one row a partition
-        .select("id", "k", "n", F.coalesce("follower", "after").alias("to"))
-        .select("id", "k", "n", F.col("to.id").alias("next_id"), F.col("to.k").alias("next_k"))
-    )
 
+def _bucketed(texts: DataFrame, narrow: DataFrame) -> DataFrame:
+    """`texts` with `b`, its bucket in the order of `_KEY`, and `w`: 1 for a copy of a bucket's first row that stands
+    behind the bucket before (of all rows' first one: behind the last).
 
-def edited_texts(docs: DataFrame, follow: DataFrame) -> DataFrame:
-    """(id, k, edited): the last floor(n/4) characters replaced by the follower's first as many."""
-    needed = follow.select(
-        F.col("next_id").alias("id"), F.col("next_k").alias("k"), F.col("id").alias("to_id"), F.col("k").alias("to_k"),
-        F.expr("n div 4").cast("int").alias("take"),
+    Only the least key of each bucket is looked at across buckets; there is one row of it in the plan.
+    """
+    n = max(1, narrow.count() // BUCKET_ROWS)
+    ranged = narrow.repartitionByRange(n, *_KEY).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*_KEY)).alias("least"))
+    bounds = cut(ranged.agg(F.array_sort(F.collect_list("least")).alias("bounds")))
+    count = len((bounds.first() or [[]])[0])
+    steps = F.array(*[F.lit(1 << k) for k in range(max(1, count.bit_length()) - 1, -1, -1)])
+    key = F.struct(*_KEY)
+    # a binary search: the number of bounds up to the key
+    behind = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get("bounds", at + step - 1) <= key, at + step).otherwise(at)
     )
-    heads = docs.join(needed, ["id", "k"]).select(
-        F.col("to_id").alias("id"), F.col("to_k").alias("k"), F.expr("substring(text, 1, take)").alias("head")
+    placed = texts.crossJoin(F.broadcast(bounds)).withColumn("at", behind)
+    first = F.get("bounds", F.col("at") - 1) == key
+    own = F.struct(F.col("at").alias("b"), F.lit(0).alias("w"), F.lit(0).alias("wrapped"))
+    back = F.col("at") == 1
+    extra = F.struct(
+        F.when(back, F.lit(count)).otherwise(F.col("at") - 1).alias("b"), F.lit(1).alias("w"), back.cast("int").alias("wrapped")
     )
-    n = F.length("text")
-    return docs.join(heads, ["id", "k"]).select(
-        "id", "k", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 4)"), "head").alias("edited")
+    spots = F.explode(F.when(first, F.array(own, extra)).otherwise(F.array(own)))
+    return placed.withColumn("spot", spots).select(*texts.columns, "spot.*")
+
+
+def _lexical(rows: DataFrame, words: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """`rows` (of which `keys` tell them apart) with parts and edited_parts instead of text and edited."""
+    none = F.xxhash64(F.lit(""))  # stands for the row itself
+    both = F.struct(F.array_union(terms(F.col("text")), F.array(none)).alias("own"), terms(F.col("edited")).alias("edited"))
+    each = F.transform(
+        F.array(both),
+        lambda t: F.concat(
+            F.transform(t["own"], lambda x: F.struct(x.alias("term"), F.lit(True).alias("mine"))),
+            F.transform(F.array_except(t["edited"], F.array(none)), lambda x: F.struct(x.alias("term"), F.lit(False).alias("mine"))),
+        ),
+    )[0]
+    known = _few(words.withColumn("in", F.lit(True)))
+    c = F.col
+    found = (
+        rows.select(*keys, *carried, F.explode(each).alias("t"))
+        .select(*keys, *carried, "t.*")
+        .join(known, "term", "left")
+        .where(c("in") | (c("term") == none))
+        .groupBy(*keys)
+        .agg(
+            *[F.first(x, ignorenulls=True).alias(x) for x in carried],
+            F.collect_list(F.when(c("in") & c("mine"), c("term"))).alias("own"),
+            F.collect_list(F.when(c("in") & ~c("mine"), c("term"))).alias("other"),
+        )
     )
+    found = found.select(*keys, *carried, F.array_sort("own").alias("own"), F.array_sort("other").alias("other"))
+    return with_parts(found, {"own": "parts", "other": "edited_parts"})
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    kind = docs.schema[id_col].dataType
+    texts = docs.select(
+        F.col(id_col).isNull().cast("int").alias("z"),
+        F.coalesce(F.col(id_col), F.lit(0).cast(kind)).alias("id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    texts = texts.withColumn("k", F.xxhash64("text"))
-    keyed = texts.select("id", "k", F.length("text").alias("n")).groupBy("id", "k").agg(F.min("n").alias("n"))
-    follow = successors(keyed)
     words = lexicon(texts)
-    edited = edited_texts(texts, follow)
-    digest = edited.select(
-        "id", "k", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64(F.lower("edited")).alias("edited_low")
-    ).dropDuplicates(["id", "k"])
-    low = texts.select("id", "k", F.xxhash64(F.lower("text")).alias("low")).dropDuplicates(["id", "k"])
-    own = cut(low.join(fingerprints(texts, words, ["id", "k"]), ["id", "k"], "left"))
-    changed = digest.join(fingerprints(edited, words, ["id", "k"], "edited").withColumnRenamed("parts", "edited_parts"), ["id", "k"], "left")
-    following = own.select(
-        F.col("id").alias("next_id"), F.col("k").alias("next_k"), F.col("parts").alias("next_parts"), F.col("low").alias("next_low")
+    texts = texts.withColumn("k", F.xxhash64("text"))
+    narrow = texts.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("m"))
+    narrow = staged(narrow, "imatch-keys")
+    if narrow.where("m > 1").limit(1).count():
+        # of equal rows, one stands for all but the last, and one for the last
+        texts = texts.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("m"))
+        copies = F.when(F.col("m") > 1, F.array(F.col("m") - 1, F.lit(1).cast("long"))).otherwise(F.array(F.lit(1).cast("long")))
+        texts = texts.select(*_KEY, "text", F.posexplode(copies).alias("copy", "times"))
+    else:
+        texts = texts.withColumn("copy", F.lit(0)).withColumn("times", F.lit(1).cast("long"))
+    order = Window.partitionBy("b").orderBy("wrapped", *_KEY, "copy", "w")
+    keys = ["b", "wrapped", *_KEY, "copy", "w"]
+    n = F.length("text")
+    head = F.expr("substring(coalesce(next, ''), 1, length(text) div 4)")
+    rows = (
+        _bucketed(texts, narrow)
+        .withColumn("next", F.lead("text").over(order))
+        .withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - length(text) div 4)"), head))
+        .withColumn("n", n.cast("long"))
+        .withColumn("sha", F.unhex(F.sha2("edited", 256)))
+        .withColumn("low", F.xxhash64(F.lower("text")))
+        .withColumn("edited_low", F.xxhash64(F.lower("edited")))
     )
+    rows = rows.select(*keys, "times", "n", "sha", "low", "edited_low", "text", "edited")
+    found = _lexical(rows, words, keys, ["times", "n", "sha", "low", "edited_low"])
+    found = found.withColumn("next", F.lead(F.struct(*_KEY, "low", "parts")).over(order)).where("w = 0")
+    pairs = staged(
+        found.select(*_KEY, "copy", "times", "n", "sha", "low", "edited_low", "parts", "edited_parts",
+                     F.col("next.z").alias("next_z"), F.col("next.id").alias("next_id"), F.col("next.k").alias("next_k"),
+                     F.col("next.low").alias("next_low"), F.col("next.parts").alias("next_parts")),
+        "imatch-pairs",
+    )
+    plain = _few(_unlisted(texts, pairs))
     c = F.col
-    pairs = cut(follow.join(own, ["id", "k"]).join(changed, ["id", "k"]).join(following, ["next_id", "next_k"]))
-    # where a text has no term of the lexicon, all terms of the texts that it is compared with
-    odd = cut(pairs.where("parts is null or edited_parts is null or next_parts is null").select("id", "k", "n", "next_id", "next_k"))
-    needed = odd.select("id", "k").union(odd.select("next_id", "next_k")).distinct()
-    some = texts.join(_few(needed), ["id", "k"], "left_semi")
-    every = cut(fingerprints(some, None, ["id", "k"]).withColumnRenamed("parts", "every"))
-    edited_every = fingerprints(edited_texts(some, odd), None, ["id", "k"], "edited").withColumnRenamed("parts", "edited_every")
-    next_every = every.select(c("id").alias("next_id"), c("k").alias("next_k"), c("every").alias("next_every"))
-    plain = odd.join(every, ["id", "k"], "left").join(edited_every, ["id", "k"], "left").join(next_every, ["next_id", "next_k"], "left")
-    plain = _few(cut(plain.select("id", "k", "every", "edited_every", "next_every")))
 
     def like(a: str, b: str, all_a: str, all_b: str, same: Column) -> Column:
         bare = c(a).isNull() | c(b).isNull()
         return F.when(bare, likeness(c(all_a), c(all_b), same)).otherwise(likeness(c(a), c(b), same))
 
-    return pairs.join(plain, ["id", "k"], "left").select(
-        "id",
-        c("n").cast("long").alias("n_chars"),
-        "edited_sha256",
-        printed(F.coalesce("parts", "every"), c("low")).alias("fingerprint"),
-        printed(F.coalesce("edited_parts", "edited_every"), c("edited_low")).alias("edited_fingerprint"),
-        like("parts", "edited_parts", "every", "edited_every", c("low") == c("edited_low")).alias("near_edited"),
-        like("parts", "next_parts", "every", "next_every", c("low") == c("next_low")).alias("near_next"),
+    return (
+        pairs.join(plain, [*_KEY, "copy"], "left")
+        .withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+        .select(
+            F.when(c("z") == 0, c("id")).alias("id"),
+            c("n").alias("n_chars"),
+            F.lower(F.hex("sha")).alias("edited_sha256"),
+            printed(F.coalesce("parts", "every"), c("low")).alias("fingerprint"),
+            printed(F.coalesce("edited_parts", "edited_every"), c("edited_low")).alias("edited_fingerprint"),
+            like("parts", "edited_parts", "every", "edited_every", c("low") == c("edited_low")).alias("near_edited"),
+            like("parts", "next_parts", "every", "next_every", c("low") == c("next_low")).alias("near_next"),
+        )
+    )
+
+
+def _unlisted(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Where a row, its edited text or its follower has no term of the lexicon: the parts over all their terms."""
+    odd = cut(
+        pairs.where("parts is null or edited_parts is null or next_parts is null").select(*_KEY, "copy", "next_z", "next_id", "next_k")
+    )
+    followers = odd.select(F.col("next_z").alias("z"), F.col("next_id").alias("id"), F.col("next_k").alias("k"))
+    needed = odd.select(*_KEY).union(followers).distinct()
+    some = cut(texts.where("copy = 0").select(*_KEY, "text").join(_few(needed), _KEY, "left_semi"))
+    after = some.select(*[F.col(x).alias(f"next_{x}") for x in _KEY], F.col("text").alias("next"))
+    edited = F.concat(
+        F.expr("substring(text, 1, length(text) - length(text) div 4)"), F.expr("substring(next, 1, length(text) div 4)")
     )
+    both = odd.join(some, _KEY).join(after, ["next_z", "next_id", "next_k"]).withColumn("edited", edited)
+    arrays = {"text": "every", "edited": "edited_every", "next": "next_every"}
+    both = both.select(*_KEY, "copy", *[all_terms(F.col(x)).alias(x) for x in arrays])
+    return cut(with_parts(both, arrays))

@@ -1,5 +1,7 @@
 import hashlib
 
+import xxhash
+
 from catalogspark.llm import imatch
 from catalogspark.llm.imatch import compare_edited
 
@@ -14,6 +16,14 @@ def edited(rows):
     return out
 
 
+def edited_rows(rows):
+    """Rows of one id follow each other by the hash of their texts; equal ones are next to each other."""
+    rows = sorted((i, xxhash.xxh64_intdigest((t or "").encode(), 42) ^ 1 << 63, t or "") for i, t in rows)
+    for at, (i, _, t) in enumerate(rows):
+        k = len(t) // 4
+        yield i, len(t), hashlib.sha256((t[: len(t) - k] + rows[(at + 1) % len(rows)][2][:k]).encode()).hexdigest()
+
+
 def test_edits_by_brute_force(spark):
     rows = [(7, "é" * 9 + "abc"), (3, None), (4, ""), (90, "one two three four"), (11, "x" * 400_000), (5, "one two three four"),
             (-2, "tiny"), (10**12, "𝔘𝔫𝔦 code 𝔘𝔫𝔦")]
@@ -26,7 +36,10 @@ def test_edits_by_brute_force(spark):
     one = compare_edited(df.where("doc_id = 90")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert compare_edited(df.limit(0)).count() == 0
-    assert compare_edited(df.unionAll(df)).count() == len(rows)
+    twice = df.unionAll(df).unionAll(spark.createDataFrame([(None, "a null id here", "q"), (None, "a null id here", "q"), (None, "another", "q")], df.schema))
+    all_rows = [(i if i is not None else 10**13, t) for i, t, _ in twice.collect()]
+    want = sorted(edited_rows(all_rows))
+    assert sorted((r.id if r.id is not None else 10**13, r.n_chars, r.edited_sha256) for r in compare_edited(twice).collect()) == want
 
 
 def test_likeness_tells_edits_from_strangers(spark):
