@@ -2,7 +2,7 @@
 
 Terms are lower-case runs of letters and digits. The lexicon keeps the terms in at least LOW of the texts and with HIGH
 of the votes at most, an inverse-document-frequency band of log(1/HIGH) to log(1/LOW). A group of near copies has about
-one vote, so that it doesn't push its own terms out: each text has `SKETCH` minwise shingles of `WORDS` terms and
+one vote, so that it doesn't push its own terms out: each text has a sketch, its `SKETCH` least hashes of `WORDS` terms in a row, and
 votes with 1 / n, n being the `SHARED`th largest number of texts that have one of them too (numbers below LOW of the
 texts count as 1; the others are `SKETCH` / LOW at most, whatever the size).
 A text's terms in the lexicon, distinct and sorted, are hashed whole, and hashed again over randomised subsets of the
@@ -27,7 +27,6 @@ come last; extra columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +36,8 @@ LOW, HIGH = 0.001, 0.05
 DRAWS, RATES = 6, (4, 16, 64, 256, 1024)
 BROADCAST_TERMS = 2_000_000
 #: Rows of a bucket, on average.
-BUCKET_ROWS = 10_000
-#: Near copies: minwise shingles of a text, terms of a shingle, and how many of them two copies share.
+BUCKET_ROWS = 1_000
+#: Near copies: shingles of a text's sketch, terms of a shingle, and how many of them two copies share.
 SKETCH, WORDS, SHARED = 9, 3, 3
 _ONE = 1 << 30  # a whole vote; whole numbers add up to the same in any order
 
@@ -50,37 +49,34 @@ def terms(text: Column) -> Column:
 
 
 def sketches(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """`texts` with `sketch`, the minwise shingles of the text column."""
-    salts = np.random.default_rng(9).integers(-(2**63), 2**63 - 1, SKETCH).tolist()
+    """`texts` with `sketch`, the `SKETCH` least shingle hashes of the text column (all of a text with fewer)."""
 
     # arrays are bound as variables of lambdas, so that none is computed again for each use
     def shingles(w: Column) -> Column:
         return F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, WORDS)]))
 
-    def least(s: Column) -> Column:
-        return F.array(*[F.array_min(F.transform(s, lambda x, c=c: x.bitwiseXOR(F.lit(c)))) for c in salts])
-
-    words = F.transform(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
-    own = F.transform(F.transform(F.array(words), shingles), least)[0]
-    return texts.withColumn("sketch", own)
+    words = F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+")
+    hashed = F.transform(F.array(words), shingles)[0]
+    return texts.withColumn("sketch", F.slice(F.sort_array(F.array_distinct(hashed)), 1, SKETCH))
 
 
 def lexicon(texts: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
     """(term) in `low` of the rows of `texts` at least and with `high` of the votes at most."""
     total = texts.count()
     sketched = sketches(texts.select(text_col), text_col)
-    shared = sketched.select(F.explode("sketch").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    shared = sketched.select(F.explode_outer("sketch").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     groups = cut(shared.where(F.col("n") >= max(2.0, low * total)))
     # one row; the map has SKETCH / low entries at most
     sizes = groups.agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("sizes"))
     found = F.transform("sketch", lambda x: F.coalesce(F.try_element_at("sizes", x), F.lit(1)))
-    sized = sketched.crossJoin(F.broadcast(sizes)).withColumn("n", F.sort_array(found, asc=False)[SHARED - 1])
+    nth = F.least(F.lit(SHARED), F.size("sketch")) - 1
+    sized = sketched.crossJoin(F.broadcast(sizes)).withColumn("n", F.get(F.sort_array(found, asc=False), nth))
     voting = sized.select(text_col, F.floor(F.lit(_ONE) / F.col("n")).cast("long").alias("vote"))
     # the empty term is in no text: it carries the sum of all votes
     empty = F.xxhash64(F.lit(""))
     each = F.array_union(terms(F.col(text_col)), F.array(empty))
     counted = (
-        voting.select("vote", F.explode(each).alias("term"))
+        voting.select("vote", F.explode_outer(each).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("vote").alias("votes"))
     )
     kept = cut(counted.where((F.col("df") >= low * total) | (F.col("term") == empty)))
@@ -125,7 +121,7 @@ def _short(terms_: Column) -> Column:
 
 def all_terms(text: Column) -> Column:
     """A text's terms, sorted."""
-    return F.array_sort(F.filter(terms(text), lambda t: t != F.xxhash64(F.lit(""))))
+    return F.sort_array(F.filter(terms(text), lambda t: t != F.xxhash64(F.lit(""))))
 
 
 def printed(parts: Column, text: Column) -> Column:
@@ -161,7 +157,7 @@ def _bucketed(texts: DataFrame, narrow: DataFrame) -> DataFrame:
     """
     n = max(1, narrow.count() // BUCKET_ROWS)
     ranged = narrow.repartitionByRange(n, *_KEY).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*_KEY)).alias("least"))
-    bounds = cut(ranged.agg(F.array_sort(F.collect_list("least")).alias("bounds")))
+    bounds = cut(ranged.agg(F.sort_array(F.collect_list("least")).alias("bounds")))
     count = len((bounds.first() or [[]])[0])
     steps = F.array(*[F.lit(1 << k) for k in range(max(1, count.bit_length()) - 1, -1, -1)])
     key = F.struct(*_KEY)
@@ -176,36 +172,36 @@ def _bucketed(texts: DataFrame, narrow: DataFrame) -> DataFrame:
     extra = F.struct(
         F.when(back, F.lit(count)).otherwise(F.col("at") - 1).alias("b"), F.lit(1).alias("w"), back.cast("int").alias("wrapped")
     )
-    spots = F.explode(F.when(first, F.array(own, extra)).otherwise(F.array(own)))
+    spots = F.explode_outer(F.when(first, F.array(own, extra)).otherwise(F.array(own)))
     return placed.withColumn("spot", spots).select(*texts.columns, "spot.*")
 
 
-def _lexical(rows: DataFrame, words: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
-    """`rows` (of which `keys` tell them apart) with parts and edited_parts instead of text and edited."""
+def _lexical(rows: DataFrame, words: DataFrame, carried: list[str]) -> DataFrame:
+    """`rows`, dealt by `b`, with parts and edited_parts instead of text and edited; `carried`: the columns to keep."""
     none = F.xxhash64(F.lit(""))  # stands for the row itself
-    both = F.struct(F.array_union(terms(F.col("text")), F.array(none)).alias("own"), terms(F.col("edited")).alias("edited"))
-    each = F.transform(
-        F.array(both),
-        lambda t: F.concat(
-            F.transform(t["own"], lambda x: F.struct(x.alias("term"), F.lit(True).alias("mine"))),
-            F.transform(F.array_except(t["edited"], F.array(none)), lambda x: F.struct(x.alias("term"), F.lit(False).alias("mine"))),
-        ),
-    )[0]
-    known = _few(words.withColumn("in", F.lit(True)))
+    both = F.struct(terms(F.col("text")).alias("own"), terms(F.col("edited")).alias("edited"))
+
+    def marked(t: Column) -> Column:
+        own = F.transform(t["own"], lambda x: F.struct(x.alias("term"), F.lit(True).alias("mine")))
+        return F.concat(own, F.transform(t["edited"], lambda x: F.struct(x.alias("term"), F.lit(False).alias("mine"))))
+
+    each = F.concat(F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(True).alias("mine"))), F.transform(F.array(both), marked)[0])
+    known = _few(words.where(F.col("term") != none).select("term", F.lit(True).alias("in")))
     c = F.col
+    # what is carried stands in the row without a term; the others are narrow, as they are sorted by row
+    flat = rows.withColumn("r", F.monotonically_increasing_id()).select("b", "r", F.struct(*carried).alias("own_row"), F.explode_outer(each).alias("t"))
     found = (
-        rows.select(*keys, *carried, F.explode(each).alias("t"))
-        .select(*keys, *carried, "t.*")
+        flat.select("b", "r", F.when(c("t.term").isNull(), c("own_row")).alias("own_row"), "t.*")
         .join(known, "term", "left")
-        .where(c("in") | (c("term") == none))
-        .groupBy(*keys)
+        .where(c("in") | c("term").isNull())
+        .groupBy("b", "r")
         .agg(
-            *[F.first(x, ignorenulls=True).alias(x) for x in carried],
+            F.first("own_row", ignorenulls=True).alias("own_row"),
             F.collect_list(F.when(c("in") & c("mine"), c("term"))).alias("own"),
             F.collect_list(F.when(c("in") & ~c("mine"), c("term"))).alias("other"),
         )
     )
-    found = found.select(*keys, *carried, F.array_sort("own").alias("own"), F.array_sort("other").alias("other"))
+    found = found.select("b", "own_row.*", F.sort_array("own").alias("own"), F.sort_array("other").alias("other"))
     return with_parts(found, {"own": "parts", "other": "edited_parts"})
 
 
@@ -229,7 +225,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         texts = texts.withColumn("copy", F.lit(0)).withColumn("times", F.lit(1).cast("long"))
     order = Window.partitionBy("b").orderBy("wrapped", *_KEY, "copy", "w")
-    keys = ["b", "wrapped", *_KEY, "copy", "w"]
+    keys = ["wrapped", *_KEY, "copy", "w"]
     n = F.length("text")
     head = F.expr("substring(coalesce(next, ''), 1, length(text) div 4)")
     rows = (
@@ -241,8 +237,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .withColumn("low", F.xxhash64(F.lower("text")))
         .withColumn("edited_low", F.xxhash64(F.lower("edited")))
     )
-    rows = rows.select(*keys, "times", "n", "sha", "low", "edited_low", "text", "edited")
-    found = _lexical(rows, words, keys, ["times", "n", "sha", "low", "edited_low"])
+    found = _lexical(rows, words, [*keys, "times", "n", "sha", "low", "edited_low"])
     found = found.withColumn("next", F.lead(F.struct(*_KEY, "low", "parts")).over(order)).where("w = 0")
     pairs = staged(
         found.select(*_KEY, "copy", "times", "n", "sha", "low", "edited_low", "parts", "edited_parts",
