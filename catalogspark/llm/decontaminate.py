@@ -6,6 +6,9 @@ seeds meet the benchmark's in a join. Around each hit, the benchmark item is lai
 word for word, and the words that agree are counted. A text leaks an item if at least half of its words agree, and
 eight at least (all of a shorter item's).
 
+Of items of 40 words with half of them replaced at random, 0.94 share a seed with the text (all with 40 % replaced, or
+with every other word replaced); of 24 words 0.73, of 16 words 0.43.
+
 Defined results: null texts, and items without words, match nothing; items of fewer words than a mask spans are
 found by the masks that fit, items under five words never; an item that stands in a text several times is reported
 once, at its best place; rows that repeat an id are each searched and reported as one; extra columns are ignored;
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Offsets that each mask looks at.
-MASKS = [(0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 8)]
+MASKS = [(0, 1, 2, 4, 5), (0, 1, 3, 4, 6), (0, 2, 3, 5, 8), (0, 2, 4, 6, 8), (0, 1, 4, 7, 8), (0, 3, 4, 5, 7)]
 SHARE, LEAST_WORDS = 0.5, 8
 #: The benchmark's seeds are broadcast up to this many, and shuffled beyond.
 BROADCAST_SEEDS = 1_000_000

@@ -24,18 +24,20 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, _LOWER, flatten, slices, words
-from .common import bounded_batches, crc32_mod, staged
+from .common import bounded_batches, crc32_mod, lean, staged
 from .language_id import KneserNey, grams
 
 ORDER, DISCOUNT = 3, 0.75
 #: Least share of the training tokens: of a word, and of a longer n-gram or a byte n-gram.
 WORD_SHARE, LEAST_SHARE = 2.0**-22, 2.0**-20
 SPELL_ORDER = 6
-_BITS = 21
+#: Bits of a word's id in a packed key; ids reach 1 / WORD_SHARE, and the end is id 0.
+_BITS = 23
+assert 1 / WORD_SHARE < 1 << _BITS
 _LN10 = log(10)
 
 
@@ -240,7 +242,7 @@ def train(texts: DataFrame, counts: DataFrame, order: int = ORDER) -> tuple[Auto
     model = Automaton(kept.column("w").to_numpy().view(U), kept.column("n").to_numpy(), tokens, ends)
     for k in range(2, order + 1):
         found = (
-            texts.mapInArrow(_extensions(sc.broadcast(model), k, k == 2), "spelled boolean, k long, n long")
+            texts.mapInArrow(lean(_extensions(sc.broadcast(model), k, k == 2)), "spelled boolean, k long, n long")
             .groupBy("spelled", "k")
             .agg(F.sum("n").alias("n"))
         )
@@ -276,7 +278,7 @@ def score_texts(
     ).withColumn("row", F.xxhash64("id", "text"))
     texts = rows.where("held = false").select("text")
     counts = staged(
-        texts.mapInArrow(_unigrams, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-words"
+        texts.mapInArrow(lean(_unigrams), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-words"
     )
     model, tokens, distinct = train(texts, counts, order)
     shared = spark.sparkContext.broadcast(model)
@@ -337,13 +339,13 @@ def score_texts(
 
     kind = rows.schema["id"].dataType.simpleString()
     scored = rows.select("row", "id", "held", "text").mapInArrow(
-        score, f"row long, id {kind}, held boolean, n_tokens long, kept long, known double, score double"
+        lean(score), f"row long, id {kind}, held boolean, n_tokens long, kept long, known double, score double"
     )
     least = max(2.0, WORD_SHARE * tokens)
     seen = counts.where(F.col("n") < least).select("w", F.col("n").alias("c"))
     more = (
         rows.select("row", "text")
-        .mapInArrow(rare, "w long, row long, n int")
+        .mapInArrow(lean(rare), "w long, row long, n int")
         .join(seen, "w")
         .groupBy("row")
         .agg(
@@ -352,8 +354,9 @@ def score_texts(
         )
     )
     # rows that repeat share the key `row`, and their rare words came together
-    scored = scored.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("row")))
-    return scored.join(more, "row", "left").select(
+    several = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    both = scored.join(several, "row", "left").join(more, "row", "left")
+    return both.withColumn("copies", F.coalesce("copies", F.lit(1))).select(
         "id",
         F.coalesce("held", F.lit(False)).alias("held_out"),
         "n_tokens",

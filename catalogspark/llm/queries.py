@@ -147,7 +147,8 @@ WITH d AS (
 ), b AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
   FROM benchmark WHERE text IS NOT NULL
-), m(mask, i0, i1, i2, i3, i4) AS (VALUES (0, 0, 1, 2, 4, 5), (1, 0, 1, 3, 4, 6), (2, 0, 2, 3, 5, 8)),
+), m(mask, i0, i1, i2, i3, i4) AS (VALUES (0, 0, 1, 2, 4, 5), (1, 0, 1, 3, 4, 6), (2, 0, 2, 3, 5, 8), (3, 0, 2, 4, 6, 8), (4, 0, 1, 4, 7, 8),
+  (5, 0, 3, 4, 5, 7)),
 ds AS (
   SELECT doc_id, p, mask, w[p + i0 + 1] || ' ' || w[p + i1 + 1] || ' ' || w[p + i2 + 1] || ' ' || w[p + i3 + 1]
          || ' ' || w[p + i4 + 1] AS seed

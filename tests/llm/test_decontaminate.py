@@ -67,3 +67,23 @@ def test_query_equals_sql(spark, sf):
     want = duckdb.sql(queries.oracle_sql()["op8_decontaminate"]).fetchall()
     got = [tuple(x) for x in queries.op8_decontaminate(spark, sf).collect()]
     assert sorted(got) == sorted(want) and got
+
+
+def test_recall_at_the_threshold(spark):
+    """Items of 40 words, of which some are replaced: by how many are found."""
+    r = random.Random(3)
+    items = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(40))) for i in range(200)]
+    docs = []
+    for share, place in ((0.3, 1), (0.4, 2), (0.5, 3), (None, 4)):
+        for i, text in items:
+            words = text.split()
+            gone = range(1, 40, 2) if share is None else r.sample(range(40), int(40 * share))
+            for k in gone:
+                words[k] = f"x{r.randrange(10**6)}"
+            docs.append((place * 1000 + i, "before " + " ".join(words) + " after"))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = [0] * 5
+    for x in leaks(a, b).collect():
+        assert x.id % 1000 == x.item
+        found[x.id // 1000] += 1
+    assert found[1] == 200 and found[2] >= 196 and found[3] >= 180 and found[4] == 200

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from catalogspark.llm.bytesops import words
-from catalogspark.llm.lm_score import DISCOUNT, Automaton, score_texts
+from catalogspark.llm.lm_score import _BITS, DISCOUNT, Automaton, score_texts
 
 
 def tokens(text):
@@ -65,7 +65,7 @@ def model_of(texts, order):
                 if -1 not in seq[j - k + 1 : j + 1]:
                     found[tuple(seq[j - k + 1 : j + 1])] += 1
         kept_grams = {g: v for g, v in found.items() if v >= 2 and g[:-1] in index}
-        packed = sorted(((index[g[:-1]] << 21) | g[-1], v, g) for g, v in kept_grams.items())
+        packed = sorted(((index[g[:-1]] << _BITS) | g[-1], v, g) for g, v in kept_grams.items())
         m.keys.append(np.array([p[0] for p in packed], np.int64))
         m.times.append(np.array([p[1] for p in packed], float))
         grams[k] = kept_grams
