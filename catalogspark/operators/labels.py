@@ -85,9 +85,12 @@ def _tag(raw: Column) -> Column:
 
 
 def _signals(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    any_of = lambda needles: reduce(lambda a, b: a | b, [low.contains(n) for n in needles])
-    return F.array(*[F.when(any_of(n), F.lit(t)) for t, n in D.SIGNALS.items()])
+    # bound as the variable of a lambda, the text is lower-cased once and not again for each needle
+    def found(low: Column) -> Column:
+        any_of = lambda needles: reduce(lambda a, b: a | b, [low.contains(n) for n in needles])
+        return F.array(*[F.when(any_of(n), F.lit(t)) for t, n in D.SIGNALS.items()])
+
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), found)[0]
 
 
 def derive_tags(files: DataFrame) -> DataFrame:
@@ -99,10 +102,12 @@ def derive_tags(files: DataFrame) -> DataFrame:
     labels = F.transform(F.coalesce("labels", F.array().cast("array<string>")), _tag)
     kind = F.array(F.when(F.col("kind").isin(D.KIND_TAGS), F.col("kind")))
     every = F.filter(F.concat(made(labels, "vision"), made(_signals(F.col("text")), "ocr"), made(_signals(F.col("name")), "filename"), made(kind, "kind")), lambda t: t["name"].isNotNull())
-    rows = files.withColumn("__all", every)
-    names = F.array_distinct(F.transform("__all", lambda t: t["name"]))
-    first = F.transform(names, lambda n: F.element_at(F.filter(F.col("__all"), lambda t: t["name"] == n), 1))
-    return rows.select("file_id", "kind", F.slice(first, 1, MAX_TAGS).alias("tags"))
+
+    def first(tags: Column) -> Column:
+        names = F.array_distinct(F.transform(tags, lambda t: t["name"]))
+        return F.slice(F.transform(names, lambda n: F.element_at(F.filter(tags, lambda t: t["name"] == n), 1)), 1, MAX_TAGS)
+
+    return files.select("file_id", "kind", F.transform(F.array(every), first)[0].alias("tags"))
 
 
 def infer_context(derived: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def plan_moves(files: DataFrame, members: DataFrame, faces: DataFrame, people: D
     return rows.select("file_id", "path", "bytes", "index_state", target.alias("target"), outcome.alias("outcome"))
 
 
-def resolve_collisions(plan: DataFrame, listing: DataFrame, most: int = 999) -> DataFrame:
+def resolve_collisions(plan: DataFrame, listing: DataFrame) -> DataFrame:
     """(file_id, target): `name (2).ext` and so on, so that no target is taken or planned twice.
 
     Each contested target gets its free names in order; the n-th file that wants it takes the n-th free one.
@@ -32,7 +32,7 @@ def resolve_collisions(plan: DataFrame, listing: DataFrame, most: int = 999) ->
     taken = listing.select(F.col("path").alias("name"))
     # a contested name needs as many candidates as files want it, and one more per taken or planned variant
     blocked = taken.unionAll(wants.select(F.col("target").alias("name"))).select(F.regexp_replace("name", r" \(\d+\)(\.[^./]*)?$", "$1").alias("target")).groupBy("target").agg(F.count(F.lit(1)).alias("t"))
-    tries = wants.join(blocked, "target", "left").withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.col("n") + F.coalesce("t", F.lit(0)), F.lit(most)).cast("int"))))
+    tries = wants.join(blocked, "target", "left").withColumn("k", F.explode(F.sequence(F.lit(1), (F.col("n") + F.coalesce("t", F.lit(0))).cast("int"))))
     name = F.when(F.col("k") == 1, F.col("target")).otherwise(F.concat("stem", F.lit(" ("), F.col("k").cast("string"), F.lit(")"), "ext"))
     free = tries.withColumn("name", name).join(taken, "name", "left_anti").join(wants.select(F.col("target").alias("name"), F.lit(True).alias("other")), "name", "left")
     free = free.where(F.col("other").isNull() | (F.col("k") == 1))

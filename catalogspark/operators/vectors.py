@@ -38,6 +38,18 @@ def upsert_vectors(index: DataFrame, new: DataFrame, space: str, dim: int) -> Da
     return index.where(fits).join(new.select("id"), "id", "left_anti").unionByName(new)
 
 
+def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k best by (score to 9 places, smallest id)."""
+    near = np.round(score, 9)
+    k = min(k, near.shape[1])
+    least = -np.partition(-near, k - 1, axis=1)[:, k - 1]
+    rows, at = np.nonzero(near >= least[:, None])
+    by = np.lexsort((ids[at], -near[rows, at], rows))
+    rows, at = rows[by], at[by]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], at[place < k]
+
+
 def knn(queries: DataFrame, index: DataFrame, k: int, l2: bool = False) -> DataFrame:
     """(query_id, id, score): the k best by inner product, or by 1 - distance. Exact.
 
@@ -61,13 +73,16 @@ def knn(queries: DataFrame, index: DataFrame, k: int, l2: bool = False) -> DataF
                 if not keep:
                     continue
                 v = np.array([batch.column("embedding")[i].as_py() for i in keep], np.float64)
-                score = 1 - np.sqrt(np.maximum(((q[:, None, :] - v[None]) ** 2).sum(-1), 0)) if l2 else q @ v.T
                 own = batch.column("id").take(pa.array(keep))
-                top = min(len(keep), 4 * k)
-                at = np.argpartition(-score, top - 1, axis=1)[:, :top]
-                rows = np.repeat(np.arange(len(q)), top)
+                if l2:  # differences of a few queries at a time
+                    step = max(1, (1 << 22) // v.size)
+                    apart = [((q[a : a + step, None, :] - v[None]) ** 2).sum(-1) for a in range(0, len(q), step)]
+                    score = 1 - np.sqrt(np.concatenate(apart))
+                else:
+                    score = q @ v.T
+                rows, at = best_of(score, own.to_numpy(zero_copy_only=False), k)
                 yield pa.RecordBatch.from_arrays(
-                    [names.combine_chunks().take(pa.array(rows)), own.take(pa.array(at.ravel())), pa.array(np.take_along_axis(score, at, 1).ravel())],
+                    [names.combine_chunks().take(pa.array(rows)), own.take(pa.array(at)), pa.array(score[rows, at])],
                     names=["query_id", "id", "score"],
                 )
 

@@ -411,7 +411,7 @@ def l6(c):
     return LB.describe_sentence(_classified(c), heads, parts)
 
 
-@query("l7_clean_caption", ", t AS (SELECT file_id, regexp_replace(regexp_replace(trim(regexp_replace(description, '\\s+', ' ', 'g'), ' '), '^(a|an|the) ', '', 'i'), '[ .]+$', '') AS x FROM files) SELECT file_id, CASE WHEN length(x) >= 3 THEN upper(substring(x, 1, 1)) || substring(x, 2) END AS caption FROM t")
+@query("l7_clean_caption", ", t AS (SELECT file_id, regexp_replace(regexp_replace(trim(regexp_replace(description, '\\s+', ' ', 'g'), ' '), '^(a|an|the) ', '', 'i'), '[ .]+$', '') AS x FROM files) SELECT file_id, CASE WHEN length(x) >= 3 THEN CASE WHEN x[1] = 'ß' THEN 'SS' ELSE upper(x[1]) END || substring(x, 2) END AS caption FROM t")
 def l7(c):
     return c.files.select("file_id", X.clean_caption(F.col("description")).alias("caption"))
 

@@ -256,3 +256,25 @@ def test_coverage(spark):
     pairs = spark.createDataFrame([(q, 1, t) for q, t in rows], "query_id string, file_id long, terms array<string>")
     got = {r.query_id: (r.covered, r.together) for r in search.coverage(pairs, docs).collect()}
     assert got == {"a": (1.0, 1), "b": (0.5, 0), "c": (1.0, 0), "d": (0.0, 0)}
+
+
+def test_neighbours_with_many_equal_scores():
+    """The smallest ids stay of equal scores, whatever their number."""
+    import numpy as np
+
+    from catalogspark.operators.vectors import best_of
+
+    score = np.full((2, 2000), 0.5)
+    score[0, 1500], score[1, 7] = 0.9, 0.1
+    ids = np.arange(2000)[::-1].copy()
+    rows, at = best_of(score, ids, 5)
+    assert ids[at[rows == 0]].tolist() == [499, 0, 1, 2, 3] and ids[at[rows == 1]].tolist() == [0, 1, 2, 3, 4]
+
+
+def test_more_than_999_files_of_one_target(spark):
+    from catalogspark.operators.organize import resolve_collisions
+
+    plan = spark.range(1200).selectExpr("id AS file_id", "'/a/x.txt' AS target")
+    listing = spark.createDataFrame([("/a/x (5).txt",)], "path string")
+    got = {r.target for r in resolve_collisions(plan, listing).collect()}
+    assert len(got) == 1200 and "/a/x (5).txt" not in got and "/a/x.txt" in got
