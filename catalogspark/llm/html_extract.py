@@ -5,9 +5,12 @@ per host on how many pages with different content the hash occurs. A subtree on
 `LEAST_SHARE` of the host's pages with different content, is template and deleted; so is one of `MANY_WORDS` words or
 more on `MANY_PAGES` of them, whatever its share (shorter ones, such as table cells, may recur by chance). Copies of one page count once, so that a page that a host
 serves many times doesn't delete itself; paragraphs and headings inside an article are the article's and are kept.
-Elements whose tag, role, class or id says that they aren't main text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) are dropped as well. What remains of the page's articles (else of its
+Templates are cut out of the tree first; the lists are the back-up for what a site doesn't repeat word for word: elements
+whose tag, role, class or id says that they aren't main text (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments) are dropped from what is left. What remains of the page's articles (else of its
 main element, else of its body) is cut at block elements; white space becomes one space, blocks are joined by newlines.
+`template_words` counts the words of each page that fell to the templates, `other_words` those that fell to the lists or
+stand outside the page's articles.
 
 The templates of all hosts are broadcast while they number `BROADCAST_TEMPLATES` at most, and joined beyond.
 A host has at most (mean block elements of a page) x (1 / LEAST_SHARE + pages / MANY_PAGES) of them.
@@ -165,7 +168,36 @@ def elements(root: Node) -> dict[int, int]:
     return out
 
 
-def blocks(root: Node, template: set[int] | frozenset = frozenset()) -> list[str]:
+def prune(root: Node, template: set[int]) -> int:
+    """Cut the subtrees in `template` out of a hashed tree, outermost first; their number of words."""
+    gone, todo = 0, [(root, False)]
+    while todo:
+        node, in_article = todo.pop()
+        inside = in_article or node.tag in ("article", "main")
+        for place, child in enumerate(node.children):
+            if isinstance(child, str):
+                continue
+            if child.hash in template and child.tag in BLOCK and not (inside and child.tag in PARAGRAPHS):
+                gone += child.words
+                node.children[place] = Node("hr")  # a border between blocks stays
+            else:
+                todo.append((child, inside))
+    return gone
+
+
+def n_words(root: Node) -> int:
+    """Words of all text in the tree but scripts, styles and the page's head."""
+    n, todo = 0, [root]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            n += len(at.split())
+        elif at.tag not in ("head", "script", "style"):
+            todo += at.children
+    return n
+
+
+def blocks(root: Node) -> list[str]:
     """The blocks of text under the page's articles, else its main element, else all of it."""
 
     def find(tag: str) -> list[Node]:
@@ -200,8 +232,6 @@ def blocks(root: Node, template: set[int] | frozenset = frozenset()) -> list[str
             elif at is not top and _dropped(at, in_article):
                 if at.tag in BLOCK or at.names:
                     flush()
-            elif at.hash in template and not (in_article and at.tag in PARAGRAPHS) and at is not root:
-                flush()
             elif at.tag == "br":
                 part.append(" ")
             else:
@@ -254,7 +284,7 @@ def extract_text(
     least_share: float = LEAST_SHARE,
     many_pages: int = MANY_PAGES,
 ) -> DataFrame:
-    """(id, url, text, n_chars) of every row of `pages`."""
+    """(id, url, text, n_chars, template_words, other_words) of every row of `pages`."""
     rows = pages.select(
         F.col(id_col).alias("id"),
         F.col(url_col).cast("string").alias("url"),
@@ -275,25 +305,31 @@ def extract_text(
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, cut_words, listed = [], [], []
             columns = (batch.column(c).to_pylist() for c in ("host", "html", "template"))
             for host, html, own in zip(*columns):
                 root = parse(html or "")
                 template = set(own) if own else shared.value.get(host, set())
+                gone = 0
                 if template:
                     _hashed(root)
-                out.append("\n".join(blocks(root, template)))
+                    gone = prune(root, template)
+                out.append("\n".join(blocks(root)))
+                cut_words.append(gone)
+                listed.append(max(0, n_words(root) - len(out[-1].split())))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     batch.column("url"),
                     pa.array(out, pa.string()),
                     pa.array([len(t) for t in out], pa.int64()),
+                    pa.array(cut_words, pa.int64()),
+                    pa.array(listed, pa.int64()),
                 ],
-                names=["id", "url", "text", "n_chars"],
+                names=["id", "url", "text", "n_chars", "template_words", "other_words"],
             )
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", "url", "host", "html", "template").mapInArrow(
-        texts, f"id {kind}, url string, text string, n_chars long"
+        texts, f"id {kind}, url string, text string, n_chars long, template_words long, other_words long"
     )

@@ -44,6 +44,15 @@ def test_template_subtrees_go_and_copies_do_not(spark):
     assert extract_text(df.limit(0)).count() == 0
 
 
+def test_templates_go_before_the_lists(spark):
+    """Menus and notices that no list knows fall to the method, listed ones that a site repeats too."""
+    frame = "<div class='zq'><ul><li>Home<li>News</ul></div><nav>Own menu</nav>{}<section class='k9'>All rights kept</section>"
+    rows = [(i, f"http://h.com/{i}", frame.format(f"<div>Text number {i}</div><div class='ad'>Buy {i}</div>")) for i in range(9)]
+    got = {r.id: r for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, r in got.items():
+        assert (r.text, r.template_words, r.other_words) == (f"Text number {i}", 7, 2)
+
+
 def test_joined_templates_give_the_same(spark, sf, monkeypatch):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     many = pages.unionAll(pages.withColumnRenamed("url", "u").selectExpr("page_id + 1000 as page_id", "'http://a.com' as url", "concat('<div>q</div>', html) as html"))
