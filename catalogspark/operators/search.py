@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,8 @@ from ..functions import dictionaries as D
 from ..functions.text import stem, synonym_table, tokens
 
 K1, B, CANDIDATES, RESULTS = 1.2, 0.75, 400, 200
+# Prefixes that hold a term to the people field.
+PEOPLE_SCOPES = ["person", "face", "of"]
 FIELDS = ["name", "title", "description", "label", "context", "ocr_text", "folder", "tags", "project", "people"]
 
 
@@ -130,8 +133,37 @@ def match_prefix(wanted: DataFrame, postings: DataFrame) -> DataFrame:
     return terms.join(postings, "term").groupBy("query_id", "token", "file_id").agg(F.sum("tf").alias("tf"))
 
 
-def bm25(matches: DataFrame, postings: DataFrame, top: int = CANDIDATES) -> DataFrame:
-    """(query_id, file_id, score): Okapi scores, the best `top` of each query."""
+def spellings(criteria: DataFrame) -> DataFrame:
+    """(query_id, terms) -> (query_id, scope, alternative, token, n): every wording of every term, cut into its n tokens.
+
+    `person:`, `face:` and `of:` hold a term to the people field (its scope; others have none).
+    """
+    said = criteria.select("query_id", F.explode(F.array_distinct("terms")).alias("said"))
+    scoped = F.lower(F.substring_index("said", ":", 1)).isin(PEOPLE_SCOPES) & F.contains("said", F.lit(":"))
+    value = F.when(scoped, F.expr("substring(said, instr(said, ':') + 1)")).otherwise(F.col("said"))
+    terms = said.select("query_id", F.when(scoped, "people").otherwise("").alias("scope"), F.lower(value).alias("term")).distinct()
+    wording = terms.join(expand_terms(terms), "term").select("query_id", "scope", F.col("variant").alias("alternative")).distinct()
+    cut = F.array_distinct(tokens(F.col("alternative"), fold=True))
+    return wording.select("query_id", "scope", "alternative", F.explode(cut).alias("token"), F.size(cut).alias("n"))
+
+
+def match_terms(criteria: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, token, file_id, tf) of the files that a query's terms match, by prefix: all tokens of a wording
+    anywhere in the file, any wording of any term. A token held to the people field is named people:token."""
+    wanted = spellings(criteria)
+    open_ = match_prefix(wanted.where("scope = ''"), postings).withColumn("scope", F.lit(""))
+    people = match_prefix(wanted.where("scope <> ''"), postings.where("field = 'people'")).withColumn("scope", F.lit("people"))
+    hits = wanted.join(open_.unionByName(people), ["query_id", "scope", "token"])
+    whole = hits.groupBy("query_id", "scope", "alternative", "file_id").agg(
+        F.first("n").alias("n"), F.collect_list(F.struct("token", "tf")).alias("found")
+    )
+    met = whole.where(F.size("found") == F.col("n")).select("query_id", "scope", "file_id", F.inline("found"))
+    name = F.when(F.col("scope") == "", F.col("token")).otherwise(F.concat_ws(":", "scope", "token"))
+    return met.select("query_id", name.alias("token"), "file_id", "tf").distinct()
+
+
+def bm25(matches: DataFrame, postings: DataFrame, top: int = CANDIDATES, admit: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """(query_id, file_id, score): Okapi scores, the best `top` of each query that `admit` lets pass."""
     lengths = postings.groupBy("file_id").agg(F.sum("tf").alias("dl"))
     corpus = lengths.agg(F.avg("dl").alias("avgdl"), F.count(F.lit(1)).alias("n"))
     df = matches.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("df"))
@@ -140,7 +172,7 @@ def bm25(matches: DataFrame, postings: DataFrame, top: int = CANDIDATES) -> Data
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "file_id").agg(F.round(F.sum(part), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_id")
-    return scored.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top).drop("rn")
+    return admit(scored).withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= top).drop("rn")
 
 
 def normalise_rank(scored: DataFrame) -> DataFrame:
@@ -187,30 +219,48 @@ def passes(now: Column) -> Column:
     )
 
 
+def only_tag(criteria: DataFrame, file_tags: DataFrame) -> DataFrame:
+    """(query_id, only) of the queries that name exactly one known tag. It is a filter; several tags only add."""
+    named = criteria.select("query_id", F.explode(F.array_distinct("tags")).alias("only"))
+    known = file_tags.select(F.lower("tag").alias("only")).distinct()
+    return named.join(known, "only").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("only").alias("only")).where("n = 1").drop("n")
+
+
+def admitted(rows: DataFrame, criteria: DataFrame, files: DataFrame, file_tags: DataFrame, now: Column) -> DataFrame:
+    """The rows (query_id, file_id, ...) whose file passes the query's filters, a single tag among them."""
+    asked = criteria.select("query_id", "kinds", "since_days", "favorites").join(only_tag(criteria, file_tags), "query_id", "left")
+    facts = files.select("file_id", "kind", "created_at", "favorite", "index_state")
+    held = file_tags.select("file_id", F.lower("tag").alias("only"), F.lit(True).alias("held")).distinct()
+    passed = rows.join(asked, "query_id").join(facts, "file_id").where(passes(now)).join(held, ["file_id", "only"], "left")
+    return passed.where("only is null or held").select(*rows.columns)
+
+
 def coverage(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, file_id, terms) -> covered share of terms in the written fields, and adjacent pairs found adjacent."""
-    fields = ["description", "title", "ocr_text", "label", "tags"]
-    text = F.regexp_replace(F.lower(F.concat_ws(" ", *fields)), r"[^\p{L}\p{N}]+", " ")
-    written = docs.select("file_id", F.concat(F.lit(" "), text, F.lit(" ")).alias("line"))
-    rows = pairs.join(written, "file_id")
-    rows = rows.withColumn("wanted", F.transform(F.flatten(F.transform("terms", lambda t: tokens(t))), lambda t: stem(t)))
+    """(query_id, file_id, terms) -> share of the terms that the written fields hold, by stem, by a prefix of three
+    bytes or by another name, and the number of neighbouring terms that stand side by side. Terms with a colon are skipped."""
+    text = F.concat_ws(" ", "description", "title", "ocr_text", "label", "tags")
+    line = F.array_join(F.transform(tokens(text), stem), " ")
+    written = docs.select("file_id", F.concat(F.lit(" "), line, F.lit(" ")).alias("line"))
+    names = synonym_table(docs.sparkSession).groupBy("base").agg(F.collect_set(stem(F.col("name"))).alias("names"))
+    # one row that holds the whole fixed table
+    table = names.agg(F.map_from_entries(F.collect_list(F.struct("base", "names"))).alias("others"))
+    plain = F.filter("terms", lambda t: ~t.contains(":"))
+    rows = pairs.join(written, "file_id").crossJoin(F.broadcast(table)).withColumn("wanted", F.transform(plain, stem))
     gap, line = F.lit(" "), F.col("line")
 
-    def occurs(t: Column) -> Column:
-        """The stem begins a word (short stems: is one), or is the y of an -ies."""
-        ies = t.endswith("y") & line.contains(F.concat(gap, F.substring(t, F.lit(1), F.length(t) - 1), F.lit("ies ")))
-        return line.contains(F.concat(gap, t, F.when(F.length(t) < 3, " ").otherwise(""))) | ies
+    def holds(t: Column) -> Column:
+        begins = line.contains(F.concat(gap, t, F.when(F.octet_length(t) < 3, " ").otherwise("")))
+        other = F.exists(F.try_element_at("others", t), lambda o: line.contains(F.concat(gap, o, gap)))
+        return (t.rlike(r"^[\p{L}\p{N}]+$") & begins) | F.coalesce(other, F.lit(False))
 
-    found = F.filter("wanted", occurs)
+    rows = rows.withColumn("found", F.transform("wanted", lambda t: F.struct(t.alias("t"), holds(t).alias("hit"))))
     rest = F.greatest(F.size("wanted") - 1, F.lit(0))
-    pairs_of = F.arrays_zip(F.slice("wanted", 1, rest).alias("a"), F.slice("wanted", 2, rest).alias("b"))
-    together = F.filter(
-        pairs_of,
-        lambda p: line.contains(F.concat(gap, p["a"], gap, p["b"])) | line.contains(F.concat(gap, p["a"], F.lit("s "), p["b"])),
-    )
+    neighbours = F.arrays_zip(F.slice("found", 1, rest).alias("a"), F.slice("found", 2, rest).alias("b"))
+    together = F.filter(neighbours, lambda p: p["a"]["hit"] & p["b"]["hit"] & line.contains(F.concat(gap, p["a"]["t"], gap, p["b"]["t"], gap)))
     return rows.select(
         "query_id", "file_id",
-        (F.size(found) / F.greatest(F.size("wanted"), F.lit(1))).alias("covered"), F.size(together).alias("together"),
+        (F.size(F.filter("found", lambda f: f["hit"])) / F.greatest(F.size("wanted"), F.lit(1))).alias("covered"),
+        F.size(together).alias("together"),
     )
 
 
@@ -221,14 +271,14 @@ def classify_match(rows: DataFrame) -> DataFrame:
     return rows.withColumn("match", ladder.when(any_in("folder"), "folder").when(any_in("ocr_text"), "text").otherwise("semantic"))
 
 
-def fuse(candidates: DataFrame, criteria: DataFrame, docs: DataFrame, files: DataFrame, now: Column, near: DataFrame | None = None) -> DataFrame:
+def fuse(candidates: DataFrame, criteria: DataFrame, docs: DataFrame, files: DataFrame, file_tags: DataFrame, now: Column, near: DataFrame | None = None) -> DataFrame:
     """Final scores of (query_id, file_id, base): names, tags, coverage, likeness and recency added; filters applied."""
     rows = candidates
     if near is not None:  # vector hits join the candidates; a hit by vector alone starts at 0.35
         rows = rows.join(near.select("query_id", "file_id", "similarity"), ["query_id", "file_id"], "full_outer")
     else:
         rows = rows.withColumn("similarity", F.lit(0.0))
-    rows = rows.join(criteria.drop("tags"), "query_id").join(files.select("file_id", "kind", "created_at", "favorite", "index_state"), "file_id").where(passes(now))
+    rows = admitted(rows, criteria, files, file_tags, now).join(criteria.select("query_id", "terms"), "query_id").join(files.select("file_id", "created_at"), "file_id")
     rows = rows.join(coverage(rows.select("query_id", "file_id", "terms"), docs), ["query_id", "file_id"], "left")
     rows = classify_match(rows.join(docs.select("file_id", "name", "tags", "project", "folder", "ocr_text"), "file_id"))
     days = (F.unix_timestamp(now) - F.unix_timestamp("created_at")) / 86400
@@ -249,10 +299,11 @@ def search_batch(queries: DataFrame, files: DataFrame, docs: DataFrame, file_tag
     """(query_id, file_id, score, match, total, place): the best 200 of every query, total counted before the cut."""
     criteria = interpret_queries(queries)
     postings = built_once(build_postings(docs))
-    wanted = criteria.select("query_id", F.explode(F.flatten(F.transform("terms", lambda t: tokens(t, fold=True)))).alias("token"))
-    ranked = normalise_rank(bm25(match_prefix(wanted, postings), postings)).select("query_id", "file_id", "base")
+    matches = match_terms(criteria, postings)
+    scored = bm25(matches, postings, admit=lambda d: admitted(d, criteria, files, file_tags, now))
+    ranked = normalise_rank(scored).select("query_id", "file_id", "base")
     parts = [ranked, substring_fallback(criteria, ranked, docs), tag_only_hits(criteria, file_tags), filter_only_hits(criteria, files, now)]
-    found = fuse(reduce(DataFrame.unionByName, parts), criteria, docs, files, now, near)
+    found = fuse(reduce(DataFrame.unionByName, parts), criteria, docs, files, file_tags, now, near)
     w = Window.partitionBy("query_id")
     place = F.row_number().over(w.orderBy(F.desc("score"), "file_id"))
     out = found.withColumns({"total": F.count(F.lit(1)).over(w), "place": place}).where(F.col("place") <= RESULTS)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import snippet, tokens
+
 QUERY_BLOCK = 512
 
 
@@ -141,48 +143,66 @@ def choose_modality(files: DataFrame, pictures: DataFrame, texts: DataFrame, pic
     return j.select("file_id", modality.alias("modality"), F.when(use, F.col("__p")).when(modality == "text", F.col("__t")).alias("embedding"))
 
 
-def related(files: DataFrame, file_tags: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """(target, file_id, score): shared tags, word overlap of titles, folder, project and nearness in time.
+def _beside(full: DataFrame, targets: DataFrame) -> DataFrame:
+    """Each target (columns t_*) beside every other row of `full`, in blocks: the stated targets against all rows.
 
-    Candidates come from equal keys (tag, word, project, day), never from all pairs.
+    Spark pairs partitions of the rows with the targets, or with partitions of them where they are too many to send.
     """
-    base = files.where("index_state <> 'missing'").select("file_id", "folder_id", "project_id", "created_at", F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) > 3)).alias("words"))
-    tags = file_tags.groupBy("file_id").agg(F.collect_set("tag").alias("tags"))
-    full = base.join(tags, "file_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    keys = full.select("file_id", F.explode(F.array_distinct(F.concat(
-        F.transform("words", lambda w: F.concat(F.lit("w:"), w)),
-        F.array(F.concat(F.lit("d:"), F.to_date("created_at").cast("string"))),
-        F.when(F.col("project_id").isNotNull(), F.array(F.concat(F.lit("p:"), "project_id"))).otherwise(F.array().cast("array<string>")),
-    ))).alias("key"))
-    mine = keys.join(targets.select("file_id"), "file_id", "left_semi").select(F.col("file_id").alias("target"), "key")
-    pairs = mine.join(keys, "key").where("target <> file_id").select("target", "file_id").distinct()
-    t = full.select(*[F.col(c).alias(f"t_{c}") for c in full.columns])
-    j = pairs.join(full, "file_id").join(t, F.col("target") == F.col("t_file_id"))
-    both = F.size(F.array_intersect("words", "t_words"))
-    union = F.size(F.array_union("words", "t_words"))
+    t = full.join(targets.select("file_id").distinct(), "file_id", "left_semi").select(*[F.col(c).alias(f"t_{c}") for c in full.columns])
+    return full.join(t, F.col("file_id") != F.col("t_file_id"))
+
+
+def _set_of(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(file_id, name): the hashes of a file's different values."""
+    return rows.groupBy("file_id").agg(F.collect_set(F.xxhash64(column)).alias(name))
+
+
+def _same(column: str) -> Column:
+    return F.coalesce(F.col(column) == F.col(f"t_{column}"), F.lit(False))
+
+
+def related(files: DataFrame, file_tags: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(target, file_id, score, place, reason, snippet): shared tags, overlap of the texts' words of over three bytes,
+    folder, project and nearness in time. Words and tags are compared by their 64-bit hashes."""
+    none = F.array().cast("array<long>")
+    words = F.array_distinct(F.transform(F.filter(tokens(F.col("ocr_text")), lambda w: F.octet_length(w) > 3), lambda w: F.xxhash64(w)))
+    base = files.where("index_state <> 'missing'").select("file_id", "folder_id", "project_id", "created_at", words.alias("words"))
+    full = base.join(_set_of(file_tags, "tag", "tags"), "file_id", "left").withColumn("tags", F.coalesce("tags", none))
+    shared = F.size(F.array_intersect("tags", "t_tags"))
+    common = F.size(F.array_intersect("words", "t_words"))
     days = F.abs(F.unix_timestamp("created_at") - F.unix_timestamp("t_created_at")) / 86400
+    met = _beside(full, targets).select(
+        F.col("t_file_id").alias("target"), "file_id", shared.alias("shared"), F.size("t_tags").alias("n_tags"), common.alias("common"),
+        (F.size("words") + F.size("t_words")).alias("n_words"), _same("folder_id").alias("folder"), _same("project_id").alias("project"), days.alias("days"),
+    )
     score = (
-        0.45 * F.size(F.array_intersect("tags", "t_tags")) / F.greatest(F.size("t_tags"), F.lit(1))
-        + 0.4 * F.when(union > 0, both / union).otherwise(0.0)
-        + F.when(F.col("folder_id") == F.col("t_folder_id"), 0.12).otherwise(0.0)
-        + F.when(F.col("project_id") == F.col("t_project_id"), 0.18).otherwise(0.0)
-        + F.when(days < 1, 0.10).when(days < 7, 0.04).otherwise(0.0)
+        0.45 * F.col("shared") / F.greatest("n_tags", F.lit(1))
+        + 0.4 * F.col("common") / F.greatest(F.col("n_words") - F.col("common"), F.lit(1))
+        + F.when(F.col("folder"), 0.12).otherwise(0.0)
+        + F.when(F.col("project"), 0.18).otherwise(0.0)
+        + F.when(F.col("days") < 1, 0.10).when(F.col("days") < 7, 0.04).otherwise(0.0)
     )
-    scored = j.select("target", "file_id", F.round(F.least(score, F.lit(1.0)), 6).alias("score")).where("score > 0.05")
+    reason = F.when(F.col("project"), "project").when(F.col("shared") > 0, "tag").when(F.col("folder"), "folder").otherwise("text")
+    scored = met.select("target", "file_id", F.round(F.least(score, F.lit(1.0)), 6).alias("score"), reason.alias("reason")).where("score > 0.05")
     place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "file_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    best = scored.withColumn("place", place).where(F.col("place") <= k)
+    texts = files.select("file_id", F.col("ocr_text").alias("text"))
+    asked = F.filter(tokens(F.col("t_text")), lambda w: F.octet_length(w) > 3)
+    both = best.join(texts, "file_id").join(texts.toDF("target", "t_text"), "target")
+    return both.select("target", "file_id", "score", "place", "reason", snippet(F.col("text"), F.array_distinct(asked), 120).alias("snippet"))
 
 
 def related_simple(files: DataFrame, file_tags: DataFrame, members: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """2 per shared tag, 1.5 for a shared collection, 0.75 folder, 0.4 kind; candidates share a collection or project."""
-    m = members.select("file_id", "collection_id")
-    mine = m.join(targets.select("file_id"), "file_id", "left_semi").withColumnRenamed("file_id", "target")
-    pairs = mine.join(m, "collection_id").where("target <> file_id").select("target", "file_id").distinct()
-    tags = file_tags.select("file_id", "tag").distinct()
-    shared = pairs.join(tags, "file_id").join(tags.select(F.col("file_id").alias("target"), "tag"), ["target", "tag"]).groupBy("target", "file_id").agg(F.count(F.lit(1)).alias("shared"))
-    f, t = files.select("file_id", "folder_id", "kind"), files.select(F.col("file_id").alias("target"), F.col("folder_id").alias("tf"), F.col("kind").alias("tk"))
-    j = pairs.join(shared, ["target", "file_id"], "left").join(f, "file_id").join(t, "target")
-    score = 2.0 * F.coalesce("shared", F.lit(0)) + 1.5 + F.when(F.col("folder_id") == F.col("tf"), 0.75).otherwise(0.0) + F.when(F.col("kind") == F.col("tk"), 0.4).otherwise(0.0)
-    scored = j.select("target", "file_id", score.alias("score"))
+    """(target, file_id, score, place): 2 per shared tag, 1.5 for a shared collection, 0.75 folder, 0.4 kind."""
+    none = F.array().cast("array<long>")
+    full = files.select("file_id", "folder_id", "kind").join(_set_of(file_tags, "tag", "tags"), "file_id", "left")
+    full = full.join(_set_of(members, "collection_id", "groups"), "file_id", "left").withColumns({c: F.coalesce(c, none) for c in ("tags", "groups")})
+    score = (
+        2.0 * F.size(F.array_intersect("tags", "t_tags"))
+        + F.when(F.arrays_overlap("groups", "t_groups"), 1.5).otherwise(0.0)
+        + F.when(_same("folder_id"), 0.75).otherwise(0.0)
+        + F.when(_same("kind"), 0.4).otherwise(0.0)
+    )
+    scored = _beside(full, targets).select(F.col("t_file_id").alias("target"), "file_id", score.alias("score")).where("score > 0")
     place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "file_id"))
     return scored.withColumn("place", place).where(F.col("place") <= k)

@@ -162,10 +162,29 @@ def _asked(c):
     return c.table("benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.transform(long, lambda x: x["w"]), " ").alias("raw"))
 
 
-_MATCH = _POST + f""", asked AS (
-  SELECT item_id::VARCHAR AS query_id, unnest(list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda x: x.w)) AS token FROM benchmark
+def _terms(c):
+    """The same words as terms, the item's first two words as a phrase, and its longest word as a person's name."""
+    words = X.tokens(F.col("text"), fold=True)
+    asked = _asked(c).select("query_id", F.filter(F.split("raw", " "), lambda w: w != "").alias("long"))
+    phrase = F.when(F.size(words) > 1, F.array(F.array_join(F.slice(words, 1, 2), " "))).otherwise(F.array().cast("array<string>"))
+    pairs = c.table("benchmark").select(F.col("item_id").cast("string").alias("query_id"), phrase.alias("phrase"))
+    named = F.transform(F.slice("long", 1, 1), lambda w: F.concat(F.lit("Person:"), w))
+    return asked.join(pairs, "query_id").select("query_id", F.concat("long", "phrase", named).alias("terms"))
+
+
+_MATCH = _POST + f""", syn(w, name) AS (VALUES {_SYN}), base AS (SELECT DISTINCT {STEM} AS base, name FROM syn), asked AS (
+  SELECT item_id::VARCHAR AS query_id, {toks('text')} AS t, list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda x: x.w) AS l FROM benchmark
+), said AS (SELECT query_id, '' AS scope, unnest(l) AS w FROM asked UNION SELECT query_id, 'people', l[1] FROM asked WHERE len(l) > 0
+), spelt AS (SELECT *, {STEM} AS b FROM said
+), alts AS (
+  SELECT query_id, scope, w AS alternative FROM spelt UNION SELECT query_id, scope, b FROM spelt UNION SELECT query_id, scope, b || 's' FROM spelt WHERE b NOT LIKE '%s'
+  UNION SELECT query_id, scope, name FROM spelt JOIN base ON b = base UNION SELECT query_id, '', t[1] || ' ' || t[2] FROM asked WHERE len(t) > 1
+), wanted AS (SELECT *, unnest(list_distinct(string_split(alternative, ' '))) AS token, len(list_distinct(string_split(alternative, ' '))) AS n FROM alts
+), hit AS (SELECT query_id, scope, token, file_id, sum(tf) AS tf FROM (SELECT DISTINCT query_id, scope, token FROM wanted) JOIN postings ON starts_with(term, token) WHERE scope IN ('', field) GROUP BY ALL
+), good AS (SELECT query_id, scope, alternative, file_id FROM wanted JOIN hit USING (query_id, scope, token) GROUP BY query_id, scope, alternative, file_id, n HAVING count(*) = n
 ), matches AS (
-  SELECT query_id, token, file_id, sum(tf) AS tf FROM asked JOIN postings ON starts_with(term, token) GROUP BY ALL
+  SELECT DISTINCT query_id, CASE WHEN scope = '' THEN token ELSE scope || ':' || token END AS token, file_id, tf
+  FROM good JOIN wanted USING (query_id, scope, alternative) JOIN hit USING (query_id, scope, token, file_id)
 )"""
 _RANK = _MATCH + f""", dl AS (SELECT file_id, sum(tf) AS dl FROM postings GROUP BY 1), corpus AS (SELECT avg(dl) AS avgdl, count(*) AS n FROM dl),
 df AS (SELECT query_id, token, count(*) AS df FROM matches GROUP BY ALL), ranked AS (
@@ -178,14 +197,12 @@ based AS (SELECT query_id, file_id, score, 0.45 + 0.5 * (1 - (max(score) OVER w
 
 def _ranked(c):
     postings = S.built_once(S.build_postings(_docs(c)))
-    wanted = _asked(c).select("query_id", F.explode(F.split("raw", " ")).alias("token"))
-    return S.bm25(S.match_prefix(wanted, postings), postings)
+    return S.bm25(S.match_terms(_terms(c), postings), postings)
 
 
 @query("t8_match_prefix", _MATCH + " SELECT query_id, token, file_id, tf::BIGINT AS tf FROM matches")
 def t8(c):
-    wanted = _asked(c).select("query_id", F.explode(F.split("raw", " ")).alias("token"))
-    return S.match_prefix(wanted, S.built_once(S.build_postings(_docs(c))))
+    return S.match_terms(_terms(c), S.built_once(S.build_postings(_docs(c))))
 
 
 @query("t9_bm25", _RANK + "SELECT query_id, file_id, round(score, 5) AS score FROM best")
@@ -232,6 +249,15 @@ def t16(c):
     return S.search_batch(_asked(c), c.files, _docs(c), c.file_tags, c.now)
 
 
+@query("t15_fuse_and_rerank")
+def t15(c):
+    """Every hundredth file's title as a query, with the vectors nearest to the file's own."""
+    asked = c.files.where("file_id % 100 = 0").select(F.col("file_id").cast("string").alias("query_id"), F.col("title").alias("raw"))
+    own = _index(c).where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    near = V.knn(own, _index(c), 60).select(F.col("query_id").cast("string").alias("query_id"), F.col("id").alias("file_id"), F.col("score").alias("similarity"))
+    return S.search_batch(asked, c.files, _docs(c), c.file_tags, c.now, near)
+
+
 @query("a15_hit_breakdown")
 def a15(c):
     return S.hit_breakdown(S.search_batch(_asked(c), c.files, _docs(c), c.file_tags, c.now))
@@ -327,30 +353,33 @@ def v8(c):
     return V.choose_modality(c.files, vec.where("file_id % 2 = 0"), vec.where("file_id % 3 = 0"), True).select("file_id", "modality")
 
 
+_TAGSET = "coalesce((SELECT list(DISTINCT tag) FROM file_tags t WHERE t.file_id = f.file_id), []) AS tags"
+
+
 @query(
     "r1_related",
-    f", b AS (SELECT file_id, folder_id, project_id, created_at, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) > 3)) AS words,"
-    " coalesce((SELECT list(DISTINCT tag) FROM file_tags t WHERE t.file_id = f.file_id), []) AS tags FROM files f WHERE index_state <> 'missing'),"
-    " s AS (SELECT t.file_id AS target, o.file_id, round(least(0.45 * len(list_intersect(o.tags, t.tags)) / greatest(len(t.tags), 1)"
-    " + 0.4 * CASE WHEN len(list_distinct(list_concat(o.words, t.words))) > 0 THEN len(list_intersect(o.words, t.words)) / len(list_distinct(list_concat(o.words, t.words))) ELSE 0 END"
-    " + CASE WHEN o.folder_id = t.folder_id THEN 0.12 ELSE 0 END + CASE WHEN o.project_id = t.project_id THEN 0.18 ELSE 0 END"
-    " + CASE WHEN abs(epoch(o.created_at) - epoch(t.created_at)) < 86400 THEN 0.1 WHEN abs(epoch(o.created_at) - epoch(t.created_at)) < 604800 THEN 0.04 ELSE 0 END, 1), 6) AS score"
-    " FROM b t JOIN b o ON t.file_id <> o.file_id AND (len(list_intersect(o.words, t.words)) > 0 OR o.project_id = t.project_id OR o.created_at::DATE = t.created_at::DATE) WHERE t.file_id % 100 = 0),"
-    " r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, file_id) AS place FROM s WHERE score > 0.05) SELECT target, file_id, score FROM r WHERE place <= 12",
+    f", b AS (SELECT file_id, folder_id, project_id, created_at, list_distinct(list_filter({toks('ocr_text', False)}, lambda w: strlen(w) > 3)) AS words, {_TAGSET}"
+    " FROM files f WHERE index_state <> 'missing'), m AS (SELECT t.file_id AS target, o.file_id, len(list_intersect(o.tags, t.tags)) AS shared, len(t.tags) AS n_tags,"
+    " len(list_intersect(o.words, t.words)) AS common, len(o.words) + len(t.words) AS n_words, coalesce(o.folder_id = t.folder_id, false) AS folder, coalesce(o.project_id = t.project_id, false) AS project,"
+    " abs(epoch(o.created_at) - epoch(t.created_at)) / 86400 AS days FROM b t JOIN b o ON t.file_id <> o.file_id WHERE t.file_id % 100 = 0),"
+    " s AS (SELECT *, round(least(0.45 * shared / greatest(n_tags, 1) + 0.4 * common / greatest(n_words - common, 1) + CASE WHEN folder THEN 0.12 ELSE 0 END + CASE WHEN project THEN 0.18 ELSE 0 END"
+    " + CASE WHEN days < 1 THEN 0.1 WHEN days < 7 THEN 0.04 ELSE 0 END, 1), 6) AS score FROM m),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, file_id) AS place FROM s WHERE score > 0.05) SELECT target, file_id, score,"
+    " CASE WHEN project THEN 'project' WHEN shared > 0 THEN 'tag' WHEN folder THEN 'folder' ELSE 'text' END AS reason FROM r WHERE place <= 12",
 )
 def r1(c):
-    return V.related(c.files, c.file_tags, c.files.where("file_id % 100 = 0"), 12).select("target", "file_id", "score")
+    return V.related(c.files, c.file_tags, c.files.where("file_id % 100 = 0"), 12).select("target", "file_id", "score", "reason")
 
 
 @query(
     "r2_related_simple",
-    ", s AS (SELECT DISTINCT a.file_id AS target, b.file_id FROM file_collections a JOIN file_collections b ON a.collection_id = b.collection_id AND a.file_id <> b.file_id),"
-    " k AS (SELECT target, s.file_id, 2.0 * (SELECT count(DISTINCT x.tag) FROM file_tags x JOIN file_tags y ON x.tag = y.tag WHERE x.file_id = s.file_id AND y.file_id = target) + 1.5"
-    " + CASE WHEN f.folder_id = t.folder_id THEN 0.75 ELSE 0 END + CASE WHEN f.kind = t.kind THEN 0.4 ELSE 0 END AS score FROM s JOIN files f ON f.file_id = s.file_id JOIN files t ON t.file_id = target),"
-    " r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, file_id) AS place FROM k) SELECT target, file_id, round(score, 6)::DOUBLE AS score FROM r WHERE place <= 5",
+    f", b AS (SELECT file_id, folder_id, kind, {_TAGSET}, coalesce((SELECT list(DISTINCT collection_id) FROM file_collections m WHERE m.file_id = f.file_id), []) AS groups FROM files f),"
+    " k AS (SELECT t.file_id AS target, o.file_id, 2.0 * len(list_intersect(o.tags, t.tags)) + CASE WHEN len(list_intersect(o.groups, t.groups)) > 0 THEN 1.5 ELSE 0 END"
+    " + CASE WHEN o.folder_id = t.folder_id THEN 0.75 ELSE 0 END + CASE WHEN o.kind = t.kind THEN 0.4 ELSE 0 END AS score FROM b t JOIN b o ON t.file_id <> o.file_id WHERE t.file_id % 100 = 0),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, file_id) AS place FROM k WHERE score > 0) SELECT target, file_id, round(score, 6)::DOUBLE AS score FROM r WHERE place <= 12",
 )
 def r2(c):
-    return V.related_simple(c.files, c.file_tags, c.file_collections, c.file_collections.select("file_id").distinct(), 5).select("target", "file_id", F.round("score", 6).alias("score"))
+    return V.related_simple(c.files, c.file_tags, c.file_collections, c.files.where("file_id % 100 = 0"), 12).select("target", "file_id", F.round("score", 6).alias("score"))
 
 
 # Labels
