@@ -25,18 +25,34 @@ def diff_scan(known: DataFrame, observed: DataFrame) -> DataFrame:
     return k.join(o, ["folder_id", "path"], "full_outer").withColumn("change", change)
 
 
-def apply_scan(files: DataFrame, diff: DataFrame, now: Column) -> DataFrame:
-    """The files after a scan: states follow the change; a changed file remembers what time it had."""
-    c = diff.where("file_id is not null").select("file_id", "change", "new_hash")
-    moved = F.col("change").isin("changed", "returned")
-    return files.join(c, "file_id", "left").withColumns(
-        {
-            "previous_modified_at": F.when(F.col("change") == "changed", F.col("modified_at")),
-            "index_state": F.when(F.col("change") == "missing", "missing").when(moved, "pending").otherwise(F.col("index_state")),
-            "hash": F.coalesce("new_hash", "hash"),
-            "indexed_at": now,
-        }
-    )
+#: What a scan says of a file, and what a known file takes over from it.
+SCANNED = ["name", "ext", "kind", "bytes", "folder_path", "modified_at", "hash"]
+
+
+def apply_scan(files: DataFrame, diff: DataFrame, observed: DataFrame, now: Column) -> DataFrame:
+    """The files after a scan, one row per known or added file.
+
+    `observed`: folder_id, path, `SCANNED`, created_at, supported; `diff`: of both. Known files take the scan's
+    metadata and keep id, created_at and all else; one whose hash moved remembers the time it had (a time not yet
+    captured stays). Indexed and unsupported files of equal hash keep their state, others start again.
+    """
+    key = ["folder_id", "path"]
+    new = observed.select(*key, *[F.col(x).alias(f"__{x}") for x in [*SCANNED, "created_at", "supported"]], F.lit(True).alias("__seen"))
+    known = files if "previous_modified_at" in files.columns else files.withColumn("previous_modified_at", F.lit(None).cast("timestamp"))
+    rows = known.join(diff.select(*key, "change"), key, "full_outer").join(new, key, "left")
+    seen, old = F.col("__seen").isNotNull(), F.col("file_id").isNotNull()
+    moved = old & seen & ~F.col("hash").eqNullSafe(F.col("__hash"))
+    settled = old & ~moved & F.col("index_state").isin("indexed", "unsupported")
+    fresh = F.when(F.col("__supported"), "pending").otherwise("unsupported")
+    after = {x: F.when(seen, F.col(f"__{x}")).otherwise(F.col(x)) for x in SCANNED}
+    after |= {
+        "file_id": F.coalesce("file_id", F.xxhash64(*key)),
+        "created_at": F.coalesce("created_at", "__created_at"),
+        "previous_modified_at": F.when(moved, F.col("modified_at")).otherwise(F.col("previous_modified_at")),
+        "index_state": F.when(F.col("change") == "missing", "missing").when(~seen | settled, F.col("index_state")).otherwise(fresh),
+    }
+    out = rows.select(*[after.get(x, F.col(x)).alias(x) for x in known.columns], "change")
+    return out.withColumn("indexed_at", now)
 
 
 def mark_missing(files: DataFrame, seen: DataFrame) -> DataFrame:
@@ -172,6 +188,11 @@ def capture_changes(files: DataFrame, previews: DataFrame) -> DataFrame:
     )
 
 
+def clear_captured(files: DataFrame) -> DataFrame:
+    """The files after their changes were captured or found without a new preview: each marker counts once."""
+    return files.withColumn("previous_modified_at", F.lit(None).cast("timestamp"))
+
+
 def capture_manual(files: DataFrame, ids: DataFrame) -> DataFrame:
     return files.join(ids, "file_id", "left_semi").select("file_id", "path", "bytes", F.col("modified_at").alias("content_at"), F.lit("manual").alias("source"))
 

@@ -95,6 +95,30 @@ def resolve_rules(files: DataFrame, file_tags: DataFrame, rules: DataFrame, now:
     return rows.join(F.broadcast(rules), match).select("rule_id", "file_id")
 
 
+# The built-in smart collections, by kind or by tag.
+BUILT_IN_KINDS = {"Screenshots": "screenshot", "Documents": "document", "Videos": "video"}
+BUILT_IN_TAGS = {
+    "Code": "code react javascript typescript python rust java sql html css shell terminal error dashboard spreadsheet",
+    "UI Designs": "ui design dashboard chart logo",
+    "Receipts": "receipt invoice ticket",
+    "Presentations": "presentation slide",
+    "Wallpapers": "wallpaper",
+    "People": "person portrait selfie group baby crowd",
+    "Games": "game",
+    "Meme": "meme",
+    "Products": "product",
+}
+
+
+def builtin_collections(existing: DataFrame) -> DataFrame:
+    """(rule_id, kinds, tags, days, favorites_only) of the twelve built-in rules whose name, in any case, isn't in
+    `existing` (name) yet; they feed `resolve_rules`."""
+    rows = [(n, [k], [], None, False) for n, k in BUILT_IN_KINDS.items()] + [(n, [], t.split(), None, False) for n, t in BUILT_IN_TAGS.items()]
+    schema = "rule_id string, kinds array<string>, tags array<string>, days int, favorites_only boolean"
+    rules = existing.sparkSession.createDataFrame(rows, schema)
+    return rules.join(existing.select(F.lower("name").alias("low")).distinct(), F.lower("rule_id") == F.col("low"), "left_anti")
+
+
 def hero_candidates(files: DataFrame, n: int = 8) -> DataFrame:
     """Landscape photos nearest 1.6:1, else any photo by area, else designs and videos by date."""
     ratio = F.col("width") / F.col("height")

@@ -147,9 +147,10 @@ def _beside(full: DataFrame, targets: DataFrame) -> DataFrame:
     """Each target (columns t_*) beside every other row of `full`, in blocks: the stated targets against all rows.
 
     Spark pairs partitions of the rows with the targets, or with partitions of them where they are too many to send.
+    The rows are dealt anew first, as a few large input splits would leave most cores idle.
     """
     t = full.join(targets.select("file_id").distinct(), "file_id", "left_semi").select(*[F.col(c).alias(f"t_{c}") for c in full.columns])
-    return full.join(t, F.col("file_id") != F.col("t_file_id"))
+    return full.repartition("file_id").join(t, F.col("file_id") != F.col("t_file_id"))
 
 
 def _set_of(rows: DataFrame, column: str, name: str) -> DataFrame:

@@ -75,12 +75,19 @@ def c2(c):
                           X.is_processable(e).alias("processable"), X.extension(F.col("path")).alias("extension"))
 
 
-def _scan(c):
-    """Known files against a later look at the folders: some gone, some changed, some new."""
+def _observed(c):
+    """A later look at the folders: some files gone, some changed, some new."""
     i = F.col("file_id")
-    seen = c.files.where(i % 9 != 0).select("folder_id", "path", F.when(i % 8 == 0, F.concat("hash", F.lit("+"))).otherwise(F.col("hash")).alias("hash"))
-    new = c.files.where(i % 21 == 0).select("folder_id", F.concat("path", F.lit(".new")).alias("path"), "hash")
-    return C.diff_scan(c.files, seen.unionAll(new))
+    files = c.files.withColumn("supported", X.is_processable(F.col("ext")))
+    later = F.timestamp_seconds(F.unix_timestamp("modified_at") + 60)
+    altered = files.withColumns({"hash": F.concat("hash", F.lit("+")), "bytes": F.col("bytes") + 1, "modified_at": later})
+    seen = files.where((i % 9 != 0) & (i % 8 != 0)).unionByName(altered.where((i % 9 != 0) & (i % 8 == 0)))
+    new = files.where(i % 21 == 0).withColumn("path", F.concat("path", F.lit(".new")))
+    return seen.unionByName(new).select("folder_id", "path", *C.SCANNED, "created_at", "supported")
+
+
+def _scan(c):
+    return C.diff_scan(c.files, _observed(c))
 
 
 _SCAN = """, seen AS (
@@ -102,12 +109,17 @@ def c3(c):
 
 @query(
     "c4_apply_scan",
-    _SCAN + "SELECT f.file_id, CASE WHEN change = 'changed' THEN epoch(modified_at)::BIGINT END AS previous_modified_at,"
-    " CASE WHEN change = 'missing' THEN 'missing' WHEN change IN ('changed', 'returned') THEN 'pending' ELSE index_state END AS index_state"
-    " FROM files f LEFT JOIN diff USING (file_id)",
+    _SCAN + "SELECT coalesce(f.path, d.path) AS path, coalesce(f.bytes, n.bytes) + CASE WHEN change <> 'missing' AND f.file_id % 8 = 0 THEN 1 ELSE 0 END AS bytes,"
+    " epoch(coalesce(f.created_at, n.created_at))::BIGINT AS created_at,"
+    " epoch(coalesce(f.modified_at, n.modified_at))::BIGINT + CASE WHEN change <> 'missing' AND f.file_id % 8 = 0 THEN 60 ELSE 0 END AS modified_at,"
+    " CASE WHEN change <> 'missing' AND f.file_id % 8 = 0 THEN epoch(f.modified_at)::BIGINT END AS previous_modified_at,"
+    " CASE WHEN change = 'missing' THEN 'missing' WHEN f.file_id % 8 <> 0 AND f.index_state IN ('indexed', 'unsupported') THEN f.index_state"
+    " WHEN coalesce(f.ext, n.ext) IN ('fig', 'zip', 'xyz') THEN 'unsupported' ELSE 'pending' END AS index_state"
+    " FROM diff d LEFT JOIN files f USING (file_id) LEFT JOIN files n ON d.file_id IS NULL AND n.path || '.new' = d.path",
 )
 def c4(c):
-    return C.apply_scan(c.files, _scan(c), c.now).select("file_id", sec("previous_modified_at"), "index_state")
+    after = C.apply_scan(c.files, _scan(c), _observed(c), c.now)
+    return after.select("path", "bytes", sec("created_at"), sec("modified_at"), sec("previous_modified_at"), "index_state")
 
 
 @query("c5_mark_missing", "SELECT file_id, name FROM files WHERE file_id % 9 = 0")
@@ -328,11 +340,20 @@ def f6(c):
     return L.resolve_rules(c.files, c.file_tags, _rules(c), c.now)
 
 
-@query("f7_builtin_collections", "SELECT n AS name FROM (VALUES ('Documents'), ('Everything'), ('Kept'), ('Languages'), ('Late'), ('Screenshots'), ('Videos')) v(n)"
-       " WHERE lower(n) NOT IN (SELECT lower(kind) || 's' FROM files)")
+_BUILT = ", ".join([f"('{n}', ['{k}'], [])" for n, k in L.BUILT_IN_KINDS.items()] + [f"('{n}', [], {t.split()})" for n, t in L.BUILT_IN_TAGS.items()])
+
+
+@query(
+    "f7_builtin_collections",
+    f", r(name, kinds, tags) AS (VALUES {_BUILT}) SELECT name, (SELECT count(*) FROM files f WHERE {HERE} AND (list_contains(kinds, kind)"
+    " OR EXISTS (SELECT 1 FROM file_tags t WHERE t.file_id = f.file_id AND list_contains(tags, t.tag)))) AS files"
+    " FROM r WHERE lower(name) NOT IN (SELECT lower(kind) || 's' FROM files WHERE kind <> 'screenshot')",
+)
 def f7(c):
-    have = c.files.select(F.concat("kind", F.lit("s")).alias("name")).distinct()
-    return C.ensure_dimension(_rules(c).select(F.col("rule_id").alias("name")), have).select("name")
+    have = c.files.where("kind <> 'screenshot'").select(F.upper(F.concat("kind", F.lit("s"))).alias("name"))
+    rules = L.builtin_collections(have)
+    held = L.resolve_rules(c.files, c.file_tags, rules, c.now).groupBy("rule_id").agg(F.count(F.lit(1)).alias("files"))
+    return rules.join(held, "rule_id", "left").select(F.col("rule_id").alias("name"), F.coalesce("files", F.lit(0)).cast("long").alias("files"))
 
 
 @query(
@@ -486,10 +507,17 @@ def a16(c):
     return L.suggest_tags(c.files, c.file_tags).withColumn("rn", F.col("rn").cast("long"))
 
 
-@query("h1_capture_changes", _SCAN + "SELECT f.file_id, epoch(modified_at)::BIGINT AS content_at FROM files f JOIN diff USING (file_id) WHERE change = 'changed' AND f.file_id % 3 <> 0")
+@query(
+    "h1_capture_changes",
+    _SCAN + "SELECT f.file_id, epoch(modified_at)::BIGINT AS content_at, f.bytes + 1 AS bytes FROM files f JOIN diff USING (file_id)"
+    " WHERE change <> 'missing' AND f.file_id % 8 = 0 AND f.file_id % 3 <> 0",
+)
 def h1(c):
-    scanned = C.apply_scan(c.files, _scan(c), c.now)
-    return C.capture_changes(scanned, c.files.where("file_id % 3 <> 0")).select("file_id", sec("content_at"))
+    """Captured after a scan, and again once the markers are cleared, which adds nothing."""
+    scanned = C.apply_scan(c.files, _scan(c), _observed(c), c.now)
+    shown = c.files.where("file_id % 3 <> 0")
+    both = C.capture_changes(scanned, shown).unionAll(C.capture_changes(C.clear_captured(scanned), shown))
+    return both.select("file_id", sec("content_at"), "bytes")
 
 
 @query("h2_capture_manual", "SELECT file_id, epoch(modified_at)::BIGINT AS content_at, 'manual' AS source FROM files WHERE file_id IN (SELECT file_id FROM file_collections)")
