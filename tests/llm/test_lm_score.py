@@ -6,8 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from catalogspark.llm.bytesops import words
-from catalogspark.llm.lm_score import _BITS, DISCOUNT, Automaton, score_texts
+from catalogspark.llm.lm_score import DISCOUNT, pack, score_texts, unpack
 
 
 def tokens(text):
@@ -47,58 +46,74 @@ def test_base_counts_by_brute_force(spark):
         assert r.score < 0
 
 
-def model_of(texts, order):
-    """The automaton's arrays by plain counting, to drive it without Spark."""
-    c = Counter(t for x in texts for t in tokens(x)[:-1])
-    kept = sorted(w for w in c if c[w] >= 2)
-    hashes = words([" ".join(kept).encode()])[0]
-    n = sum(len(tokens(x)) for x in texts)
-    m = Automaton(hashes, np.array([c[w] for w in kept]), n, len(texts))
-    word_id = dict(zip(kept, m.ids(hashes).tolist())) | {None: 0}
-    grams = {1: {(word_id[t],): 1 for t in word_id}}
-    index = {(word_id[t],): word_id[t] for t in word_id}
-    for k in range(2, order + 1):
-        found = Counter()
-        for x in texts:
-            seq = [0] + [word_id.get(t, -1) for t in tokens(x)]
-            for j in range(k - 1, len(seq)):
-                if -1 not in seq[j - k + 1 : j + 1]:
-                    found[tuple(seq[j - k + 1 : j + 1])] += 1
-        kept_grams = {g: v for g, v in found.items() if v >= 2 and g[:-1] in index}
-        packed = sorted(((index[g[:-1]] << _BITS) | g[-1], v, g) for g, v in kept_grams.items())
-        m.keys.append(np.array([p[0] for p in packed], np.int64))
-        m.times.append(np.array([p[1] for p in packed], float))
-        grams[k] = kept_grams
-        index = {p[2]: i for i, p in enumerate(packed)}
-    m.compile()
-    return m, grams, word_id
-
-
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_traversal_equals_the_recursive_formula(order):
-    texts = [t for _, t in ROWS]
-    m, grams, word_id = model_of(texts, order)
-    uni = {0: len(texts)} | {i: int(m.counts[i]) for t, i in word_id.items() if t}
-    total = m.tokens
+def brute(rows, order, priors):
+    """log10 probability of each text whose words were all trained on, by the recursive formula; None for others."""
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    seqs = [["<start>", *tokens(t)] for t in train]
+    c = Counter()
+    for s in seqs:
+        for k in range(1, order + 1):
+            c.update(tuple(s[j - k + 1 : j + 1]) for j in range(max(1, k - 1), len(s)))
+    c[("<start>",)] = len(seqs)
+    total = sum(len(s) - 1 for s in seqs)
 
     def p(w, h):
         if not h:
-            return (uni[w] - DISCOUNT) / total
-        counts = grams[len(h) + 1]
-        context = uni[h[0]] if len(h) == 1 else grams[len(h)].get(h)
-        if context is None or h not in (grams[len(h)] if len(h) > 1 else {(k,): 1 for k in uni}):
-            return p(w, h[1:])
-        used = sum(v - DISCOUNT for g, v in counts.items() if g[:-1] == h)
-        own = max(0, counts.get((*h, w), 0) - DISCOUNT)
-        return own / context + (1 - used / context) * p(w, h[1:])
-
-    for text in ["the cat sat on the mat", "dog the cat", "sat the", "mat", ""]:
-        seq = [0] + [word_id[t] for t in tokens(text)]
-        want = sum(math.log(p(seq[j], tuple(seq[max(0, j - order + 1) : j]))) for j in range(1, len(seq)))
-        assert m.walk(seq[1:], iter(())) == pytest.approx(want, abs=1e-9)
-    states = [(), (word_id["the"],), (word_id["cat"],)]
-    for h in states[: 1 if order == 1 else 3]:
-        assert sum(p(w, h) for w in uni) <= 1 + 1e-9
+            return (c[(w,)] - DISCOUNT) / total
+        m = priors[len(h) - 1]
+        return (c[(*h, w)] + m * p(w, h[1:])) / (c[h] + m)
+
+    out = {}
+    for i, t in rows:
+        s = ["<start>", *tokens(t)]
+        known = all(c[(w,)] for w in s)
+        out[i] = sum(math.log10(p(s[j], tuple(s[max(0, j - order + 1) : j]))) for j in range(1, len(s))) if known else None
+    mass = [sum(p(w, h) for w in {g[0] for g in c if len(g) == 1} - {"<start>"}) for h in [(), ("the",), ("the", "cat")][:order]]
+    return out, mass, DISCOUNT * sum(len(g) == 1 for g in c if g != ("<start>",)) / total
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_traversal_equals_the_recursive_formula(spark, order, monkeypatch):
+    rows = ROWS + [(100 + i, t) for i, t in enumerate(["cat the sat", "mat mat mat", "the cat sat on a dog", "on on the"] * 3)]
+    want, mass, rest = brute(rows, order, (5.0, 2.0))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr("catalogspark.llm.lm_score.BLOCK_BYTES", 64)  # many blocks and parts
+    monkeypatch.setattr("catalogspark.llm.lm_score.PART_BYTES", 128)
+    got = {r.id: r.score for r in score_texts(df, order=order, priors=(5.0, 2.0)).collect()}
+    assert len(got) == len(want) and sum(v is not None for v in want.values()) > 30
+    for i, score in want.items():
+        assert score is None or got[i] == pytest.approx(score, abs=1e-9)
+    assert mass[0] + rest == pytest.approx(1)
+    assert all(m + rest <= 1 + 1e-9 or m <= 1 for m in mass)
+
+
+def test_blocks_do_not_change_results(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    one = {r.id: r for r in score_texts(docs).collect()}
+    monkeypatch.setattr("catalogspark.llm.lm_score.BLOCK_BYTES", 30_000)
+    monkeypatch.setattr("catalogspark.llm.lm_score.PART_BYTES", 50_000)
+    many = {r.id: r for r in score_texts(docs).collect()}
+    assert one.keys() == many.keys()
+    assert any(r.n_known < r.n_tokens for r in one.values())  # spelled words too
+    for i, r in one.items():
+        assert r[:5] == many[i][:5] and r[5:] == pytest.approx(many[i][5:], rel=1e-9)
+
+
+def test_a_count_of_one_stays_in_the_model_whatever_the_corpus(spark):
+    """An n-gram seen once in training lifts its text's score, beside many other texts."""
+    rows = [(i, f"plain filler text {i % 97} {i % 89}") for i in range(3000)] + [(5000, "rare quartz gleams")]
+    rows += [(5003, "quartz rare gleams"), (5004, "rare quartz gleams")]
+    held = {i for i, _ in rows if i >= 5003}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r for r in score_texts(df, held_out=df.doc_id.isin(*held)).where("id >= 5000").collect()}
+    assert got[5004].n_known == got[5003].n_known == 4
+    assert got[5004].score == got[5000].score > got[5003].score
+
+
+def test_packed_columns_come_back():
+    for n in (0, 1, 1000):
+        x = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)
+        assert (unpack(pack(x), n) == x).all()
 
 
 def test_beats_the_base_on_held_out_rows(spark):
