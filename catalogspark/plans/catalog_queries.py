@@ -49,10 +49,11 @@ def s5(c):
 
 @query("s8_upsert_sink", "SELECT path, arg_max(op, (ts, event_id)) = 'removed' AS gone FROM observations GROUP BY path")
 def s8(c):
-    """The observations in four batches, the second of them delivered twice."""
+    """The observations in four batches, the second of them delivered twice, to a sink made anew before each."""
     sink = UpsertSink(c.spark)
     part = F.pmod(F.xxhash64("event_id"), F.lit(4))
     for batch_id in (0, 1, 1, 2, 3):
+        sink = UpsertSink(c.spark, root=sink.root)
         sink(c.observations.where(part == batch_id), batch_id)
     return sink.table.select("path", (F.col("state") == "missing").alias("gone"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,12 +82,24 @@ def apply_observations(known: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 class UpsertSink:
-    """foreachBatch target: a new snapshot per batch, replays of a batch id are ignored; the pointer moves last."""
+    """foreachBatch target: a new snapshot per batch, replays of a batch id are ignored; the pointer moves last.
 
-    def __init__(self, spark: SparkSession, name: str = "observed"):
-        self.spark, self.root = spark, shared_path(spark, name)
+    The pointer (batch_id, path) is a table beside the snapshots, so a sink made anew on the same `root` goes on where the
+    last one stopped. A batch that failed before its pointer was written is written again from the snapshot before it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str = "observed", root: str | None = None):
+        self.spark, self.root = spark, root or shared_path(spark, name)
         self.path: str | None = None
         self.done = -1
+        try:
+            last = spark.read.schema("batch_id long, path string").parquet(f"{self.root}/pointers").orderBy(F.desc("batch_id")).first()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            last = None
+        if last is not None:
+            self.path, self.done = last["path"], last["batch_id"]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.done:
@@ -94,6 +107,8 @@ class UpsertSink:
         known = self.spark.read.parquet(self.path) if self.path else None
         path = f"{self.root}/v{batch_id}"
         apply_observations(known, batch).write.mode("overwrite").parquet(path)
+        pointer = self.spark.createDataFrame([(batch_id, path)], "batch_id long, path string")
+        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/pointers")
         self.path, self.done = path, batch_id
 
     @property

@@ -250,6 +250,21 @@ def test_upserts_are_idempotent(spark):
     assert {(r.path, r.state, r.bytes) for r in sink.table.collect()} == {("/a", "missing", 5), ("/b", "pending", 7)}
 
 
+def test_upserts_go_on_after_a_restart(spark):
+    t = dt.datetime(2024, 1, 1)
+    of = lambda *rows: spark.createDataFrame(rows, "event_id long, ts timestamp, folder string, path string, op string, bytes long")
+    first = W.UpsertSink(spark)
+    first(of((1, t, "f", "/a", "seen", 5)), 0)
+    again = W.UpsertSink(spark, root=first.root)
+    assert again.done == 0
+    again(of((9, t, "f", "/z", "seen", 5)), 0)  # a replay
+    # the batch was written, but the driver went before its pointer
+    spark.range(1).write.parquet(f"{first.root}/v1")
+    again = W.UpsertSink(spark, root=first.root)
+    again(of((2, t + dt.timedelta(seconds=1), "f", "/b", "seen", 7)), 1)
+    assert {r.path for r in W.UpsertSink(spark, root=first.root).table.collect()} == {"/a", "/b"}
+
+
 def test_coverage(spark):
     docs = spark.createDataFrame([(1, "A red motorcycle parked at night in two cities", "", "", "", "")], "file_id long, description string, title string, ocr_text string, label string, tags string")
     rows = [("a", ["red", "motorcycles", "night"]), ("b", ["red", "helicopter"]), ("c", ["city"]), ("d", ["green"])]
