@@ -67,11 +67,20 @@ def scan_summary(diff: DataFrame) -> DataFrame:
     )
 
 
-def work_backlog(files: DataFrame, stage: str) -> DataFrame:
-    """What is left to do: analysis (oldest first, under the attempts' cap), faces (newest first), interrupted, failed."""
+def work_backlog(files: DataFrame, stage: str, previews: DataFrame | None = None) -> DataFrame:
+    """What is left to do: analysis (oldest first), faces (newest first), interrupted, failed.
+
+    Analysis takes what isn't analysed and under the attempts' cap, and, given `previews` (file_id), also every file of a
+    visible kind without one, whatever its state.
+    """
     if stage == "analysis":
-        open_ = ~F.col("analysis_state").isin("analysed", "described")
-        rows = files.where((F.col("index_state") == "indexed") & open_ & (F.col("attempts") < ATTEMPTS))
+        open_ = ~F.col("analysis_state").isin("analysed", "described") & (F.col("attempts") < ATTEMPTS)
+        if previews is not None:
+            shown = previews.select("file_id", F.lit(True).alias("__shown")).distinct()
+            files = files.join(shown, "file_id", "left")
+            visible = F.col("kind").isin("photo", "screenshot", "video", "document", "design")
+            open_ = F.coalesce(open_, F.lit(False)) | (F.col("__shown").isNull() & visible)
+        rows = files.where((F.col("index_state") == "indexed") & open_).drop("__shown")
         return rows.orderBy("created_at", "file_id")
     if stage == "faces":
         kinds = F.col("kind").isin("photo", "screenshot", "video")
