@@ -153,6 +153,28 @@ def ensure_dimension(names: DataFrame, existing: DataFrame) -> DataFrame:
     return new.select(F.xxhash64("low").alias("id"), "name")
 
 
+def rename_dimension(existing: DataFrame, renames: DataFrame) -> DataFrame:
+    """(id, name, outcome) of each asked name (id, name): renamed, empty, taken or absent; `name` is the one it has then.
+
+    Names are trimmed. A name is taken if another id bears it before the batch; of several ids that ask for a free one
+    the smallest gets it. One rename per id.
+    """
+    asked = renames.select("id", F.trim(F.coalesce("name", F.lit(""))).alias("wanted"))
+    held = existing.select(F.col("name").alias("wanted"), F.col("id").alias("holder"))
+    rows = asked.join(existing.select("id", "name"), "id", "left").join(held, "wanted", "left")
+    outcome = (
+        F.when(F.col("wanted") == "", "empty")
+        .when(F.col("holder") != F.col("id"), "taken")
+        .when(F.col("name").isNull(), "absent")
+        .otherwise("renamed")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    winners = rows.where("outcome = 'renamed'").groupBy("wanted").agg(F.min("id").alias("winner"))
+    late = (F.col("outcome") == "renamed") & (F.col("winner") != F.col("id"))
+    rows = rows.join(winners, "wanted", "left").withColumn("outcome", F.when(late, "taken").otherwise(F.col("outcome")))
+    return rows.select("id", F.when(F.col("outcome") == "renamed", F.col("wanted")).otherwise(F.col("name")).alias("name"), "outcome")
+
+
 def save_text(files: DataFrame, extracted: DataFrame) -> DataFrame:
     """Extracted text replaces the old one; a missing answer overwrites nothing."""
     new = extracted.select("file_id", F.col("text").alias("__text"), F.col("available").alias("__available"))

@@ -230,6 +230,36 @@ def c13(c):
     return C.ensure_dimension(names, c.file_tags.select(F.col("tag").alias("name")).distinct()).select("name")
 
 
+_WANTED = (
+    "SELECT a.c_custkey + 10 AS id, CASE a.c_custkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN b.c_name"
+    " WHEN 2 THEN ' ' || a.c_name || ' (old)' ELSE 'group ' || CAST(floor(a.c_custkey / 8) AS INT) END AS name"
+    " FROM customer a LEFT JOIN customer b ON b.c_custkey = a.c_custkey + 1"
+)
+
+
+@query(
+    "c13_rename_dimension",
+    f", r AS (SELECT id, trim(coalesce(name, '')) AS wanted FROM ({_WANTED})),"
+    " o AS (SELECT r.id, wanted, e.c_name AS old, CASE WHEN wanted = '' THEN 'empty' WHEN EXISTS (SELECT 1 FROM customer h WHERE h.c_name = wanted"
+    " AND h.c_custkey <> r.id) THEN 'taken' WHEN e.c_name IS NULL THEN 'absent' ELSE 'renamed' END AS o FROM r LEFT JOIN customer e ON e.c_custkey = r.id),"
+    " n AS (SELECT *, CASE WHEN o = 'renamed' AND id > min(CASE WHEN o = 'renamed' THEN id END) OVER (PARTITION BY wanted) THEN 'taken' ELSE o END AS outcome FROM o)"
+    " SELECT id, CASE WHEN outcome = 'renamed' THEN wanted ELSE old END AS name, outcome FROM n",
+)
+def c13_rename(c):
+    """Customers renamed: to nothing, to a name in use, to a free one, and two of them to one."""
+    customers = c.table("customer")
+    a, b = customers.alias("a"), customers.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("next")).alias("b")
+    key = F.col("a.c_custkey")
+    wanted = (
+        F.when(key % 4 == 0, F.lit(" "))
+        .when(key % 4 == 1, F.col("next"))
+        .when(key % 4 == 2, F.concat(F.lit(" "), "a.c_name", F.lit(" (old)")))
+        .otherwise(F.concat(F.lit("group "), F.floor(key / 8).cast("int").cast("string")))
+    )
+    renames = a.join(b, F.col("k") == key + 1, "left").select((key + 10).alias("id"), wanted.alias("name"))
+    return C.rename_dimension(customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), renames)
+
+
 @query(
     "c14_save_text",
     "SELECT file_id, CASE WHEN file_id % 3 <> 0 THEN 'none' WHEN file_id % 2 = 0 THEN 'unavailable' WHEN file_id % 5 = 0 THEN 'none' ELSE 'extracted' END AS ocr_state,"
