@@ -92,9 +92,14 @@ class UpsertSink:
         self.spark, self.root = spark, root or shared_path(spark, name)
         self.path: str | None = None
         self.done = -1
+        if root is not None:
+            self._resume()
+
+    def _resume(self) -> None:
+        pointers = self.spark.read.schema("batch_id long, path string")
         try:
-            last = spark.read.schema("batch_id long, path string").parquet(f"{self.root}/pointers").orderBy(F.desc("batch_id")).first()
-        except AnalysisException as error:
+            last = pointers.parquet(f"{self.root}/pointers").orderBy(F.desc("batch_id")).first()
+        except AnalysisException as error:  # stopped before its first batch was whole
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             last = None
