@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions.text import stem, synonym_table, tokens
+from ..shared import written
+from .index import SearchIndex, candidates, indexed
 from .listing import date_bounds, numeric_bounds
 from .pixels import WORDS
 
@@ -46,81 +50,216 @@ def interpret_descriptions(queries: DataFrame) -> DataFrame:
     )
 
 
-def hard_clauses(groups: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+def _size_bounds(value: Column) -> tuple[Column, Column]:
+    """Bounds of a size, w or h clause; both null if it says nothing."""
+    size = r"^(>=|<=|>|<|=)?\s*(\d+(?:\.\d+)?)\s*(b|kb|mb|gb|tb)?$"
+    part = lambda k: F.regexp_extract(value, size, k)
+    return numeric_bounds(part(1), part(2).try_cast("double"), part(3))
+
+
+def _meets(x: Column, now: Column) -> Column:
+    """Whether a file meets a clause, its negation left aside."""
+    f, v = x["field"], x["value"]
+    since, until = date_bounds(f, v, now)
+    begins = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.lower(t).startswith(v))
+
+    def held(measured: str) -> Column:
+        low, high = _size_bounds(v)
+        m = F.coalesce(measured, F.lit(0))
+        return (low.isNull() | (m >= low)) & (high.isNull() | (m <= high)) & (low.isNotNull() | high.isNotNull())
+
+    return (
+        F.when(f.isin("kind", "type"), F.array_contains(F.split(v, ","), F.col("kind")))
+        .when(f == "is", F.when(v.rlike("^(fav|star)"), F.col("favorite")).otherwise(F.col("kind") == v))
+        .when(f == "tag", begins("tags"))
+        .when(f == "collection", begins("collections"))
+        .when(f == "ext", F.col("ext") == v)
+        .when(f == "name", F.lower("name").contains(v))
+        .when(f == "text", F.lower(F.concat_ws(" ", "ocr_text", "description", "title", "name")).contains(v))
+        .when(f.isin("in", "folder"), F.lower("folder_path").contains(v))
+        .when(f == "project", F.lower("project_id").startswith(v))
+        .when(f.isin("since", "after"), F.col("created_at") >= since)
+        .when(f == "before", F.col("created_at") < until)
+        .when(f == "size", held("bytes"))
+        .when(f == "w", held("width"))
+        .otherwise(held("height"))
+    )
+
+
+def clauses_hold(now: Column) -> Column:
+    """Whether a file meets all of `clauses` that aren't negated and none of those that are."""
+    return F.forall("clauses", lambda x: F.coalesce(_meets(x, now), F.lit(False)) != x["negated"])
+
+
+#: Buckets of a measured range, a power of two; an interval is covered by 2 log2(BUCKETS) runs of buckets at most.
+BUCKETS = 1024
+_LEVELS = BUCKETS.bit_length()
+
+
+def bucket_runs(low: Column, high: Column) -> Column:
+    """The runs (level, node) that cover the buckets low..high, none twice: run (k, n) holds buckets n * 2^k to (n + 1) * 2^k - 1."""
+    none = "cast(array() as array<struct<level: int, node: int>>)"
+    start = F.struct(low.cast("int").alias("l"), (high + 1).cast("int").alias("r"), F.expr(none).alias("runs"))
+
+    def step(s: Column, k: Column) -> Column:
+        run = lambda n: F.array(F.struct(k.cast("int").alias("level"), n.cast("int").alias("node")))
+        left = (s["l"] < s["r"]) & (s["l"] % 2 == 1)
+        l2 = s["l"] + F.when(left, 1).otherwise(0)
+        right = (l2 < s["r"]) & (s["r"] % 2 == 1)
+        r2 = s["r"] - F.when(right, 1).otherwise(0)
+        runs = F.concat(s["runs"], F.when(left, run(s["l"])).otherwise(F.expr(none)), F.when(right, run(r2)).otherwise(F.expr(none)))
+        return F.struct(F.shiftright(l2, 1).cast("int").alias("l"), F.shiftright(r2, 1).cast("int").alias("r"), runs.alias("runs"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), start, step, lambda s: s["runs"])
+
+
+def interval_join(asked: DataFrame, points: DataFrame) -> DataFrame:
+    """(measure, low, high, ...) beside (measure, x, file_id) with low <= x <= high, null bounds open: by equal runs of buckets.
+
+    A measure's range is cut into `BUCKETS`; a point lies in one run a level, an interval in a few runs of any level.
+    """
+    spans = points.groupBy("measure").agg(F.min("x").alias("least"), F.max("x").alias("most"))  # a row for each measure
+    spans = F.broadcast(spans)
+    width = F.greatest((F.col("most") - F.col("least")) / BUCKETS, F.lit(1e-9))
+    bucket = lambda x: F.least(F.greatest(F.floor((x - F.col("least")) / width), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+    levels = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), lambda k: F.call_function("shiftright", bucket(F.col("x")), k)))
+    there = points.join(spans, "measure").select("measure", "x", "file_id", levels.alias("level", "node"))
+    runs = bucket_runs(bucket(F.coalesce("low", "least")), bucket(F.coalesce("high", "most")))
+    wide = asked.join(spans, "measure").where("coalesce(low, least) <= coalesce(high, most)").select(*asked.columns, F.inline(runs))
+    fits = (F.col("low").isNull() | (F.col("x") >= F.col("low"))) & (F.col("high").isNull() | (F.col("x") <= F.col("high")))
+    return wide.join(there, ["measure", "level", "node"]).where(fits).drop("level", "node")
+
+
+# How well a clause narrows the files down, best first; the first that a group has leads its search.
+_LEADS = ["tag", "collection", "project", "ext", "name", "folder", "text", "interval", "kind", "favorite", "any"]
+
+
+def hard_clauses(groups: DataFrame, files: DataFrame, now: Column, index: SearchIndex | None = None) -> DataFrame:
     """(query_id, grp, file_id) of files that meet every clause and none of the negated ones.
 
-    The groups are a query log's criteria, laid against all files. Needs tags and collections as arrays.
+    Each group is led by its most telling clause: a kind, ext or flag by equality, a tag, collection or project by the names that begin
+    so, a part of a name, folder or text by its rarest trigram (given an index), a size or date by an interval join. Files that the
+    lead finds are held against all clauses. Groups that nothing leads meet the files by kind. Needs tags and
+    collections as arrays.
     """
+    key = ["query_id", "grp"]
+    asked = written(groups.select(*key, "clauses"), "clauses-asked")
+    one = asked.select(*key, F.inline("clauses")).where("not negated").select(*key, F.col("field").alias("f"), F.col("value").alias("v"))
+    flag = F.col("v").rlike("^(fav|star)")
+    part = F.lit(index is not None) & (F.length("v") >= 3)
+    run = F.array_sort(F.split("v", r"[^\p{L}\p{N}]+"), lambda a, b: F.length(b) - F.length(a))[0]
+    lead = (
+        F.when(F.col("f").isin("tag", "collection", "project", "ext"), F.col("f"))
+        .when(F.col("f").isin("name", "in", "folder") & part, F.when(F.col("f") == "name", "name").otherwise("folder"))
+        .when((F.col("f") == "text") & part & (F.length(run) >= 3), "text")
+        .when(F.col("f").isin("size", "w", "h", "since", "after", "before"), "interval")
+        .when(F.col("f").isin("kind", "type"), "kind")
+        .when(F.col("f") == "is", F.when(flag, "favorite").otherwise("kind"))
+        .otherwise("any")
+    )
+    rank = F.array_position(F.array(*map(F.lit, _LEADS)), F.col("lead"))
+    said = one.withColumns({"lead": lead, "run": run}).groupBy(*key).agg(F.min_by(F.struct("lead", "f", "v", "run"), F.struct(rank, "f", "v")).alias("c"))
+    led = asked.select(*key).join(said, key, "left").select(*key, F.coalesce("c.lead", F.lit("any")).alias("lead"), "c.f", "c.v", "c.run")
+    led = written(led, "clauses-led")
+    of = lambda *leads: led.where(F.col("lead").isin(*leads))
+
+    def beginning(lead: str, members: DataFrame) -> DataFrame:
+        """Groups beside the files of the names (name, file_id) that begin with their value."""
+        wanted = of(lead).select(*key, "v", F.length("v").alias("n"))
+        lengths = wanted.select("n").distinct()  # as many rows as values have lengths
+        names = members.select("name").distinct().join(F.broadcast(lengths), F.length("name") >= F.col("n"))
+        return wanted.join(names.withColumn("v", F.expr("substring(name, 1, n)")), ["v", "n"]).join(members, "name").select(*key, "file_id")
+
+    kinds = F.explode(F.when(F.col("lead") == "any", F.array(*map(F.lit, D.KINDS))).otherwise(F.split("v", ",")))
+    by_kind = of("kind", "any").select(*key, kinds.alias("kind")).distinct()
+    tagged = lambda column: files.select(F.explode(column).alias("name"), "file_id").withColumn("name", F.lower("name")).distinct()
+    measures = {"size": F.coalesce("bytes", F.lit(0)), "w": F.coalesce("width", F.lit(0)), "h": F.coalesce("height", F.lit(0)), "created": F.unix_micros("created_at")}
+    points = files.select("file_id", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), x.cast("double").alias("x")) for m, x in measures.items()])))
+    low, high = _size_bounds(F.col("v"))
+    since, until = date_bounds(F.col("f"), F.col("v"), now)
+    sized = F.col("f").isin(*measures)
+    bounds = of("interval").select(
+        *key, F.when(sized, F.col("f")).otherwise("created").alias("measure"),
+        F.when(sized, low).otherwise(F.unix_micros(since).cast("double")).alias("low"), F.when(sized, high).otherwise(F.unix_micros(until).cast("double")).alias("high"),
+    )
+    found = [
+        by_kind.join(files.select("kind", "file_id"), "kind").select(*key, "file_id"),
+        of("ext").join(files.select(F.col("ext").alias("v"), "file_id"), "v").select(*key, "file_id"),
+        of("favorite").withColumn("favorite", F.lit(True)).join(files.select("favorite", "file_id"), "favorite").select(*key, "file_id"),
+        beginning("tag", tagged("tags")), beginning("collection", tagged("collections")),
+        beginning("project", files.where("project_id is not null").select(F.lower("project_id").alias("name"), "file_id")),
+        interval_join(bounds.where("low is not null or high is not null"), points.where("x is not null")).select(*key, "file_id"),
+    ]
+    if index is not None:
+        short = of("name", "folder").select(*key, "v")
+        found.append(candidates(short, "v", index.short_grams).select(*key, "file_id"))
+        words = candidates(of("text").select(*key, "run"), "run", index.word_grams).where("contains(word, run)")
+        words = words.join(index.words.select("word", "parts"), "word").select(*key, "word", "parts")
+        found.append(index.at(words, ["name", "title", "description", "ocr_text"]).select(*key, "file_id"))
+    near = reduce(DataFrame.unionAll, found).distinct().join(asked, key)
+    return files.join(near, "file_id").where(clauses_hold(now)).select(*key, "file_id")
+
+
+#: What a match is worth by its kind: the word itself, its stem, the beginning of a stem, another name, a part of a stem.
+WORTH = [2.0, 1.9, 1.0, 1.4, 0.4]
 
-    def bound(value: Column, measured: Column) -> Column:
-        size = r"^(>=|<=|>|<|=)?\s*(\d+(?:\.\d+)?)\s*(b|kb|mb|gb|tb)?$"
-        part = lambda k: F.regexp_extract(value, size, k)
-        low, high = numeric_bounds(part(1), part(2).try_cast("double"), part(3))
-        v = F.coalesce(measured, F.lit(0))
-        return (low.isNull() | (v >= low)) & (high.isNull() | (v <= high)) & (part(2) != "")
-
-    def meets(x: Column) -> Column:
-        f, v = x["field"], x["value"]
-        low, high = date_bounds(f, v, now)
-        begins = lambda c: F.exists(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.lower(t).startswith(v))
-        return (
-            F.when(f.isin("kind", "type"), F.array_contains(F.split(v, ","), F.col("kind")))
-            .when(f == "is", F.when(v.rlike("^(fav|star)"), F.col("favorite")).otherwise(F.col("kind") == v))
-            .when(f == "tag", begins("tags"))
-            .when(f == "collection", begins("collections"))
-            .when(f == "ext", F.col("ext") == v)
-            .when(f == "name", F.lower("name").contains(v))
-            .when(f == "text", F.lower(F.concat_ws(" ", "ocr_text", "description", "title", "name")).contains(v))
-            .when(f.isin("in", "folder"), F.lower("folder_path").contains(v))
-            .when(f == "project", F.lower("project_id").startswith(v))
-            .when(f.isin("since", "after"), F.col("created_at") >= low)
-            .when(f == "before", F.col("created_at") < high)
-            .when(f == "size", bound(v, F.col("bytes")))
-            .when(f == "w", bound(v, F.col("width")))
-            .otherwise(bound(v, F.col("height")))
-        )
-
-    fits = F.forall("clauses", lambda x: F.coalesce(meets(x), F.lit(False)) != x["negated"])
-    return files.join(groups, fits).select("query_id", "grp", "file_id")
-
-
-def field_word_score(groups: DataFrame, docs: DataFrame) -> DataFrame:
+
+def field_word_score(groups: DataFrame, docs: DataFrame | SearchIndex) -> DataFrame:
     """(query_id, grp, word, file_id, score, field): the best field of each word and file.
 
-    Exact x 2, equal stem x 1.9, synonym x 1.4, prefix x 1, containment of three letters x 0.4. Words meet document
-    terms by equal stem, by equal synonym stem and by equal first three letters.
+    In a field the first kind of match of `WORTH` counts, names and parts for words of three letters or more. Words meet the vocabulary
+    by equal term and stem, by the beginning of the stem cut to their length, by the names of a family, and by the
+    rarest trigram; only then files are read, by equal word.
+    """
+    index = indexed(docs)
+    wanted = groups.select("query_id", "grp", F.explode("words").alias("word")).distinct()
+    asked = wanted.select("word").distinct().select(F.col("word").alias("asked"), stem(F.col("word")).alias("base"))
+    asked = written(asked, "describe-asked")
+    words = index.words.select("word", "parts", "term", "term_stem")
+    kinds = F.when(F.col("asked") == F.col("term"), 0).when(F.col("base") == F.col("term_stem"), 1).otherwise(2)
+    found = index.beginning(asked, "base", "term_stem").select("asked", "word", "parts", kinds.alias("k"))
+    long = asked.where("length(base) >= 3")
+    names = long.join(synonym_table(words.sparkSession), "base").select("asked", stem(F.col("name")).alias("term_stem"))
+    other = names.join(words, "term_stem").select("asked", "word", "parts", F.lit(3).alias("k"))
+    within = candidates(long, "base", index.stem_grams).where("contains(held, base)").select("asked", F.col("held").alias("term_stem"))
+    part = within.join(words, "term_stem").select("asked", "word", "parts", F.lit(4).alias("k"))
+    best = found.unionAll(other).unionAll(part).groupBy("asked", "word", "parts").agg(F.min("k").alias("k"))
+    at = index.at(best, list(WEIGHTS)).groupBy("asked", "file_id", "field").agg(F.min("k").alias("k"))
+    table = lambda pairs: F.create_map(*[F.lit(x) for p in pairs for x in p])
+    weight, place = table(WEIGHTS.items())[F.col("field")], table((f, i) for i, f in enumerate(WEIGHTS))[F.col("field")]
+    at = at.withColumns({"score": weight * F.element_at(F.array(*map(F.lit, WORTH)), F.col("k") + 1), "ord": place})
+    fields = at.groupBy("asked", "file_id").agg(F.max("score").alias("score"), F.max_by("field", F.struct("score", -F.col("ord"))).alias("field"))
+    return wanted.join(fields, F.col("word") == F.col("asked")).select("query_id", "grp", "word", "file_id", "score", "field")
+
+
+def ordered_phrase(groups: DataFrame, docs: DataFrame | SearchIndex) -> DataFrame:
+    """(query_id, grp, file_id, found) for groups with phrases: each stands, in order, within one field.
+
+    A phrase begins where all its words say it does: each occurrence names the place less the word's number, and the places
+    that every word names are counted.
     """
-    wanted = groups.select("query_id", "grp", F.explode("words").alias("word")).withColumn("base", stem(F.col("word")))
-    fields = [f for f in WEIGHTS if f in docs.columns]
-    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(WEIGHTS[f]).alias("weight"), F.lit(i).alias("ord"), tokens(F.col(f), fold=True).alias("terms")) for i, f in enumerate(fields)])
-    terms = docs.select("file_id", F.inline(listed)).select("file_id", "field", "weight", "ord", F.explode("terms").alias("term")).distinct()
-    vocabulary = terms.select("term").distinct().withColumn("tbase", stem(F.col("term")))
-    head = lambda c: F.substring(c, 1, 3)
-    exact = wanted.join(vocabulary, F.col("base") == F.col("tbase")).select("query_id", "grp", "word", "term", F.when(F.col("word") == F.col("term"), 2.0).otherwise(1.9).alias("m"))
-    prefix = wanted.where(F.length("word") >= 3).join(vocabulary.where(F.length("term") >= 3), head(F.col("word")) == head(F.col("term"))).where("startswith(term, word)").select("query_id", "grp", "word", "term", F.lit(1.0).alias("m"))
-    family = wanted.join(F.broadcast(synonym_table(docs.sparkSession)), "base").withColumn("sbase", stem(F.col("name")))
-    other = family.join(vocabulary, F.col("sbase") == F.col("tbase")).select("query_id", "grp", "word", "term", F.lit(1.4).alias("m"))
-    best = exact.unionAll(prefix).unionAll(other).groupBy("query_id", "grp", "word", "term").agg(F.max("m").alias("m"))
-    scored = best.join(terms, "term").withColumn("score", F.col("m") * F.col("weight"))
-    return scored.groupBy("query_id", "grp", "word", "file_id").agg(F.max("score").alias("score"), F.max_by("field", F.struct("score", -F.col("ord"))).alias("field"))
-
-
-def ordered_phrase(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, grp, file_id, found) for groups with phrases: each stands, in order, within one field."""
-    lines = [F.concat(F.lit(" "), F.array_join(tokens(F.col(f), fold=True), " "), F.lit(" ")) for f in WEIGHTS if f in docs.columns]
-    asked = groups.where(F.size("phrases") > 0).select("query_id", "grp", "phrases")
-    held = docs.select("file_id", F.array(*lines).alias("lines"))
-    has = F.forall("phrases", lambda p: F.exists("lines", lambda line: line.contains(F.concat(F.lit(" "), p, F.lit(" ")))))
-    return held.join(asked, has).select("query_id", "grp", "file_id", F.size("phrases").alias("found"))
-
-
-def exclusions(found: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """`found` without files that hold an excluded word in any field."""
-    words = groups.select("query_id", "grp", F.explode("excluded").alias("word"))
-    fields = [f for f in WEIGHTS if f in docs.columns]
-    terms = docs.select("file_id", F.explode(F.array_distinct(F.flatten(F.array(*[tokens(F.col(f), fold=True) for f in fields])))).alias("word"))
-    gone = words.join(terms, "word").select("query_id", "grp", "file_id").distinct()
-    return found.join(gone, ["query_id", "grp", "file_id"], "left_anti")
+    index = indexed(docs)
+    asked = groups.where(F.size("phrases") > 0).select("query_id", "grp", F.size("phrases").alias("all"), F.posexplode("phrases").alias("phrase", "said"))
+    terms = asked.select("query_id", "grp", "all", "phrase", F.split("said", " ").alias("terms"))
+    terms = terms.withColumn("n", F.size("terms")).select("*", F.posexplode("terms").alias("i", "term")).drop("terms")
+    words = terms.join(index.words.select("word", "parts", "term"), "term").drop("term")
+    begins = F.explode(F.transform("places", lambda p: p - F.col("i"))).alias("begin")
+    key = ["query_id", "grp", "all", "phrase"]
+    at = index.at(words, list(WEIGHTS)).select(*key, "n", "i", "file_id", "field", begins)
+    met = at.groupBy(*key, "n", "file_id", "field", "begin").agg(F.count_distinct("i").alias("k")).where("k = n")
+    held = met.groupBy("query_id", "grp", "all", "file_id").agg(F.count_distinct("phrase").alias("k")).where("k = all")
+    return held.select("query_id", "grp", "file_id", F.col("all").alias("found"))
+
+
+def exclusions(found: DataFrame, groups: DataFrame, docs: DataFrame | SearchIndex, claims: DataFrame | None = None) -> DataFrame:
+    """`found` without files that an excluded word matches, in any field and by any kind of match, or that a measurement
+    says it of. `claims`: of descriptors()."""
+    minus = groups.where(F.size("excluded") > 0).select("query_id", "grp", F.col("excluded").alias("words"))
+    key = ["query_id", "grp", "file_id"]
+    gone = field_word_score(minus, docs).select(*key)
+    if claims is not None:
+        gone = gone.unionByName(measured_words(minus, claims).select(*key))
+    return found.join(gone.distinct(), key, "left_anti")
 
 
 def measured_words(groups: DataFrame, claims: DataFrame) -> DataFrame:
@@ -131,21 +270,24 @@ def measured_words(groups: DataFrame, claims: DataFrame) -> DataFrame:
     return asked.join(claims, "says").select("query_id", "grp", "word", "file_id", "says", "confidence")
 
 
-def adjacent_pairs(groups: DataFrame, docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """(query_id, grp, file_id, pairs): neighbouring words of a group, both found, that stand side by side in a field."""
-    two = groups.where(F.size("words") > 1).select("query_id", "grp", F.posexplode(F.arrays_zip(F.slice("words", 1, F.size("words") - 1).alias("a"), F.slice("words", 2, F.size("words") - 1).alias("b"))))
-    two = two.select("query_id", "grp", "pos", F.col("col.a").alias("a"), F.col("col.b").alias("b"))
-    h = hits.select("query_id", "grp", "file_id", "word").distinct()
-    both = two.join(h.withColumnRenamed("word", "a"), ["query_id", "grp", "a"]).join(h.withColumnRenamed("word", "b"), ["query_id", "grp", "file_id", "b"])
-    lines = [F.concat(F.lit(" "), F.array_join(F.transform(tokens(F.col(f), fold=True), lambda t: stem(t)), " "), F.lit(" ")) for f in WEIGHTS if f in docs.columns]
-    written = docs.select("file_id", F.array(*lines).alias("lines")).join(both.select("file_id").distinct(), "file_id", "left_semi")
-    side = F.concat(F.lit(" "), stem(F.col("a")), F.lit(" "), stem(F.col("b")), F.lit(" "))
-    found = both.withColumn("side", side).join(written, "file_id").where(F.exists("lines", lambda line: line.contains(F.col("side"))))
-    return found.groupBy("query_id", "grp", "file_id").agg(F.count(F.lit(1)).alias("pairs"))
+def adjacent_pairs(groups: DataFrame, docs: DataFrame | SearchIndex, hits: DataFrame) -> DataFrame:
+    """(query_id, grp, file_id, pairs): neighbouring words of a group, both found, whose stems stand side by side in a field."""
+    index = indexed(docs)
+    key = ["query_id", "grp"]
+    asked = groups.where(F.size("words") > 1).select(*key, F.posexplode("words").alias("i", "said"))
+    words = asked.withColumn("term_stem", stem(F.col("said"))).join(index.words.select("word", "parts", "term_stem"), "term_stem")
+    at = index.at(words.select(*key, "i", "said", "word", "parts"), list(WEIGHTS))
+    told = hits.select(*key, "file_id", F.col("word").alias("said")).distinct()
+    at = at.join(told, [*key, "file_id", "said"], "left_semi")
+    fields = at.groupBy(*key, "file_id", "field", "i").agg(F.flatten(F.collect_list("places")).alias("at"))
+    files = fields.groupBy(*key, "file_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("i", "at"))).alias("held"))
+    beside = lambda i: F.arrays_overlap(F.transform(F.try_element_at("held", i), lambda p: p + 1), F.try_element_at("held", i + 1))
+    pairs = files.select(*key, "file_id", F.explode(F.filter(F.map_keys("held"), beside)).alias("i"))
+    return pairs.groupBy(*key, "file_id").agg(F.count_distinct("i").alias("pairs"))
 
 
 def describe_search(
-    queries: DataFrame, files: DataFrame, docs: DataFrame, now: Column, claims: DataFrame | None = None, top: int = RESULTS
+    queries: DataFrame, files: DataFrame, docs: DataFrame | SearchIndex, now: Column, claims: DataFrame | None = None, top: int = RESULTS
 ) -> DataFrame:
     """(query_id, file_id, score, reasons, place): the best OR-group of each file, newest first among equals.
 
@@ -155,26 +297,30 @@ def describe_search(
     """
     key = ["query_id", "grp", "file_id"]
     none = F.array().cast("array<string>")
-    groups = interpret_descriptions(queries)
-    words = field_word_score(groups, docs)
-    parts = words.select(*key, "word", "score", F.lit(1).alias("facets"), F.when(F.col("field").isin("description", "label", "title"), F.col("word")).alias("reason"))
+    index = indexed(docs)
+    groups = written(interpret_descriptions(queries), "describe-groups")
+    words = written(field_word_score(groups, index), "describe-words")
+    parts = words.select(*key, "word", "score", F.lit(1).alias("facets"), F.when(F.col("field").isin("description", "label"), F.col("word")).alias("reason"))
     if claims is not None:
-        said = measured_words(groups, claims)
+        said = written(measured_words(groups, claims), "describe-said")
         parts = parts.unionByName(said.select(*key, "word", (2.4 * F.col("confidence")).alias("score"), F.lit(1).alias("facets"), F.col("says").alias("reason")))
     sums = parts.groupBy(*key).agg(F.sum("score").alias("s"), F.sum("facets").alias("facets"), F.countDistinct("word").alias("hit"), F.sort_array(F.collect_set("reason")).alias("reasons"))
     sizes = groups.select("query_id", "grp", F.size("words").alias("n"), F.size("phrases").alias("np"), F.size("clauses").alias("nc"))
-    base = sums.join(ordered_phrase(groups, docs), key, "full_outer").join(sizes, ["query_id", "grp"]).join(adjacent_pairs(groups, docs, parts), key, "left")
+    base = sums.join(ordered_phrase(groups, index), key, "full_outer").join(sizes, ["query_id", "grp"]).join(adjacent_pairs(groups, index, parts), key, "left")
     base = base.where((F.col("np") == 0) | F.col("found").isNotNull())
-    met = hard_clauses(groups, files, now)
+    asked = groups.where(F.size("clauses") > 0).select("query_id", "grp", "clauses")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     facets = zero("facets") + zero("found")
     plus = F.when(F.col("n") >= 2, 5.0 * zero("hit") / F.col("n")).otherwise(0.0)
     raw = F.coalesce("s", F.lit(0.0)) + 5.0 * zero("found") + plus + 1.2 * zero("pairs")
     score = raw * (1 + 0.15 * F.greatest(facets - 1, F.lit(0)))
-    scored = base.join(met, key, "left_semi").select(*key, score.alias("score"), F.coalesce("reasons", none).alias("reasons"))
-    alone = sizes.where("n = 0 and np = 0 and nc > 0").select("query_id", "grp")
-    plain = met.join(alone, ["query_id", "grp"], "left_semi").select(*key, F.lit(1.0).alias("score"), none.alias("reasons"))
-    every = exclusions(scored.unionByName(plain), groups, docs).join(files.select("file_id", "created_at"), "file_id")
+    scored = written(base.select(*key, "nc", score.alias("score"), F.coalesce("reasons", none).alias("reasons")), "describe-scored")
+    bound = scored.where("nc > 0").join(asked, ["query_id", "grp"]).join(files, "file_id").where(clauses_hold(now))
+    free = scored.where("nc = 0").join(files.select("file_id"), "file_id", "left_semi")
+    scored = bound.select(*key, "score", "reasons").unionByName(free.drop("nc"))
+    alone = asked.join(sizes.where("n = 0 and np = 0").select("query_id", "grp"), ["query_id", "grp"], "left_semi")
+    plain = hard_clauses(alone, files, now, index).select(*key, F.lit(1.0).alias("score"), none.alias("reasons"))
+    every = exclusions(scored.unionByName(plain), groups, index, claims).join(files.select("file_id", "created_at"), "file_id")
     fresh = F.greatest(F.lit(0.0), 0.6 - (F.unix_timestamp(now) - F.unix_timestamp("created_at")) / (4 * 365.0 * 86400))
     final = every.withColumn("score", F.round(F.col("score") + fresh, 6))
     best = final.groupBy("query_id", "file_id").agg(F.max("score").alias("score"), F.max_by("reasons", F.struct("score", -F.col("grp"))).alias("reasons"), F.max("created_at").alias("created_at"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
 from ..functions.text import stem, synonym_table, tokens
+from ..shared import written
+from .index import FIELDS, WRITTEN, SearchIndex, candidates, fold, indexed
 
 K1, B, CANDIDATES, RESULTS = 1.2, 0.75, 400, 200
 # Prefixes that hold a term to the people field.
 PEOPLE_SCOPES = ["person", "face", "of"]
-FIELDS = ["name", "title", "description", "label", "context", "ocr_text", "folder", "tags", "project", "people"]
 
 
 def expand_terms(terms: DataFrame) -> DataFrame:
@@ -86,8 +86,11 @@ def merge_proposals(criteria: DataFrame, proposals: DataFrame) -> DataFrame:
     ).drop("p_terms", "p_kinds", "p_since_days", "p_favorites")
 
 
-def build_search_docs(files: DataFrame, file_tags: DataFrame, faces: DataFrame, people: DataFrame) -> DataFrame:
-    """One document per file that isn't missing: ten fields, names of visible people among them."""
+def build_search_docs(
+    files: DataFrame, file_tags: DataFrame, faces: DataFrame, people: DataFrame, file_collections: DataFrame | None = None
+) -> DataFrame:
+    """One document per file that isn't missing: ten fields, names of visible people among them; with `file_collections` (file_id,
+    collection) also the names of its collections and its ext."""
     tags = file_tags.groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_set("tag")), " ").alias("tags"))
     named = people.where("not hidden and label is not null").select("person_id", F.col("label").alias("person"))
     shown = faces.select("file_id", "person_id").join(named, "person_id").groupBy("file_id").agg(
@@ -95,42 +98,28 @@ def build_search_docs(files: DataFrame, file_tags: DataFrame, faces: DataFrame,
     )
     base = files.where("index_state <> 'missing'").drop("tags", "people")
     rows = base.join(tags, "file_id", "left").join(shown, "file_id", "left")
+    more = []
+    if file_collections is not None:
+        held = file_collections.groupBy("file_id").agg(F.array_join(F.sort_array(F.collect_set("collection")), " ").alias("collection"))
+        rows, more = rows.drop("collection").join(held, "file_id", "left"), ["collection", "ext"]
     return rows.select(
         "file_id", "name", "title", "description", "label", F.lit(None).cast("string").alias("context"), "ocr_text",
-        F.col("folder_path").alias("folder"), "tags", F.col("project_id").alias("project"), "people",
+        F.col("folder_path").alias("folder"), "tags", F.col("project_id").alias("project"), "people", *more,
     )
 
 
-def build_postings(docs: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """(term, file_id, field, tf)."""
-    parts = [F.struct(F.lit(f).alias("field"), tokens(F.col(f), fold=True).alias("terms")) for f in fields]
-    rows = docs.select("file_id", F.inline(F.array(*parts)))
-    return rows.select("file_id", "field", F.explode("terms").alias("term")).groupBy("term", "file_id", "field").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-
-
-def built_once(df: DataFrame) -> DataFrame:
-    """An index that several parts of a job read, computed once into the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
+def build_postings(index: SearchIndex, fields: list[str] = FIELDS) -> DataFrame:
+    """(term, file_id, field, tf, places) as the index holds them; spellings that only differ by marks are one term."""
+    rows = index.places.where(F.col("field").isin(fields)).withColumn("term", fold(F.col("word")))
+    places = F.sort_array(F.flatten(F.collect_list("places"))).alias("places")
+    return rows.groupBy("term", "file_id", "field").agg(F.sum("tf").alias("tf"), places)
 
-def match_prefix(wanted: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, token) against terms that begin with the token -> (query_id, token, file_id, tf).
 
-    Prefixes meet the vocabulary by equality: each term is cut to the lengths that query tokens have, so
-    neither side is scanned per prefix.
-    """
-    tokens_ = wanted.select("query_id", "token", F.length("token").alias("n")).distinct()
-    lengths = tokens_.select("n").distinct()  # as many rows as tokens have lengths
-    cut = postings.select("term").distinct().join(F.broadcast(lengths), F.length("term") >= F.col("n"))
-    vocabulary = cut.select("term", "n", F.expr("substring(term, 1, n)").alias("token"))
-    terms = tokens_.join(vocabulary, ["token", "n"]).select("query_id", "token", "term")
-    return terms.join(postings, "term").groupBy("query_id", "token", "file_id").agg(F.sum("tf").alias("tf"))
+def match_prefix(wanted: DataFrame, index: SearchIndex, fields: list[str] = FIELDS) -> DataFrame:
+    """(query_id, token) against terms that begin with the token -> (query_id, token, file_id, tf)."""
+    words = index.beginning(wanted.select("query_id", "token").distinct(), "token", "term")
+    found = index.at(words.select("query_id", "token", "word", "parts"), fields)
+    return found.groupBy("query_id", "token", "file_id").agg(F.sum("tf").alias("tf"))
 
 
 def spellings(criteria: DataFrame) -> DataFrame:
@@ -147,12 +136,12 @@ def spellings(criteria: DataFrame) -> DataFrame:
     return wording.select("query_id", "scope", "alternative", F.explode(cut).alias("token"), F.size(cut).alias("n"))
 
 
-def match_terms(criteria: DataFrame, postings: DataFrame) -> DataFrame:
+def match_terms(criteria: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, token, file_id, tf) of the files that a query's terms match, by prefix: all tokens of a wording
     anywhere in the file, any wording of any term. A token held to the people field is named people:token."""
-    wanted = spellings(criteria)
-    open_ = match_prefix(wanted.where("scope = ''"), postings).withColumn("scope", F.lit(""))
-    people = match_prefix(wanted.where("scope <> ''"), postings.where("field = 'people'")).withColumn("scope", F.lit("people"))
+    wanted = written(spellings(criteria), "search-wanted")
+    open_ = match_prefix(wanted.where("scope = ''"), index).withColumn("scope", F.lit(""))
+    people = match_prefix(wanted.where("scope <> ''"), index, ["people"]).withColumn("scope", F.lit("people"))
     hits = wanted.join(open_.unionByName(people), ["query_id", "scope", "token"])
     whole = hits.groupBy("query_id", "scope", "alternative", "file_id").agg(
         F.first("n").alias("n"), F.collect_list(F.struct("token", "tf")).alias("found")
@@ -162,12 +151,12 @@ def match_terms(criteria: DataFrame, postings: DataFrame) -> DataFrame:
     return met.select("query_id", name.alias("token"), "file_id", "tf").distinct()
 
 
-def bm25(matches: DataFrame, postings: DataFrame, top: int = CANDIDATES, admit: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def bm25(matches: DataFrame, index: SearchIndex, top: int = CANDIDATES, admit: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """(query_id, file_id, score): Okapi scores, the best `top` of each query that `admit` lets pass."""
-    lengths = postings.groupBy("file_id").agg(F.sum("tf").alias("dl"))
-    corpus = lengths.agg(F.avg("dl").alias("avgdl"), F.count(F.lit(1)).alias("n"))
+    matches = written(matches, "search-matches")
+    corpus = index.lengths.agg(F.avg("dl").alias("avgdl"), F.count(F.lit(1)).alias("n"))
     df = matches.groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    rows = matches.join(df, ["query_id", "token"]).join(lengths, "file_id").crossJoin(F.broadcast(corpus))
+    rows = matches.join(df, ["query_id", "token"]).join(index.lengths, "file_id").crossJoin(F.broadcast(corpus))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "file_id").agg(F.round(F.sum(part), 9).alias("score"))
@@ -182,13 +171,18 @@ def normalise_rank(scored: DataFrame) -> DataFrame:
     return scored.withColumn("base", 0.45 + 0.5 * (1 - (high - F.col("score")) / F.greatest(high - low, F.lit(1e-6))))
 
 
-def substring_fallback(criteria: DataFrame, matched: DataFrame, docs: DataFrame, top: int = 120) -> DataFrame:
-    """For queries without a match: their longest term of three letters within name, folder, title or description."""
+def substring_fallback(criteria: DataFrame, matched: DataFrame, index: SearchIndex, top: int = 120) -> DataFrame:
+    """For queries without a match: their longest term of three letters within name, folder, title, description or people.
+
+    The term's rarest trigram gives the files to look at. Without such a query no trigram is read or written.
+    """
     long = F.sort_array(F.transform(F.filter("terms", lambda t: F.length(t) >= 3), lambda t: F.struct(-F.length(t), F.lower(t).alias("t"))))
     left = criteria.join(matched.select("query_id").distinct(), "query_id", "left_anti")
-    left = left.select("query_id", F.try_element_at(long, F.lit(1))["t"].alias("term")).where("term is not null")
-    text = F.lower(F.concat_ws("\n", "name", "folder", "title", "description", "people"))
-    hits = docs.select("file_id", text.alias("text")).join(left, F.expr("contains(text, term)"))
+    left = written(left.select("query_id", F.try_element_at(long, F.lit(1))["t"].alias("term")).where("term is not null"), "search-left")
+    if left.isEmpty():
+        return left.sparkSession.createDataFrame([], f"query_id {left.schema['query_id'].dataType.simpleString()}, file_id long, base double")
+    near = candidates(left, "term", index.short_grams).join(index.short, "file_id")
+    hits = near.where("contains(text, term)").select("query_id", "file_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("file_id")))
     return hits.withColumn("place", place).where(F.col("place") <= top).select(
         "query_id", "file_id", (0.5 - F.least((F.col("place") - 1) * 0.001, F.lit(0.14))).alias("base")
@@ -204,7 +198,9 @@ def tag_only_hits(criteria: DataFrame, file_tags: DataFrame) -> DataFrame:
 def filter_only_hits(criteria: DataFrame, files: DataFrame, now: Column, top: int = CANDIDATES) -> DataFrame:
     """Queries without terms and tags: the newest files that pass their filters, at 0.5."""
     asked = criteria.where((F.size("terms") == 0) & (F.size("tags") == 0))
-    rows = files.join(asked, passes(now)).select("query_id", "file_id", "created_at")
+    every = F.array(*[F.lit(k) for k in D.KINDS])
+    asked = asked.withColumn("kind", F.explode(F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(every)))
+    rows = files.join(asked, "kind").where(passes(now)).select("query_id", "file_id", "created_at")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_at"), "file_id"))
     return rows.withColumn("p", place).where(F.col("p") <= top).select("query_id", "file_id", F.lit(0.5).alias("base"))
 
@@ -235,52 +231,65 @@ def admitted(rows: DataFrame, criteria: DataFrame, files: DataFrame, file_tags:
     return passed.where("only is null or held").select(*rows.columns)
 
 
-def coverage(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, file_id, terms) -> share of the terms that the written fields hold, by stem, by a prefix of three
-    bytes or by another name, and the number of neighbouring terms that stand side by side. Terms with a colon are skipped."""
-    text = F.concat_ws(" ", "description", "title", "ocr_text", "label", "tags")
-    line = F.array_join(F.transform(tokens(text), stem), " ")
-    written = docs.select("file_id", F.concat(F.lit(" "), line, F.lit(" ")).alias("line"))
-    names = synonym_table(docs.sparkSession).groupBy("base").agg(F.collect_set(stem(F.col("name"))).alias("names"))
-    # one row that holds the whole fixed table
-    table = names.agg(F.map_from_entries(F.collect_list(F.struct("base", "names"))).alias("others"))
+def coverage(criteria: DataFrame, index: SearchIndex, pairs: DataFrame | None = None) -> DataFrame:
+    """(query_id, file_id, covered, together) of the files (in `pairs`, where given) that hold a term of the query in their written fields.
+
+    covered: share of the terms that they hold, by stem, by a prefix of three bytes or by another name; together: neighbouring
+    terms whose stems stand side by side. Terms with a colon are skipped. Both come from the places of the index.
+    """
     plain = F.filter("terms", lambda t: ~t.contains(":"))
-    rows = pairs.join(written, "file_id").crossJoin(F.broadcast(table)).withColumn("wanted", F.transform(plain, stem))
-    gap, line = F.lit(" "), F.col("line")
-
-    def holds(t: Column) -> Column:
-        begins = line.contains(F.concat(gap, t, F.when(F.octet_length(t) < 3, " ").otherwise("")))
-        other = F.exists(F.try_element_at("others", t), lambda o: line.contains(F.concat(gap, o, gap)))
-        return (t.rlike(r"^[\p{L}\p{N}]+$") & begins) | F.coalesce(other, F.lit(False))
-
-    rows = rows.withColumn("found", F.transform("wanted", lambda t: F.struct(t.alias("t"), holds(t).alias("hit"))))
-    rest = F.greatest(F.size("wanted") - 1, F.lit(0))
-    neighbours = F.arrays_zip(F.slice("found", 1, rest).alias("a"), F.slice("found", 2, rest).alias("b"))
-    together = F.filter(neighbours, lambda p: p["a"]["hit"] & p["b"]["hit"] & line.contains(F.concat(gap, p["a"]["t"], gap, p["b"]["t"], gap)))
-    return rows.select(
-        "query_id", "file_id",
-        (F.size(F.filter("found", lambda f: f["hit"])) / F.greatest(F.size("wanted"), F.lit(1))).alias("covered"),
-        F.size(together).alias("together"),
-    )
+    sizes = criteria.select("query_id", F.size(plain).alias("n"))
+    asked = criteria.select("query_id", F.posexplode(F.transform(plain, stem)).alias("i", "t"))
+    single = asked.where(F.col("t").rlike(r"^[\p{L}\p{N}]+$"))
+    words = index.words.select("word", "parts", "stem")
+    held = ["query_id", "i", "word", "parts"]
+    open_ = index.beginning(single.where(F.octet_length("t") >= 3), "t", "stem").select(*held, (F.col("stem") == F.col("t")).alias("same"))
+    whole = single.where(F.octet_length("t") < 3).join(words, F.col("t") == F.col("stem")).select(*held, F.lit(True).alias("same"))
+    names = asked.join(synonym_table(index.words.sparkSession), F.col("t") == F.col("base")).select("query_id", "i", stem(F.col("name")).alias("stem"))
+    other = names.join(words, "stem").select(*held, F.lit(False).alias("same"))
+    found = index.at(open_.unionAll(whole).unionAll(other).groupBy(*held).agg(F.max("same").alias("same")), WRITTEN)
+    if pairs is not None:
+        found = found.join(pairs.select("query_id", "file_id").distinct(), ["query_id", "file_id"], "left_semi")
+    terms = found.groupBy("query_id", "file_id", "i").agg(F.flatten(F.collect_list(F.when(F.col("same"), F.col("places")))).alias("at"))
+    files = terms.groupBy("query_id", "file_id").agg(F.count(F.lit(1)).alias("k"), F.map_from_entries(F.collect_list(F.struct("i", "at"))).alias("held"))
+    beside = lambda i: F.arrays_overlap(F.transform(F.try_element_at("held", i), lambda p: p + 1), F.try_element_at("held", i + 1))
+    pairs_of = F.when(F.col("n") > 1, F.size(F.filter(F.sequence(F.lit(0), F.col("n") - 2), beside))).otherwise(0)
+    return files.join(sizes, "query_id").select("query_id", "file_id", (F.col("k") / F.greatest("n", F.lit(1))).alias("covered"), pairs_of.alias("together"))
+
+
+#: Match reasons in order of precedence, and the field that each looks into.
+REASONS = {"filename": "name", "tag": "tags", "project": "project", "folder": "folder", "collection": "collection", "text": "ocr_text"}
+
+
+def classify_match(rows: DataFrame, reasons: list[str] = list(REASONS), otherwise: str | None = "semantic") -> DataFrame:
+    """The first of filename, tag, project, folder, collection and text that contains a term; else semantic."""
+    any_in = lambda c: F.exists("terms", lambda t: F.coalesce(F.lower(F.col(c)).contains(F.lower(t)), F.lit(False)))
+    ladder = F.when(F.lit(False), F.lit(None).cast("string"))
+    for reason in reasons:
+        if REASONS[reason] in rows.columns:
+            ladder = ladder.when(any_in(REASONS[reason]), reason)
+    return rows.withColumn("match", ladder.otherwise(F.lit(otherwise)))
 
 
-def classify_match(rows: DataFrame) -> DataFrame:
-    """The first of filename, tag, project, folder and text that contains a term; else semantic."""
-    any_in = lambda c: F.exists("terms", lambda t: F.coalesce(F.lower(F.col(c)).contains(F.lower(t)), F.lit(False)))
-    ladder = F.when(any_in("name"), "filename").when(any_in("tags"), "tag").when(any_in("project"), "project")
-    return rows.withColumn("match", ladder.when(any_in("folder"), "folder").when(any_in("ocr_text"), "text").otherwise("semantic"))
+def reasoned(rows: DataFrame, index: SearchIndex) -> DataFrame:
+    """`rows` (with file_id and terms) with their match. Whole texts are read only for rows that nothing shorter explains."""
+    *short, last = REASONS
+    fields = [c for r in short if (c := REASONS[r]) in index.docs.columns]
+    told = written(classify_match(rows.join(index.docs.select("file_id", *fields), "file_id"), short, None).select(*rows.columns, "match"), "search-told")
+    left = told.where("match is null").drop("match").join(index.docs.select("file_id", REASONS[last]), "file_id")
+    return told.where("match is not null").unionByName(classify_match(left, [last]).select(*told.columns))
 
 
-def fuse(candidates: DataFrame, criteria: DataFrame, docs: DataFrame, files: DataFrame, file_tags: DataFrame, now: Column, near: DataFrame | None = None) -> DataFrame:
+def fuse(found: DataFrame, criteria: DataFrame, index: SearchIndex, files: DataFrame, file_tags: DataFrame, now: Column, near: DataFrame | None = None) -> DataFrame:
     """Final scores of (query_id, file_id, base): names, tags, coverage, likeness and recency added; filters applied."""
-    rows = candidates
+    rows = found
     if near is not None:  # vector hits join the candidates; a hit by vector alone starts at 0.35
         rows = rows.join(near.select("query_id", "file_id", "similarity"), ["query_id", "file_id"], "full_outer")
     else:
         rows = rows.withColumn("similarity", F.lit(0.0))
     rows = admitted(rows, criteria, files, file_tags, now).join(criteria.select("query_id", "terms"), "query_id").join(files.select("file_id", "created_at"), "file_id")
-    rows = rows.join(coverage(rows.select("query_id", "file_id", "terms"), docs), ["query_id", "file_id"], "left")
-    rows = classify_match(rows.join(docs.select("file_id", "name", "tags", "project", "folder", "ocr_text"), "file_id"))
+    rows = reasoned(rows, index)
+    rows = rows.join(coverage(criteria, index, rows), ["query_id", "file_id"], "left")
     days = (F.unix_timestamp(now) - F.unix_timestamp("created_at")) / 86400
     recency = F.when(days < 1, 0.07).when(days < 7, 0.035).when(days > 365, -0.04).otherwise(0.0)
     score = (
@@ -295,15 +304,20 @@ def fuse(candidates: DataFrame, criteria: DataFrame, docs: DataFrame, files: Dat
     return rows.withColumn("score", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 6))
 
 
-def search_batch(queries: DataFrame, files: DataFrame, docs: DataFrame, file_tags: DataFrame, now: Column, near: DataFrame | None = None) -> DataFrame:
-    """(query_id, file_id, score, match, total, place): the best 200 of every query, total counted before the cut."""
-    criteria = interpret_queries(queries)
-    postings = built_once(build_postings(docs))
-    matches = match_terms(criteria, postings)
-    scored = bm25(matches, postings, admit=lambda d: admitted(d, criteria, files, file_tags, now))
-    ranked = normalise_rank(scored).select("query_id", "file_id", "base")
-    parts = [ranked, substring_fallback(criteria, ranked, docs), tag_only_hits(criteria, file_tags), filter_only_hits(criteria, files, now)]
-    found = fuse(reduce(DataFrame.unionByName, parts), criteria, docs, files, file_tags, now, near)
+def search_batch(
+    queries: DataFrame, files: DataFrame, docs: DataFrame | SearchIndex, file_tags: DataFrame, now: Column, near: DataFrame | None = None
+) -> DataFrame:
+    """(query_id, file_id, score, match, total, place): the best 200 of every query, total counted before the cut.
+
+    `docs` may be an index that was written before; else one is written.
+    """
+    index = indexed(docs)
+    criteria = written(interpret_queries(queries), "search-criteria")
+    facts = written(files.select("file_id", "kind", "created_at", "favorite", "index_state"), "search-facts")
+    scored = bm25(match_terms(criteria, index), index, admit=lambda d: admitted(d, criteria, facts, file_tags, now))
+    ranked = written(normalise_rank(scored).select("query_id", "file_id", "base"), "search-ranked")
+    parts = [ranked, substring_fallback(criteria, ranked, index), tag_only_hits(criteria, file_tags), filter_only_hits(criteria, facts, now)]
+    found = fuse(reduce(DataFrame.unionByName, parts), criteria, index, facts, file_tags, now, near)
     w = Window.partitionBy("query_id")
     place = F.row_number().over(w.orderBy(F.desc("score"), "file_id"))
     out = found.withColumns({"total": F.count(F.lit(1)).over(w), "place": place}).where(F.col("place") <= RESULTS)

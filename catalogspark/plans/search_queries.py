@@ -13,6 +13,7 @@ from ..operators import people as P
 from ..operators import pixels as PX
 from ..operators import search as S
 from ..operators import vectors as V
+from ..operators.index import MORE, WRITTEN, SearchIndex
 from ..sources.adapters import NOW, Catalog, oracle
 
 QUERIES: dict = {}
@@ -79,10 +80,9 @@ def _raw(c):
 _phr = "greatest(" + ", ".join(f"CASE WHEN regexp_matches(lower(rest), '(^|[^\\p{{L}}\\p{{N}}]){p}($|[^\\p{{L}}\\p{{N}}])') THEN {d} ELSE 0 END" for p, d in D.DAY_PHRASES.items()) + ")"
 _kinds = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in D.KIND_WORDS.items()) + "}"
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-_CRIT = f""", raws AS (
-  SELECT conv_id || '-' || turn AS query_id, CASE turn % 4 WHEN 0 THEN 'kind:photo, #Trip ' WHEN 1 THEN 'last week "Two Words" is:favorite '
-         WHEN 2 THEN 'Screenshots since:9 ' ELSE 'video today pdf ' END || coalesce(text, '') AS raw FROM conversations
-), q AS (
+_TURNS = """SELECT conv_id || '-' || turn AS query_id, CASE turn % 4 WHEN 0 THEN 'kind:photo, #Trip ' WHEN 1 THEN 'last week "Two Words" is:favorite '
+         WHEN 2 THEN 'Screenshots since:9 ' ELSE 'video today pdf ' END || coalesce(text, '') AS raw FROM conversations"""
+_READ = f""", q AS (
   SELECT query_id, list_filter(regexp_extract_all(raw, '"([^"]*)"', 1), lambda p: trim(p) <> '') AS phrases, regexp_replace(raw, '"[^"]*"', ' ', 'g') AS rest FROM raws
 ), w AS (
   SELECT *, {_phr} AS said, list_filter(regexp_split_to_array(trim(rest, ' '), '\\s+'), lambda x: x <> '') AS words FROM q
@@ -101,6 +101,7 @@ _CRIT = f""", raws AS (
   FROM n
 )
 """
+_CRIT = f", raws AS ({_TURNS}){_READ}"
 
 
 @query("t4_interpret_queries", _CRIT + "SELECT query_id, array_to_string(terms, '|') AS terms, (SELECT string_agg(DISTINCT k, '|' ORDER BY k) FROM unnest(kinds) t(k)) AS kinds,"
@@ -128,13 +129,28 @@ def t5(c):
 
 
 def _docs(c):
-    return S.build_search_docs(c.files, c.file_tags, c.faces, c.people)
+    return S.build_search_docs(c.files, c.file_tags, c.faces, c.people, c.file_collections.withColumnRenamed("collection_id", "collection"))
+
+
+_indexes: dict = {}
+
+
+def _search_index(c):
+    """The index of a data folder, written once for a session and the files' times of change."""
+    jvm, conf = c.spark._jvm, c.spark._jsparkSession.sessionState().newHadoopConf()
+    named = [f for t in ("documents", "labels", "embeddings") for f in c.table(t).inputFiles()]
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in named]
+    key = (c.spark.sparkContext.applicationId, *((f, p.getFileSystem(conf).getFileStatus(p).getModificationTime()) for f, p in zip(named, paths)))
+    if key not in _indexes:
+        _indexes[key] = SearchIndex(_docs(c))
+    return _indexes[key]
 
 
 _DOCS = """, docs AS (
   SELECT f.file_id, name, title, description, label, CAST(NULL AS VARCHAR) AS context, ocr_text, folder_path AS folder,
          (SELECT string_agg(DISTINCT tag, ' ' ORDER BY tag) FROM file_tags t WHERE t.file_id = f.file_id) AS tags, project_id AS project,
-         (SELECT string_agg(DISTINCT p.label, ' ' ORDER BY p.label) FROM faces a JOIN people p USING (person_id) WHERE a.file_id = f.file_id AND NOT hidden AND p.label IS NOT NULL) AS people
+         (SELECT string_agg(DISTINCT p.label, ' ' ORDER BY p.label) FROM faces a JOIN people p USING (person_id) WHERE a.file_id = f.file_id AND NOT hidden AND p.label IS NOT NULL) AS people,
+         (SELECT string_agg(DISTINCT collection_id, ' ' ORDER BY collection_id) FROM file_collections m WHERE m.file_id = f.file_id) AS collection, ext
   FROM files f WHERE index_state <> 'missing'
 )
 """
@@ -151,10 +167,24 @@ _POST = _DOCS + ", postings AS (SELECT term, file_id, field, count(*) AS tf FROM
 
 @query("t7_build_postings", _POST + " SELECT field, count(*) AS rows, count(DISTINCT term) AS terms, sum(tf)::BIGINT AS tf FROM postings GROUP BY field")
 def t7(c):
-    p = S.build_postings(_docs(c))
+    p = S.build_postings(_search_index(c))
     return p.groupBy("field").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("term").alias("terms"), F.sum("tf").alias("tf"))
 
 
+_ORDER = [*WRITTEN, *[f for f in [*S.FIELDS, *MORE] if f not in WRITTEN]]
+_PLACED = _DOCS + ", placed AS (" + " UNION ALL ".join(
+    f"SELECT file_id, '{f}' AS field, len({toks(f)}) AS n, {' + '.join(['0', *(f'len({toks(g)})' for g in _ORDER[:k])])} + {max(k - len(WRITTEN) + 1, 0)} AS first FROM docs"
+    for k, f in enumerate(_ORDER)) + ")"
+
+
+@query("t7_positions", _PLACED + " SELECT file_id, field, n, first, (n * first + n * (n - 1) // 2)::BIGINT AS places FROM placed WHERE n > 0")
+def t7b(c):
+    """Each field's words in the positional index: how many, the first place, and the sum of all places."""
+    each = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p)
+    fields = _search_index(c).places.groupBy("file_id", "field")
+    return fields.agg(F.sum("tf").alias("n"), F.min(F.col("places")[0]).cast("long").alias("first"), F.sum(each).alias("places"))
+
+
 def _asked(c):
     """A query per benchmark item: its three longest distinct words."""
     words = F.array_distinct(X.tokens(F.col("text"), fold=True))
@@ -172,37 +202,47 @@ def _terms(c):
     return asked.join(pairs, "query_id").select("query_id", F.concat("long", "phrase", named).alias("terms"))
 
 
-_MATCH = _POST + f""", syn(w, name) AS (VALUES {_SYN}), base AS (SELECT DISTINCT {STEM} AS base, name FROM syn), asked AS (
-  SELECT item_id::VARCHAR AS query_id, {toks('text')} AS t, list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda x: x.w) AS l FROM benchmark
-), said AS (SELECT query_id, '' AS scope, unnest(l) AS w FROM asked UNION SELECT query_id, 'people', l[1] FROM asked WHERE len(l) > 0
-), spelt AS (SELECT *, {STEM} AS b FROM said
+def _match(said: str, phrases: str) -> str:
+    """CTEs up to `matches` from `said` (query_id, scope, w) and more wordings (query_id, scope, alternative)."""
+    return f""", syn(w, name) AS (VALUES {_SYN}), base AS (SELECT DISTINCT {STEM} AS base, name FROM syn), said AS ({said}), spelt AS (SELECT *, {STEM} AS b FROM said
 ), alts AS (
   SELECT query_id, scope, w AS alternative FROM spelt UNION SELECT query_id, scope, b FROM spelt UNION SELECT query_id, scope, b || 's' FROM spelt WHERE b NOT LIKE '%s'
-  UNION SELECT query_id, scope, name FROM spelt JOIN base ON b = base UNION SELECT query_id, '', t[1] || ' ' || t[2] FROM asked WHERE len(t) > 1
-), wanted AS (SELECT *, unnest(list_distinct(string_split(alternative, ' '))) AS token, len(list_distinct(string_split(alternative, ' '))) AS n FROM alts
+  UNION SELECT query_id, scope, name FROM spelt JOIN base ON b = base UNION {phrases}
+), wanted AS (SELECT *, unnest(list_distinct(t)) AS token, len(list_distinct(t)) AS n FROM (SELECT *, {toks('alternative')} AS t FROM alts)
 ), hit AS (SELECT query_id, scope, token, file_id, sum(tf) AS tf FROM (SELECT DISTINCT query_id, scope, token FROM wanted) JOIN postings ON starts_with(term, token) WHERE scope IN ('', field) GROUP BY ALL
 ), good AS (SELECT query_id, scope, alternative, file_id FROM wanted JOIN hit USING (query_id, scope, token) GROUP BY query_id, scope, alternative, file_id, n HAVING count(*) = n
 ), matches AS (
   SELECT DISTINCT query_id, CASE WHEN scope = '' THEN token ELSE scope || ':' || token END AS token, file_id, tf
   FROM good JOIN wanted USING (query_id, scope, alternative) JOIN hit USING (query_id, scope, token, file_id)
 )"""
-_RANK = _MATCH + f""", dl AS (SELECT file_id, sum(tf) AS dl FROM postings GROUP BY 1), corpus AS (SELECT avg(dl) AS avgdl, count(*) AS n FROM dl),
+
+
+_ASKED = f""", asked AS (
+  SELECT item_id::VARCHAR AS query_id, {toks('text')} AS t, list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda x: x.w) AS l FROM benchmark
+)"""
+_MATCH = _POST + _ASKED + _match(
+    "SELECT query_id, '' AS scope, unnest(l) AS w FROM asked UNION SELECT query_id, 'people', l[1] FROM asked WHERE len(l) > 0",
+    "SELECT query_id, '', t[1] || ' ' || t[2] FROM asked WHERE len(t) > 1",
+)
+_BM25 = f""", dl AS (SELECT file_id, sum(tf) AS dl FROM postings GROUP BY 1), corpus AS (SELECT avg(dl) AS avgdl, count(*) AS n FROM dl),
 df AS (SELECT query_id, token, count(*) AS df FROM matches GROUP BY ALL), ranked AS (
   SELECT query_id, file_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {S.K1 + 1} / (tf + {S.K1} * ({1 - S.B} + {S.B} * dl / avgdl))), 9) AS score
   FROM matches JOIN df USING (query_id, token) JOIN dl USING (file_id), corpus GROUP BY ALL
-), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rn FROM ranked) WHERE rn <= 400),
+)"""
+_BASED = """, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rn FROM ranked) WHERE rn <= 400),
 based AS (SELECT query_id, file_id, score, 0.45 + 0.5 * (1 - (max(score) OVER w - score) / greatest(max(score) OVER w - min(score) OVER w, 1e-6)) AS base FROM best WINDOW w AS (PARTITION BY query_id))
 """
+_RANK = _MATCH + _BM25 + _BASED
 
 
 def _ranked(c):
-    postings = S.built_once(S.build_postings(_docs(c)))
-    return S.bm25(S.match_terms(_terms(c), postings), postings)
+    index = _search_index(c)
+    return S.bm25(S.match_terms(_terms(c), index), index)
 
 
 @query("t8_match_prefix", _MATCH + " SELECT query_id, token, file_id, tf::BIGINT AS tf FROM matches")
 def t8(c):
-    return S.match_terms(_terms(c), S.built_once(S.build_postings(_docs(c))))
+    return S.match_terms(_terms(c), _search_index(c))
 
 
 @query("t9_bm25", _RANK + "SELECT query_id, file_id, round(score, 5) AS score FROM best")
@@ -223,7 +263,7 @@ def t10(c):
 )
 def t11(c):
     crit = c.table("benchmark").where("length(text) >= 6").select(F.col("item_id").cast("string").alias("query_id"), F.array(F.substring("text", 2, 5)).alias("terms"))
-    return S.substring_fallback(crit, crit.limit(0), _docs(c)).withColumn("base", F.round("base", 6))
+    return S.substring_fallback(crit, crit.limit(0), _search_index(c)).withColumn("base", F.round("base", 6))
 
 
 @query("t12_tag_only_hits", "SELECT DISTINCT 'q' || tag AS query_id, file_id, 0.6::DOUBLE AS base FROM file_tags")
@@ -244,29 +284,85 @@ def t12b(c):
     return S.filter_only_hits(crit, c.files, c.now).select("query_id", "file_id")
 
 
-@query("t16_search_batch")
+_RAWS = _ASKED + ", raws AS (SELECT query_id, array_to_string(l, ' ') AS raw FROM asked)"
+_TITLES = ", raws AS (SELECT file_id::VARCHAR AS query_id, title AS raw FROM files WHERE file_id % 100 = 0)"
+_COVER = f""", wr AS (SELECT file_id, list_transform({toks("concat_ws(' ', description, title, ocr_text, label, tags)", False)}, lambda w: {STEM}) AS line FROM docs),
+ct AS (SELECT query_id, list_transform(list_filter(terms, lambda x: NOT contains(x, ':')), lambda x: list_transform([lower(x)], lambda w: {STEM})[1]) AS ts FROM crit),
+others AS (SELECT {STEM} AS t, list(DISTINCT list_transform([name], lambda w: {STEM})[1]) AS names FROM (VALUES {_SYN}) s(w, name) GROUP BY 1),
+ci AS (SELECT query_id, i, ts[i] AS t, ts[i + 1] AS after, len(ts) AS n FROM (SELECT query_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM ct)),
+ch AS (SELECT query_id, i, file_id, n, (regexp_matches(ci.t, '^[\\p{{L}}\\p{{N}}]+$') AND len(list_filter(line, lambda x: CASE WHEN strlen(ci.t) < 3 THEN x = ci.t ELSE starts_with(x, ci.t) END)) > 0)
+       OR coalesce(list_has_any(line, names), false) AS hit, len(list_filter(range(1, len(line)), lambda p: line[p] = ci.t AND line[p + 1] = after)) > 0 AS beside FROM ci LEFT JOIN others USING (t), wr),
+covers AS (SELECT query_id, file_id, count(*) FILTER (hit) / any_value(n) AS covered, count(*) FILTER (hit AND beside) AS together FROM ch GROUP BY ALL HAVING count(*) FILTER (hit) > 0)"""
+
+
+def _search_sql(raws: str, near: str) -> str:
+    """CTEs up to `results` (query_id, file_id, score, match, total, place) of whole searches; `near`: query_id, file_id, similarity."""
+    pairs = f"(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id)) AS place"
+    return (
+        _POST + raws + _READ + _match("SELECT query_id, '' AS scope, unnest(list_transform(terms, lambda x: lower(x))) AS w FROM crit", "SELECT query_id, '', '' FROM crit WHERE false") + _BM25
+        + f""", passed AS (SELECT query_id, file_id FROM crit, files WHERE index_state <> 'missing' AND (len(kinds) = 0 OR list_contains(kinds, kind))
+  AND (since_days IS NULL OR created_at >= {T0} - to_days(since_days)) AND (NOT favorites OR favorite)),
+allowed AS (SELECT * FROM ranked SEMI JOIN passed USING (query_id, file_id))"""
+        + _BASED.replace("FROM ranked", "FROM allowed")
+        + f""", lost AS (SELECT query_id, list_sort(list_transform(list_filter(terms, lambda x: length(x) >= 3), lambda x: {{'n': -length(x), 't': lower(x)}}))[1].t AS t FROM crit ANTI JOIN based USING (query_id)),
+found AS (SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY file_id DESC) AS p FROM lost, docs WHERE contains(lower(concat_ws(chr(10), name, folder, title, description, people)), t)),
+bare AS (SELECT query_id, file_id, row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC, file_id) AS p FROM passed JOIN files USING (file_id) SEMI JOIN (SELECT query_id FROM crit WHERE len(terms) = 0 AND len(tags) = 0) USING (query_id)),
+bases AS (SELECT query_id, file_id, base FROM based UNION ALL SELECT query_id, file_id, 0.5 - least((p - 1) * 0.001, 0.14) FROM found WHERE p <= 120 UNION ALL SELECT query_id, file_id, 0.5 FROM bare WHERE p <= 400),
+near AS ({near}), both_ AS (SELECT * FROM (SELECT * FROM bases FULL JOIN near USING (query_id, file_id)) SEMI JOIN passed USING (query_id, file_id))"""
+        + _COVER
+        + f""", why AS (SELECT b.*, covered, together, created_at, CASE WHEN len(list_filter(terms, lambda x: contains(lower(d.name), lower(x)))) > 0 THEN 'filename' WHEN len(list_filter(terms, lambda x: contains(lower(d.tags), lower(x)))) > 0 THEN 'tag'
+  WHEN len(list_filter(terms, lambda x: contains(lower(project), lower(x)))) > 0 THEN 'project' WHEN len(list_filter(terms, lambda x: contains(lower(folder), lower(x)))) > 0 THEN 'folder'
+  WHEN len(list_filter(terms, lambda x: contains(lower(collection), lower(x)))) > 0 THEN 'collection' WHEN len(list_filter(terms, lambda x: contains(lower(d.ocr_text), lower(x)))) > 0 THEN 'text' ELSE 'semantic' END AS match
+  FROM both_ b JOIN crit USING (query_id) JOIN docs d USING (file_id) JOIN files USING (file_id) LEFT JOIN covers USING (query_id, file_id)),
+scores AS (SELECT query_id, file_id, match, round(least(greatest(coalesce(base, 0.35) + CASE match WHEN 'filename' THEN 0.18 WHEN 'tag' THEN 0.1 ELSE 0 END + 0.24 * coalesce(covered, 0) + 0.035 * coalesce(together, 0)
+  + 0.28 * least(greatest(coalesce(similarity, 0), 0), 1) + CASE WHEN epoch({T0}) - epoch(created_at) < 86400 THEN 0.07 WHEN epoch({T0}) - epoch(created_at) < 7 * 86400 THEN 0.035 WHEN epoch({T0}) - epoch(created_at) > 365 * 86400 THEN -0.04 ELSE 0 END, 0), 1), 6) AS score FROM why),
+results AS (SELECT * FROM (SELECT query_id, file_id, score, match, count(*) OVER (PARTITION BY query_id) AS total, {pairs} FROM scores) WHERE place <= 200)"""
+    )
+
+
+_RESULTS = " SELECT query_id, file_id, score::DOUBLE AS score, match, total, place FROM results"
+_NO_VECTORS = "SELECT NULL::VARCHAR AS query_id, NULL::BIGINT AS file_id, 0.0::DOUBLE AS similarity WHERE false"
+_SEARCH = _search_sql(_RAWS, _NO_VECTORS)
+
+
+def _placed(found):
+    return found.withColumn("place", F.col("place").cast("long"))
+
+
+@query("t16_search_batch", _SEARCH + _RESULTS)
 def t16(c):
-    return S.search_batch(_asked(c), c.files, _docs(c), c.file_tags, c.now)
+    return _placed(S.search_batch(_asked(c), c.files, _search_index(c), c.file_tags, c.now))
 
 
-@query("t15_fuse_and_rerank")
+@query(
+    "t15_fuse_and_rerank",
+    ", ix AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+    + _search_sql(_TITLES, "SELECT query_id, id AS file_id, score AS similarity FROM (SELECT q.id::VARCHAR AS query_id, x.id, round(list_inner_product(q.e, x.e), 9) AS score, row_number() OVER (PARTITION BY q.id ORDER BY round(list_inner_product(q.e, x.e), 9) DESC, x.id) AS p FROM ix q, ix x WHERE q.id % 100 = 0) WHERE p <= 60")
+    + _RESULTS,
+)
 def t15(c):
     """Every hundredth file's title as a query, with the vectors nearest to the file's own."""
     asked = c.files.where("file_id % 100 = 0").select(F.col("file_id").cast("string").alias("query_id"), F.col("title").alias("raw"))
     own = _index(c).where("id % 100 = 0").withColumnRenamed("id", "query_id")
     near = V.knn(own, _index(c), 60).select(F.col("query_id").cast("string").alias("query_id"), F.col("id").alias("file_id"), F.col("score").alias("similarity"))
-    return S.search_batch(asked, c.files, _docs(c), c.file_tags, c.now, near)
+    return _placed(S.search_batch(asked, c.files, _search_index(c), c.file_tags, c.now, near))
 
 
-@query("a15_hit_breakdown")
+@query("a15_hit_breakdown", _SEARCH + " SELECT query_id, count(*) AS hits, count(*) FILTER (match = 'text') AS by_text, count(*) FILTER (match = 'semantic') AS by_vector FROM results GROUP BY query_id")
 def a15(c):
-    return S.hit_breakdown(S.search_batch(_asked(c), c.files, _docs(c), c.file_tags, c.now))
+    return S.hit_breakdown(S.search_batch(_asked(c), c.files, _search_index(c), c.file_tags, c.now))
+
+
+@query("t13_coverage", _DOCS + _RAWS + _READ + _COVER + " SELECT query_id, file_id, round(covered, 6)::DOUBLE AS covered, together FROM covers")
+def t13(c):
+    found = S.coverage(S.interpret_queries(_asked(c)), _search_index(c))
+    return found.withColumns({"covered": F.round("covered", 6), "together": F.col("together").cast("long")})
 
 
 @query(
     "t14_classify_match",
     _DOCS + ", asked AS (SELECT item_id::VARCHAR AS query_id, split_part(text, ' ', 2) AS t FROM benchmark) SELECT query_id, file_id, CASE WHEN contains(lower(name), lower(t)) THEN 'filename' WHEN contains(lower(tags), lower(t)) THEN 'tag'"
-    " WHEN contains(lower(project), lower(t)) THEN 'project' WHEN contains(lower(folder), lower(t)) THEN 'folder' WHEN contains(lower(ocr_text), lower(t)) THEN 'text' ELSE 'semantic' END AS match FROM asked, docs",
+    " WHEN contains(lower(project), lower(t)) THEN 'project' WHEN contains(lower(folder), lower(t)) THEN 'folder' WHEN contains(lower(collection), lower(t)) THEN 'collection' WHEN contains(lower(ocr_text), lower(t)) THEN 'text' ELSE 'semantic' END AS match FROM asked, docs",
 )
 def t14(c):
     asked = c.table("benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.array(F.split_part("text", F.lit(" "), F.lit(2))).alias("terms"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dictionaries as D
 from ..operators import describe as DS
 from ..operators import pixels as PX
 from ..operators import search as S
 from ..sources.adapters import Catalog, oracle
 from ..sources.files import observe_stream
 from ..streaming import streams as W
-from .search_queries import _DOCS, _asked, _docs, _pixels, toks
+from .search_queries import _ASKED, _DOCS, _SYN, STEM, _asked, _docs, _in, _pixels, _search_index, toks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -122,9 +123,22 @@ def d2(c):
     return DS.hard_clauses(g, hydrate(c.files, c.file_tags, c.file_collections), c.now).select("query_id", "file_id")
 
 
-@query("d3_field_word_score")
+_STEM_OF = lambda column: f"(SELECT {STEM} FROM (SELECT {column} AS w))"
+_FIELDS = list(DS.WEIGHTS)
+_WORDS = _DOCS + _ASKED + f""", content AS (SELECT query_id, CASE WHEN len(list_filter(l, lambda x: x NOT IN {_in(D.STOP_WORDS)})) > 0 THEN list_filter(l, lambda x: x NOT IN {_in(D.STOP_WORDS)}) ELSE l END AS ws FROM asked),
+qw AS (SELECT query_id, i, ws[i] AS word, len(ws) AS n FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM content)), bases AS (SELECT DISTINCT word, {_STEM_OF("word")} AS base FROM qw),
+lines AS ({" UNION ALL ".join(f"SELECT file_id, '{f}' AS field, {DS.WEIGHTS[f]} AS weight, {i} AS ord, {toks(f)} AS ts FROM docs" for i, f in enumerate(_FIELDS))}),
+toks_ AS (SELECT DISTINCT file_id, field, weight, ord, unnest(ts) AS term FROM lines), voc AS (SELECT DISTINCT term, {_STEM_OF("term")} AS st FROM toks_),
+fam AS (SELECT DISTINCT {_STEM_OF("a")} AS base, {_STEM_OF("b")} AS st FROM (VALUES {_SYN}) s(a, b)),
+pairs AS (SELECT word, base, term, st, EXISTS (SELECT 1 FROM fam WHERE fam.base = bases.base AND fam.st = voc.st) AS named FROM bases JOIN voc ON contains(st, base) OR term = word OR st IN (SELECT f.st FROM fam f WHERE f.base = bases.base)),
+kinds AS (SELECT word, term, CASE WHEN term = word THEN 0 WHEN st = base THEN 1 WHEN starts_with(st, base) THEN 2 WHEN length(base) >= 3 AND named THEN 3 WHEN length(base) >= 3 AND contains(st, base) THEN 4 END AS k FROM pairs),
+best AS (SELECT word, file_id, field, weight, ord, min(k) AS k FROM kinds JOIN toks_ USING (term) WHERE k IS NOT NULL GROUP BY ALL),
+ws AS (SELECT word, file_id, max(weight * {DS.WORTH}[k + 1])::DOUBLE AS score, arg_max(field, (weight * {DS.WORTH}[k + 1], -ord)) AS field FROM best GROUP BY word, file_id)"""
+
+
+@query("d3_field_word_score", _WORDS + " SELECT query_id, 0 AS grp, word, file_id, score, field FROM qw JOIN ws USING (word)")
 def d3(c):
-    return DS.field_word_score(DS.interpret_descriptions(_described(c)), _docs(c))
+    return DS.field_word_score(DS.interpret_descriptions(_described(c)), _search_index(c))
 
 
 @query("d4_ordered_phrase", _DOCS + f", q AS (SELECT item_id::VARCHAR AS query_id, ' ' || array_to_string({toks('text')}[2:4], ' ') || ' ' AS p FROM benchmark) SELECT DISTINCT query_id, file_id FROM q JOIN docs ON "
@@ -132,28 +146,34 @@ def d3(c):
 def d4(c):
     words = F.slice(F.filter(F.split(F.translate(F.lower("text"), "", ""), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 2, 3)
     q = c.table("benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.concat(F.lit('"'), F.array_join(words, " "), F.lit('"')).alias("raw"))
-    return DS.ordered_phrase(DS.interpret_descriptions(q), _docs(c)).select("query_id", "file_id").distinct()
+    return DS.ordered_phrase(DS.interpret_descriptions(q), _search_index(c)).select("query_id", "file_id").distinct()
 
 
 @query("d7_exclusions", _DOCS + "SELECT file_id FROM docs WHERE NOT ("
-       + " OR ".join(f"list_contains({toks(f)}, '{w}')" for f in ("name", "title", "description", "label", "ocr_text", "folder", "tags", "project") for w in ("quality", "und")) + ")")
+       + " OR ".join(f"len(list_filter({toks(f)}, lambda w: contains({STEM}, '{x}'))) > 0" for f in ("name", "title", "description", "label", "ocr_text", "folder", "tags", "project", "collection", "ext") for x in ("quality", "und")) + ")")
 def d7(c):
     g = DS.interpret_descriptions(c.spark.createDataFrame([("q", "anything -quality -und")], "query_id string, raw string"))
     found = _docs(c).select(F.lit("q").alias("query_id"), F.lit(0).alias("grp"), "file_id")
-    return DS.exclusions(found, g, _docs(c)).select("file_id")
+    return DS.exclusions(found, g, _search_index(c)).select("file_id")
 
 
-@query("d9_describe_search")
+@query(
+    "d9_describe_search",
+    _WORDS + f""", stems AS (SELECT file_id, list_transform(ts, lambda w: {STEM}) AS ss FROM lines),
+near AS (SELECT a.query_id, a.i, x.file_id FROM qw a JOIN qw b ON a.query_id = b.query_id AND b.i = a.i + 1 JOIN ws x ON x.word = a.word JOIN ws y ON y.word = b.word AND x.file_id = y.file_id
+  JOIN bases p ON p.word = a.word JOIN bases q ON q.word = b.word JOIN stems s ON s.file_id = x.file_id WHERE len(list_filter(range(1, len(ss)), lambda j: ss[j] = p.base AND ss[j + 1] = q.base)) > 0 GROUP BY ALL),
+sums AS (SELECT query_id, file_id, any_value(n) AS n, sum(score) AS s, count(*) AS hit, list_sort(list(word) FILTER (field IN ('description', 'label'))) AS reasons FROM qw JOIN ws USING (word) GROUP BY query_id, file_id),
+raw AS (SELECT query_id, 0 AS grp, file_id, (s + CASE WHEN n >= 2 THEN 5.0 * hit / n ELSE 0 END + 1.2 * coalesce((SELECT count(*) FROM near x WHERE x.query_id = sums.query_id AND x.file_id = sums.file_id), 0)) * (1 + 0.15 * greatest(hit - 1, 0)) AS score,
+  coalesce(reasons, []) AS reasons FROM sums JOIN files USING (file_id) WHERE query_id::BIGINT % 3 <> 0 OR kind <> 'photo' UNION ALL SELECT query_id, 1, file_id, 1.0, [] FROM asked, files WHERE query_id::BIGINT % 3 = 0 AND kind = 'video'),
+final AS (SELECT query_id, grp, file_id, reasons, created_at, round(score + greatest(0, 0.6 - (epoch(TIMESTAMP '2024-03-01') - epoch(created_at)) / (4 * 365.0 * 86400)), 6) AS score FROM raw JOIN files USING (file_id)),
+one AS (SELECT query_id, file_id, max(score) AS score, arg_max(reasons, (score, -grp)) AS reasons, any_value(created_at) AS created_at FROM final GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, file_id) AS place FROM one)
+SELECT query_id, file_id, score::DOUBLE AS score, array_to_string(reasons, ',') AS reasons, place FROM r WHERE place <= 200""",
+)
 def d9(c):
     from ..operators.listing import hydrate
 
     files = hydrate(c.files, c.file_tags, c.file_collections)
     claims = PX.descriptors(c.files, PX.signature(_pixels(c)), c.now)
-    return DS.describe_search(_described(c), files, _docs(c), c.now, claims)
-
-
-@query("t13_coverage")
-def t13(c):
-    crit = S.interpret_queries(_asked(c))
-    pairs = _docs(c).select("file_id").join(F.broadcast(crit.select("query_id", "terms")))  # the stated query set against all rows
-    return S.coverage(pairs, _docs(c)).where("covered > 0")
+    found = DS.describe_search(_described(c), files, _search_index(c), c.now, claims)
+    return found.withColumns({"reasons": F.array_join("reasons", ","), "place": F.col("place").cast("long")})

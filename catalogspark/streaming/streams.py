@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.people import assign_faces, centroids, cluster_faces
-from ..operators.search import built_once
 from ..operators.vectors import normalise
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a local one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+from ..shared import built_once
+from ..shared import new_path as shared_path
 
 
 def touched_folders(observations: DataFrame, quiet: str = "1200 milliseconds", late: str = "10 seconds") -> DataFrame:

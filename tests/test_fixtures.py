@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import text as X
 from catalogspark.operators import changes, describe, labels, organize, people, pixels, search, vectors
+from catalogspark.operators.index import SearchIndex
 from catalogspark.sources import files as S
 from catalogspark.streaming import streams as W
 
@@ -268,9 +269,11 @@ def test_upserts_go_on_after_a_restart(spark):
 def test_coverage(spark):
     docs = spark.createDataFrame([(1, "A red motorcycle parked at night in two cities", "", "", "", "")], "file_id long, description string, title string, ocr_text string, label string, tags string")
     rows = [("a", ["red", "motorcycles", "night"]), ("b", ["red", "helicopter"]), ("c", ["city"]), ("d", ["green"])]
-    pairs = spark.createDataFrame([(q, 1, t) for q, t in rows], "query_id string, file_id long, terms array<string>")
-    got = {r.query_id: (r.covered, r.together) for r in search.coverage(pairs, docs).collect()}
-    assert got == {"a": (1.0, 1), "b": (0.5, 0), "c": (1.0, 0), "d": (0.0, 0)}
+    criteria = spark.createDataFrame(rows, "query_id string, terms array<string>")
+    index = SearchIndex(docs)
+    got = {r.query_id: (r.covered, r.together) for r in search.coverage(criteria, index).collect()}
+    assert got == {"a": (1.0, 1), "b": (0.5, 0), "c": (1.0, 0)}
+    assert {r.query_id for r in search.coverage(criteria, index, criteria.where("query_id < 'c'").withColumn("file_id", F.lit(1))).collect()} == {"a", "b"}
 
 
 def test_neighbours_with_many_equal_scores():
