@@ -182,17 +182,25 @@ def hard_clauses(groups: DataFrame, files: DataFrame, now: Column, index: Search
         *key, F.when(sized, F.col("f")).otherwise("created").alias("measure"),
         F.when(sized, low).otherwise(F.unix_micros(since).cast("double")).alias("low"), F.when(sized, high).otherwise(F.unix_micros(until).cast("double")).alias("high"),
     )
-    found = [
-        by_kind.join(files.select("kind", "file_id"), "kind").select(*key, "file_id"),
-        of("ext").join(files.select(F.col("ext").alias("v"), "file_id"), "v").select(*key, "file_id"),
-        of("favorite").withColumn("favorite", F.lit(True)).join(files.select("favorite", "file_id"), "favorite").select(*key, "file_id"),
-        beginning("tag", tagged("tags")), beginning("collection", tagged("collections")),
-        beginning("project", files.where("project_id is not null").select(F.lower("project_id").alias("name"), "file_id")),
-        interval_join(bounds.where("low is not null or high is not null"), points.where("x is not null")).select(*key, "file_id"),
-    ]
-    if index is not None:
-        short = of("name", "folder").select(*key, "v")
-        found.append(candidates(short, "v", index.short_grams).select(*key, "file_id"))
+    there = {r["lead"] for r in led.select("lead").distinct().collect()}  # eleven at most
+    found = [led.withColumn("file_id", F.lit(None).cast(files.schema["file_id"].dataType)).where("false").select(*key, "file_id")]
+    if there & {"kind", "any"}:
+        found.append(by_kind.join(files.select("kind", "file_id"), "kind").select(*key, "file_id"))
+    if "ext" in there:
+        found.append(of("ext").join(files.select(F.col("ext").alias("v"), "file_id"), "v").select(*key, "file_id"))
+    if "favorite" in there:
+        found.append(of("favorite").withColumn("favorite", F.lit(True)).join(files.select("favorite", "file_id"), "favorite").select(*key, "file_id"))
+    if "tag" in there:
+        found.append(beginning("tag", tagged("tags")))
+    if "collection" in there:
+        found.append(beginning("collection", tagged("collections")))
+    if "project" in there:
+        found.append(beginning("project", files.where("project_id is not null").select(F.lower("project_id").alias("name"), "file_id")))
+    if "interval" in there:
+        found.append(interval_join(bounds.where("low is not null or high is not null"), points.where("x is not null")).select(*key, "file_id"))
+    if there & {"name", "folder"}:
+        found.append(candidates(of("name", "folder").select(*key, "v"), "v", index.short_grams).select(*key, "file_id"))
+    if "text" in there:
         words = candidates(of("text").select(*key, "run"), "run", index.word_grams).where("contains(word, run)")
         words = words.join(index.words.select("word", "parts"), "word").select(*key, "word", "parts")
         found.append(index.at(words, ["name", "title", "description", "ocr_text"]).select(*key, "file_id"))
@@ -254,8 +262,10 @@ def ordered_phrase(groups: DataFrame, docs: DataFrame | SearchIndex) -> DataFram
 def exclusions(found: DataFrame, groups: DataFrame, docs: DataFrame | SearchIndex, claims: DataFrame | None = None) -> DataFrame:
     """`found` without files that an excluded word matches, in any field and by any kind of match, or that a measurement
     says it of. `claims`: of descriptors()."""
-    minus = groups.where(F.size("excluded") > 0).select("query_id", "grp", F.col("excluded").alias("words"))
+    minus = written(groups.where(F.size("excluded") > 0).select("query_id", "grp", F.col("excluded").alias("words")), "describe-excluded")
     key = ["query_id", "grp", "file_id"]
+    if minus.isEmpty():
+        return found
     gone = field_word_score(minus, docs).select(*key)
     if claims is not None:
         gone = gone.unionByName(measured_words(minus, claims).select(*key))
@@ -263,10 +273,13 @@ def exclusions(found: DataFrame, groups: DataFrame, docs: DataFrame | SearchInde
 
 
 def measured_words(groups: DataFrame, claims: DataFrame) -> DataFrame:
-    """(query_id, grp, word, file_id, says, confidence): words that a measurement answers. `claims`: of descriptors()."""
+    """(query_id, grp, word, file_id, says, confidence): words that a measurement answers. `claims`: of descriptors(), which
+    aren't worked out where no word asks for one."""
     spark = groups.sparkSession
     meaning = spark.createDataFrame([(w, says) for says, ws in WORDS.items() for w in ws.split()], "word string, says string")
-    asked = groups.select("query_id", "grp", F.explode("words").alias("word")).join(F.broadcast(meaning), "word")
+    asked = written(groups.select("query_id", "grp", F.explode("words").alias("word")).join(F.broadcast(meaning), "word"), "describe-measured")
+    if asked.isEmpty():
+        claims = claims.where("false")
     return asked.join(claims, "says").select("query_id", "grp", "word", "file_id", "says", "confidence")
 
 
