@@ -108,23 +108,6 @@ def similar_files(index: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.withColumn("score", F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)))
 
 
-def planes(v: Column, seed: int, bits: int, dim: int) -> Column:
-    """Signature of a vector by `bits` random planes of one table."""
-    r = np.random.default_rng(seed).standard_normal((bits, dim))
-    signs = [F.when(dot(v, F.array(*map(F.lit, row.tolist()))) >= 0, 1 << b).otherwise(0) for b, row in enumerate(r)]
-    return sum(signs[1:], signs[0])
-
-
-def knn_approx(queries: DataFrame, index: DataFrame, k: int, dim: int, tables: int = 8, bits: int = 4) -> DataFrame:
-    """Candidates that share a signature in any table, scored exactly. The index never leaves its shuffle keys."""
-    keys = lambda df: df.withColumn("key", F.explode(F.array(*[F.concat_ws(":", F.lit(t), planes(F.col("embedding"), t, bits, dim)) for t in range(tables)])))
-    a = keys(queries).select("key", "query_id", F.col("embedding").alias("q"))
-    b = keys(index).select("key", "id", "embedding")
-    pairs = a.join(b, "key").dropDuplicates(["query_id", "id"]).withColumn("score", dot(F.col("q"), F.col("embedding")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("place", place).where(F.col("place") <= k).select("query_id", "id", "score", "place")
-
-
 def zero_shot_scores(images: DataFrame, prompts: DataFrame, scale: float = 100.0) -> DataFrame:
     """(id, prompt, share): softmax of scaled cosines over a small table of prompts."""
     s = images.join(F.broadcast(prompts.select("prompt", F.col("embedding").alias("p")))).withColumn("s", scale * cosine(F.col("embedding"), F.col("p")))

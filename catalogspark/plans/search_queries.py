@@ -8,12 +8,14 @@ from ..functions import dictionaries as D
 from ..functions import text as X
 from ..operators import labels as LB
 from ..operators import listing as L
+from ..operators import neighbours as N
 from ..operators import organize as O
 from ..operators import people as P
 from ..operators import pixels as PX
 from ..operators import search as S
 from ..operators import vectors as V
 from ..operators.index import MORE, WRITTEN, SearchIndex
+from ..shared import written
 from ..sources.adapters import NOW, Catalog, oracle
 
 QUERIES: dict = {}
@@ -433,8 +435,13 @@ def v5(c):
 
 @query("v6_knn_approx")
 def v6(c):
+    """The ten neighbours by inverted lists, with the share of all rows that was scored and the recall against v3_knn, by query."""
     q = _index(c).where("id % 100 = 0").withColumnRenamed("id", "query_id")
-    return V.knn_approx(q, _index(c), 10, 64, tables=24, bits=3)
+    lists = N.InvertedLists(_index(c), 64)
+    found = written(lists.search(q, 10), "v6-found")
+    share = F.round(F.col("scored") / lists.rows, 6).alias("scored_share")
+    hits = N.recall(found, V.knn(q, _index(c), 10))
+    return found.join(hits, "query_id").select("query_id", "id", "score", F.col("place").cast("long").alias("place"), share, "recall")
 
 
 @query("v7_zero_shot_scores", _IX + ", p AS (SELECT * FROM ix WHERE id < 5), s AS (SELECT ix.id, p.id AS prompt, 5 * list_cosine_similarity(ix.e, p.e) AS s FROM ix, p) SELECT id, prompt, round(exp(s) / sum(exp(s)) OVER (PARTITION BY id), 6) AS share FROM s")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogspark.functions import text as X
-from catalogspark.operators import changes, describe, labels, organize, people, pixels, search, vectors
+from catalogspark.operators import changes, describe, labels, neighbours, organize, people, pixels, search, vectors
 from catalogspark.operators.index import SearchIndex
 from catalogspark.sources import files as S
 from catalogspark.streaming import streams as W
@@ -205,7 +205,7 @@ def test_approximate_neighbours_recall(spark, sf):
     ix = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
     q = ix.where("id % 100 = 0").withColumnRenamed("id", "query_id")
     exact = {(r.query_id, r.id) for r in vectors.knn(q, ix, 5).collect()}
-    found = {(r.query_id, r.id) for r in vectors.knn_approx(q, ix, 5, 64, tables=24, bits=3).collect()}
+    found = {(r.query_id, r.id) for r in neighbours.knn_approx(q, ix, 5, 64).collect()}
     assert len(exact & found) / len(exact) >= 0.9
 
 
