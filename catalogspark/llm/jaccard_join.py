@@ -74,6 +74,7 @@ def _sets(n: int, keys: bool):
                     yield pa.RecordBatch.from_pydict(
                         {
                             "id": part.column("id"),
+                            "mark": part.column("mark"),
                             "n": pa.array([len(s) for s in found], pa.int64()),
                             "d1": pa.array(np.array([mix(s).sum(dtype=U) for s in found], U).view(np.int64)),
                             "d2": pa.array(np.array([mix(s ^ _BAND[0]).sum(dtype=U) for s in found], U).view(np.int64)),
@@ -189,6 +190,19 @@ def _compare(num: int, den: int):
     return run
 
 
+def _classes(meta: DataFrame) -> DataFrame:
+    """(n, d1, d2, class_size, rep, mark, node): each distinct set, its smallest id with that row's text hash, and the number it
+    goes by: the id, or, where that stands for another set too, one above all ids made from the set."""
+    classes = meta.where("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(
+        F.min(F.struct("id", "mark")).alias("one"), F.count(F.lit(1)).alias("class_size")
+    )
+    classes = staged(classes.select("n", "d1", "d2", "class_size", F.col("one.id").alias("rep"), "one.mark"), "jaccard-classes")
+    shared = classes.groupBy("rep").agg(F.min("mark").alias("least"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    made = F.shiftrightunsigned(F.xxhash64("rep", "mark", "n", "d1", "d2"), 2) + F.lit(1 << 62)
+    node = F.when(F.col("least").isNull() | (F.col("least") == F.col("mark")), F.col("rep")).otherwise(made)
+    return classes.join(shared, "rep", "left").select("n", "d1", "d2", "class_size", "rep", "mark", node.alias("node"))
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
@@ -197,30 +211,26 @@ def jaccard_components(
     `component_id` is the smallest id reachable over links; `class_id` the smallest id with an equal
     set, of which there are `class_size`; `n_links` counts the rows that a row links with. The documented thresholds 80/100 fix BANDS and ROWS; lower ones lose recall.
     """
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     meta = staged(
-        rows.mapInArrow(lean(_sets(n, keys=True)), "id long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys"
-    )
-    classes = (
-        meta.where("n > 0 and id is not null")
-        .groupBy("n", "d1", "d2")
-        .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
+        rows.mapInArrow(lean(_sets(n, keys=True)), "id long, mark long, n long, d1 long, d2 long, keys array<long>"), "jaccard-keys"
     )
-    reps = meta.join(
-        classes.select(F.col("rep").alias("id"), "n", "d1", "d2"), ["id", "n", "d1", "d2"], "left_semi"
-    ).dropDuplicates(["id"])
+    classes = _classes(meta)
+    reps = meta.join(classes.select(F.col("rep").alias("id"), "mark", "n", "d1", "d2", "node"), ["id", "mark", "n", "d1", "d2"])
+    reps = reps.select(F.col("node").alias("id"), "n", "keys").dropDuplicates(["id"])
     keyed = reps.select("id", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     near = keyed.join(hubs, "key").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
     groups = components(near)
     sized = groups.join(reps.select("id", "n"), "id").join(
-        classes.select(F.col("rep").alias("id"), F.col("class_size").alias("copies")), "id"
+        classes.select(F.col("node").alias("id"), "rep", "mark", F.col("class_size").alias("copies")), "id"
     )
     blocks = sized.groupBy("component").agg(
         F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("nb")
     )
-    marked = sized.join(blocks, "component").select(F.col("id").alias("doc"), F.col("component").alias("grp"), "nb", "copies")
-    texts = rows.join(marked, rows.id == marked.doc).dropDuplicates(["id"]).select("id", "grp", "nb", "copies", "text")
+    marked = sized.join(blocks, "component").select(F.col("id").alias("node"), F.col("rep").alias("id"), "mark", F.col("component").alias("grp"), "nb", "copies")
+    texts = rows.join(marked, ["id", "mark"]).dropDuplicates(["node"]).select(F.col("node").alias("id"), "grp", "nb", "copies", "text")
     block = F.pmod(F.xxhash64("id"), F.col("nb").cast("long")).cast("int")
     units = (
         texts.mapInArrow(lean(_sets(n, keys=False)), "id long, grp long, nb int, copies long, items binary")
@@ -231,9 +241,12 @@ def jaccard_components(
     )
     links = cut(units.groupBy("grp", "lo", "hi").applyInPandas(_compare(num, den), "u long, v long, links long"))
     linked = components(links.select("u", "v"))
-    degrees = links.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    named = classes.join(linked, classes.rep == linked.id, "left").join(degrees, "rep", "left").select(
-        "n", "d1", "d2", "rep", "class_size", F.coalesce("component", "rep").alias("component"), "links"
+    degrees = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    named = classes.join(linked, classes.node == linked.id, "left").join(degrees, "node", "left")
+    # a component of a node that isn't an id: the smallest of its ids; no rows unless ids repeat over different texts
+    under = classes.where("node <> rep").join(linked, classes.node == linked.id).groupBy("component").agg(F.min("rep").alias("under"))
+    named = named.join(under, "component", "left").select(
+        "n", "d1", "d2", "rep", "class_size", F.least(F.coalesce("component", "rep"), "under").alias("component"), "links"
     )
     return meta.join(named, ["n", "d1", "d2"], "left").select(
         F.col("id"),

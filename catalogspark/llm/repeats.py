@@ -323,12 +323,13 @@ def remove_repeats(
     With `as_text`, kept_text instead of kept_bytes: without the halves of characters that a cut split.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_text" if as_text else "kept_bytes"]
-    carried = [c for c in docs.columns if c not in added and c != text_col]
+    names = [c for c in docs.columns if c not in added and c != text_col]
+    carried = [f"c{i}" for i in range(len(names))]  # the columns' names may clash with those used here
     rows = bounded_batches(docs).select(
-        *[F.col(f"`{c}`") for c in carried], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(names, carried)], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")
     )
     # rows that repeat share a key: their places then count twice, as they should
-    rows = rows.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in carried], "__text"))
+    rows = rows.withColumn("__key", F.xxhash64(*carried, "__text"))
     found = rows.select(F.col("__key").alias("key"), F.col("__text").alias("text")).mapInArrow(
         lean(_anchor_rows(length, gram)), "h long, r long, key long, place long"
     )
@@ -385,8 +386,7 @@ def remove_repeats(
         .groupBy(F.col("key").alias("__key"))
         .agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("__spans"))
     )
-    kept = docs.select(*[F.col(f"`{c}`") for c in carried]).schema
+    kept = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, carried)]).schema
     fields = [*kept.fields, *(T.StructField(c, T.LongType()) for c in added[:3]), T.StructField(added[3], T.StringType() if as_text else T.BinaryType())]
-    return rows.join(covered, "__key", "left").mapInArrow(
-        lean(_remove(carried, as_text)), T.StructType(fields)
-    )
+    out = rows.join(covered, "__key", "left").mapInArrow(lean(_remove(carried, as_text)), T.StructType(fields))
+    return out.toDF(*names, *added)

@@ -90,10 +90,17 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         found = [trie.value.find(h, p) or (None, default) for h, p in zip(host, path)]
         return pd.DataFrame(found, columns=["rule", "verdict"])
 
-    found = judge("host", "path")
-    return parted.withColumn("__found", found).withColumns(
-        {"rule": F.col("__found.rule"), "verdict": F.col("__found.verdict")}
-    ).drop("__found")
+    found = _free(parted, "found")
+    return parted.withColumn(found, judge("host", "path")).withColumns(
+        {"rule": F.col(f"{found}.rule"), "verdict": F.col(f"{found}.verdict")}
+    ).drop(found)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def _judge_by_join(parted: DataFrame, rules: DataFrame, default: str) -> DataFrame:
@@ -103,6 +110,7 @@ def _judge_by_join(parted: DataFrame, rules: DataFrame, default: str) -> DataFra
     suffixes = pairs.withColumn("labels", labels).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("labels"))))
     suffixes = suffixes.withColumn("suffix", F.array_join(F.slice("labels", -F.col("k"), F.col("k")), "."))
     keyed = rules.select(F.col("host").alias("suffix"), F.col("path").alias("start"), F.col("verdict").alias("said"))
+    name = _free(parted, "best")
     best = (
         suffixes.join(keyed, "suffix")
         .where("startswith(path, start)")
@@ -111,11 +119,11 @@ def _judge_by_join(parted: DataFrame, rules: DataFrame, default: str) -> DataFra
             F.max_by(
                 F.struct(F.concat("suffix", "start").alias("rule"), "said"),
                 F.struct("k", F.length("start"), F.when(F.col("said") == "allow", 1).otherwise(0)),
-            ).alias("__best")
+            ).alias(name)
         )
     )
     return (
         parted.join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.said", F.lit(default))})
-        .drop("__best")
+        .withColumns({"rule": F.col(f"{name}.rule"), "verdict": F.coalesce(f"{name}.said", F.lit(default))})
+        .drop(name)
     )

@@ -75,3 +75,15 @@ def test_repeated_rows_extra_columns_empty_table(spark):
 def test_planted_sf(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert got(jaccard_components(df)) == brute([(x.doc_id, x.text) for x in df.collect()])
+
+
+def test_equal_ids_of_different_texts(spark):
+    """Rows of one id with different sets are told apart; each links by its own text, and components take the smallest id."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (5, b + " more words"), (4, "other text of its own here")]
+    rows += [(9, f"{b} and {i}") for i in range(3)] + [(1, b)] * 20
+    out = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    assert {r.id: r.component_id for r in out} == {1: 1, 2: 1, 3: 1, 5: 1, 4: 4, 9: 1}
+    links = {(r.id, r.n_shingles): r.n_links for r in out}
+    assert links[2, 57] == 1 and links[3, 57] == 25 and links[4, 2] == 0

@@ -91,3 +91,11 @@ def test_query_by_brute_force(spark, sf):
     found = sorted([tuple(r) for r in queries.op3_suffix_repeats(spark, sf).collect()], key=str)
     want = brute(rows, 200)
     assert found == want and sum(r[2] for r in want) > 10_000
+
+
+def test_columns_named_like_helpers(spark):
+    block = "".join(chr(97 + i % 23) + str(i) for i in range(200))
+    df = spark.createDataFrame([(1, "x", 2, f"one {block}"), (2, "y", 3, f"two {block}")], "doc_id long, __key string, __text int, text string")
+    out = remove_repeats(df)
+    assert out.columns[:3] == ["doc_id", "__key", "__text"]
+    assert {(r.doc_id, r["__key"], r["__text"], r.n_spans) for r in out.collect()} == {(1, "x", 2, 1), (2, "y", 3, 1)}

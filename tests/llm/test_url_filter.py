@@ -53,3 +53,13 @@ def test_query_equals_sql(spark, sf):
     got = [tuple(r) for r in queries.op7_url_filter(spark, sf).collect()]
     assert sorted(got) == sorted(want)
     assert {x[4] for x in got} == {"allow", "block"}
+
+
+def test_columns_named_like_helpers(spark, monkeypatch):
+    rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
+    df = spark.createDataFrame([("http://com/en/", 1, 2, 3), ("http://com/en/", 1, 2, 3), (None, 4, 5, 6)], "url string, found int, best int, __found int")
+    for _ in range(2):
+        out = judge_urls(df, rules)
+        assert sorted(map(tuple, out.select("found", "best", "__found", "verdict").collect())) == [(1, 2, 3, "block")] * 2 + [(4, 5, 6, "allow")]
+        monkeypatch.setattr(url_filter, "MAX_TRIE_RULES", 1)
+    assert judge_urls(df.limit(0), rules).collect() == []
