@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import extension
+from .labels import replace_machine_tags
+
 ATTEMPTS = 3
 
 
@@ -34,25 +37,30 @@ def apply_scan(files: DataFrame, diff: DataFrame, observed: DataFrame, now: Colu
 
     `observed`: folder_id, path, `SCANNED`, created_at, supported; `diff`: of both. Known files take the scan's
     metadata and keep id, created_at and all else; one whose hash moved remembers the time it had (a time not yet
-    captured stays). Indexed and unsupported files of equal hash keep their state, others start again.
+    captured stays). Indexed and unsupported files of equal hash keep their states, others start again. indexed_at is
+    when a file was added, seen_at when a scan last met it.
     """
     key = ["folder_id", "path"]
     new = observed.select(*key, *[F.col(x).alias(f"__{x}") for x in [*SCANNED, "created_at", "supported"]], F.lit(True).alias("__seen"))
-    known = files if "previous_modified_at" in files.columns else files.withColumn("previous_modified_at", F.lit(None).cast("timestamp"))
+    kept = {"previous_modified_at": "timestamp", "indexed_at": "timestamp", "seen_at": "timestamp", "ocr_state": "string"}
+    known = files.withColumns({c: F.lit(None).cast(kind) for c, kind in kept.items() if c not in files.columns})
     rows = known.join(diff.select(*key, "change"), key, "full_outer").join(new, key, "left")
     seen, old = F.col("__seen").isNotNull(), F.col("file_id").isNotNull()
     moved = old & seen & ~F.col("hash").eqNullSafe(F.col("__hash"))
     settled = old & ~moved & F.col("index_state").isin("indexed", "unsupported")
     fresh = F.when(F.col("__supported"), "pending").otherwise("unsupported")
+    unread = F.when(F.col("__supported"), "pending").otherwise("none")
     after = {x: F.when(seen, F.col(f"__{x}")).otherwise(F.col(x)) for x in SCANNED}
     after |= {
         "file_id": F.coalesce("file_id", F.xxhash64(*key)),
         "created_at": F.coalesce("created_at", "__created_at"),
         "previous_modified_at": F.when(moved, F.col("modified_at")).otherwise(F.col("previous_modified_at")),
         "index_state": F.when(F.col("change") == "missing", "missing").when(~seen | settled, F.col("index_state")).otherwise(fresh),
+        "ocr_state": F.when(~seen | settled, F.col("ocr_state")).otherwise(unread),
+        "indexed_at": F.when(old, F.col("indexed_at")).otherwise(now),
+        "seen_at": F.when(seen, now).otherwise(F.col("seen_at")),
     }
-    out = rows.select(*[after.get(x, F.col(x)).alias(x) for x in known.columns], "change")
-    return out.withColumn("indexed_at", now)
+    return rows.select(*[after.get(x, F.col(x)).alias(x) for x in known.columns], "change")
 
 
 def mark_missing(files: DataFrame, seen: DataFrame) -> DataFrame:
@@ -176,32 +184,95 @@ def rename_dimension(existing: DataFrame, renames: DataFrame) -> DataFrame:
 
 
 def save_text(files: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Extracted text replaces the old one; a missing answer overwrites nothing."""
+    """Extracted text replaces the old one and its state; a missing answer, and a file not asked about, keep both."""
     new = extracted.select("file_id", F.col("text").alias("__text"), F.col("available").alias("__available"))
     state = (
-        F.when(F.col("__available").isNull(), F.lit("none"))
+        F.when(F.col("__available").isNull(), F.col("ocr_state"))
         .when(~F.col("__available"), "unavailable")
         .when(F.trim(F.coalesce("__text", F.lit(""))) == "", "none")
         .otherwise("extracted")
     )
     got = F.coalesce(F.col("__available"), F.lit(False)) & (F.trim(F.coalesce("__text", F.lit(""))) != "")
-    return files.join(new, "file_id", "left").withColumns(
+    known = files if "ocr_state" in files.columns else files.withColumn("ocr_state", F.lit("none"))
+    return known.join(new, "file_id", "left").withColumns(
         {"ocr_state": state, "ocr_text": F.when(got, F.col("__text")).otherwise(F.col("ocr_text"))}
     ).drop("__text", "__available")
 
 
+#: What a model writes about a file, all of it replaced together.
+GENERATED = ["title", "description", "labels", "label_scores", "context", "engine"]
+
+
 def save_generated(files: DataFrame, generated: DataFrame) -> DataFrame:
-    """Title and description are replaced together; files asked about without an answer count an attempt."""
-    new = generated.select("file_id", F.lit(True).alias("__asked"), F.col("title").alias("__title"), F.col("description").alias("__description"))
+    """What `generated` has of `GENERATED` is replaced together for each file with an answer (a title), and its state is described;
+    files asked about without an answer keep all and count a failed attempt."""
+    columns = [c for c in GENERATED if c in generated.columns and c in files.columns]
+    new = generated.select("file_id", F.lit(True).alias("__asked"), *[F.col(c).alias(f"__{c}") for c in columns])
     got = F.col("__title").isNotNull()
-    joined = files.join(new, "file_id", "left")
-    return joined.withColumns(
+    failed = F.coalesce(F.col("__asked"), F.lit(False)) & ~got
+    after = {c: F.when(got, F.col(f"__{c}")).otherwise(F.col(c)) for c in columns}
+    after["attempts"] = F.col("attempts") + F.when(failed, 1).otherwise(0)
+    if "analysis_state" in files.columns:
+        after["analysis_state"] = F.when(got, "described").when(failed, "failed").otherwise(F.col("analysis_state"))
+    return files.join(new, "file_id", "left").withColumns(after).drop("__asked", *[f"__{c}" for c in columns])
+
+
+def save_machine_tags(file_tags: DataFrame, generated: DataFrame) -> DataFrame:
+    """The tags (array of tag, source) of each answer replace the machine tags of its file; a user's tags stay and win."""
+    answered = generated.where("title is not null").select("file_id", F.explode_outer("tags").alias("t"))
+    return replace_machine_tags(file_tags, answered.select("file_id", F.col("t.tag").alias("tag"), F.col("t.source").alias("source")))
+
+
+#: Fields of an edit log that set a column of the file, and the column.
+EDITED = {"favorite": "favorite", "project": "project_id", "name": "name", "folder": "folder_path", "trash": "index_state"}
+
+
+def apply_edits(files: DataFrame, file_tags: DataFrame, file_collections: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
+    """files, file_tags and file_collections after one log of edits (file_id, ts, seq, field, value), in order of time, then sequence.
+
+    favorite (true or false), project (null clears it), name, folder and trash (true or false) set what the file has last been
+    given; a file in the trash is missing, one taken out again is pending. A changed name or folder changes path and ext. tag+, tag-, collection+ and collection-
+    attach and detach `value`, the last one of a file and value counts: a tag is attached as the user's, in place of a machine's,
+    and detached whoever put it there. Edits of unknown files and fields do nothing.
+    """
+    when = F.struct("ts", "seq")
+    known = edits.join(files.select("file_id"), "file_id", "left_semi")
+    last = known.where(F.col("field").isin(*EDITED)).groupBy("file_id", "field").agg(F.max_by(F.struct("value"), when).alias("v"))
+    wide = last.groupBy("file_id").pivot("field", list(EDITED)).agg(F.first("v")).toDF("file_id", *[f"__{f}" for f in EDITED])
+    rows = files.join(wide, "file_id", "left")
+    said = lambda f: F.col(f"__{f}.value")
+    asked = lambda f: F.col(f"__{f}").isNotNull()
+    rows = rows.withColumns(
+        {
+            "favorite": F.when(asked("favorite"), F.lower(said("favorite")) == "true").otherwise(F.col("favorite")),
+            "project_id": F.when(asked("project"), said("project")).otherwise(F.col("project_id")),
+            "name": F.coalesce(said("name"), "name"),
+            "folder_path": F.coalesce(said("folder"), "folder_path"),
+            "index_state": F.when(F.lower(said("trash")) == "true", "missing")
+            .when((F.lower(said("trash")) == "false") & (F.col("index_state") == "missing"), "pending")
+            .otherwise(F.col("index_state")),
+        }
+    )
+    moved = asked("name") | asked("folder")
+    rows = rows.withColumns(
         {
-            "title": F.when(got, F.col("__title")).otherwise(F.col("title")),
-            "description": F.when(got, F.col("__description")).otherwise(F.col("description")),
-            "attempts": F.col("attempts") + F.when(F.col("__asked") & ~got, 1).otherwise(0),
+            "path": F.when(moved, F.concat("folder_path", F.lit("/"), "name")).otherwise(F.col("path")),
+            "ext": F.when(asked("name"), extension(F.col("name"))).otherwise(F.col("ext")),
         }
-    ).drop("__asked", "__title", "__description")
+    )
+
+    def membership(kind: str, table: DataFrame, column: str, fresh: dict) -> DataFrame:
+        own = known.where(F.col("field").isin(f"{kind}+", f"{kind}-") & F.col("value").isNotNull())
+        own = own.groupBy("file_id", F.col("value").alias(column)).agg(F.max_by("field", when).alias("__field"))
+        kept = table.join(own.select("file_id", column), ["file_id", column], "left_anti")
+        new = own.where(F.col("__field") == f"{kind}+").withColumns(fresh).select(*table.columns)
+        return kept.select(*table.columns).unionByName(new)
+
+    return {
+        "files": rows.select(*files.columns),
+        "file_tags": membership("tag", file_tags, "tag", {"source": F.lit("user")}),
+        "file_collections": membership("collection", file_collections, "collection_id", {}),
+    }
 
 
 def activity_feed(events: DataFrame, n: int) -> DataFrame:

@@ -115,12 +115,14 @@ def c3(c):
     " epoch(coalesce(f.modified_at, n.modified_at))::BIGINT + CASE WHEN change <> 'missing' AND f.file_id % 8 = 0 THEN 60 ELSE 0 END AS modified_at,"
     " CASE WHEN change <> 'missing' AND f.file_id % 8 = 0 THEN epoch(f.modified_at)::BIGINT END AS previous_modified_at,"
     " CASE WHEN change = 'missing' THEN 'missing' WHEN f.file_id % 8 <> 0 AND f.index_state IN ('indexed', 'unsupported') THEN f.index_state"
-    " WHEN coalesce(f.ext, n.ext) IN ('fig', 'zip', 'xyz') THEN 'unsupported' ELSE 'pending' END AS index_state"
+    " WHEN coalesce(f.ext, n.ext) IN ('fig', 'zip', 'xyz') THEN 'unsupported' ELSE 'pending' END AS index_state,"
+    " CASE WHEN change = 'missing' OR (f.file_id % 8 <> 0 AND f.index_state IN ('indexed', 'unsupported')) THEN f.ocr_state WHEN coalesce(f.ext, n.ext) IN ('fig', 'zip', 'xyz') THEN 'none' ELSE 'pending' END AS ocr_state,"
+    f" epoch(coalesce(f.indexed_at, {T0}))::BIGINT AS indexed_at, CASE WHEN change <> 'missing' THEN epoch({T0})::BIGINT END AS seen_at"
     " FROM diff d LEFT JOIN files f USING (file_id) LEFT JOIN files n ON d.file_id IS NULL AND n.path || '.new' = d.path",
 )
 def c4(c):
     after = C.apply_scan(c.files, _scan(c), _observed(c), c.now)
-    return after.select("path", "bytes", sec("created_at"), sec("modified_at"), sec("previous_modified_at"), "index_state")
+    return after.select("path", "bytes", sec("created_at"), sec("modified_at"), sec("previous_modified_at"), "index_state", "ocr_state", sec("indexed_at"), sec("seen_at"))
 
 
 @query("c5_mark_missing", "SELECT file_id, name FROM files WHERE file_id % 9 = 0")
@@ -262,24 +264,84 @@ def c13_rename(c):
 
 @query(
     "c14_save_text",
-    "SELECT file_id, CASE WHEN file_id % 3 <> 0 THEN 'none' WHEN file_id % 2 = 0 THEN 'unavailable' WHEN file_id % 5 = 0 THEN 'none' ELSE 'extracted' END AS ocr_state,"
-    " length(CASE WHEN file_id % 3 = 0 AND file_id % 2 <> 0 AND file_id % 5 <> 0 THEN 'new' ELSE ocr_text END) AS n FROM files",
+    "SELECT file_id, CASE WHEN file_id % 3 <> 0 OR file_id % 7 = 0 THEN ocr_state WHEN file_id % 2 = 0 THEN 'unavailable' WHEN file_id % 5 = 0 THEN 'none' ELSE 'extracted' END AS ocr_state,"
+    " length(CASE WHEN file_id % 3 = 0 AND file_id % 7 <> 0 AND file_id % 2 <> 0 AND file_id % 5 <> 0 THEN 'new' ELSE ocr_text END) AS n FROM files",
 )
 def c14(c):
     i = F.col("file_id")
-    new = c.files.where("file_id % 3 = 0").select("file_id", F.when(i % 5 == 0, " ").otherwise("new").alias("text"), (i % 2 != 0).alias("available"))
+    new = c.files.where("file_id % 3 = 0").select("file_id", F.when(i % 5 == 0, " ").otherwise("new").alias("text"), F.when(i % 7 != 0, i % 2 != 0).alias("available"))
     return C.save_text(c.files, new).select("file_id", "ocr_state", F.length("ocr_text").cast("long").alias("n"))
 
 
 @query(
     "c14_save_generated",
     "SELECT file_id, CASE WHEN file_id % 6 = 0 THEN 'T' || file_id ELSE title END AS title,"
-    " attempts + CASE WHEN file_id % 3 = 0 AND file_id % 6 <> 0 THEN 1 ELSE 0 END AS attempts FROM files",
+    " attempts + CASE WHEN file_id % 3 = 0 AND file_id % 6 <> 0 THEN 1 ELSE 0 END AS attempts,"
+    " CASE WHEN file_id % 6 = 0 THEN 'described' WHEN file_id % 3 = 0 THEN 'failed' ELSE analysis_state END AS analysis_state, CASE WHEN file_id % 6 = 0 THEN 'e' ELSE engine END AS engine FROM files",
 )
 def c14b(c):
     t = F.when(F.col("file_id") % 6 == 0, F.concat(F.lit("T"), F.col("file_id").cast("string")))
-    new = c.files.where("file_id % 3 = 0").select("file_id", t.alias("title"), F.lit("d").alias("description"))
-    return C.save_generated(c.files, new).select("file_id", "title", F.col("attempts").cast("long").alias("attempts"))
+    new = c.files.where("file_id % 3 = 0").select("file_id", t.alias("title"), F.lit("d").alias("description"), F.lit("e").alias("engine"))
+    return C.save_generated(c.files, new).select("file_id", "title", F.col("attempts").cast("long").alias("attempts"), "analysis_state", "engine")
+
+
+@query(
+    "c14_save_machine_tags",
+    "SELECT file_id, tag, source FROM file_tags WHERE source = 'user' OR NOT (file_id % 6 = 0) UNION ALL SELECT file_id, 'fresh', 'vision' FROM files WHERE file_id % 6 = 0 AND file_id % 4 = 0",
+)
+def c14c(c):
+    """Of every third file asked about, every second has an answer, with one tag, none, or one that the user has already."""
+    i = F.col("file_id")
+    tag = lambda t: F.array(F.struct(F.lit(t).alias("tag"), F.lit("vision").alias("source")))
+    tags = F.when(i % 4 == 0, tag("fresh")).otherwise(F.slice(tag("fresh"), 1, 0))
+    return C.save_machine_tags(c.file_tags, c.files.where("file_id % 3 = 0").select("file_id", F.when(i % 6 == 0, "t").alias("title"), tags.alias("tags")))
+
+
+def _edits(c):
+    """An edit log from the events: event n edits file n % 211."""
+    kinds = ["favorite", "project", "name", "folder", "trash", "tag+", "tag-", "collection+", "collection-"]
+    e = F.col("event_id")
+    field = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.floor(e / 7), F.lit(9)) + 1).cast("int"))
+    n = (F.floor(e / 63) % 3).cast("string")
+    value = (
+        F.when(field.isin("favorite", "trash"), F.when(e % 2 == 0, "true").otherwise("False"))
+        .when(field == "project", F.when(n != "0", F.concat(F.lit("p"), n)))
+        .when(field == "name", F.concat(F.lit("New "), n, F.lit(".PNG")))
+        .when(field == "folder", F.concat(F.lit("/f/"), n))
+        .otherwise(F.when(e % 3 == 0, "quality").when(e % 3 == 1, "col-a").otherwise(n))
+    )
+    return c.table("events").select((e % 211).alias("file_id"), "ts", e.alias("seq"), field.alias("field"), value.alias("value"))
+
+
+_EDITS = """, ed AS (
+  SELECT event_id % 211 AS file_id, ts, event_id AS seq, ['favorite','project','name','folder','trash','tag+','tag-','collection+','collection-'][(event_id // 7) % 9 + 1] AS field, CAST((event_id // 63) % 3 AS VARCHAR) AS n FROM events
+), e AS (
+  SELECT file_id, ts, seq, field, CASE WHEN field IN ('favorite', 'trash') THEN CASE WHEN seq % 2 = 0 THEN 'true' ELSE 'False' END WHEN field = 'project' THEN CASE WHEN n <> '0' THEN 'p' || n END
+    WHEN field = 'name' THEN 'New ' || n || '.PNG' WHEN field = 'folder' THEN '/f/' || n WHEN seq % 3 = 0 THEN 'quality' WHEN seq % 3 = 1 THEN 'col-a' ELSE n END AS value FROM ed SEMI JOIN files USING (file_id)
+), last AS (SELECT *, row_number() OVER (PARTITION BY file_id, field ORDER BY ts DESC, seq DESC) AS rn FROM e),
+member AS (SELECT *, row_number() OVER (PARTITION BY file_id, field[:-2], value ORDER BY ts DESC, seq DESC) AS rn FROM e WHERE field[-1:] IN ('+', '-'))
+"""
+
+
+@query(
+    "c11_apply_files",
+    _EDITS + ", w AS (SELECT file_id, max(value) FILTER (field = 'favorite') AS fav, max(value) FILTER (field = 'project') AS pro, count(*) FILTER (field = 'project') AS asked, max(value) FILTER (field = 'name') AS nam,"
+    " max(value) FILTER (field = 'folder') AS fol, max(value) FILTER (field = 'trash') AS tra FROM last WHERE rn = 1 GROUP BY 1) SELECT file_id, CASE WHEN fav IS NOT NULL THEN fav = 'true' ELSE favorite END AS favorite,"
+    " CASE WHEN asked > 0 THEN pro ELSE project_id END AS project_id, coalesce(fol, folder_path) || '/' || coalesce(nam, name) AS path, CASE WHEN nam IS NOT NULL THEN 'png' ELSE ext END AS ext,"
+    " CASE WHEN tra = 'true' THEN 'missing' WHEN tra = 'False' AND index_state = 'missing' THEN 'pending' ELSE index_state END AS index_state FROM files LEFT JOIN w USING (file_id)",
+)
+def c11b(c):
+    return C.apply_edits(c.files, c.file_tags, c.file_collections, _edits(c))["files"].select("file_id", "favorite", "project_id", "path", "ext", "index_state")
+
+
+@query("c11_apply_tags", _EDITS + "SELECT file_id, tag, source FROM file_tags t WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.file_id = t.file_id AND m.value = t.tag AND field LIKE 'tag%') UNION ALL SELECT file_id, value, 'user' FROM member WHERE rn = 1 AND field = 'tag+'")
+def c11c(c):
+    return C.apply_edits(c.files, c.file_tags, c.file_collections, _edits(c))["file_tags"]
+
+
+@query("c11_apply_collections", _EDITS + "SELECT collection_id, file_id FROM file_collections t WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.file_id = t.file_id AND m.value = t.collection_id AND field LIKE 'coll%') UNION ALL SELECT value, file_id FROM member WHERE rn = 1 AND field = 'collection+'")
+def c11d(c):
+    return C.apply_edits(c.files, c.file_tags, c.file_collections, _edits(c))["file_collections"]
 
 
 @query("s6_activity_feed", "SELECT event_id, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")

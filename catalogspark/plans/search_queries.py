@@ -624,16 +624,52 @@ def g6(c):
     return moved.groupBy("person_id").agg(F.count(F.lit(1)).alias("faces"))
 
 
-@query("g6_undo_merge", "SELECT person_id, count(*) AS faces FROM faces GROUP BY 1")
-def g6b(c):
-    moved, _, log = P.merge_people(c.faces, c.people, [1, 2], 0)
-    return P.undo_merge(moved, log).groupBy("person_id").agg(F.count(F.lit(1)).alias("faces"))
+_MERGED = "SELECT person_id, label, hidden, (SELECT count(*) FROM faces f WHERE f.person_id = p.person_id) AS faces FROM people p"
 
 
-@query("g7_forget_people", "SELECT face_id FROM faces WHERE person_id NOT IN (1, 3)")
+@query("g6_undo_merge", _MERGED)
+def g6b(c):
+    """Two merges, the second into a group that the first had grown, and both undone; merges of nothing in between."""
+    faces, people = c.faces, c.people
+    faces, people, log = P.merge_people(faces, people, [1, 2], 0)
+    faces, people, log = P.merge_people(faces, people, [0, 3, 99], 4, log)
+    faces, people, log = P.merge_people(faces, people, [4], 4, log)
+    for _ in range(2):
+        faces, people, log = P.undo_merge(faces, people, log)
+    n = faces.groupBy("person_id").agg(F.count(F.lit(1)).alias("faces"))
+    return people.join(n, "person_id", "left").select("person_id", "label", "hidden", F.coalesce("faces", F.lit(0)).alias("faces"))
+
+
+@query("g7_forget_people", "SELECT 'face' AS part, face_id AS id FROM faces WHERE person_id NOT IN (1, 3) UNION ALL SELECT DISTINCT 'person', person_id FROM people WHERE person_id NOT IN (1, 3)"
+       " UNION ALL SELECT DISTINCT 'file', file_id FROM faces WHERE person_id IN (1, 3)")
 def g7(c):
-    gone = c.people.where("person_id in (1, 3)")
-    return c.faces.join(gone.select("person_id"), "person_id", "left_anti").select("face_id")
+    faces, people, files = P.forget_people(c.faces, c.people, c.people.where("person_id in (1, 3)"))
+    of = lambda part, df, key: df.select(F.lit(part).alias("part"), F.col(key).alias("id"))
+    return of("face", faces, "face_id").unionAll(of("person", people, "person_id")).unionAll(of("file", files, "file_id"))
+
+
+@query("g7_hide_people", "SELECT person_id, label, CASE WHEN person_id % 3 = 0 THEN NOT hidden ELSE hidden END AS hidden FROM people")
+def g7b(c):
+    return P.hide_people(c.people, c.people.where("person_id % 3 = 0").withColumn("hidden", ~F.col("hidden")))
+
+
+@query("g7_rename_people", "SELECT 'person' AS part, person_id AS id, CASE WHEN person_id % 3 = 0 THEN 'New ' || person_id WHEN person_id % 3 <> 1 THEN label END AS label FROM people"
+       " UNION ALL SELECT DISTINCT 'file', file_id, NULL FROM faces WHERE person_id % 3 < 2")
+def g7c(c):
+    new = F.when(F.col("person_id") % 3 == 0, F.concat(F.lit(" New "), F.col("person_id").cast("string"), F.lit(" "))).otherwise(" ")
+    people, files = P.rename_people(c.people, c.people.where("person_id % 3 < 2").withColumn("label", new), c.faces)
+    none = F.lit(None).cast("string")
+    return people.select(F.lit("person").alias("part"), F.col("person_id").alias("id"), "label").unionAll(files.select(F.lit("file"), "file_id", none))
+
+
+@query("g9_faces_for_file", "SELECT file_id, face_id, a.person_id, label, row_number() OVER (PARTITION BY file_id ORDER BY quality DESC, face_id) AS place FROM faces a LEFT JOIN (SELECT person_id, label FROM people WHERE NOT hidden) p USING (person_id)")
+def g9b(c):
+    return P.faces_for_file(c.faces, c.people, c.files).withColumn("place", F.col("place").cast("long"))
+
+
+@query("g9_unnamed_groups", "SELECT p.person_id, count(face_id) AS faces FROM people p LEFT JOIN faces f USING (person_id) WHERE NOT hidden AND p.label IS NULL GROUP BY 1")
+def g9c(c):
+    return P.unnamed_groups(c.faces, c.people)
 
 
 @query("g8_people_cards", ", j AS (SELECT a.*, p.label, f.created_at, row_number() OVER (PARTITION BY a.person_id ORDER BY a.quality DESC, face_id) AS rn FROM faces a JOIN people p USING (person_id) JOIN files f USING (file_id) WHERE NOT hidden)"

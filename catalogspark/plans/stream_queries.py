@@ -8,6 +8,7 @@ from ..functions import dictionaries as D
 from ..operators import describe as DS
 from ..operators import pixels as PX
 from ..operators import search as S
+from ..shared import new_path
 from ..sources.adapters import Catalog, oracle
 from ..sources.files import observe_stream
 from ..streaming import streams as W
@@ -37,14 +38,30 @@ def _stream(c):
     )
 
 
+def _batches(rows, parts):
+    """A folder with a file for each of `parts` (conditions), written one after the other, as a stream of one file a batch."""
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, "batches")
+    for part in parts:
+        rows.where(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "w1_touched_folders",
-    ", g AS (SELECT folder, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 600000000 THEN 0 ELSE 1 END AS new FROM observations WINDOW w AS (PARTITION BY folder ORDER BY ts)),"
-    " s AS (SELECT *, sum(new) OVER (PARTITION BY folder ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT folder, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS events FROM s GROUP BY folder, k",
+    ", g AS (SELECT folder, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 1200000 THEN 0 ELSE 1 END AS new FROM observations WINDOW w AS (PARTITION BY folder ORDER BY ts)),"
+    " s AS (SELECT *, sum(new) OVER (PARTITION BY folder ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT folder, epoch_us(min(ts))::BIGINT AS start, count(*) AS events FROM s GROUP BY folder, k",
 )
 def w1(c):
-    t = W.touched_folders(c.observations, "10 minutes")
-    return t.select("folder", F.unix_timestamp("start").alias("start"), "events")
+    """The bursts of the observations as a stream: four files in order of time, and an observation far ahead that closes the last ones."""
+    rows = c.observations.select("folder", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    q = rows.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75]).alias("q"), F.max("ts").alias("end")).first()
+    at = F.unix_micros("ts")
+    cuts = [None, *(q["q"] or []), None]
+    parts = [(F.lit(True) if a is None else at >= a) & (F.lit(True) if b is None else at < b) for a, b in zip(cuts, cuts[1:])]
+    ahead = rows.limit(1).select(F.lit("").alias("folder"), F.lit(q["end"]).cast("timestamp") + F.expr("interval 1 day"), F.lit(-1).cast("long")).toDF(*rows.columns)
+    closed = F.col("folder") == ""
+    bursts = W.touched_folders(_batches(rows.unionByName(ahead), [p & ~closed for p in parts] + [closed]))
+    return W.run_available(bursts, "bursts").select("folder", F.unix_micros("start").alias("start"), "events")
 
 
 @query("w2_stream_upsert", "SELECT path, arg_max(bytes, (ts, event_id))::BIGINT AS bytes, CASE WHEN arg_max(op, (ts, event_id)) = 'removed' THEN 'missing' ELSE 'pending' END AS state FROM observations GROUP BY path")
@@ -72,10 +89,11 @@ def w4b(c):
 
 @query("w5_stream_assign_faces")
 def w5(c):
-    """The faces as micro-batches of a tenth each, by a hash of the id."""
+    """The faces as a stream of three batches by a hash of the id."""
+    faces = c.faces.select("face_id", "quality", "embedding")
+    part = F.pmod(F.xxhash64("face_id"), F.lit(3))
     sink = W.FaceAssigner(c.spark)
-    for k in range(3):
-        sink(c.faces.where(F.pmod(F.xxhash64("face_id"), F.lit(3)) == k), k)
+    W.run_sink(_batches(faces, [part == k for k in range(3)]), sink)
     return sink.table.select("face_id", "person_id")
 
 
@@ -85,8 +103,12 @@ def w5(c):
     " SELECT event_id, coalesce(ts < mark - INTERVAL 1 HOUR, false) AS is_late FROM b JOIN m USING (batch_id)",
 )
 def w6(c):
-    rows = c.observations.withColumn("batch_id", ((F.col("event_id") * 7919) % 5).cast("int"))
-    return W.late_observations(rows, "1 hour").select("event_id", "is_late")
+    """The observations as a stream of five batches; each batch's late rows go to a table of their own."""
+    sink = W.LateRouter(c.spark, "1 hour")
+    part = (F.col("event_id") * 7919) % 5
+    W.run_sink(_batches(c.observations, [part == k for k in range(5)]), sink)
+    of = lambda name, late: sink.table(name).select("event_id", F.lit(late).alias("is_late"))
+    return of("late", True).unionAll(of("on_time", False))
 
 
 @query("s7_observe_stream", "SELECT count(*) AS n, count(DISTINCT event_id) AS events FROM events")

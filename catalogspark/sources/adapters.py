@@ -69,6 +69,8 @@ class Catalog:
             picks(STATES, 11).alias("index_state"),
             picks(["none", "analysed", "described", "failed"], 4).alias("analysis_state"),
             (i % 5).alias("attempts"),
+            picks(["none", "extracted", "pending", "failed", "unavailable"], 5).alias("ocr_state"),
+            F.timestamp_seconds(F.lit(1704067260) + i * 3600).alias("indexed_at"),
             F.when(i % 3 == 0, "scanned").otherwise("none").alias("faces_state"),
             F.when(i % 6 == 0, "ollama:any").alias("engine"),
             F.when(i % 13 < 3, F.concat(F.lit("p"), (i % 13).cast("string"))).alias("project_id"),
@@ -160,6 +162,8 @@ files AS (
            [d.doc_id % 11 + 1] AS index_state,
          ['none','analysed','described','failed'][d.doc_id % 4 + 1] AS analysis_state,
          d.doc_id % 5 AS attempts,
+         ['none','extracted','pending','failed','unavailable'][d.doc_id % 5 + 1] AS ocr_state,
+         make_timestamp((1704067260 + d.doc_id * 3600) * 1000000) AS indexed_at,
          CASE WHEN d.doc_id % 3 = 0 THEN 'scanned' ELSE 'none' END AS faces_state,
          CASE WHEN d.doc_id % 6 = 0 THEN 'ollama:any' END AS engine,
          CASE WHEN d.doc_id % 13 < 3 THEN 'p' || (d.doc_id % 13) END AS project_id,

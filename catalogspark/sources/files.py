@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,19 +75,33 @@ def read_pixels(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+_POINTER = "name string, path string, number long"
+
+
+def _pointers(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_POINTER).parquet(f"{folder}/{name}/_pointers")
+    except AnalysisException as error:  # the first version
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def write_snapshot(df: DataFrame, folder: str, name: str) -> str:
     """A new immutable version of a table; the pointer row that names it is written last."""
     version = f"{folder}/{name}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
     spark = df.sparkSession
-    row = spark.createDataFrame([(name, version)], "name string, path string").withColumn("at", F.current_timestamp())
+    there = _pointers(spark, folder, name)
+    number = 1 + (there.agg(F.max("number").alias("n")).first()["n"] or 0 if there is not None else 0)
+    row = spark.createDataFrame([(name, version, number)], _POINTER)
     row.coalesce(1).write.mode("append").parquet(f"{folder}/{name}/_pointers")
     return version
 
 
 def read_snapshot(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The version that the newest pointer names."""
-    newest = spark.read.parquet(f"{folder}/{name}/_pointers").orderBy(F.desc("at")).first()
+    """The version that the pointer of the highest number names; of writers that met at one number, the greatest path."""
+    newest = _pointers(spark, folder, name).orderBy(F.desc("number"), F.desc("path")).first()
     return spark.read.parquet(newest["path"])
 
 

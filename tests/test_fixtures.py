@@ -159,11 +159,26 @@ def test_leaders_equal_the_sequential_rule(spark, sf):
 
 
 def test_merge_and_undo(spark):
-    f = spark.createDataFrame([(k, k % 4) for k in range(12)], "face_id long, person_id long")
-    p = spark.createDataFrame([(k, None) for k in range(4)], "person_id long, label string")
-    moved, kept, log = people.merge_people(f, p, [0, 1, 2], 0)
-    assert kept.count() == 2 and moved.where("person_id = 0").count() == 9
-    assert sorted(people.undo_merge(moved, log).select("face_id", "person_id").collect()) == sorted(f.collect())
+    f = spark.createDataFrame([(k, k, k % 4, [float(k), 1.0 / (k + 1), 2.0]) for k in range(12)], "face_id long, file_id long, person_id long, embedding array<double>")
+    p = people.centroids(f).select("person_id", "centroid", F.col("faces").alias("face_count"), F.when(F.col("person_id") > 1, "Ann").alias("label"), (F.col("person_id") == 3).alias("hidden"))
+    p = spark.createDataFrame(p.collect(), p.schema)
+    rows = lambda df: sorted(df.collect(), key=str)
+    f1, p1, log = people.merge_people(f, p, [0, 1, 2], 0)
+    assert p1.count() == 2 and f1.where("person_id = 0").count() == 9
+    own = p1.where("person_id = 0").first()
+    assert own.face_count == 9 and own.centroid == pytest.approx(people.centroids(f1).where("person_id = 0").first().centroid)
+    assert {r.file_id for r in people.merged_files(f1, log).collect()} == {k for k in range(12) if k % 4 != 3}
+    for ids, into in [([], 0), ([0], 0), ([77], 0), ([0], 77)]:
+        same = people.merge_people(f1, p1, ids, into, log)
+        assert [rows(x) for x in same] == [rows(f1), rows(p1), rows(log)]
+    f2, p2, log = people.merge_people(f1, p1, [0], 3, log)
+    assert [r.person_id for r in p2.collect()] == [3]
+    f3, p3, log = people.undo_merge(f2, p2, log)
+    assert rows(f3) == rows(f1) and rows(p3.select(*p1.columns)) == rows(p1)
+    f4, p4, log = people.undo_merge(f3, p3, log)
+    assert rows(f4.select(*f.columns)) == rows(f) and rows(p4.select(*p.columns)) == rows(p)
+    again = people.undo_merge(f4, p4, log)
+    assert rows(again[1]) == rows(p4) and log.where("kind = 'undo'").count() == 2
 
 
 def test_pixels(spark):
@@ -259,10 +274,11 @@ def test_upserts_go_on_after_a_restart(spark):
     again = W.UpsertSink(spark, root=first.root)
     assert again.done == 0
     again(of((9, t, "f", "/z", "seen", 5)), 0)  # a replay
-    # the batch was written, but the driver went before its pointer
-    spark.range(1).write.parquet(f"{first.root}/v1")
+    # the batch was applied, but the driver went before its log
+    batch = of((2, t + dt.timedelta(seconds=1), "f", "/b", "seen", 7))
+    W.UpsertSink(spark, root=first.root).apply(batch)
     again = W.UpsertSink(spark, root=first.root)
-    again(of((2, t + dt.timedelta(seconds=1), "f", "/b", "seen", 7)), 1)
+    again(batch, 1)
     assert {r.path for r in W.UpsertSink(spark, root=first.root).table.collect()} == {"/a", "/b"}
 
 
