@@ -101,6 +101,11 @@ def snippet(text: Column, terms: Column, width: int = 160) -> Column:
     )
 
 
+def hit_snippet(text: Column, path: Column, terms: Column) -> Column:
+    """What a search result shows: 160 characters of the text around a term, else 120 of the path, else nothing."""
+    return F.coalesce(snippet(text, terms, 160), snippet(path, terms, 120))
+
+
 def highlight(text: Column, terms: list[str], limit: int = 400) -> Column:
     """The first `limit` characters as segments (text, hit), in order."""
     import re

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 
 def filter_files(
     files: DataFrame,
@@ -188,8 +190,18 @@ def counted(dimension: DataFrame, key: str, files: DataFrame) -> DataFrame:
     )
 
 
-def tag_counts(file_tags: DataFrame) -> DataFrame:
-    return file_tags.groupBy("tag").agg(F.countDistinct("file_id").alias("files"))
+def folder_stats(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """`folders` with the files and bytes of each, zero where it is empty, and `newest_scan`, the last scan of any folder."""
+    last = folders.agg(F.max("last_scan_at").alias("newest_scan"))  # one row
+    return counted(folders, "folder_id", files).crossJoin(F.broadcast(last))
+
+
+def tag_counts(file_tags: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """Files per tag; with `tags` (tag), also zero for those of them that no file has."""
+    own = file_tags.groupBy("tag").agg(F.countDistinct("file_id").alias("files"))
+    if tags is None:
+        return own
+    return tags.select("tag").distinct().join(own, "tag", "full_outer").withColumn("files", F.coalesce("files", F.lit(0)))
 
 
 def top_tags(counts: DataFrame, pinned: list[str], n: int = 12) -> DataFrame:
@@ -221,6 +233,14 @@ def group_by_day(files: DataFrame, zone: str = "UTC") -> DataFrame:
     )
 
 
+def files_by_day(files: DataFrame, zone: str = "UTC") -> DataFrame:
+    """The members of the days: each file with its day and the day's files. Rows, as a day has no bound; sort them by day and
+    created_at, newest first, to page through them."""
+    day = F.to_date(F.from_utc_timestamp("created_at", zone))
+    rows = files.where("index_state <> 'missing'").withColumn("day", day)
+    return rows.join(rows.groupBy("day").agg(F.count(F.lit(1)).alias("files")), "day")
+
+
 def kind_tiles(files: DataFrame) -> DataFrame:
     kinds = ["photo", "screenshot", "document", "video"]
     here = files.where("index_state <> 'missing'")
@@ -231,23 +251,53 @@ def queue_status(files: DataFrame) -> DataFrame:
     return files.agg(*[F.count_if(F.col("index_state") == s).alias(s) for s in ("pending", "processing", "failed")])
 
 
+def queue_state(files: DataFrame, finished: DataFrame, paused: bool = False, scanning: bool = False) -> DataFrame:
+    """One row: the state (paused before scanning before indexing before idle), the counts, what is done and how much of it a minute.
+
+    `finished`: ts, the moment of each item done in this run; nothing or one moment has no rate.
+    """
+    done = finished.agg(F.count("ts").alias("done"), (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("took"))
+    rows = queue_status(files).crossJoin(F.broadcast(done))  # two single rows
+    state = F.when(F.lit(paused), "paused").when(F.lit(scanning), "scanning").when(F.col("pending") + F.col("processing") > 0, "indexing").otherwise("idle")
+    rate = F.coalesce(F.when(F.col("took") > 0, F.col("done") / (F.col("took") / 1e6) * 60), F.lit(0.0))
+    total = F.col("pending") + F.col("processing") + F.col("done")
+    return rows.select(state.alias("state"), "pending", "processing", "failed", "done", total.alias("total"), rate.alias("per_minute"))
+
+
 def throughput(finished: DataFrame, ts: str = "ts", width: str = "1 minute") -> DataFrame:
     """Items finished per window."""
     return finished.groupBy(F.window(ts, width).alias("w")).agg(F.count(F.lit(1)).alias("done"))
 
 
-def tag_quality_audit(labels: DataFrame) -> DataFrame:
-    """One row on (file_id, labels array): how varied the label sets are, and whether they look unhealthy."""
+def tag_quality_audit(labels: DataFrame, generic: list[str] | None = None, top: int = 10) -> DataFrame:
+    """One row on (file_id, labels array): how varied the label sets are, and whether they look unhealthy.
+
+    generic_only: files whose labels are all in `generic`; most_common_set: the most frequent set (of equal ones the first in
+    order); top_tags: the `top` most frequent labels with their files. With a column `ms` also mean, median (the upper one) and
+    greatest latency, of whole milliseconds.
+    """
     keyed = labels.withColumn("key", F.array_join(F.array_sort("labels"), ","))
     sets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    common = sets.agg(F.max("c").alias("most_common"), F.count(F.lit(1)).alias("sets"))
+    common = sets.agg(F.max("c").alias("most_common"), F.count(F.lit(1)).alias("sets"), F.min_by("key", F.struct(-F.col("c"), "key")).alias("most_common_set"))
+    only = F.size(F.array_except("labels", F.array(*map(F.lit, generic or [])).cast("array<string>"))) == 0
     base = keyed.agg(
         F.count(F.lit(1)).alias("files"),
+        F.count_if(F.size("labels") == 0).alias("empty"),
         F.avg(F.when(F.size("labels") == 0, 1.0).otherwise(0.0)).alias("empty_share"),
         F.avg(F.size("labels")).alias("mean_labels"),
+        F.count_if((F.size("labels") > 0) & only).alias("generic_only"),
     )
-    unique = labels.select(F.explode("labels").alias("l")).agg(F.countDistinct("l").alias("unique_labels"))
-    out = base.crossJoin(common).crossJoin(unique)  # three single rows
+    counts = labels.select(F.explode(F.array_distinct("labels")).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("c"))
+    unique = counts.agg(F.count(F.lit(1)).alias("unique_labels"))
+    best = counts.orderBy(F.desc("c"), "l").limit(top).agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("less"), "l"))).alias("t"))
+    best = best.select(F.transform("t", lambda x: F.struct(x["l"].alias("tag"), (-x["less"]).alias("files"))).alias("top_tags"))
+    out = base.crossJoin(common).crossJoin(unique).crossJoin(best)  # four single rows
+    if "ms" in labels.columns:
+        each = labels.select(F.round("ms").cast("long").alias("ms")).groupBy("ms").agg(F.count(F.lit(1)).alias("c"))
+        before = Window.orderBy("ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each whole millisecond
+        placed = each.withColumn("upto", F.sum("c").over(before)).crossJoin(each.agg(F.sum("c").alias("n")))
+        half = F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col("ms")))
+        out = out.crossJoin(placed.agg((F.sum(F.col("ms") * F.col("c")) / F.sum("c")).alias("ms_mean"), half.alias("ms_median"), F.max("ms").alias("ms_max")))
     return out.withColumn("distinct_share", F.col("sets") / F.col("files")).withColumn(
         "unhealthy",
         (F.col("most_common") > F.greatest(F.lit(4), F.floor(F.col("files") / 2)))
@@ -256,6 +306,26 @@ def tag_quality_audit(labels: DataFrame) -> DataFrame:
     )
 
 
+def archive_snapshot(
+    files: DataFrame, folders: DataFrame, file_tags: DataFrame, members: DataFrame, projects: DataFrame, activity: DataFrame, finished: DataFrame, now: Column
+) -> dict[str, DataFrame]:
+    """The parts of the archive's front page, all from one written version of `files`: folders, totals, storage, kinds, tags,
+    collections, projects, activity (30), recent (60) and index."""
+    own = written(files.drop("ocr_text"), "snapshot-files")
+    return {
+        "folders": folder_stats(folders, own),
+        "totals": totals(own, now),
+        "storage": storage_stats(own),
+        "kinds": storage_by_kind(own),
+        "tags": tag_counts(file_tags),
+        "collections": collection_cards(members, own),
+        "projects": counted(projects, "project_id", own),
+        "activity": activity.orderBy(F.desc("ts"), F.desc("event_id")).limit(30),
+        "recent": own.where("index_state <> 'missing'").orderBy(F.desc("created_at"), "file_id").limit(60),
+        "index": queue_state(own, finished),
+    }
+
+
 def selection_stats(files: DataFrame, ids: DataFrame) -> DataFrame:
     return files_by_ids(files, ids).groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
 

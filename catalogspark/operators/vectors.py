@@ -55,15 +55,18 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 def knn(queries: DataFrame, index: DataFrame, k: int, l2: bool = False) -> DataFrame:
     """(query_id, id, score): the k best by inner product, or by 1 - distance. Exact.
 
-    The index stays where it is. Queries are handled in blocks of `QUERY_BLOCK` that are sent to each of its
+    Null vectors find nothing, and no vector finds one of another width. The index stays where it is. Queries are handled in blocks of `QUERY_BLOCK` that are sent to each of its
     partitions; a partition answers with its own k best, which meet per query.
     """
-    ids = queries.select("query_id", "embedding")
-    n = max(1, -(-ids.count() // QUERY_BLOCK))
+    ids = queries.where("size(embedding) > 0").select("query_id", "embedding", F.size("embedding").alias("__w"))
     parts = []
-    dealt = ids.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-    for b in range(n):
-        block = dealt.where(F.col("__b") == b).select("query_id", "embedding").toArrow()
+    blocks = []
+    for r in ids.groupBy("__w").agg(F.count(F.lit(1)).alias("n")).collect():  # as many rows as vectors have widths
+        n = -(-r["n"] // QUERY_BLOCK)
+        blocks += [(r["__w"], n, b) for b in range(n)]
+    for width, n, b in blocks:
+        own = (F.col("__w") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
+        block = ids.where(own).select("query_id", "embedding").toArrow()
         if not block.num_rows:
             continue
         names = block.column("query_id")

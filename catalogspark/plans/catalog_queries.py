@@ -516,14 +516,24 @@ def a2b(c):
     return L.storage_by_kind(c.files)
 
 
-@query("a3_folder_stats", "SELECT folder_id, count(*) FILTER (kind = 'photo') AS files, coalesce(sum(bytes) FILTER (kind = 'photo'), 0)::BIGINT AS bytes FROM files GROUP BY folder_id")
+def _folders(c):
+    """The folders of the files, when each was last scanned, and one without files."""
+    own = c.files.groupBy("folder_id").agg(F.max("indexed_at").alias("last_scan_at"))
+    return own.unionAll(own.limit(1).select(F.lit("empty"), F.lit(None).cast("timestamp")))
+
+
+_FOLDERS = "(SELECT folder_id, max(indexed_at) AS last_scan_at FROM files GROUP BY 1 UNION ALL SELECT 'empty', NULL)"
+
+
+@query("a3_folder_stats", f"SELECT d.folder_id, epoch(last_scan_at)::BIGINT AS last_scan_at, count(file_id) AS files, coalesce(sum(bytes), 0)::BIGINT AS bytes, (SELECT epoch(max(indexed_at))::BIGINT FROM files) AS newest_scan FROM {_FOLDERS} d LEFT JOIN files f ON f.folder_id = d.folder_id GROUP BY ALL")
 def a3(c):
-    return L.counted(c.files.select("folder_id").distinct(), "folder_id", c.files.where("kind = 'photo'"))
+    return L.folder_stats(_folders(c), c.files).select("folder_id", sec("last_scan_at"), "files", "bytes", sec("newest_scan"))
 
 
-@query("a4_tag_counts", "SELECT tag, count(DISTINCT file_id) AS files FROM file_tags GROUP BY tag")
+@query("a4_tag_counts", "SELECT tag, count(DISTINCT file_id) AS files FROM (SELECT tag, file_id FROM file_tags UNION ALL SELECT 'flag ' || l_returnflag, NULL FROM lineitem) GROUP BY tag")
 def a4(c):
-    return L.tag_counts(c.file_tags)
+    """The tags of the files, and some that no file has."""
+    return L.tag_counts(c.file_tags, c.table("lineitem").select(F.concat(F.lit("flag "), "l_returnflag").alias("tag")))
 
 
 @query("a5_top_tags", "SELECT tag, count(DISTINCT file_id) AS files FROM file_tags GROUP BY tag ORDER BY tag IN ('quality') DESC, files DESC, tag LIMIT 3")
@@ -558,6 +568,11 @@ def a9(c):
     return L.group_by_day(c.files, "+02:00").withColumn("day", F.col("day").cast("string"))
 
 
+@query("a9_files_by_day", f"SELECT file_id, strftime(created_at - INTERVAL 3 HOUR, '%Y-%m-%d') AS day, count(*) OVER (PARTITION BY strftime(created_at - INTERVAL 3 HOUR, '%Y-%m-%d')) AS files FROM files WHERE {HERE}")
+def a9b(c):
+    return L.files_by_day(c.files, "-03:00").select("file_id", F.col("day").cast("string").alias("day"), "files")
+
+
 @query("a10_kind_tiles", "SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("photo", "screenshot", "document", "video")) + f" FROM files WHERE {HERE}")
 def a10(c):
     return L.kind_tiles(c.files)
@@ -568,6 +583,19 @@ def a11(c):
     return L.queue_status(c.files)
 
 
+@query(
+    "a11_queue_state",
+    ", q AS (SELECT count(*) FILTER (index_state = 'pending') AS pending, count(*) FILTER (index_state = 'processing') AS processing, count(*) FILTER (index_state = 'failed') AS failed FROM files),"
+    " d AS (SELECT count(*) AS done, epoch_us(max(ts)) - epoch_us(min(ts)) AS took FROM events WHERE event_type = 'purchase'), s(state, ord) AS (VALUES ('paused', 1), ('scanning', 2), ('', 3))"
+    " SELECT CASE WHEN state <> '' THEN state WHEN pending + processing > 0 THEN 'indexing' ELSE 'idle' END AS state, pending, processing, failed, done, pending + processing + done AS total, round(done / (took / 1e6) * 60, 9) AS per_minute FROM q, d, s",
+)
+def a11c(c):
+    """The queue paused, scanned and neither."""
+    done = c.table("events").where("event_type = 'purchase'")
+    rows = [L.queue_state(c.files, done, paused, scanning) for paused, scanning in ((True, True), (False, True), (False, False))]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).withColumn("per_minute", F.round("per_minute", 9))
+
+
 @query("a11_throughput", "SELECT (floor(epoch(ts) / 3600) * 3600)::BIGINT AS start, count(*) AS done FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def a11b(c):
     done = L.throughput(c.table("events").where("event_type = 'purchase'"), "ts", "1 hour")
@@ -580,12 +608,45 @@ def a11b(c):
     " k AS (SELECT max(c) AS most_common, count(*) AS sets FROM (SELECT count(*) AS c FROM s GROUP BY key))"
     " SELECT count(*) AS files, round(avg((n = 0)::INT), 6) AS empty_share, round(avg(n), 6) AS mean_labels, any_value(most_common) AS most_common, any_value(sets) AS sets,"
     " (SELECT count(DISTINCT tag) FROM file_tags) AS unique_labels, round(any_value(sets) / count(*), 6) AS distinct_share,"
+    " count(*) FILTER (n = 0) AS empty, count(*) FILTER (n > 0 AND key IN ('quality', 'en', 'en,quality')) AS generic_only, (SELECT key FROM (SELECT key, count(*) AS c FROM s GROUP BY key) ORDER BY c DESC, key LIMIT 1) AS most_common_set,"
+    " (SELECT string_agg(tag || ':' || c, ',' ORDER BY c DESC, tag) FROM (SELECT tag, count(DISTINCT file_id) AS c FROM file_tags GROUP BY tag ORDER BY c DESC, tag LIMIT 10)) AS top_tags,"
+    " round(avg(file_id % 97), 6) AS ms_mean, (list_sort(list(file_id % 97))[count(*) // 2 + 1])::BIGINT AS ms_median, max(file_id % 97)::BIGINT AS ms_max,"
     " any_value(most_common) > greatest(4, count(*) // 2) OR avg((n = 0)::INT) > 0.34 OR any_value(sets) / count(*) < 0.4 AS unhealthy FROM s, k",
 )
 def a12(c):
-    labels = L.hydrate(c.files, c.file_tags, c.file_collections).select("file_id", F.col("tags").alias("labels"))
-    out = L.tag_quality_audit(labels)
-    return out.withColumns({k: F.round(k, 6) for k in ("empty_share", "mean_labels", "distinct_share")})
+    labels = L.hydrate(c.files, c.file_tags, c.file_collections).select("file_id", F.col("tags").alias("labels"), (F.col("file_id") % 97).alias("ms"))
+    out = L.tag_quality_audit(labels, ["quality", "en"])
+    tops = F.array_join(F.transform("top_tags", lambda t: F.concat(t["tag"], F.lit(":"), t["files"].cast("string"))), ",")
+    return out.withColumns({k: F.round(k, 6) for k in ("empty_share", "mean_labels", "distinct_share", "ms_mean")}).withColumn("top_tags", tops)
+
+
+@query(
+    "a13_archive_snapshot",
+    f", here AS (SELECT * FROM files WHERE {HERE}) SELECT 'folders' AS part, d.folder_id AS key, count(file_id)::VARCHAR AS value FROM {_FOLDERS} d LEFT JOIN files f ON f.folder_id = d.folder_id GROUP BY ALL"
+    f" UNION ALL SELECT 'totals', kind, count(*) || ' ' || count(*) FILTER (created_at >= date_trunc('day', {T0})) FROM here GROUP BY ROLLUP (kind)"
+    " UNION ALL SELECT 'storage', 'bytes', sum(bytes) FILTER (index_state NOT IN ('missing', 'failed')) || '' FROM files UNION ALL SELECT 'kinds', kind, sum(bytes) || '' FROM here GROUP BY kind"
+    " UNION ALL SELECT 'tags', tag, count(DISTINCT file_id) || '' FROM file_tags GROUP BY tag"
+    " UNION ALL SELECT 'collections', collection_id, count(*) || ' ' || sum(bytes) FROM file_collections JOIN here USING (file_id) GROUP BY collection_id"
+    " UNION ALL SELECT 'projects', p.project_id, count(file_id) || '' FROM (SELECT DISTINCT project_id FROM files WHERE project_id IS NOT NULL) p LEFT JOIN files f ON f.project_id = p.project_id GROUP BY 1, 2"
+    " UNION ALL SELECT * FROM (SELECT 'activity', event_id || '', event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 30) UNION ALL SELECT * FROM (SELECT 'recent', file_id || '', name FROM here ORDER BY created_at DESC, file_id LIMIT 60)"
+    " UNION ALL SELECT 'index', CASE WHEN count(*) FILTER (index_state IN ('pending', 'processing')) > 0 THEN 'indexing' ELSE 'idle' END, count(*) FILTER (index_state = 'failed') || '' FROM files",
+)
+def a13(c):
+    """All ten parts as one long table."""
+    projects = c.files.where("project_id is not null").select("project_id").distinct()
+    events = c.table("events")
+    parts = L.archive_snapshot(c.files, _folders(c), c.file_tags, c.file_collections, projects, events, events, c.now)
+    text = lambda x: F.col(x).cast("string")
+    both = lambda a, b: F.concat_ws(" ", text(a), text(b))
+    shown = {
+        "folders": ("folder_id", text("files")), "totals": ("kind", both("files", "new_today")), "kinds": ("kind", text("bytes")),
+        "tags": ("tag", text("files")), "collections": ("collection_id", both("files", "bytes")), "projects": ("project_id", text("files")),
+        "activity": ("event_id", text("event_type")), "recent": ("file_id", text("name")), "index": ("state", text("failed")),
+    }
+    out = parts["storage"].select(F.lit("storage").alias("part"), F.lit("bytes").alias("key"), text("bytes").alias("value"))
+    for name, (key, value) in shown.items():
+        out = out.unionAll(parts[name].select(F.lit(name), text(key), value))
+    return out
 
 
 @query("a14_selection_stats", "SELECT kind, count(*) AS files, sum(bytes)::BIGINT AS bytes FROM files WHERE file_id IN (SELECT file_id FROM file_collections) GROUP BY kind")

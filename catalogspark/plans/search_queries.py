@@ -372,15 +372,31 @@ def t14(c):
     return S.classify_match(_docs(c).join(F.broadcast(asked))).select("query_id", "file_id", "match")
 
 
-@query("t17_snippet", f", t AS (SELECT file_id, regexp_replace(ocr_text, '[\\r\\n]+', ' ', 'g') AS x FROM files), p AS (SELECT *, CASE WHEN instr(lower(x), 'the') > 0 THEN instr(lower(x), 'the') END AS pos FROM t), b AS (SELECT *, greatest(pos - 80, 1) AS b FROM p)"
-       " SELECT file_id, CASE WHEN pos IS NOT NULL THEN CASE WHEN b > 1 THEN '…' ELSE '' END || trim(substring(x, b, 160), ' ') || CASE WHEN b + 160 <= length(x) THEN '…' ELSE '' END END AS snippet FROM b")
+def _snip(text: str, term: str, width: int) -> str:
+    """DuckDB's form of a snippet around one term."""
+    flat = f"regexp_replace({text}, '[\\r\\n]+', ' ', 'g')"
+    at = f"instr(lower({flat}), '{term}')"
+    begin = f"greatest({at} - {width // 2}, 1)"
+    return (
+        f"CASE WHEN {at} > 0 THEN CASE WHEN {begin} > 1 THEN '…' ELSE '' END || trim(substring({flat}, {begin}, {width}), ' ')"
+        f" || CASE WHEN {begin} + {width} <= length({flat}) THEN '…' ELSE '' END END"
+    )
+
+
+@query("t17_snippet", f"SELECT file_id, coalesce({_snip('ocr_text', 'sch', 160)}, {_snip('path', 'sch', 120)}, {_snip('ocr_text', 'img', 160)}, {_snip('path', 'img', 120)}) AS snippet FROM files")
 def t17(c):
-    return c.files.select("file_id", X.snippet(F.col("ocr_text"), F.array(F.lit("x"), F.lit("the"))).alias("snippet"))
+    """Around "sch" in the text, else "img" in the text or the path."""
+    one = lambda t: X.hit_snippet(F.col("ocr_text"), F.col("path"), F.array(F.lit(t)))
+    return c.files.select("file_id", F.coalesce(one("sch"), one("img")).alias("snippet"))
 
 
-@query("t18_highlight")
+@query(
+    "t18_highlight",
+    ", b AS (SELECT file_id, substring(ocr_text, 1, 400) AS t FROM files), m AS (SELECT file_id, t, len(regexp_extract_all(t, '(?i)(the|der)')) AS hits, len(list_filter(regexp_split_to_array(t, '(?i)(the|der)'), lambda x: x <> '')) AS plain FROM b)"
+    " SELECT file_id, hits + plain AS n, hits FROM m",
+)
 def t18(c):
-    return c.files.select("file_id", X.highlight(F.col("ocr_text"), ["the", "der"]).alias("parts")).select("file_id", F.size("parts").alias("n"), F.size(F.filter("parts", lambda p: p["hit"])).alias("hits"))
+    return c.files.select("file_id", X.highlight(F.col("ocr_text"), ["the", "der"]).alias("parts")).select("file_id", F.size("parts").cast("long").alias("n"), F.size(F.filter("parts", lambda p: p["hit"])).cast("long").alias("hits"))
 
 
 @query("t20_query_history", "SELECT raw FROM (SELECT event_type || user_id AS raw, max(ts) AS last FROM events GROUP BY 1 ORDER BY last DESC, raw LIMIT 24)")
@@ -610,12 +626,16 @@ def g3(c):
     return P.cluster_faces(c.faces)
 
 
-@query("g5_carry_labels", "SELECT person_id, label FROM people")
+@query(
+    "g5_carry_labels",
+    _CEN + ", s2 AS (SELECT person_id // 2 + 100 AS person_id, i, sum(embedding[i]) AS s FROM faces, range(1, 65) t(i) GROUP BY ALL), c2 AS (SELECT person_id, list(s ORDER BY i) AS v FROM s2 GROUP BY 1),"
+    " m AS (SELECT c2.person_id, p.label, p.person_id AS old, round(list_cosine_similarity(v, cen), 9) AS score FROM c2, cent c JOIN people p USING (person_id) WHERE p.label IS NOT NULL),"
+    " b AS (SELECT person_id, arg_max(label, (score, old)) AS label FROM m WHERE score >= 0.363 GROUP BY 1) SELECT person_id, label FROM c2 LEFT JOIN b USING (person_id)",
+)
 def g5(c):
-    cen = P.centroids(c.faces).select("person_id", "centroid")
-    own = P.carry_labels(cen.join(c.people, "person_id"), cen)
-    # a group's nearest labelled centroid is its own wherever it has a label
-    return own.join(c.people.select("person_id", F.col("label").alias("had")), "person_id").select("person_id", F.when(F.col("had").isNotNull(), F.col("label")).alias("label"))
+    """New groups, each of two old ones, take the label of the nearest old one that has any."""
+    regrouped = c.faces.withColumn("person_id", F.floor(F.col("person_id") / 2) + 100)
+    return P.carry_labels(P.centroids(c.faces).select("person_id", "centroid").join(c.people, "person_id"), P.centroids(regrouped).select("person_id", "centroid"))
 
 
 @query("g6_merge_people", "SELECT CASE WHEN person_id IN (1, 2) THEN 0 ELSE person_id END AS person_id, count(*) AS faces FROM faces GROUP BY 1")
@@ -799,12 +819,3 @@ def o5(c):
 def o6(c):
     lines = c.table("conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line"), "text", F.col("turn").cast("double").alias("score"))
     return O.assemble_lines(lines).withColumn("confidence", F.round("confidence", 6))
-
-
-@query("a13_archive_snapshot")
-def a13(c):
-    """The headline counts of one snapshot as one long table."""
-    long = lambda df, key, part: df.select(F.lit(part).alias("part"), F.col(key).cast("string").alias("key"), F.col("files").cast("long").alias("files"))
-    return long(L.totals(c.files, c.now), "kind", "kinds").unionAll(long(L.tag_counts(c.file_tags), "tag", "tags")).unionAll(
-        long(L.counted(c.files.select("folder_id").distinct(), "folder_id", c.files), "folder_id", "folders")
-    )

@@ -312,3 +312,12 @@ def test_more_than_999_files_of_one_target(spark):
     listing = spark.createDataFrame([("/a/x (5).txt",)], "path string")
     got = {r.target for r in resolve_collisions(plan, listing).collect()}
     assert len(got) == 1200 and "/a/x (5).txt" not in got and "/a/x.txt" in got
+
+
+def test_odd_query_vectors_find_nothing(spark):
+    ix = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0])], "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.1]), (2, None), (3, [1.0, 0.0, 0.0]), (4, []), (5, [2.0])], "query_id long, embedding array<double>")
+    for l2 in (False, True):
+        got = sorted((r.query_id, r.id, r.place) for r in vectors.knn(q, ix, 5, l2).collect())
+        assert got == [(1, 1, 1), (1, 2, 2), (5, 4, 1)]
+    assert vectors.knn(q.where("query_id = 2"), ix, 5).collect() == []

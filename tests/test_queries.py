@@ -11,6 +11,12 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SQL = registry.oracle_sql()
 
 
+@pytest.fixture(scope="module")
+def sf():
+    """The scale that the correctness check takes; queries without SQL only have to run."""
+    return "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
