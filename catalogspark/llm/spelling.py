@@ -28,6 +28,8 @@ from .common import lean, staged
 LETTERS = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_WORDS = 400
+#: Rows of blocks that a task scans, about.
+TASK_ROWS = 50_000
 _PAIRS = "word string, n long, near string, near_n long"
 
 
@@ -183,8 +185,10 @@ def near_pairs(vocabulary: DataFrame, limit: int = BLOCK_WORDS, shortest: int =
             found.extend(_pairs(now[0], now[1], words, counts))
         yield flush()
 
-    dealt = blocked(vocabulary, limit, shortest).repartition(*keys).sortWithinPartitions(*keys, "word")
-    return dealt.mapInArrow(lean(scan), _PAIRS)
+    rows = blocked(vocabulary, limit, shortest)
+    # scanning costs far more than its bytes tell, so tasks are cut by rows
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "word").mapInArrow(lean(scan), _PAIRS)
 
 
 def _rooted(forms: DataFrame) -> DataFrame:
