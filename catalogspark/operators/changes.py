@@ -63,20 +63,33 @@ def apply_scan(files: DataFrame, diff: DataFrame, observed: DataFrame, now: Colu
     return rows.select(*[after.get(x, F.col(x)).alias(x) for x in known.columns], "change")
 
 
-def mark_missing(files: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files of which `seen` (path) has nothing."""
-    return files.join(seen.select("path"), "path", "left_anti")
+def mark_missing(files: DataFrame, seen: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """Files of which `seen` (path) has nothing; with `folders` (folder_id) only those of the folders that were scanned."""
+    own = files if folders is None else files.join(folders.select("folder_id").distinct(), "folder_id", "left_semi")
+    return own.join(seen.select("path"), "path", "left_anti")
 
 
-def scan_summary(diff: DataFrame) -> DataFrame:
-    return diff.groupBy("folder_id").agg(
-        *[F.count_if(F.col("change") == s).alias(s) for s in ("added", "changed", "unchanged", "missing", "returned")],
-        F.count_if(F.col("change") != "missing").alias("discovered"),
-    )
+def scan_summary(diff: DataFrame, observed: DataFrame | None = None) -> DataFrame:
+    """Per folder the paths by change, and all that were met; with `observed` (supported) also new or changed ones that can't be read."""
+    counts = [F.count_if(F.col("change") == s).alias(s) for s in ("added", "changed", "unchanged", "missing", "returned")]
+    counts.append(F.count_if(F.col("change") != "missing").alias("discovered"))
+    if observed is not None:
+        diff = diff.join(observed.select("folder_id", "path", "supported"), ["folder_id", "path"], "left")
+        counts.append(F.count_if(~F.col("change").isin("missing", "unchanged") & ~F.col("supported")).alias("unsupported"))
+    return diff.groupBy("folder_id").agg(*counts)
+
 
+def scan_queue(diff: DataFrame, observed: DataFrame) -> DataFrame:
+    """(folder_id, path, file_id, kind): what a scan leaves to be read, the added, changed and returned paths of a supported kind. Added
+    ones have the id that `apply_scan` gives them."""
+    open_ = diff.where(F.col("change").isin("added", "changed", "returned")).select("folder_id", "path", "file_id")
+    rows = open_.join(observed.where("supported").select("folder_id", "path", "kind"), ["folder_id", "path"])
+    return rows.withColumn("file_id", F.coalesce("file_id", F.xxhash64("folder_id", "path")))
 
-def work_backlog(files: DataFrame, stage: str, previews: DataFrame | None = None) -> DataFrame:
-    """What is left to do: analysis (oldest first), faces (newest first), interrupted, failed.
+
+def work_backlog(files: DataFrame, stage: str, previews: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """What is left to do: analysis (oldest first), faces (newest first), interrupted, failed; the first `limit` of it, where given,
+    which spares the sort of all.
 
     Analysis takes what isn't analysed and under the attempts' cap, and, given `previews` (file_id), also every file of a
     visible kind without one, whatever its state.
@@ -88,15 +101,15 @@ def work_backlog(files: DataFrame, stage: str, previews: DataFrame | None = None
             files = files.join(shown, "file_id", "left")
             visible = F.col("kind").isin("photo", "screenshot", "video", "document", "design")
             open_ = F.coalesce(open_, F.lit(False)) | (F.col("__shown").isNull() & visible)
-        rows = files.where((F.col("index_state") == "indexed") & open_).drop("__shown")
-        return rows.orderBy("created_at", "file_id")
-    if stage == "faces":
+        rows = files.where((F.col("index_state") == "indexed") & open_).drop("__shown").orderBy("created_at", "file_id")
+    elif stage == "faces":
         kinds = F.col("kind").isin("photo", "screenshot", "video")
-        return files.where((F.col("index_state") == "indexed") & kinds & (F.col("faces_state") != "scanned")).orderBy(
-            F.desc("created_at"), "file_id"
-        )
-    states = ["pending", "processing"] if stage == "interrupted" else ["failed"]
-    return files.where(F.col("index_state").isin(states)).orderBy("file_id")
+        open_ = (F.col("index_state") == "indexed") & kinds & (F.col("faces_state") != "scanned")
+        rows = files.where(open_).orderBy(F.desc("created_at"), "file_id")
+    else:
+        states = ["pending", "processing"] if stage == "interrupted" else ["failed"]
+        rows = files.where(F.col("index_state").isin(states)).orderBy("file_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def requeue(files: DataFrame, reason: str) -> DataFrame:

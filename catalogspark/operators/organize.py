@@ -8,16 +8,37 @@ from pyspark.sql import functions as F
 from ..functions.text import safe_segment
 
 
-def plan_moves(files: DataFrame, members: DataFrame, faces: DataFrame, people: DataFrame, root: str) -> DataFrame:
-    """(file_id, path, target, outcome): the kind's folder, then the first collection, else the only named person, else Unfiled."""
+# The folder of each kind; other kinds go to Other.
+KIND_FOLDERS = {
+    "photo": "Photos", "screenshot": "Screenshots", "document": "Documents", "video": "Videos", "audio": "Audio", "design": "Design",
+    "archive": "Archives",
+}
+NOT_THERE = "not on disk where the index last saw it"
+
+
+def plan_moves(
+    files: DataFrame, members: DataFrame, faces: DataFrame, people: DataFrame, root: str, listing: DataFrame | None = None
+) -> DataFrame:
+    """(file_id, path, target, outcome, reason): the kind's folder, then the first collection, else the only named person, else Unfiled.
+
+    Files that are missing, or that `listing` (path), where given, doesn't hold, are skipped with a reason. A file keeps the name that
+    its path ends in.
+    """
     first = members.groupBy("file_id").agg(F.min("collection_id").alias("first"))
     named = people.where("not hidden and label is not null").select("person_id", "label")
     shown = faces.select("file_id", "person_id").join(named, "person_id").groupBy("file_id").agg(F.collect_set("label").alias("who"))
     rows = files.join(first, "file_id", "left").join(shown, "file_id", "left")
+    gone = F.col("index_state") == "missing"
+    if listing is not None:
+        rows = rows.join(listing.select("path", F.lit(True).alias("__there")).distinct(), "path", "left")
+        gone = gone | F.col("__there").isNull()
     folder = F.coalesce("first", F.when(F.size("who") == 1, F.col("who")[0]))
-    target = F.concat_ws("/", F.lit(root), F.initcap("kind"), safe_segment(folder), "name")
-    outcome = F.when(F.col("index_state") == "missing", "skipped").when(F.col("path") == target, "settled").otherwise("move")
-    return rows.select("file_id", "path", "bytes", "index_state", target.alias("target"), outcome.alias("outcome"))
+    kinds = F.create_map(*[F.lit(x) for pair in KIND_FOLDERS.items() for x in pair])
+    name = F.coalesce(F.nullif(F.regexp_extract("path", "([^/]*)$", 1), F.lit("")), "name")
+    target = F.concat_ws("/", F.lit(root), F.coalesce(F.try_element_at(kinds, F.col("kind")), F.lit("Other")), safe_segment(folder), name)
+    outcome = F.when(gone, "skipped").when(F.col("path") == target, "settled").otherwise("move")
+    reason = F.when(gone, NOT_THERE)
+    return rows.select("file_id", "path", "bytes", "index_state", target.alias("target"), outcome.alias("outcome"), reason.alias("reason"))
 
 
 def resolve_collisions(plan: DataFrame, listing: DataFrame) -> DataFrame:

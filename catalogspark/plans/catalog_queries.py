@@ -125,18 +125,31 @@ def c4(c):
     return after.select("path", "bytes", sec("created_at"), sec("modified_at"), sec("previous_modified_at"), "index_state", "ocr_state", sec("indexed_at"), sec("seen_at"))
 
 
-@query("c5_mark_missing", "SELECT file_id, name FROM files WHERE file_id % 9 = 0")
+@query("c5_mark_missing", "SELECT file_id, name FROM files WHERE file_id % 9 = 0 AND folder_id <> 'src3'")
 def c5(c):
-    return C.mark_missing(c.files, c.files.where("file_id % 9 <> 0")).select("file_id", "name")
+    """One folder wasn't scanned."""
+    scanned = c.files.where("folder_id <> 'src3'")
+    return C.mark_missing(c.files, scanned.where("file_id % 9 <> 0"), scanned).select("file_id", "name")
 
 
 @query(
     "c6_scan_summary",
     _SCAN + "SELECT folder_id, " + ", ".join(f"count(*) FILTER (change = '{s}') AS {s}" for s in ("added", "changed", "unchanged", "missing", "returned"))
-    + ", count(*) FILTER (change <> 'missing') AS discovered FROM diff GROUP BY folder_id",
+    + ", count(*) FILTER (change <> 'missing') AS discovered, count(*) FILTER (change IN ('added', 'changed', 'returned') AND regexp_matches(path, '[.](fig|zip|xyz)([.]new)?$')) AS unsupported FROM diff GROUP BY folder_id",
 )
 def c6(c):
-    return C.scan_summary(_scan(c))
+    return C.scan_summary(_scan(c), _observed(c))
+
+
+@query(
+    "c6_scan_queue",
+    _SCAN + "SELECT d.folder_id, d.path, coalesce(f.kind, n.kind) AS kind, d.file_id IS NULL AS is_new FROM diff d LEFT JOIN files f USING (file_id) LEFT JOIN files n ON d.file_id IS NULL AND n.path || '.new' = d.path"
+    " WHERE change IN ('added', 'changed', 'returned') AND coalesce(f.ext, n.ext) NOT IN ('fig', 'zip', 'xyz')",
+)
+def c6b(c):
+    known = c.files.select("file_id", F.lit(False).alias("is_new"))
+    rows = C.scan_queue(_scan(c), _observed(c)).join(known, "file_id", "left")
+    return rows.select("folder_id", "path", "kind", F.coalesce("is_new", F.lit(True)).alias("is_new"))
 
 
 @query(
@@ -154,6 +167,17 @@ def c7(c):
     return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
+@query(
+    "c7_first_of_backlog",
+    "SELECT stage, file_id FROM (SELECT 'analysis' AS stage, file_id, row_number() OVER (ORDER BY created_at, file_id) AS rn FROM files WHERE index_state = 'indexed' AND analysis_state NOT IN ('analysed', 'described') AND attempts < 3"
+    " UNION ALL SELECT 'faces', file_id, row_number() OVER (ORDER BY created_at DESC, file_id) FROM files WHERE index_state = 'indexed' AND kind IN ('photo', 'screenshot', 'video') AND faces_state <> 'scanned') WHERE rn <= 25",
+)
+def c7b(c):
+    """The next 25 of two stages."""
+    analysis, faces = (C.work_backlog(c.files, s, limit=25).select(F.lit(s).alias("stage"), "file_id") for s in ("analysis", "faces"))
+    return analysis.unionAll(faces)
+
+
 _KINDS = "kind IN ('photo', 'screenshot', 'design', 'document', 'video')"
 
 

@@ -321,3 +321,17 @@ def test_odd_query_vectors_find_nothing(spark):
         got = sorted((r.query_id, r.id, r.place) for r in vectors.knn(q, ix, 5, l2).collect())
         assert got == [(1, 1, 1), (1, 2, 2), (5, 4, 1)]
     assert vectors.knn(q.where("query_id = 2"), ix, 5).collect() == []
+
+
+def test_files_looked_at_again(spark):
+    """New detections replace a file's faces; those near no group found groups of their own; a file may lose all its faces."""
+    rows = [(1, 10, 1, 5.0, _face(0)), (2, 10, 2, 5.0, _face(20)), (3, 11, 1, 4.0, _face(0, 0.2)), (4, 12, 2, 4.0, _face(20, 0.1)), (5, 13, 2, 4.0, _face(20))]
+    faces = spark.createDataFrame(rows, "face_id long, file_id long, person_id long, quality double, embedding array<double>")
+    who = spark.createDataFrame([(1, "Ann", False), (2, None, False)], "person_id long, label string, hidden boolean")
+    new = [(101, 10, 1.0, _face(0, 0.1)), (102, 10, 2.0, _face(60)), (103, 14, 9.0, _face(60, 0.2)), (104, 10, 1.0, [])]
+    detected = spark.createDataFrame(new, "face_id long, file_id long, quality double, embedding array<double>")
+    seen = spark.createDataFrame([(10,), (13,), (14,)], "file_id long")
+    found, groups = people.store_faces(faces, who, detected, seen)
+    got = {(r.face_id, r.file_id, r.person_id) for r in found.collect()}
+    assert got == {(3, 11, 1), (4, 12, 2), (101, 10, 1), (102, 10, 103), (103, 14, 103)}
+    assert {(r.person_id, r.label) for r in groups.collect()} == {(1, "Ann"), (2, None), (103, None)}
