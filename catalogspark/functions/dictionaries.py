@@ -54,6 +54,32 @@ STOP_WORDS = (
     "was we were what when where which who will with would you your"
 ).split()
 
+# Words of described queries. Kind words that also begin a sentence are soft: beside other words they say nothing.
+DESCRIBED_KINDS = {
+    "photo": "photo", "photos": "photo", "photograph": "photo", "photographs": "photo", "image": "photo", "images": "photo",
+    "picture": "photo", "pictures": "photo", "pic": "photo", "pics": "photo", "screenshot": "screenshot",
+    "screenshots": "screenshot", "screengrab": "screenshot", "document": "document", "documents": "document", "doc": "document",
+    "docs": "document", "pdf": "document", "video": "video", "videos": "video", "clip": "video", "clips": "video",
+    "movie": "video", "footage": "video", "audio": "audio", "sound": "audio", "sounds": "audio", "music": "audio",
+    "song": "audio", "songs": "audio", "recording": "audio", "design": "design", "designs": "design", "mockup": "design",
+    "sketch": "design", "archive": "archive", "archives": "archive", "zip": "archive",
+}
+SOFT_KIND_WORDS = "photo photos photograph photographs image images picture pictures pic pics".split()
+DESCRIBED_DAYS = {
+    "this morning": 1, "this evening": 1, "last night": 2, "the other day": 3, "last week": 7, "this week": 7, "past week": 7,
+    "last month": 30, "this month": 30, "past month": 30, "last year": 365, "this year": 365, "past year": 365, "today": 1,
+    "tonight": 1, "yesterday": 2, "recently": 14, "recent": 14,
+}
+DESCRIBED_DATE_WORDS = "today tonight yesterday morning evening night other day last this past week month year recent recently".split()
+DESCRIBED_STOP_WORDS = (
+    "a about above after again against all also am an and any are around as at be because been being below beside between beyond "
+    "but by can could d did do does doing down during each find for from get give had has have having he her here hers him his how i "
+    "if in into is it its just like ll look looking m may me might mine must my near next no nor not of off on onto or our ours out "
+    "over own please re s same search she should show so some still such t than that the their theirs them then there these they "
+    "this those through to too under until up upon us ve very was we were what when where which while who whom why will with within "
+    "without would you your yours"
+).split()
+
 # Words that mean the same.
 SYNONYMS = [
     "motorcycle motorbike bike scooter moped", "car automobile sedan van", "bicycle cycle bike", "sofa couch settee",

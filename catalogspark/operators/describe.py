@@ -23,31 +23,78 @@ CLAUSES = ["kind", "type", "is", "tag", "ext", "name", "text", "in", "folder", "
 RESULTS = 200
 
 
+def _mapped(table: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
 def interpret_descriptions(queries: DataFrame) -> DataFrame:
-    """(query_id, grp, clauses array<struct<field, value, negated>>, words, phrases): one row per OR-group.
+    """(query_id, grp, clauses array<struct<field, value, negated>>, words, phrases, excluded): one row per OR-group.
 
-    Any clause opens a group. Stop words go only if another word remains.
+    A group holds words, phrases in quotes and clauses; several kinds are one clause that any of them meets. What has a minus counts for all
+    groups of a query: kinds and tags as negated clauses, is: too, and words, phrases and the values of other clauses as excluded
+    words. A date phrase anywhere gives the first group a since clause (the longest reach of several), unless it has one. Where a query
+    says anything but filler, or a date, its stop words, its soft kind words and the words of its date phrases go; other
+    kind words are clauses.
     """
-    groups = queries.select("query_id", F.posexplode(F.split("raw", r"(?:^|\s)OR(?:\s|$)")).alias("grp", "part"))
-    groups = groups.where(F.trim("part") != "")
-    phrases = F.transform(F.regexp_extract_all("part", F.lit('"([^"]+)"'), F.lit(1)), lambda p: F.array_join(tokens(p, fold=True), " "))
-    rest = F.regexp_replace("part", '"[^"]*"', " ")
-    items = F.filter(F.split(F.trim(rest), r"\s+"), lambda w: w != "")
-    rows = groups.select("query_id", "grp", phrases.alias("phrases"), items.alias("items"))
+    none = F.array().cast("array<string>")
+    low = F.lower("raw")
+    held = [(low.contains(p), F.array(*map(F.lit, p.split())), d) for p, d in D.DESCRIBED_DAYS.items()]
+    pieces = F.regexp_extract_all("raw", F.lit(r'"[^"]*"|\S+'), F.lit(0))
+    filler = [*D.DESCRIBED_STOP_WORDS, *D.SOFT_KIND_WORDS, *D.DESCRIBED_DATE_WORDS]
+    plain = F.filter("pieces", lambda p: ~p.startswith('"') & ~p.startswith("#") & ~p.contains(":"))
+    said = F.exists(plain, lambda p: F.exists(tokens(p, fold=True), lambda w: ~w.isin(filler)))
     pattern = rf"(?i)^-?({'|'.join(CLAUSES)}):(.+)$"
-    as_clause = lambda w: F.struct(
-        F.when(w.rlike("^-?#"), "tag").otherwise(F.lower(F.regexp_extract(w, pattern, 1))).alias("field"),
-        F.lower(F.when(w.rlike("^-?#"), F.regexp_replace(w, "^-?#+", "")).otherwise(F.regexp_extract(w, pattern, 2))).alias("value"),
-        w.startswith("-").alias("negated"),
-    )
     is_clause = lambda w: w.rlike(pattern) | w.rlike("^-?#.")
-    words = F.flatten(F.transform(F.filter("items", lambda w: ~is_clause(w) & ~w.startswith("-")), lambda w: tokens(w, fold=True)))
-    content = F.filter(words, lambda w: ~w.isin(D.STOP_WORDS))
-    minus = F.flatten(F.transform(F.filter("items", lambda w: ~is_clause(w) & w.startswith("-")), lambda w: tokens(w, fold=True)))
-    return rows.select(
-        "query_id", "grp", F.transform(F.filter("items", is_clause), as_clause).alias("clauses"),
-        F.array_distinct(F.when(F.size(content) > 0, content).otherwise(words)).alias("words"), "phrases", minus.alias("excluded"),
+    kind_of, kinds = _mapped(D.DESCRIBED_KINDS), list(D.KINDS)
+    one_kind = lambda w: F.coalesce(F.try_element_at(kind_of, w), F.when(w.isin(kinds), w))
+    struct = lambda f, v, n: F.struct(f.alias("field"), v.alias("value"), F.lit(n).alias("negated"))
+    field = lambda w: F.when(w.rlike("^-?#"), "tag").otherwise(F.lower(F.regexp_extract(w, pattern, 1)))
+    value = lambda w: F.lower(F.when(w.rlike("^-?#"), F.regexp_replace(w, "^-?#+", "")).otherwise(F.regexp_extract(w, pattern, 2)))
+    kindly = lambda w: field(w).isin("kind", "type") | ((field(w) == "is") & ~value(w).rlike("^(fav|star)"))
+    kinds_in = lambda w: F.filter(F.transform(F.split(value(w), ","), lambda k: F.coalesce(one_kind(F.trim(k)), F.trim(k))), lambda k: k != "")
+    bare = lambda w: F.try_element_at(kind_of, F.lower(w))
+
+    q = queries.select("query_id", "raw", pieces.alias("pieces"), F.greatest(*[F.when(h, d).otherwise(0) for h, _, d in held]).alias("days"),
+                       F.flatten(F.array(*[F.when(h, ws).otherwise(none) for h, ws, _ in held])).alias("dated"))
+    q = q.withColumn("descriptive", (F.col("days") > 0) | said)
+    # what has a minus, over the whole query
+    minus = F.filter("pieces", lambda p: p.startswith("-") & (F.length(p) > 1))
+    phrased = F.transform(F.regexp_extract_all("raw", F.lit(r'(?:^|\s)-"([^"]+)"'), F.lit(1)), lambda p: tokens(p, fold=True))
+    clauses = F.filter("minus", is_clause)
+    loose = F.filter("minus", lambda w: ~is_clause(w) & ~w.startswith('-"'))
+    body = lambda w: F.substring(w, F.lit(2), F.length(w))
+    gone_kinds = F.concat(F.flatten(F.transform(F.filter(clauses, kindly), kinds_in)), F.filter(F.transform(loose, lambda w: bare(body(w))), lambda k: k.isNotNull()))
+    others = F.filter(clauses, lambda w: ~kindly(w) & ~field(w).isin("tag", "is"))
+    q = q.withColumn("minus", minus).withColumns(
+        {
+            "out": F.concat(
+                F.transform(F.array_distinct(gone_kinds), lambda k: struct(F.lit("kind"), k, True)),
+                F.transform(F.filter(clauses, lambda w: ~kindly(w) & field(w).isin("tag", "is")), lambda w: struct(field(w), value(w), True)),
+            ),
+            "excluded": F.concat(
+                F.flatten(F.transform(F.filter(loose, lambda w: bare(body(w)).isNull()), lambda w: tokens(body(w), fold=True))),
+                F.flatten(F.transform(others, lambda w: tokens(value(w), fold=True))), F.flatten(phrased),
+            ),
+        }
     )
+    groups = q.select("*", F.posexplode(F.split("raw", r"(?:^|\s)(?:OR|or|\|)(?:\s|$)")).alias("grp", "part")).where(F.trim("part") != "")
+    phrases = F.transform(F.regexp_extract_all("part", F.lit(r'(?:^|\s)"([^"]+)"'), F.lit(1)), lambda p: F.array_join(tokens(p, fold=True), " "))
+    items = F.filter(F.split(F.trim(F.regexp_replace("part", '-?"[^"]*"', " ")), r"\s+"), lambda w: (w != "") & ~(w.startswith("-") & (F.length(w) > 1)))
+    rows = groups.withColumns({"phrases": F.filter(phrases, lambda p: p != ""), "items": items})
+    free = F.filter("items", lambda w: ~is_clause(w) & ~(F.col("descriptive") & F.lower(w).isin(D.SOFT_KIND_WORDS)))
+    rows = rows.withColumns({"own": F.filter("items", is_clause), "free": free})
+    filled = lambda w: F.col("descriptive") & (w.isin(D.DESCRIBED_STOP_WORDS) | F.array_contains("dated", w))
+    words = F.flatten(F.transform(F.filter("free", lambda w: bare(w).isNull()), lambda w: F.filter(tokens(w, fold=True), lambda t: ~filled(t))))
+    named = F.concat(F.flatten(F.transform(F.filter("own", kindly), kinds_in)), F.filter(F.transform("free", bare), lambda k: k.isNotNull()))
+    rows = rows.withColumns({"words": F.array_distinct(words), "kinds": F.array_distinct(named)})
+    rest = F.transform(F.filter("own", lambda w: ~kindly(w)), lambda w: struct(field(w), value(w), False))
+    empty = F.slice(F.array(struct(F.lit("kind"), F.lit(""), False)), 1, 0)
+    anyof = F.when(F.size("kinds") > 0, F.array(struct(F.lit("kind"), F.array_join("kinds", ","), False))).otherwise(empty)
+    dated = (F.col("days") > 0) & (F.col("grp") == 0) & ~F.exists("rest", lambda c: c["field"] == "since")
+    since = F.when(dated, F.array(struct(F.lit("since"), F.concat(F.col("days").cast("string"), F.lit("d")), False))).otherwise(empty)
+    rows = rows.withColumn("rest", rest).withColumn("clauses", F.concat(anyof, "rest", since, "out"))
+    some = (F.size("words") > 0) | (F.size("phrases") > 0) | (F.size("clauses") > 0) | (F.size("excluded") > 0)
+    return rows.where(some).select("query_id", "grp", "clauses", "words", "phrases", "excluded")
 
 
 def _size_bounds(value: Column) -> tuple[Column, Column]:
@@ -331,7 +378,7 @@ def describe_search(
     bound = scored.where("nc > 0").join(asked, ["query_id", "grp"]).join(files, "file_id").where(clauses_hold(now))
     free = scored.where("nc = 0").join(files.select("file_id"), "file_id", "left_semi")
     scored = bound.select(*key, "score", "reasons").unionByName(free.drop("nc"))
-    alone = asked.join(sizes.where("n = 0 and np = 0").select("query_id", "grp"), ["query_id", "grp"], "left_semi")
+    alone = groups.where((F.size("words") == 0) & (F.size("phrases") == 0)).select("query_id", "grp", "clauses")
     plain = hard_clauses(alone, files, now, index).select(*key, F.lit(1.0).alias("score"), none.alias("reasons"))
     every = exclusions(scored.unionByName(plain), groups, index, claims).join(files.select("file_id", "created_at"), "file_id")
     fresh = F.greatest(F.lit(0.0), 0.6 - (F.unix_timestamp(now) - F.unix_timestamp("created_at")) / (4 * 365.0 * 86400))

@@ -124,11 +124,24 @@ def _described(c):
     return _asked(c).select("query_id", raw.alias("raw"))
 
 
-@query("d1_interpret_descriptions", f", a AS (SELECT item_id, list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda x: x.w) AS w FROM benchmark)"
-       " SELECT item_id::VARCHAR AS query_id, 0::BIGINT AS grp, len(w)::BIGINT AS words, CASE WHEN item_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS clauses FROM a UNION ALL SELECT item_id::VARCHAR, 1, 0, 1 FROM a WHERE item_id % 3 = 0")
+def _sentences(c):
+    """The described queries of the benchmark, in sentences: with a kind, a soft kind and a date, an exclusion, and all filler."""
+    i = F.col("query_id").cast("long") % 5
+    tail = F.when(i == 0, " in the videos or clips").when(i == 1, " photos from last week please").when(i == 2, " -dark -screenshot -in:Old").when(i == 3, " OR pictures")
+    return _asked(c).select("query_id", F.when(i == 4, "the pictures of me").otherwise(F.concat("raw", tail)).alias("raw"))
+
+
+@query(
+    "d1_interpret_descriptions",
+    f", a AS (SELECT item_id, item_id % 5 AS k, list_transform(list_sort(list_transform(list_distinct({toks('text')}), lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda x: x.w) AS w FROM benchmark)"
+    ", b AS (SELECT item_id, k, array_to_string(w, ' ') AS w FROM a) SELECT item_id::VARCHAR AS query_id, 0 AS grp, CASE WHEN k = 4 THEN 'the of me' ELSE w END AS words,"
+    " CASE k WHEN 0 THEN 'kind=video' WHEN 1 THEN 'since=7d' WHEN 2 THEN '-kind=screenshot' WHEN 4 THEN 'kind=photo' ELSE '' END AS clauses, CASE WHEN k = 2 THEN 'dark old' ELSE '' END AS excluded FROM b"
+    " UNION ALL SELECT item_id::VARCHAR, 1, '', 'kind=video', '' FROM b WHERE k = 0",
+)
 def d1(c):
-    g = DS.interpret_descriptions(_described(c))
-    return g.select("query_id", F.col("grp").cast("long").alias("grp"), F.size("words").cast("long").alias("words"), F.size("clauses").cast("long").alias("clauses"))
+    g = DS.interpret_descriptions(_sentences(c))
+    said = F.transform("clauses", lambda x: F.concat(F.when(x["negated"], "-").otherwise(""), x["field"], F.lit("="), x["value"]))
+    return g.select("query_id", "grp", F.array_join("words", " ").alias("words"), F.array_join(said, " ").alias("clauses"), F.array_join("excluded", " ").alias("excluded"))
 
 
 @query(
@@ -147,7 +160,7 @@ def d2(c):
 
 _STEM_OF = lambda column: f"(SELECT {STEM} FROM (SELECT {column} AS w))"
 _FIELDS = list(DS.WEIGHTS)
-_WORDS = _DOCS + _ASKED + f""", content AS (SELECT query_id, CASE WHEN len(list_filter(l, lambda x: x NOT IN {_in(D.STOP_WORDS)})) > 0 THEN list_filter(l, lambda x: x NOT IN {_in(D.STOP_WORDS)}) ELSE l END AS ws FROM asked),
+_WORDS = _DOCS + _ASKED + f""", content AS (SELECT query_id, CASE WHEN len(list_filter(l, lambda x: x NOT IN {_in(D.DESCRIBED_STOP_WORDS)})) > 0 THEN list_filter(l, lambda x: x NOT IN {_in(D.DESCRIBED_STOP_WORDS)}) ELSE l END AS ws FROM asked),
 qw AS (SELECT query_id, i, ws[i] AS word, len(ws) AS n FROM (SELECT query_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM content)), bases AS (SELECT DISTINCT word, {_STEM_OF("word")} AS base FROM qw),
 lines AS ({" UNION ALL ".join(f"SELECT file_id, '{f}' AS field, {DS.WEIGHTS[f]} AS weight, {i} AS ord, {toks(f)} AS ts FROM docs" for i, f in enumerate(_FIELDS))}),
 toks_ AS (SELECT DISTINCT file_id, field, weight, ord, unnest(ts) AS term FROM lines), voc AS (SELECT DISTINCT term, {_STEM_OF("term")} AS st FROM toks_),
