@@ -580,14 +580,32 @@ def _sig(column: str) -> str:
     return "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({column}), '{q(n)}')" for n in ns) + f" THEN '{t}' END" for t, ns in D.SIGNALS.items()) + "], lambda x: x IS NOT NULL)"
 
 
-@query("l9_derive_tags", f", a AS (SELECT file_id, list_concat([label], {_sig('ocr_text')}, {_sig('name')}, CASE WHEN kind IN {_in(D.KIND_TAGS)} THEN [kind] ELSE [] END) AS t FROM files),"
-       " o AS (SELECT file_id, unnest(t) AS tag, generate_subscripts(t, 1) AS i FROM a), f AS (SELECT file_id, tag, min(i) AS i FROM o GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY i) AS rn FROM f)"
-       " SELECT file_id, string_agg(tag, ',' ORDER BY rn) AS tags FROM r WHERE rn <= 8 GROUP BY file_id")
+_TAGGED = f""", a AS (SELECT file_id, kind, list_concat([label], {_sig('ocr_text')}, {_sig('name')}, CASE WHEN kind IN {_in(D.KIND_TAGS)} THEN [kind] ELSE [] END) AS t FROM files),
+o AS (SELECT file_id, kind, unnest(t) AS tag, generate_subscripts(t, 1) AS i FROM a), f AS (SELECT file_id, kind, tag, min(i) AS i FROM o GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY i) AS rn FROM f)"""
+
+
+@query("l9_derive_tags", _TAGGED + " SELECT file_id, string_agg(tag, ',' ORDER BY rn) AS tags FROM r WHERE rn <= 8 GROUP BY file_id")
 def l9(c):
     return _derived(c).select("file_id", F.array_join(F.transform("tags", lambda t: t["name"]), ",").alias("tags"))
 
 
-@query("l10_infer_context")
+_has = lambda *tags: "list_has_any(t, [" + ", ".join(f"'{t}'" for t in tags) + "])"
+_LANGUAGES = "react typescript javascript python rust java sql css html shell".split()
+
+
+@query(
+    "l10_infer_context",
+    _TAGGED + f", g AS (SELECT file_id, kind, list(tag) AS t FROM r WHERE rn <= 8 GROUP BY ALL), l AS (SELECT *, list_filter({_LANGUAGES}, lambda x: list_contains(t, x))[1] AS w FROM g), n AS (SELECT *, upper(w[1]) || w[2:] AS lang FROM l)"
+    f" SELECT file_id, CASE WHEN {_has('code', 'terminal', 'error', *_LANGUAGES)} THEN 'Programming / ' || CASE WHEN {_has('error')} AND lang IS NOT NULL THEN lang || ' debugging' WHEN {_has('error')} THEN 'debugging'"
+    f" WHEN lang IS NOT NULL THEN lang WHEN {_has('terminal')} THEN 'terminal work' ELSE 'source code' END WHEN {_has('receipt', 'invoice')} THEN 'Documents / Receipts and invoices'"
+    f" WHEN {_has('design')} OR ({_has('ui')} AND {_has('screenshot')}) THEN 'Design / Interface references' WHEN {_has('presentation')} THEN 'Documents / Presentations' WHEN {_has('spreadsheet')} THEN 'Documents / Spreadsheets'"
+    f" WHEN {_has('recipe')} THEN 'Reference / Recipes' WHEN {_has('ticket')} THEN 'Documents / Travel and tickets' WHEN {_has('person', 'portrait', 'selfie', 'group')} THEN 'People / Photographs'"
+    f" WHEN {_has('chart', 'dashboard')} THEN 'Work / Charts and dashboards' WHEN {_has('game')} THEN CASE WHEN kind = 'screenshot' THEN 'Games / Screenshots' ELSE 'Games / Captures' END"
+    f" WHEN {_has('food', 'drink')} THEN 'Photographs / Food and drink' WHEN {_has('animal', 'dog', 'cat', 'bird')} THEN 'Photographs / Animals'"
+    f" WHEN {_has('outdoors', 'nature', 'beach', 'mountain', 'city', 'sky', 'night', 'plant', 'sports')} THEN 'Photographs / Outdoors and travel' WHEN {_has('vehicle', 'building', 'furniture', 'clothing', 'product')} THEN 'Photographs / Objects'"
+    f" WHEN {_has('art', 'logo')} THEN 'Design / Artwork' WHEN {_has('text')} THEN 'Documents / Text' WHEN kind = 'screenshot' THEN 'Screenshots' WHEN kind = 'document' THEN 'Documents' WHEN kind = 'video' THEN 'Video'"
+    " WHEN kind = 'audio' THEN 'Audio' WHEN kind = 'design' THEN 'Design / Interface references' END AS context FROM n",
+)
 def l10(c):
     return LB.infer_context(_derived(c))
 
