@@ -665,6 +665,12 @@ def g3(c):
     return P.cluster_faces(c.faces)
 
 
+@query("g3_face_units")
+def g3_units(c):
+    """How much of all pairs of face vectors the blocks of g3_cluster_faces compare: one row of figures."""
+    return P.face_blocks(P.face_classes(c.faces)).work()
+
+
 @query(
     "g5_carry_labels",
     _CEN + ", s2 AS (SELECT person_id // 2 + 100 AS person_id, i, sum(embedding[i]) AS s FROM faces, range(1, 65) t(i) GROUP BY ALL), c2 AS (SELECT person_id, list(s ORDER BY i) AS v FROM s2 GROUP BY 1),"
