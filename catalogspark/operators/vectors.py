@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet, tokens
 
-QUERY_BLOCK = 512
+#: A block of an index takes so much memory, and holds so many rows at least where that leaves cores idle.
+BLOCK_BYTES, LEAST_ROWS = 32 << 20, 512
+QUERIES_AT_ONCE = 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,55 +55,69 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int, l2: bool = False) -> DataFrame:
-    """(query_id, id, score): the k best by inner product, or by 1 - distance. Exact.
+    """(query_id, id, score, place): the k best by inner product, or by 1 - distance. Exact.
 
-    Null vectors find nothing, and no vector finds one of another width. The index stays where it is. Queries are handled in blocks of `QUERY_BLOCK` that are sent to each of its
-    partitions; a partition answers with its own k best, which meet per query.
+    Null and empty vectors and those with a null find nothing, and no vector finds one of another width. The index is dealt into blocks of `BLOCK_BYTES` at
+    most by a hash of its rows and moves once; queries go to every block. A task holds one block, lets the queries that are sorted
+    behind it pass in batches and answers each with the block's k best, which meet per query. Nothing passes through the driver but the size of the index.
     """
-    ids = queries.where("size(embedding) > 0").select("query_id", "embedding", F.size("embedding").alias("__w"))
-    parts = []
-    blocks = []
-    for r in ids.groupBy("__w").agg(F.count(F.lit(1)).alias("n")).collect():  # as many rows as vectors have widths
-        n = -(-r["n"] // QUERY_BLOCK)
-        blocks += [(r["__w"], n, b) for b in range(n)]
-    for width, n, b in blocks:
-        own = (F.col("__w") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)
-        block = ids.where(own).select("query_id", "embedding").toArrow()
-        if not block.num_rows:
-            continue
-        names = block.column("query_id")
-        q = np.array(block.column("embedding").to_pylist(), np.float64)
-
-        def best(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = [i for i, e in enumerate(batch.column("embedding").to_pylist()) if e is not None and len(e) == q.shape[1]]
-                if not keep:
-                    continue
-                v = np.array([batch.column("embedding")[i].as_py() for i in keep], np.float64)
-                own = batch.column("id").take(pa.array(keep))
-                if l2:  # differences of a few queries at a time
-                    step = max(1, (1 << 22) // v.size)
-                    apart = [((q[a : a + step, None, :] - v[None]) ** 2).sum(-1) for a in range(0, len(q), step)]
-                    score = 1 - np.sqrt(np.concatenate(apart))
-                else:
-                    score = q @ v.T
-                rows, at = best_of(score, own.to_numpy(zero_copy_only=False), k)
-                yield pa.RecordBatch.from_arrays(
-                    [names.combine_chunks().take(pa.array(rows)), own.take(pa.array(at)), pa.array(score[rows, at])],
-                    names=["query_id", "id", "score"],
-                )
-
-        parts.append(index.select("id", "embedding").mapInArrow(best, "query_id long, id long, score double"))
-    if not parts:
-        return queries.select("query_id", F.col("query_id").alias("id"), F.lit(0.0).alias("score")).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    out = out.withColumn("score", F.round("score", 9))
+    rows = _sized(index, "id")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).first()
+    if not size["n"]:
+        return queries.select(F.col("query_id").cast("long").alias("query_id"), F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    n = max(-(-size["n"] * size["w"] * 8 // BLOCK_BYTES), min(cores, -(-size["n"] // LEAST_ROWS)))
+    dealt = rows.withColumns({"block": F.pmod(F.xxhash64("id", "embedding"), F.lit(n)).cast("int"), "side": F.lit(0)})
+    asked = _sized(queries, "query_id").withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(n - 1))), "side": F.lit(1)})
+    laid = dealt.unionByName(asked).repartition(n, "block").sortWithinPartitions("block", "w", "side")
+    out = laid.mapInArrow(_best_in_blocks(k, l2), "query_id long, id long, score double").withColumn("score", F.round("score", 9))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _sized(vectors: DataFrame, key: str) -> DataFrame:
+    kept = vectors.where((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull()))
+    return kept.select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("w"))
+
+
+def _best_in_blocks(k: int, l2: bool):
+    """Batches sorted by (block, w, side): rows of the index (side 0) are kept until the next block, queries (side 1) are answered from them."""
+
+    def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        if not l2:
+            return q @ v.T
+        step = max(1, (1 << 22) // v.size)  # differences of a few queries at a time
+        return 1 - np.sqrt(np.concatenate([((q[a : a + step, None, :] - v[None]) ** 2).sum(-1) for a in range(0, len(q), step)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, held = None, [], []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "w", "side")], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if a == b:
+                    continue
+                block, w, side = map(int, keys[a])
+                own = batch.column("id").to_numpy()[a:b]
+                v = batch.column("embedding").slice(a, b - a).flatten().to_numpy().reshape(-1, w)
+                if at != (block, w):
+                    at, ids, held = (block, w), [], []
+                if side == 0:
+                    ids.append(own.copy())
+                    held.append(v.copy())
+                    continue
+                if not held:
+                    continue
+                if len(held) > 1:
+                    ids, held = [np.concatenate(ids)], [np.concatenate(held)]
+                for c in range(0, len(v), QUERIES_AT_ONCE):
+                    score = scores(v[c : c + QUERIES_AT_ONCE], held[0])
+                    row, col = best_of(score, ids[0], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[c + row]), pa.array(ids[0][col]), pa.array(score[row, col])], names=["query_id", "id", "score"])
+
+    return run
+
+
 def similar_files(index: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Neighbours of stored vectors, themselves left out, scores held to 0..1."""
     asked = index.join(wanted.select("id"), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
