@@ -38,7 +38,7 @@ def pivots(rows: DataFrame, dim: int, n: int = PIVOTS) -> np.ndarray:
 
 
 class PivotBlocks:
-    """The written blocks of `rows` (id long, embedding) and the units, the pairs of blocks, that may hold a pair at `threshold` or more.
+    """The blocks of `rows` (id long, embedding), written once, and the units, the pairs of blocks, that may hold a pair at `threshold` or more.
 
     Null and zero vectors, those with a null or NaN, and those of another width than `dim` are in no block: they are like nothing. The threshold is above 0.
     """
@@ -49,7 +49,7 @@ class PivotBlocks:
         self.threshold = threshold
         wide = rows.where(F.size("embedding") == dim).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
         wide = wide.where(F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
-        p = pivots(wide, dim)
+        p = pivots(wide, dim, min(PIVOTS, max(1, -(-wide.count() // block))))  # no more cells than full blocks
         placed = written(wide.mapInArrow(_turns(p), "id long, embedding array<double>, cell int, ring int, turns array<double>, norm double"), "pairs-placed")
         # at most PIVOTS x RINGS rows, whatever the number of vectors
         rings = placed.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n"))
@@ -63,7 +63,7 @@ class PivotBlocks:
         each = range(len(p))
         ranges = [F.array(*[f(F.col("turns")[i]) for i in each]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
         self.blocks = written(self.rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest"), *ranges), "pairs-blocks")
-        self.units = written(self._units(len(p)), "pairs-units")
+        self.units = self._units(len(p))
 
     def _units(self, pivots: int) -> DataFrame:
         """(lo, hi, pairs): blocks whose ranges come near enough. They meet by equality on slices of the first pivot's angle."""
