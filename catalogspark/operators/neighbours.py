@@ -6,7 +6,8 @@ their differing bits, and works out the product itself for the nearest `share` o
 written once, bucketed by (list, part); a list of many rows, equal vectors among them, is split into parts by a hash of the id.
 
 Centres are fitted by Spark's k-means on `SAMPLE` rows at most (those with the least hashes of the id); every row is
-listed. They and the directions are sent to the tasks: `lists` x width and `bits` x width numbers, whatever the index holds.
+listed. A search lets the queries pass the rows of each part in one task, once to count distances and once to score, so that
+what moves is the lists, the queries for each list that they probe, and the k best of each part. The centres and the directions are sent to the tasks: `lists` x width and `bits` x width numbers, whatever the index holds.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import bucketed, written
-from .vectors import dot
+from .vectors import best_of
 
 SAMPLE, PART_ROWS = 65_536, 65_536
 
@@ -90,20 +91,88 @@ class InvertedLists:
         asked = written(self._laid(fit, "query_id", max(2, probes)), "lists-asked")
         spread = asked.select("query_id", F.explode("lists").alias("list"), F.col("sketch").alias("q_sketch")).join(F.broadcast(self.sizes), "list")
         spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        bits = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("q_sketch")[i])) for i in range(self.bits // 64)]
-        apart = sum(bits[1:], bits[0]).alias("apart")
-        met = spread.join(self.table, ["list", "part"])
-        counts = met.select("query_id", apart).groupBy("query_id", "apart").agg(F.count(F.lit(1)).alias("n"))
+        kind = asked.schema["query_id"].dataType.simpleString()
+        counts = self._beside(spread, ["sketch"]).mapInArrow(_distances, f"query_id {kind}, apart int, n long").groupBy("query_id", "apart").agg(F.sum("n").alias("n"))
         # at most bits + 1 rows for each query
         upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("apart"))
         first = F.row_number().over(Window.partitionBy("query_id").orderBy("apart"))
         fits = counts.select("query_id", "apart", upto.alias("upto"), first.alias("first")).where((F.col("upto") <= share * self.rows) | (F.col("first") == 1))
-        cut = fits.groupBy("query_id").agg(F.max("apart").alias("cut"), F.max("upto").alias("scored"))
-        told = asked.select("query_id", F.col("embedding").alias("q")).join(cut, "query_id")
-        near = met.select("query_id", "id", "embedding", apart).join(told, "query_id").where("apart <= cut")
-        scored = near.select("query_id", "id", "scored", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score"))
+        cut = written(fits.groupBy("query_id").agg(F.max("apart").cast("int").alias("cut"), F.max("upto").alias("scored")), "lists-cut")
+        told = spread.join(asked.select("query_id", "embedding"), "query_id").join(cut.select("query_id", "cut"), "query_id")
+        ids = self.table.schema["id"].dataType.simpleString()
+        scored = self._beside(told, ["sketch", "embedding", "cut"]).mapInArrow(_nearest(k), f"query_id {kind}, id {ids}, score double")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-        return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "id", "score", "place", "scored")
+        best = scored.withColumn("place", place).where(F.col("place") <= k)
+        return best.join(cut, "query_id").select("query_id", "id", "score", "place", "scored")
+
+    def _beside(self, spread: DataFrame, columns: list[str]) -> DataFrame:
+        """The rows of each part of a list (side 0) and behind them the queries that probe it (side 1), in one partition, with the `columns` of both."""
+        spread = spread.withColumnRenamed("q_sketch", "sketch")
+        rows = self.table.withColumn("query_id", F.lit(None).cast(spread.schema["query_id"].dataType)).withColumn("cut", F.lit(None).cast("int"))
+        asks = spread.withColumn("id", F.lit(None).cast(self.table.schema["id"].dataType))
+        held = ["list", "part", "side", "id", "query_id", *columns]
+        both = rows.withColumn("side", F.lit(0)).select(*held).unionByName(asks.withColumn("side", F.lit(1)).select(*held))
+        return both.repartition("list", "part").sortWithinPartitions("list", "part", "side")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], arrays: dict[str, str]) -> Iterator[tuple[dict, pa.RecordBatch]]:
+    """The rows of a part, kept as `arrays` (name: numpy kind) with their ids, beside each batch of the queries that come behind them."""
+    at, held, kept = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("list", "part", "side")], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+            if a == b:
+                continue
+            if at != tuple(keys[a, :2]):
+                at, held, kept = tuple(keys[a, :2]), [], None
+            own = batch.slice(a, b - a)
+            if keys[a, 2] == 0:
+                held.append({"id": own.column("id").to_numpy(zero_copy_only=False).copy()} | {c: _wide(own, c, t) for c, t in arrays.items()})
+            elif held:
+                kept = kept or {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+                held = [kept]
+                yield kept, own
+
+
+def _wide(batch: pa.RecordBatch, column: str, kind: str) -> np.ndarray:
+    """A column of arrays of one length as the rows of a matrix."""
+    return batch.column(column).flatten().to_numpy().astype(kind).reshape(batch.num_rows, -1)
+
+
+def _apart(sketches: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """In how many bits each sketch differs from the one that is asked for."""
+    return np.bitwise_count(sketches ^ asked).sum(1, dtype=np.int64)
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a part stand at each distance from a query."""
+    for rows, asks in _by_part(batches, {"sketch": "uint64"}):
+        at, apart, n = [], [], []
+        for i, sketch in enumerate(_wide(asks, "sketch", "uint64")):
+            found = np.bincount(_apart(rows["sketch"], sketch))
+            some = np.flatnonzero(found)
+            at.append(np.full(len(some), i))
+            apart.append(some.astype(np.int32))
+            n.append(found[some])
+        yield pa.RecordBatch.from_arrays([asks.column("query_id").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(apart)), pa.array(np.concatenate(n))], names=["query_id", "apart", "n"])
+
+
+def _nearest(k: int):
+    """The k best products of a query in a part, worked out for the rows within its cut only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, asks in _by_part(batches, {"sketch": "uint64", "embedding": "float64"}):
+            sketches, vectors, cuts = _wide(asks, "sketch", "uint64"), _wide(asks, "embedding", "float64"), asks.column("cut").to_numpy()
+            for i in range(asks.num_rows):
+                near = np.flatnonzero(_apart(rows["sketch"], sketches[i]) <= cuts[i])
+                if len(near):
+                    score = (rows["embedding"][near] @ vectors[i])[None]
+                    _, best = best_of(score, rows["id"][near], k)
+                    own = asks.column("query_id").take(pa.array(np.full(len(best), i)))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(rows["id"][near][best]), pa.array(np.round(score[0, best], 9))], names=["query_id", "id", "score"])
+
+    return run
 
 
 def knn_approx(queries: DataFrame, index: DataFrame, k: int, dim: int, lists: int = 16, probes: int = 12, bits: int = 256, share: float = 0.15) -> DataFrame:

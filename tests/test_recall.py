@@ -41,3 +41,12 @@ def test_empty_index(spark):
     assert lists.search(asked, 3).collect() == []
     assert InvertedLists(asked.withColumnRenamed("query_id", "id"), 8, bits=64).search(asked, 3).select("id").first()["id"] == 1
     assert asked.where(F.size("embedding") == 8).count() == 1
+
+
+def test_search_moves_no_pairs(spark):
+    """Of queries beside rows only counts of distances and the best of a part leave a task: no join holds pairs with their vectors."""
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(r.standard_normal((400, 8)).tolist())], "id long, embedding array<double>")
+    found = InvertedLists(df, 8, lists=4, bits=64).search(df.withColumnRenamed("id", "query_id"), 3, probes=4, share=0.5)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("(part#" in x for x in joins) and found.count() == 1200
