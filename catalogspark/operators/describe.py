@@ -290,18 +290,28 @@ def field_word_score(groups: DataFrame, docs: DataFrame | SearchIndex) -> DataFr
 def ordered_phrase(groups: DataFrame, docs: DataFrame | SearchIndex) -> DataFrame:
     """(query_id, grp, file_id, found) for groups with phrases: each stands, in order, within one field.
 
-    A phrase begins where all its words say it does: each occurrence names the place less the word's number, and the places
-    that every word names are counted.
+    The rarest word of a phrase names the places where it may begin. The other words are read once each, whatever the number of phrases, and meet
+    those places only, by word, file and field.
     """
     index = indexed(docs)
     asked = groups.where(F.size("phrases") > 0).select("query_id", "grp", F.size("phrases").alias("all"), F.posexplode("phrases").alias("phrase", "said"))
     terms = asked.select("query_id", "grp", "all", "phrase", F.split("said", " ").alias("terms"))
     terms = terms.withColumn("n", F.size("terms")).select("*", F.posexplode("terms").alias("i", "term")).drop("terms")
-    words = terms.join(index.words.select("word", "parts", "term"), "term").drop("term")
-    begins = F.explode(F.transform("places", lambda p: p - F.col("i"))).alias("begin")
+    known = terms.select("term").distinct().join(index.words.select("word", "parts", "term", "files"), "term")
+    known = written(known, "phrase-words")
     key = ["query_id", "grp", "all", "phrase"]
-    at = index.at(words, list(WEIGHTS)).select(*key, "n", "i", "file_id", "field", begins)
-    met = at.groupBy(*key, "n", "file_id", "field", "begin").agg(F.count_distinct("i").alias("k")).where("k = n")
+    rated = terms.join(known.groupBy("term").agg(F.sum("files").alias("files")), "term").groupBy(*key, "n").agg(
+        F.min_by(F.struct("i", "term"), F.struct("files", "i")).alias("lead"), F.count(F.lit(1)).alias("k")
+    )
+    leads = written(rated.where("k = n").select(*key, "n", "lead.i", "lead.term"), "phrase-leads")  # every word of theirs is known
+    begins = F.explode(F.transform("places", lambda p: p - F.col("i"))).alias("begin")
+    first = leads.join(known.drop("files"), "term").drop("term")
+    first = written(index.at(first, list(WEIGHTS)).select(*key, "n", F.col("i").alias("lead"), "file_id", "field", begins), "phrase-begins")
+    rest = first.join(terms.drop("n"), key).where("i <> lead").select(*key, "n", "file_id", "field", "begin", "i", "term")
+    there = index.at(known.drop("files"), list(WEIGHTS)).select("term", "file_id", "field", "places")
+    also = rest.join(there, ["term", "file_id", "field"]).where("array_contains(places, begin + i)").select(*key, "n", "file_id", "field", "begin", "i")
+    whole = also.groupBy(*key, "n", "file_id", "field", "begin").agg(F.count_distinct("i").alias("k")).where("k = n - 1")
+    met = first.where("n = 1").select(*key, "file_id").unionByName(whole.select(*key, "file_id"))
     held = met.groupBy("query_id", "grp", "all", "file_id").agg(F.count_distinct("phrase").alias("k")).where("k = all")
     return held.select("query_id", "grp", "file_id", F.col("all").alias("found"))
 
