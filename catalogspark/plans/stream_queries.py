@@ -38,12 +38,22 @@ def _stream(c):
     )
 
 
-def _batches(rows, parts):
-    """A folder with a file for each of `parts` (conditions), written one after the other, as a stream of one file a batch."""
+#: A file of a batch holds so many rows at least, where a batch has several.
+FILE_ROWS = 100_000
+
+
+def _batches(rows, parts, file_rows=FILE_ROWS):
+    """A folder with files for each of `parts` (conditions), written one after the other, as a stream of one part a batch.
+
+    Every part but the last has equally many files, dealt by a hash of the rows, so that no task writes a whole part of many rows.
+    """
     spark, path = rows.sparkSession, new_path(rows.sparkSession, "batches")
+    sizes = list(rows.agg(*[F.count_if(p) for p in parts]).first())
+    n = max(1, min(sizes[:-1] or sizes) // file_rows)
     for part in parts:
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        dealt = rows.where(part).withColumn("__file", F.pmod(F.xxhash64(*rows.columns), F.lit(n))).repartition(n, "__file")
+        dealt.write.mode("append").partitionBy("__file").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", n).option("recursiveFileLookup", "true").parquet(path)
 
 
 @query(
