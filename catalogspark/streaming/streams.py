@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.people import assign_faces, cluster_faces
 from ..operators.vectors import normalise
@@ -13,14 +18,52 @@ from ..shared import new_path as shared_path
 from ..shared import written
 
 
+def _micros(spark: SparkSession, duration: str) -> int:
+    return spark.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {duration}")).alias("n")).first()["n"]
+
+
 def touched_folders(observations: DataFrame, quiet: str = "1200 milliseconds", late: str = "10 seconds") -> DataFrame:
-    """(folder, start, end, events): bursts of a folder with `quiet` between them. Works on streams and tables.
+    """(folder, start, end, events): bursts of a folder with `quiet` or more between them. Works on streams and tables.
 
-    On a stream a burst comes out, once and for all, when the watermark (the newest time less `late`) has passed its end.
+    On a stream a burst comes out, once and for all, when the watermark (the newest time less `late`) has passed its end. A folder's
+    state is its open bursts; a batch's times are merged with them in one sort, so the work grows with the rows, not with the square of a folder's bursts.
     """
-    rows = observations.withWatermark("ts", late) if observations.isStreaming else observations
-    out = rows.groupBy("folder", F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("events"))
-    return out.select("folder", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+    gap = _micros(observations.sparkSession, quiet)
+    if not observations.isStreaming:
+        # a session window takes in what comes just at its end
+        out = observations.groupBy("folder", F.session_window("ts", f"{gap - 1} microseconds").alias("w")).agg(F.count(F.lit(1)).alias("events"))
+        return out.select("folder", F.col("w.start").alias("start"), (F.col("w.end") + F.expr("interval 1 microsecond")).alias("end"), "events")
+    # a burst ends `quiet` after its last row, so the rows' own watermark waits as much longer
+    rows = observations.withWatermark("ts", f"{gap + _micros(observations.sparkSession, late)} microseconds").select("folder", "ts", F.unix_micros("ts").alias("at"))
+    kind = observations.schema["folder"].dataType.simpleString()
+    found = rows.where("at is not null").groupBy("folder").applyInPandasWithState(
+        _bursts(gap), f"folder {kind}, start long, last long, events long", "open binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return found.select("folder", F.timestamp_micros("start").alias("start"), F.timestamp_micros(F.col("last") + gap).alias("end"), "events")
+
+
+def _bursts(gap: int):
+    """Open bursts (start, last, events as rows of a matrix) and a batch's times to the bursts that end, and those that stay open."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = np.frombuffer(state.get[0], np.int64).reshape(3, -1) if state.exists else np.zeros((3, 0), np.int64)
+        at = np.concatenate([np.zeros(0, np.int64), *(b["at"].to_numpy(np.int64) for b in batches)])
+        start, last, n = np.concatenate([held, [at, at, np.ones_like(at)]], axis=1)
+        order = np.argsort(start, kind="stable")
+        start, last, n = start[order], np.maximum.accumulate(last[order]), n[order]
+        first = np.flatnonzero(np.append(True, start[1:] - last[:-1] >= gap))[: len(start)]
+        bursts = np.array([start[first], last[np.append(first[1:], len(last)) - 1], np.add.reduceat(n, first)]) if len(first) else held
+        mark = state.getCurrentWatermarkMs()
+        ended = bursts[1] <= mark * 1000
+        if ended.all():
+            state.remove()
+        else:
+            state.update((bursts[:, ~ended].tobytes(),))
+            state.setTimeoutTimestamp(max(int(bursts[1, ~ended].min() - 1) // 1000, mark + 1))
+        start, last, n = bursts[:, ended]
+        yield pd.DataFrame({"folder": [key[0]] * len(n), "start": start, "last": last, "events": n})
+
+    return run
 
 
 def dedup_observations(observations: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -25,6 +25,16 @@ def test_bursts_close_with_the_watermark(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 6
 
 
+def test_a_pause_of_just_the_quiet_time_parts_bursts(spark):
+    """On tables and streams, as the SQL twin has it; over batches of several files."""
+    rows = of(spark, *[(i, s, "a", "/a") for i, s in enumerate([0, 1.2, 2.399999, 50, 51.2, 51.3, 900])])
+    stream = _batches(rows, [F.col("event_id") < 2, F.col("event_id").between(2, 5), F.col("event_id") == 6], file_rows=2)
+    of_ = lambda found: sorted(((r.start - T0).total_seconds(), (r.end - T0).total_seconds(), r.events) for r in found.collect())
+    want = [(0.0, 1.2, 1), (1.2, 3.599999, 2), (50.0, 51.2, 1), (51.2, 52.5, 2)]
+    assert of_(W.run_available(W.touched_folders(stream), "t")) == want
+    assert of_(W.touched_folders(rows))[:-1] == want
+
+
 def test_late_rows_go_aside(spark):
     rows = of(spark, *[(i, s, "f", "/a") for i, s in enumerate([0, 7000, 10, 5000, 3300, 9000, 3399, 3400, 20000, 5399])]).withColumn("batch_id", F.floor(F.col("event_id") / 3).cast("int"))
     sink = W.LateRouter(spark, "1 hour")
