@@ -1,6 +1,7 @@
 """Exact neighbours over blocks of an index, against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from catalogspark.operators import vectors
@@ -35,3 +36,13 @@ def test_empty_index_and_no_queries(spark):
     assert vectors.knn(none.withColumnRenamed("id", "query_id"), df, 3).collect() == []
     found = vectors.knn(df.withColumnRenamed("id", "query_id"), df, 3).collect()
     assert [(r.query_id, r.id, r.score, r.place) for r in found] == [(1, 1, 1.0, 1)]
+
+
+def test_scores_held_at_once_do_not_grow_with_a_block(spark, monkeypatch):
+    """A full block of short vectors has many rows."""
+    held = []
+    monkeypatch.setattr(vectors, "best_of", lambda score, ids, k, real=vectors.best_of: held.append(score.size) or real(score, ids, k))
+    side = lambda n, s: pa.record_batch({"id": np.arange(n), "embedding": [[float(i % 97), 1.0] for i in range(n)], "w": np.full(n, 2), "block": np.zeros(n, int), "side": np.full(n, s)})
+    out = pa.Table.from_batches(vectors._best_in_blocks(3, False)(iter([side(20_000, 0), side(150, 1)])))
+    assert out.num_rows == 450 and max(held) <= 1 << 20
+    assert out.slice(3 * 5, 3)["id"].to_pylist() == [96, 193, 290]
